@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from fathom.functions.columns import WHITESPACE, bind, strip, words_by_space
 
@@ -128,7 +128,7 @@ LONE_BRACKET = re.compile(
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _outside_blocks(text: pd.Series) -> pd.Series:
     return text.map(outside_blocks, na_action="ignore")
 

@@ -121,20 +121,21 @@ def search_branches(
     return union_hits(vector_hits, text_hits)
 
 
-def with_texts(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+def with_texts(hits: DataFrame, questions: DataFrame, texts: DataFrame) -> DataFrame:
     """Hits with their question and chunk text.
 
     There are at most 2k hits per question, so a checked number of questions
     bounds them; then the hits are broadcast and the chunk texts stay put."""
     asked = checked(questions.select("question_id", "question"))
     pairs = hits.join(asked.side, "question_id")
-    return chunks.select("key", "text").join(asked.hint(pairs), "key")
+    return texts.select("key", "text").join(asked.hint(pairs), "key")
 
 
 def search(
     chunks: DataFrame,
     index: fulltext.TextIndex,
     questions: DataFrame,
+    texts: DataFrame | None = None,
     k: int = 5,
     metric: str = "cosine",
     reranking: bool = True,
@@ -143,11 +144,11 @@ def search(
 ) -> DataFrame:
     """question_id, question, key, text, score, index_score, source, rank of
     the k best chunks per question. The pair scorer sees at most 2k chunks per
-    question."""
+    question. `texts` holds key and text where `chunks` holds vectors only."""
     hits = search_branches(chunks, index, questions, k, metric)
     if dedupe:
         hits = drop_repeats(hits)
-    candidates = with_texts(hits, questions, chunks)
+    candidates = with_texts(hits, questions, chunks if texts is None else texts)
     ordered = rerank(candidates, scorer) if reranking else keep_order(candidates)
     return ordered.where(F.col("rank") <= k).select(
         "question_id", "question", "key", "text", "score", "index_score", "source", "rank"

@@ -16,6 +16,7 @@ def ask(
     chunks: DataFrame,
     index: TextIndex,
     page_info: DataFrame,
+    texts: DataFrame | None = None,
     k: int = K,
     reranking: bool = True,
     scorer: hybrid.PairScore = hybrid.overlap_logit,
@@ -29,7 +30,7 @@ def ask(
     `page_id` finds the page of a chunk; by default the part of the key before
     the dash."""
     contexts = hybrid.search(
-        chunks, index, questions, k, reranking=reranking, scorer=scorer, dedupe=dedupe
+        chunks, index, questions, texts, k, reranking=reranking, scorer=scorer, dedupe=dedupe
     )
     answered = reader.read_answers(contexts, read)
     if page_id is None:

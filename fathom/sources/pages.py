@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*["\']([^"\'>]*)["\']'
+# Comments, scripts and styles hold no links.
+NO_LINKS = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+QUOTES = r"""^["']|["']$"""
 
 
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, pos, href of every anchor in document order."""
-    found = F.regexp_extract_all(F.col(html), F.lit(ANCHOR), F.lit(1))
-    return pages.select(key, F.posexplode_outer(found).alias("pos", "href")).where(
-        F.col("href").isNotNull()
+    shown = F.regexp_replace(html, NO_LINKS, "")
+    quoted = F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(1))
+    found = pages.select(key, F.posexplode_outer(quoted).alias("pos", "href"))
+    return found.where(F.col("href").isNotNull()).withColumn(
+        "href", F.replace(F.regexp_replace("href", QUOTES, ""), F.lit("&amp;"), F.lit("&"))
     )
 
 
@@ -47,6 +52,6 @@ def read_positional(spark: SparkSession, path: str, name: str) -> DataFrame:
     return whole.select(lines_by_position(F.col("value")).alias("id", name))
 
 
-def page_info(titles: DataFrame, hrefs: DataFrame) -> DataFrame:
+def page_info(titles: DataFrame, hrefs: DataFrame, on: list[str] | None = None) -> DataFrame:
     """id, title, href."""
-    return titles.join(hrefs, "id")
+    return titles.join(hrefs, on or ["id"])
