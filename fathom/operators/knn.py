@@ -16,7 +16,7 @@ Which cells a question looks at is the only difference between the searches:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,16 +49,16 @@ def validate(rows: DataFrame, dim: int, vector: str = "embedding") -> tuple[Data
 
 def nearest_to_one(
     chunks: DataFrame,
-    question: DataFrame,
+    question: Sequence[float],
     k: int = 5,
     metric: str = "cosine",
     key: str = "key",
     vector: str = "embedding",
 ) -> DataFrame:
-    """k best chunks for the single vector in `question`, with all chunk columns.
+    """k best chunks for one vector, with all chunk columns.
 
     Ends in a per-partition top-k; only k rows per task move."""
-    asked = question.select(vectors.as_doubles(F.col(vector))).scalar()
+    asked = F.array(*[F.lit(float(x)) for x in question])
     scored = chunks.withColumn(
         "score", F.round(vectors.similarity(metric, F.col(vector), asked), SCORE_DIGITS)
     )

@@ -301,7 +301,7 @@ def section_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "bracket_tokens",
-    """SELECT doc_id, ' <! ' || source || ' !>  {{ x|  }} ' || replace(text, '|}', '!>') || ' [[ ' || lang || ' ]]  {<! ' AS text
+    """SELECT doc_id, ' <! ' || source || ' !>  {{ x|  }} ' || replace(text, '|}', '!>') || ' [[ ' || lang || ' ]] { <! ' AS text
        FROM documents""",
 )
 def bracket_tokens(spark: SparkSession, sf: str) -> DataFrame:

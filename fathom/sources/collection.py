@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathom.operators.joins import checked
 
@@ -47,6 +48,7 @@ class Collection:
     key: str = "key"
     seq: str = "seq"
     buckets: int = BUCKETS
+    schema: T.StructType | None = None
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
@@ -60,11 +62,24 @@ class Collection:
             .parquet(self.path)
         )
 
+    def _stored(self) -> DataFrame:
+        """Stored rows with their bucket. A collection opened with a schema
+        counts as empty until its first write."""
+        if self.schema is None:
+            return self.spark.read.parquet(self.path)
+        full = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+        try:
+            return self.spark.read.schema(full).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], full)
+
     def create(self, rows: DataFrame) -> None:
         self._write(latest_per_key(rows, self.key, self.seq), "errorifexists")
 
     def scan(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("bucket")
+        return self._stored().drop("bucket")
 
     def insert(self, rows: DataFrame) -> None:
         """Append rows with new keys; fails on a known or repeated key."""
@@ -74,5 +89,5 @@ class Collection:
     def upsert(self, rows: DataFrame) -> None:
         """Merge rows into the buckets they belong to."""
         touched = rows.select(self._bucket().alias("bucket")).distinct()
-        stored = self.spark.read.parquet(self.path).join(F.broadcast(touched), "bucket", "left_semi")
+        stored = self._stored().join(F.broadcast(touched), "bucket", "left_semi")
         self._write(merged(stored.drop("bucket"), rows, self.key, self.seq), "overwrite")
