@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fathom.functions.columns import round_nearest
+
 # Fixed values.
 SNIPPET_CHARS = 50
 SITE = "https://www.wikipedia.org"
@@ -52,4 +54,4 @@ def source_url(href: Column, answer: Column, site: str = SITE, encode: bool = Fa
 
 def confidence(score: Column) -> Column:
     """Percentage with two decimals, as text."""
-    return F.format_string("%.2f", 100 * score)
+    return F.format_string("%.2f", round_nearest(100 * score, 2, ties_up=True))

@@ -32,7 +32,8 @@ def scorer(make_score: Callable, batch_size: int = 256) -> Callable[[Column, Col
 
 
 def reader(make_read: Callable, batch_size: int = 64) -> Callable[[Column, Column], Column]:
-    """make_read() -> f(questions, contexts) -> dict of tokens, start, end."""
+    """make_read() -> f(questions, contexts) -> per row a dict of the arrays
+    tokens, start and end."""
     return predict_batch_udf(make_read, return_type=READ, batch_size=batch_size)
 
 

