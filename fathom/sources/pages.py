@@ -44,12 +44,23 @@ def lines_by_position(text: Column) -> Column:
 
 
 def read_positional(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """id, `name` from a text file whose line number is the page id.
-
-    Line numbers need the file in one piece; ingest it once and keep the
-    result as a table keyed by id."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(lines_by_position(F.col("value")).alias("id", name))
+    """id, `name` from a text file whose 0-based line number is the page id.
+
+    Splits are numbered by where they start in the file: a line's number is
+    the count of lines in earlier splits plus its place in its own, so a file
+    of any size is read in parallel. Ingest once and keep the table."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias(name),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    splits = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    # One row per split, so this window is as small as the list of splits.
+    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("split", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(starts, "split").select(
+        (F.col("before") + F.col("at") - F.col("first")).alias("id"), name
+    )
 
 
 def page_info(titles: DataFrame, hrefs: DataFrame, on: list[str] | None = None) -> DataFrame:

@@ -165,6 +165,19 @@ def test_links_and_positions(spark, folder):
     assert sorted(map(tuple, info.collect())) == [(0, "Zero", "/0"), (1, "One", "/1"), (2, "", "/2"), (3, "Three", "/3")]
 
 
+def test_positions_across_splits(spark, folder):
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(20000)]
+    (folder / "t.txt").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = pages.read_positional(spark, str(folder / "t.txt"), "title")
+        assert got.rdd.getNumPartitions() > 1
+        assert [r.title for r in got.orderBy("id").collect()] == lines
+        assert got.agg(F.max("id")).first()[0] == 19999
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_records(spark, folder):
     rows = [{"id": 7, "chunk": 2, "text": "t", "embedding": [0.5, 1], "extra": 3}, {"id": 8, "chunk": 0, "embedding": []}]
     (folder / "r.jsonl").write_text("\n".join(map(json.dumps, rows)))
