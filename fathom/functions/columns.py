@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# Characters that count as whitespace in Python text processing. Java's \s is
-# ASCII only and its Unicode mode leaves out the four separator controls.
-# Fixed values.
-WHITESPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Characters that count as whitespace in Python text processing: Unicode
+# separators and the control characters that separate. Java's \\s is ASCII only
+# and its Unicode mode leaves out four of the controls. Fixed values.
+WHITESPACE = r"\p{Z}\t-\r\x1c-\x1f\x85"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

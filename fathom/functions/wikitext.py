@@ -39,7 +39,7 @@ FLAT_MARKUP = (
 )
 BOUNDED_REF = r"<ref[^>]*/>"
 PAIRS = {"{{": "}}", "[[": "]]", "<!": "!>"}
-LEFTOVERS = rf"\{{\{{|\}}\}}|\||\([{WHITESPACE}]*\)|\([{WHITESPACE}]*;[{WHITESPACE}]*\)|[{WHITESPACE}]*;[{WHITESPACE}]*"
+LEFTOVERS = rf"(?=[{{}}|(;{WHITESPACE}])(?:\{{\{{|\}}\}}|\||\([{WHITESPACE}]*\)|\([{WHITESPACE}]*;[{WHITESPACE}]*\)|[{WHITESPACE}]*;[{WHITESPACE}]*)"
 
 LINK = (
     r"(?s)\[\[(?!(?:" + "|".join(KEPT_LINKS) + r"):)"
@@ -66,7 +66,8 @@ def drop_markup(text: Column, strict: bool = False) -> Column:
     """Remove markup that does not nest. `strict` keeps a self-closing ref
     from running over body text."""
     parts = [BOUNDED_REF if strict and p == r"<ref.*?/>" else p for p in FLAT_MARKUP]
-    pattern = "(?s)" + "|".join(p.replace(r"\s", f"[{WHITESPACE}]") for p in parts)
+    # Looking at the first character spares the other positions the long list.
+    pattern = "(?s)(?=[<'&])(?:" + "|".join(p.replace(r"\s", f"[{WHITESPACE}]") for p in parts) + ")"
     return F.regexp_replace(text, pattern, "")
 
 
@@ -104,7 +105,8 @@ def section_tags(text: Column) -> Column:
     pieces = F.split(text, HEADINGS)
     tags = F.transform(F.regexp_extract_all(text, F.lit(HEADINGS), F.lit(0)), _heading_tags)
     padded = F.concat(tags, F.array(F.lit("")))
-    return F.array_join(F.zip_with(pieces, padded, lambda a, b: F.concat(a, b)), "")
+    tagged = F.array_join(F.zip_with(pieces, padded, lambda a, b: F.concat(a, b)), "")
+    return F.when(text.contains("=="), tagged).otherwise(text)
 
 
 def pad_brackets(text: Column) -> Column:
@@ -112,14 +114,17 @@ def pad_brackets(text: Column) -> Column:
     text = F.replace(text, F.lit("|}}"), F.lit("| }}"))
     text = F.replace(text, F.lit("{|"), F.lit("<!"))
     text = F.replace(text, F.lit("|}"), F.lit("!>"))
-    return F.regexp_replace(text, r"(\{\{|\}\}|\[\[|\]\]|<!|!>)", " $1 ")
+    return F.regexp_replace(text, r"(?=[{}\[\]<!])(\{\{|\}\}|\[\[|\]\]|<!|!>)", " $1 ")
+
+
+def _is_listed(line: Column) -> Column:
+    return F.substring(line, 1, 1).isin(*LIST_MARKS)
 
 
 def drop_list_lines(text: Column) -> Column:
     """Lines that start with a list mark go whole."""
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~x.rlike(f"^[{LIST_MARKS}]"))
-    return F.array_join(kept, "\n")
+    return F.array_join(F.filter(lines, lambda x: ~_is_listed(x)), "\n")
 
 
 # A bracket standing alone between whitespace, as pad_brackets leaves it.
@@ -156,30 +161,23 @@ def outside_blocks(text: str) -> str:
     return "".join(kept)
 
 
+def drop_blocks(text: Column) -> Column:
+    """Remove nested blocks and rebuild the whitespace: one space between
+    words, a space before the newline of a non-empty line.
+
+    Only texts that hold a bracket visit Python."""
+    bracketed = text.rlike(r"\{\{|\[\[|<!")
+    outside = F.when(bracketed, _outside_blocks(F.when(bracketed, text))).otherwise(text)
+    squeezed = F.regexp_replace(outside, f"[{WHITESPACE}&&[^\n]]+", " ")
+    lines = F.trim(F.regexp_replace(squeezed, " ?\n ?", "\n"))
+    return F.regexp_replace(F.concat(lines, F.lit("\n")), r"(?<=[^\n])\n", " \n")
+
+
 def drop_nested(text: Column) -> Column:
-    """Remove list lines and nested blocks; one space between words, a space
-    before the newline of a non-empty line.
-
-    Only texts that hold a bracket visit Python; the rest are rebuilt in the
-    JVM."""
-    body = drop_list_lines(text)
-
-    def rebuild(line: Column) -> Column:
-        return F.array_join(words_by_space(line), " ")
-
-    def with_newlines(t: Column) -> Column:
-        lines = F.transform(F.split(t, "\n"), rebuild)
-        ended = F.transform(
-            lines, lambda x: F.when(x == "", F.lit("\n")).otherwise(F.concat(x, F.lit(" \n")))
-        )
-        return F.array_join(ended, "")
-
-    bracketed = body.rlike(r"\{\{|\[\[|<!")
-    stripped = _outside_blocks(F.when(bracketed, body))
-    every_line_listed = F.forall(F.split(text, "\n"), lambda x: x.rlike(f"^[{LIST_MARKS}]"))
-    return F.when(every_line_listed, F.lit("")).otherwise(
-        bind(F.when(bracketed, stripped).otherwise(body), with_newlines)
-    )
+    """Remove list lines, then nested blocks. A text of list lines only leaves
+    nothing."""
+    every_line_listed = F.forall(F.split(text, "\n"), _is_listed)
+    return F.when(every_line_listed, F.lit("")).otherwise(drop_blocks(drop_list_lines(text)))
 
 
 def finalize(text: Column) -> Column:
@@ -198,6 +196,7 @@ def steps(strict: bool = False):
         intro_tags,
         section_tags,
         pad_brackets,
-        drop_nested,
+        drop_list_lines,
+        drop_blocks,
         finalize,
     )

@@ -7,51 +7,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fathom.functions.metrics import answer_tokens, exact_match
+from fathom.functions.metrics import answer_tokens, exact_match, token_f1
 
 
-def score_exact(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """qid, rank, em."""
-    return predictions.join(gold, "qid").select(
-        "qid", "rank", exact_match(F.col("answer"), F.col("answers")).alias("em")
-    )
-
-
-def score_f1(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """qid, rank, f1: best bag overlap of tokens over the gold answers.
-
-    Tokens of both sides are counted together per (answer pair, token), which
-    combines before the exchange; no pair of tokens is formed."""
-    pairs = predictions.join(gold, "qid").select(
-        "qid", "rank", "answer", F.posexplode("answers").alias("gold_no", "gold")
-    )
-    sides = pairs.select(
+def score_answers(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, rank, em, f1. Answers are split into tokens once each, before the
+    one join on qid; both metrics are worked out inside the joined row."""
+    asked = predictions.select("qid", "rank", answer_tokens(F.col("answer")).alias("tokens"))
+    known = gold.select("qid", F.transform("answers", answer_tokens).alias("golds"))
+    return asked.join(known, "qid").select(
         "qid",
         "rank",
-        "gold_no",
-        F.explode_outer(
-            F.concat(
-                F.transform(answer_tokens(F.col("answer")), lambda t: F.struct(t.alias("t"), F.lit(1).alias("p"), F.lit(0).alias("g"))),
-                F.transform(answer_tokens(F.col("gold")), lambda t: F.struct(t.alias("t"), F.lit(0).alias("p"), F.lit(1).alias("g"))),
-            )
-        ).alias("w"),
-    ).select("qid", "rank", "gold_no", "w.*")
-    counted = sides.groupBy("qid", "rank", "gold_no", "t").agg(
-        F.sum("p").alias("p"), F.sum("g").alias("g")
-    )
-    total = counted.groupBy("qid", "rank", "gold_no").agg(
-        F.coalesce(F.sum(F.least("p", "g")), F.lit(0)).alias("same"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("p"),
-        F.coalesce(F.sum("g"), F.lit(0)).alias("g"),
+        exact_match(F.col("tokens"), F.col("golds")).alias("em"),
+        token_f1(F.col("tokens"), F.col("golds")).alias("f1"),
     )
-    size = F.col("p") + F.col("g")
-    f1 = F.when(size == 0, 1.0).otherwise(2.0 * F.col("same") / F.nullif(size, F.lit(0)))
-    return total.groupBy("qid", "rank").agg(F.max(f1).alias("f1"))
 
 
-def score_answers(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """qid, rank, em, f1."""
-    return score_exact(predictions, gold).join(score_f1(predictions, gold), ["qid", "rank"])
+def score_exact(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, rank, em."""
+    return score_answers(predictions, gold).select("qid", "rank", "em")
+
+
+def score_f1(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """qid, rank, f1."""
+    return score_answers(predictions, gold).select("qid", "rank", "f1")
 
 
 def best_within(scores: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ from fathom.functions.text import standard
 from fathom.operators import evaluate, hybrid, reader
 from fathom.plans import search_queries as search
 from fathom.plans.ask import ask as ask_plan, presented
-from fathom.plans.catalog import query, table
+from fathom.plans.catalog import query, table, texts
 from fathom.session import fresh_path
 from fathom.sources import collection
 from fathom.streaming.questions import answer_stream
@@ -255,7 +255,7 @@ def picked(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with two of their own words as the answer, or one they lack."""
     own = F.array_join(F.slice(F.split("text", " "), 4, 2), " ")
     answer = F.when(F.col("lang") == "es", "<none>").otherwise(own)
-    return table(spark, sf, "documents").withColumn("ans", answer).where(F.col("ans") != "")
+    return texts(spark, sf, "documents").withColumn("ans", answer).where(F.col("ans") != "")
 
 
 @query(
@@ -333,7 +333,7 @@ score AS (SELECT qid, method, rank, max(em) AS em, max(coalesce(f1, 0)) AS f1 FR
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of a document as an answer, ranked by position."""
     lines = F.posexplode(F.split("text", "\n"))
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), lines.alias("at", "answer"))
+    rows = texts(spark, sf, "documents").select(F.col("doc_id").alias("qid"), lines.alias("at", "answer"))
     return rows.select("qid", (F.col("at") + 1).alias("rank"), "answer")
 
 
@@ -341,14 +341,14 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     """The document's second line, or its source with an article."""
     second = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.col("text"))
     named = F.concat(F.lit("The "), F.col("source"), F.lit("!"))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.col("doc_id").alias("qid"), F.array(second, named).alias("answers")
     )
 
 
 @query("eval_normalize", f"SELECT doc_id, array_to_string({answer_words('text')}, ' ') AS answer FROM documents")
 def eval_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         "doc_id", metrics.normalize_answer(F.col("text")).alias("answer")
     )
 
@@ -394,7 +394,7 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Stored documents, and a later write that changes some and adds some."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     stored = docs.select(F.col("doc_id").alias("key"), "text", "lang", F.lit(1).alias("seq"))
     changed = stored.where(F.col("lang") == "en").withColumn("text", F.concat(F.lit("new "), "text")).withColumn("seq", F.lit(2))
     stale = stored.where(F.col("lang") == "de").withColumn("text", F.lit("old")).withColumn("seq", F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom.functions import wikitext
 from fathom.operators import corpus
-from fathom.plans.catalog import query, table
+from fathom.plans.catalog import query, table, texts
 from fathom.session import fresh_path
 from fathom.sources import dump, pages, records
 
@@ -31,7 +31,7 @@ KINDS = LINKS + """, kinds AS (
 
 @query("page_links", LINKS + "SELECT page_id, pos, href FROM links")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.page_links(table(spark, sf, "pages"))
+    return pages.page_links(texts(spark, sf, "pages"))
 
 
 @query("classify_links", KINDS + "SELECT page_id, pos, href, kind FROM kinds")
@@ -66,7 +66,7 @@ def titled(spark: SparkSession, sf: str) -> DataFrame:
     prefix = (
         F.when(lang == "en", "").when(lang == "fr", "Help:").when(lang == "de", "Star Trek: ")
     ).otherwise("Category:")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.col("doc_id").alias("id"),
         F.concat(prefix, "source", F.lit(" "), F.col("doc_id").cast("string")).alias("title"),
         F.when(
@@ -172,7 +172,7 @@ def stream_count(spark: SparkSession, sf: str) -> DataFrame:
 def page_info(spark: SparkSession, sf: str) -> DataFrame:
     """Each document serves as a title file, its copy with a prefix as the
     matching link file."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     prefix = F.concat("source", F.lit("/"))
     marked = F.concat(prefix, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), prefix)))
     titles = docs.select("doc_id", pages.lines_by_position(F.col("text")).alias("id", "title"))
@@ -235,7 +235,7 @@ def wrapped(spark: SparkSession, sf: str, *parts: str) -> DataFrame:
     """Documents with markup put around their text: parts are column names or
     literal text marked by a leading '='."""
     pieces = [F.lit(p[1:]) if p.startswith("=") else F.col(p) for p in parts]
-    return table(spark, sf, "documents").select("doc_id", F.concat(*pieces).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", F.concat(*pieces).alias("text"))
 
 
 def cleaned(rows: DataFrame, step) -> DataFrame:
@@ -282,7 +282,7 @@ def intro_tags(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("{{Short description|"), "source", F.lit("  of|"), "lang", F.lit("}}"), "text"
     )
     text = F.when(F.col("lang") == "en", described).otherwise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", wikitext.intro_tags(text).alias("text"))
+    return texts(spark, sf, "documents").select("doc_id", wikitext.intro_tags(text).alias("text"))
 
 
 @query(

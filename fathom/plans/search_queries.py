@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fathom import hooks
 from fathom.functions import text as analysis, vectors
 from fathom.operators import fulltext, hybrid, knn
-from fathom.plans.catalog import query, table
+from fathom.plans.catalog import query, table, texts
 from fathom.session import fresh_path
 
 K = 5
@@ -68,7 +68,7 @@ def analyze_standard(spark: SparkSession, sf: str) -> DataFrame:
 
 def analyzed(spark: SparkSession, sf: str, analyzer: str) -> DataFrame:
     tokens = analysis.ANALYZERS[analyzer](F.col("text"))
-    rows = table(spark, sf, "documents").select("doc_id", tokens.alias("w"))
+    rows = texts(spark, sf, "documents").select("doc_id", tokens.alias("w"))
     return rows.select("doc_id", F.size("w").alias("n"), F.array_join("w", " ").alias("words"))
 
 
@@ -273,7 +273,7 @@ def validate_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("embed_text")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    embedded = hooks.hashed_embedding(table(spark, sf, "documents"), "text")
+    embedded = hooks.hashed_embedding(texts(spark, sf, "documents"), "text")
     return embedded.select(
         "doc_id",
         F.size("embedding").alias("dim"),
@@ -303,7 +303,7 @@ def mixed_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def texts_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    return texts(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
 
 
 @query(

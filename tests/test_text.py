@@ -213,6 +213,8 @@ def test_search_type(spark, code, want):
 
 def test_answer_normalising(spark):
     assert value(spark, metrics.normalize_answer(F.lit("The  Quick, (an) fox!"))) == "quick fox"
-    golds = F.array(F.lit("Liverpool"))
-    assert value(spark, metrics.exact_match(F.lit("the city of Liverpool"), golds)) == 0
-    assert value(spark, metrics.exact_match(F.lit("The Liverpool!"), golds)) == 1
+    golds = F.array(metrics.answer_tokens(F.lit("Liverpool")))
+    long, short = (metrics.answer_tokens(F.lit(a)) for a in ("the city of Liverpool", "The Liverpool!"))
+    assert value(spark, metrics.exact_match(long, golds)) == 0
+    assert value(spark, metrics.exact_match(short, golds)) == 1
+    assert value(spark, metrics.token_f1(long, golds)) == 0.5
