@@ -142,6 +142,8 @@ def survey_cells(
         chunks.select(key, vector).orderBy(F.xxhash64(key), F.col(key)).limit(n_landmarks)
     )
     found = picked.select(vector).toPandas()[vector]
+    if found.empty:
+        raise ValueError("no vectors to search")
     landmarks = project(np.stack(found.to_list()), metric)
     centers = np.unique(landmarks[:n_cells], axis=0)
     cells = Cells(metric, centers)

@@ -54,8 +54,11 @@ class Collection:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
+        """Rebalancing puts the rows of a bucket together, and cuts a large
+        bucket into files of an even size."""
         (
             rows.withColumn("bucket", self._bucket())
+            .hint("rebalance", "bucket")
             .write.mode(mode)
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
