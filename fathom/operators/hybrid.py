@@ -114,10 +114,11 @@ def search_branches(
     questions: DataFrame,
     k: int = 5,
     metric: str = "cosine",
+    cells: knn.Cells | None = None,
 ) -> DataFrame:
     """Union of the hits of both branches, each for the questions routed to it."""
     asked = valid_questions(questions)
-    vector_hits = knn.exact(chunks, route(asked, VECTOR), k, metric)
+    vector_hits = knn.exact(chunks, route(asked, VECTOR), k, metric, cells=cells)
     text_hits = fulltext.bm25_top_k(index, route(asked, FULLTEXT), k)
     return union_hits(vector_hits, text_hits)
 
@@ -142,11 +143,12 @@ def search(
     reranking: bool = True,
     scorer: PairScore = overlap_logit,
     dedupe: bool = False,
+    cells: knn.Cells | None = None,
 ) -> DataFrame:
     """question_id, question, key, text, score, index_score, source, rank of
     the k best chunks per question. The pair scorer sees at most 2k chunks per
     question. `texts` holds key and text where `chunks` holds vectors only."""
-    hits = search_branches(chunks, index, questions, k, metric)
+    hits = search_branches(chunks, index, questions, k, metric, cells)
     if dedupe:
         hits = drop_repeats(hits)
     candidates = with_texts(hits, questions, chunks if texts is None else texts)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fathom.functions import vectors
 from fathom.operators.joins import checked
@@ -133,7 +133,12 @@ def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def survey_cells(
-    chunks: DataFrame, metric: str, key: str, vector: str, n_cells: int, n_landmarks: int
+    chunks: DataFrame,
+    metric: str = "cosine",
+    key: str = "key",
+    vector: str = "embedding",
+    n_cells: int = CELLS,
+    n_landmarks: int = LANDMARKS,
 ) -> Cells:
     """Centers and landmarks from a fixed-size hash sample of the chunks, and
     the radius of every cell. Two passes over the vectors; what comes back is
@@ -331,9 +336,15 @@ def exact(
     vector: str = "embedding",
     n_cells: int = CELLS,
     n_landmarks: int = LANDMARKS,
+    cells: Cells | None = None,
 ) -> DataFrame:
-    """question, key, score, rank: the true k nearest chunks of every question."""
-    cells = survey_cells(chunks, metric, key, vector, n_cells, n_landmarks)
+    """question, key, score, rank: the true k nearest chunks of every question.
+
+    `cells` from an earlier `survey_cells` of the same chunks saves the survey,
+    e.g. between the batches of a stream."""
+    if cells is None:
+        cells = survey_cells(chunks, metric, key, vector, n_cells, n_landmarks)
+    metric = cells.metric
     held = pack(chunks, key, vector, one_cell(cells), metric)
     asked = pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric)
     n_centers, dim = cells.centers.shape
@@ -377,6 +388,12 @@ def ivf(
 ) -> DataFrame:
     """k best chunks among the nprobe nearest cells of each question."""
     held = pack(chunks, key, vector, one_cell(cells), cells.metric)
+    return _probe(held, questions, cells, nprobe, k, key, question, vector)
+
+
+def _probe(
+    held: DataFrame, questions: DataFrame, cells: Cells, nprobe: int, k: int, key: str, question: str, vector: str
+) -> DataFrame:
     asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric)
     small = _small_enough(questions, nprobe, cells.centers.shape[1])
     salts = _salts(questions, len(cells.centers))
@@ -384,6 +401,41 @@ def ivf(
     return top_k(found, k, question, key)
 
 
+def write_ivf(
+    chunks: DataFrame, cells: Cells, path: str, key: str = "key", vector: str = "embedding"
+) -> None:
+    """Store the chunks in packed blocks, one folder per cell, and the centers.
+
+    Blocks are packed before they move; rebalancing brings the blocks of a
+    cell together and cuts a crowded cell into files of an even size."""
+    held = pack(chunks, key, vector, one_cell(cells), cells.metric)
+    held.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/blocks")
+    rows = [(cells.metric, i, [float(x) for x in c]) for i, c in enumerate(cells.centers)]
+    spark = chunks.sparkSession
+    centers = spark.createDataFrame(rows, "metric string, cell int, center array<double>")
+    centers.coalesce(1).write.parquet(f"{path}/centers")
+
+
+def search_ivf(
+    spark: SparkSession,
+    path: str,
+    questions: DataFrame,
+    nprobe: int,
+    k: int = 5,
+    key: str = "key",
+    question: str = "question_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """Search stored cells. Only folders of cells that some question probes
+    are read; their list is no longer than the list of centers."""
+    stored = spark.read.parquet(f"{path}/centers").orderBy("cell").toPandas()
+    cells = Cells(stored["metric"].iloc[0], np.stack(stored["center"].to_list()))
+    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric)
+    probed = [row.cell for row in asked.select("cell").distinct().collect()]
+    held = spark.read.parquet(f"{path}/blocks").where(F.col("cell").isin(probed))
+    return _probe(held, questions, cells, nprobe, k, key, question, vector)
+
+
 @dataclass(frozen=True)
 class Projections:
     """Random projections cut into buckets of equal width, `tables` times."""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fathom.functions import metrics, present, spans
 from fathom.functions.text import standard
 from fathom.operators import evaluate, hybrid, reader
+from fathom.operators.knn import survey_cells
 from fathom.plans import search_queries as search
 from fathom.plans.ask import ask as ask_plan, presented
 from fathom.plans.catalog import query, table, texts
@@ -449,13 +450,13 @@ def stream_ask(spark: SparkSession, sf: str) -> DataFrame:
         F.col("item_id").alias("question_id"), F.col("text").alias("question"), code.alias("search_type")
     )
     chunks, index = search.chunks_of(spark, sf), search.stored_index(spark, sf)
-    vectors = chunks.withColumnRenamed("key", "question_id")
+    vectors, cells = chunks.withColumnRenamed("key", "question_id"), survey_cells(chunks)
 
     def answer(batch: DataFrame) -> DataFrame:
         return rounded(
             ask_plan(
                 batch.join(vectors, "question_id"), chunks, index, pages_of(spark, sf),
-                search.texts_of(spark, sf), K, strict=False,
+                search.texts_of(spark, sf), K, strict=False, cells=cells,
             )
         )
 

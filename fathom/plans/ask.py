@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fathom.functions import present
 from fathom.operators import hybrid, reader
 from fathom.operators.fulltext import TextIndex
+from fathom.operators.knn import Cells
 
 K = 5
 
@@ -24,13 +25,14 @@ def ask(
     page_id: Column | None = None,
     strict: bool = True,
     dedupe: bool = False,
+    cells: Cells | None = None,
 ) -> DataFrame:
     """k answers per question: retrieve, read, look up the page, assemble.
 
     `page_id` finds the page of a chunk; by default the part of the key before
     the dash."""
     contexts = hybrid.search(
-        chunks, index, questions, texts, k, reranking=reranking, scorer=scorer, dedupe=dedupe
+        chunks, index, questions, texts, k, reranking=reranking, scorer=scorer, dedupe=dedupe, cells=cells
     )
     answered = reader.read_answers(contexts, read)
     if page_id is None:

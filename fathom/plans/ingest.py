@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.operators import corpus
 from fathom.sources import dump
+from fathom.sources.collection import Collection
 
 
 def articles(pages: DataFrame, strict: bool = False) -> DataFrame:
@@ -18,3 +21,21 @@ def dump_to_paragraphs(spark: SparkSession, path: str, strict: bool = False) ->
     """key, id, chunk, tags, text of every paragraph of a dump."""
     split = corpus.paragraphs(articles(dump.read_pages(spark, path), strict))
     return split.select(corpus.chunk_key(F.col("id"), F.col("chunk")).alias("key"), "*")
+
+
+def load_dump(
+    spark: SparkSession,
+    path: str,
+    collection: Collection,
+    seq: int,
+    embed: Callable[[Column], Column],
+    strict: bool = False,
+) -> None:
+    """Read a dump and upsert its embedded paragraphs.
+
+    `seq` orders dumps: paragraphs of a newer dump replace those of an older
+    one with the same key. `embed` is an embedding hook."""
+    chunks = dump_to_paragraphs(spark, path, strict)
+    collection.upsert(
+        chunks.withColumn("embedding", embed(F.col("text"))).withColumn("seq", F.lit(seq).cast("bigint"))
+    )

@@ -129,6 +129,25 @@ def test_dump_of_concatenated_streams(spark, folder, rooted):
     assert [(r.key, r.text) for r in made] == [("1-0", "The dog."), ("4-0", "1 < 2"), ("4-1", "next")]
 
 
+def test_dump_to_collection(spark, folder):
+    path = folder / "dump.xml"
+    path.write_text("".join(map(page_text, PAGES)))
+    schema = (
+        "key string, id bigint, chunk int, tags string, text string, embedding array<float>, seq bigint"
+    )
+    target = Collection(
+        spark, str(folder / "chunks"), buckets=2, schema=spark.createDataFrame([], schema).schema
+    )
+
+    def embed(text):
+        return F.array(F.length(text).cast("float"))
+
+    for seq in (1, 2, 1):
+        ingest.load_dump(spark, str(path), target, seq, embed)
+    got = sorted((r.key, r.embedding, r.seq) for r in target.scan().collect())
+    assert got == [("1-0", [8.0], 2), ("4-0", [5.0], 2), ("4-1", [4.0], 2)]
+
+
 def test_dump_index(spark, folder):
     path = folder / "index.txt.bz2"
     path.write_bytes(bz2.compress("600:10:A: b\n600:11:C\n\n7:12:D\n".encode()))

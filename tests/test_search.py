@@ -165,6 +165,11 @@ def test_approximate_search_recall(spark):
 
     few, many, all_ = (recall(knn.ivf(chunks, asked, cells, n)) for n in (1, 4, 8))
     assert few < many < all_ == 1.0
+    path = fresh_path(spark, "test-ivf")
+    knn.write_ivf(chunks, cells, path)
+    assert recall(knn.search_ivf(spark, path, asked, 4)) == many
+    one = knn.search_ivf(spark, path, asked.where("question_id = 0"), 1)
+    assert len({f for f in one.inputFiles() if "/blocks/" in f}) < spark.read.parquet(f"{path}/blocks").count()
     assert recall(knn.lsh(chunks, asked, knn.Projections.draw(16, 6, 0.5))) > 0.8
 
 
@@ -248,3 +253,22 @@ def test_hashed_embedding_finds_the_same_text(spark):
     asked = embedded.withColumnRenamed("key", "question_id")
     best = knn.exact(embedded, asked, 1).collect()
     assert all(r.question_id == r.key for r in best)
+
+
+# ---- whole search --------------------------------------------------------
+
+
+def test_reranking_one_source_keeps_its_set(spark):
+    from fathom.plans import search_queries as sq
+
+    folder = "/root/testdata/sf0.001"
+    index, texts = sq.stored_index(spark, folder), sq.texts_of(spark, folder)
+    for code, source in (("FT", "fulltext"), ("VEC", "vector")):
+        asked = sq.mixed_questions(spark, folder).withColumn("search_type", F.lit(code))
+        found = [
+            hybrid.search(sq.chunks_of(spark, folder), index, asked, texts, 5, reranking=r).collect()
+            for r in (True, False)
+        ]
+        sets = [{(r.question_id, r.key) for r in rows} for rows in found]
+        assert sets[0] == sets[1]
+        assert {r.source for rows in found for r in rows} == {source}
