@@ -210,7 +210,7 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     asked = search.mixed_questions(spark, sf).withColumn("search_type", F.lit("FT"))
     return rounded(
         ask_plan(
-            asked, search.chunks_of(spark, sf), search.stored_index(spark, sf), pages_of(spark, sf),
+            asked, search.entries_of(spark, sf), search.stored_index(spark, sf), pages_of(spark, sf),
             search.texts_of(spark, sf), K, reranking=False,
         )
     )
@@ -222,7 +222,7 @@ ASK = search.RERANKED + f", {PAGES}, contexts AS (SELECT * FROM reranked WHERE r
 def ask_all(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     return rounded(
         ask_plan(
-            asked, search.chunks_of(spark, sf), search.stored_index(spark, sf), pages_of(spark, sf),
+            asked, search.entries_of(spark, sf), search.stored_index(spark, sf), pages_of(spark, sf),
             search.texts_of(spark, sf), K, strict=False,
         )
     )
@@ -449,8 +449,8 @@ def stream_ask(spark: SparkSession, sf: str) -> DataFrame:
     asked = stream_of(spark, sf, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"), code.alias("search_type")
     )
-    chunks, index = search.chunks_of(spark, sf), search.stored_index(spark, sf)
-    vectors, cells = chunks.withColumnRenamed("key", "question_id"), survey_cells(chunks)
+    chunks, index = search.entries_of(spark, sf), search.stored_index(spark, sf)
+    vectors, cells = search.asked_vectors(spark, sf), survey_cells(chunks)
 
     def answer(batch: DataFrame) -> DataFrame:
         return rounded(

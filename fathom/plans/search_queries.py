@@ -180,11 +180,13 @@ def knn_single(spark: SparkSession, sf: str) -> DataFrame:
     return knn.nearest_to_one(chunks, asked, K).select("key", "score")
 
 
-def nearest(measure: str, asked: str = "embeddings", asked_id: str = "a.vec_id") -> str:
+def nearest(
+    measure: str, asked: str = "embeddings", asked_id: str = "a.vec_id", held: str = "embeddings"
+) -> str:
     """SQL of the five nearest chunks of every asked vector."""
     return f"""SELECT question_id, key, score, rank FROM (
       SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM (
-        SELECT {asked_id} AS question_id, b.vec_id AS key, round({measure}, 6) AS score FROM {asked} a, embeddings b))
+        SELECT {asked_id} AS question_id, b.vec_id AS key, round({measure}, 6) AS score FROM {asked} a, {held} b))
       WHERE rank <= 5"""
 
 
@@ -304,6 +306,11 @@ def mixed_questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def entries_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored entries have a vector and a text."""
+    return chunks_of(spark, sf).join(texts_of(spark, sf).select("key"), "key", "left_semi")
+
+
 def texts_of(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
 
@@ -349,7 +356,8 @@ def route_questions(spark: SparkSession, sf: str) -> DataFrame:
 UNION = BM25 + f""",
 q AS (SELECT item_id AS question_id, text AS question, {TYPE} AS kind, embedding
       FROM benchmark JOIN embeddings ON vec_id = item_id),
-vec_hits AS ({nearest(COSINE, 'q', 'a.question_id')}),
+entries AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+vec_hits AS ({nearest(COSINE, 'q', 'a.question_id', 'entries')}),
 hits AS (
   SELECT h.*, 'vector' AS source, 0 AS source_order FROM vec_hits h JOIN q USING (question_id) WHERE kind <> 'fulltext'
   UNION ALL
@@ -371,7 +379,7 @@ reranked AS (
 @query("hybrid_union", UNION + "SELECT question_id, key, score, rank, source, source_order FROM hits")
 def hybrid_union(spark: SparkSession, sf: str) -> DataFrame:
     asked = mixed_questions(spark, sf)
-    return hybrid.search_branches(chunks_of(spark, sf), stored_index(spark, sf), asked, K)
+    return hybrid.search_branches(entries_of(spark, sf), stored_index(spark, sf), asked, K)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,7 +430,7 @@ def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
 )
 def hybrid_norerank(spark: SparkSession, sf: str) -> DataFrame:
     found = hybrid.search(
-        chunks_of(spark, sf), stored_index(spark, sf), mixed_questions(spark, sf),
+        entries_of(spark, sf), stored_index(spark, sf), mixed_questions(spark, sf),
         texts_of(spark, sf), K, reranking=False,
     )
     return found.select("question_id", "key", "source", "score", "rank")
@@ -430,7 +438,7 @@ def hybrid_norerank(spark: SparkSession, sf: str) -> DataFrame:
 
 def hybrid_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.search(
-        chunks_of(spark, sf), stored_index(spark, sf), mixed_questions(spark, sf), texts_of(spark, sf), K
+        entries_of(spark, sf), stored_index(spark, sf), mixed_questions(spark, sf), texts_of(spark, sf), K
     )
 
 

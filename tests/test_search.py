@@ -266,7 +266,7 @@ def test_reranking_one_source_keeps_its_set(spark):
     for code, source in (("FT", "fulltext"), ("VEC", "vector")):
         asked = sq.mixed_questions(spark, folder).withColumn("search_type", F.lit(code))
         found = [
-            hybrid.search(sq.chunks_of(spark, folder), index, asked, texts, 5, reranking=r).collect()
+            hybrid.search(sq.entries_of(spark, folder), index, asked, texts, 5, reranking=r).collect()
             for r in (True, False)
         ]
         sets = [{(r.question_id, r.key) for r in rows} for rows in found]
