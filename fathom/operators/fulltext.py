@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions.text import ANALYZERS, Analyzer, standard
 from fathom.operators.joins import checked
@@ -222,10 +222,9 @@ def bm25_top_k(
     Where the questions match more than `full_scoring_rows` rows, documents
     that cannot be among the k best are left out early; the result is the
     same."""
-    matching = Observation()
     weighted = weighted_terms(index, question_terms(questions, index.analyzer, stem))
-    weighted = settled(weighted.observe(matching, F.sum("df").alias("rows")), "question-terms")
-    matches = matching.get["rows"] or 0
+    weighted = settled(weighted, "question-terms")
+    matches = weighted.agg(F.sum("df")).first()[0] or 0
     if matches <= full_scoring_rows:
         return top_k(bm25_scores(index, weighted), k)
     return top_k(_contender_scores(index, weighted, k), k)
