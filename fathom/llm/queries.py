@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fathom.llm import chat, decontaminate, minhash, mixing, neighbours, secrets, toxicity, warc
+from fathom.llm import (
+    chat,
+    decontaminate,
+    languages,
+    minhash,
+    mixing,
+    neighbours,
+    repeats,
+    secrets,
+    toxicity,
+    warc,
+)
 from fathom.plans.catalog import query, table
 from fathom.session import fresh_path
 
@@ -334,3 +345,55 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.search(table(spark, folder, "embeddings"), F.col("key") % 20 == 0, 20)
+
+
+@query("op8_languages")
+def op8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = languages.fit(docs.where(fold("doc_id", 5) != 0))
+    return languages.predict(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query(
+    "op5_repeats",
+    """
+    WITH d AS (
+        SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), w AS (
+        SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS w
+        FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 100)) AS i FROM d)
+    ), later AS (
+        SELECT doc_id, i FROM (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM w) WHERE n > 1
+    ), runs AS (
+        SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (
+            SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+                SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100
+                    THEN 0 ELSE 1 END AS new FROM later))
+        GROUP BY doc_id, run
+    ), pieces AS (
+        SELECT doc_id, e AS s, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), 1000000000) AS e
+        FROM (SELECT doc_id, s, e FROM runs UNION ALL SELECT doc_id, -1, 0 FROM d)
+    ), kept AS (
+        SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (least(e, length(h) // 2) - s)), '' ORDER BY s) AS h
+        FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+    ), counts AS (
+        SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+        coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+    FROM d JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+    """,
+)
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    done = repeats.kept(table(spark, folder, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
