@@ -22,7 +22,9 @@ def drop_redirects(pages: DataFrame, redirect: str = "redirect") -> DataFrame:
 
 def is_internal(title: Column, namespaces: Iterable[str] = INTERNAL_NAMESPACES) -> Column:
     """The part before the first colon names an internal namespace."""
-    return title.contains(":") & F.substring_index(title, ":", 1).isin(*namespaces)
+    named = title.contains(":") & F.substring_index(title, ":", 1).isin(*namespaces)
+    # A page without a title is in no namespace.
+    return F.coalesce(named, F.lit(False))
 
 
 def drop_internal(

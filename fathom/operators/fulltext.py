@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from fathom.functions.columns import bind
 from fathom.functions.text import ANALYZERS, Analyzer, standard
 from fathom.operators.joins import checked
 from fathom.operators.ranking import SCORE_DIGITS, top_k
@@ -23,25 +24,37 @@ def analyzed(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard
 def count_words(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
     """key, dl, term, tf, plus one row without a term for every document.
 
-    Texts are spread by document key, so a document's words are counted where
-    they are split: the exchange moves each text once, never word rows, and a
-    word found everywhere makes no hot group. The row without a term keeps the
-    length of each document, so one pass over the texts gives everything."""
-    tokens = (
-        docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .repartition("key")
-        .select("key", analyzer(F.col("text")).alias("tokens"))
-    )
-    ended = F.concat("tokens", F.array(F.lit(None).cast("string")))
-    # The outer form keeps Spark from adding a non-empty test on the split text
-    # below the exchange, which would split every text twice.
-    return (
-        tokens.select("key", F.size("tokens").alias("dl"), F.explode_outer(ended).alias("term"))
-        .groupBy("key", "dl", "term")
-        .agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    A row is a document, so its words are counted inside the row and nothing is
+    exchanged: the sorted words are cut where a word differs from the one before,
+    and the distance between cuts is a word's count. The row without a term keeps
+    the length of each document, so one pass over the texts gives everything."""
+    ordered = F.array_sort(F.coalesce(analyzer(F.col(text)), F.array().cast("array<string>")))
+    counted = bind(ordered, _runs)
+    return docs.select(F.col(key).alias("key"), F.explode(counted).alias("word")).select(
+        "key", F.col("word.dl").alias("dl"), F.col("word.term").alias("term"), F.col("word.tf").alias("tf")
     )
 
 
+def _runs(words: Column) -> Column:
+    """(dl, term, tf) of sorted words, and a last one without a term."""
+    n = F.size(words)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    first = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def counted(starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda at, k: F.struct(
+                n.alias("dl"),
+                F.get(words, at).alias("term"),
+                (F.coalesce(F.get(starts, k + 1), n) - at).alias("tf"),
+            ),
+        )
+
+    nothing = F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")
+    return F.concat(bind(first, counted), F.array(F.struct(n.alias("dl"), *nothing)))
+
+
 def split_counts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """documents(key, dl) and postings(key, dl, term, tf)."""
     documents = counted.where(F.col("term").isNull()).select("key", "dl")

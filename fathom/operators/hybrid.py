@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fathom.functions.columns import round_nearest
 from fathom.functions.text import standard
 from fathom.operators import fulltext, knn
-from fathom.operators.joins import checked
+from fathom.operators.joins import BROADCAST_ROWS, checked
 from fathom.operators.ranking import ranked
 
 # Codes of the search types and the labels a user picks. Fixed values.
@@ -123,14 +123,15 @@ def search_branches(
     return union_hits(vector_hits, text_hits)
 
 
-def with_texts(hits: DataFrame, questions: DataFrame, texts: DataFrame) -> DataFrame:
+def with_texts(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     """Hits with their question and chunk text.
 
-    There are at most 2k hits per question, so a checked number of questions
-    bounds them; then the hits are broadcast and the chunk texts stay put."""
-    asked = checked(questions.select("question_id", "question"))
-    pairs = hits.join(asked.side, "question_id")
-    return texts.select("key", "text").join(asked.hint(pairs), "key")
+    There are at most 2k hits per question, so a number of questions that is
+    checked for that many rows bounds them; then the hits, without the question
+    texts, are broadcast and the chunk texts stay put."""
+    asked = checked(questions.select("question_id", "question"), max(1, BROADCAST_ROWS // (2 * k)))
+    found = texts.select("key", "text").join(asked.hint(hits), "key")
+    return found.join(asked.side, "question_id")
 
 
 def search(
@@ -151,7 +152,7 @@ def search(
     hits = search_branches(chunks, index, questions, k, metric, cells)
     if dedupe:
         hits = drop_repeats(hits)
-    candidates = with_texts(hits, questions, chunks if texts is None else texts)
+    candidates = with_texts(hits, questions, chunks if texts is None else texts, k)
     ordered = rerank(candidates, scorer) if reranking else keep_order(candidates)
     return ordered.where(F.col("rank") <= k).select(
         "question_id", "question", "key", "text", "score", "index_score", "source", "rank"

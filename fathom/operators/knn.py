@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fathom.functions import vectors
 from fathom.operators.joins import checked
@@ -47,6 +48,20 @@ def validate(rows: DataFrame, dim: int, vector: str = "embedding") -> tuple[Data
     return rows.where(good), rows.where(~good)
 
 
+def common_dim(rows: DataFrame, vector: str = "embedding") -> int:
+    """The most frequent length of the vectors."""
+    found = rows.where(F.size(vector) > 0).agg(F.mode(F.size(vector))).first()[0]
+    if found is None:
+        raise ValueError("no vectors to search")
+    return found
+
+
+def rejects(rows: DataFrame, vector: str = "embedding", dim: int | None = None) -> DataFrame:
+    """The rows that no search looks at: their vector is null, holds a null or a
+    non-finite element, or has another length than `dim`."""
+    return validate(rows, dim or common_dim(rows, vector), vector)[1]
+
+
 def nearest_to_one(
     chunks: DataFrame,
     question: Sequence[float],
@@ -139,10 +154,12 @@ def survey_cells(
     vector: str = "embedding",
     n_cells: int = CELLS,
     n_landmarks: int = LANDMARKS,
+    dim: int | None = None,
 ) -> Cells:
-    """Centers and landmarks from a fixed-size hash sample of the chunks, and
-    the radius of every cell. Two passes over the vectors; what comes back is
+    """Centers and landmarks from a fixed-size hash sample of the valid chunks,
+    and the radius of every cell. Two passes over the vectors; what comes back is
     `n_landmarks` vectors and `n_cells` numbers."""
+    chunks = validate(chunks, dim or common_dim(chunks, vector), vector)[0]
     picked = (
         chunks.select(key, vector).orderBy(F.xxhash64(key), F.col(key)).limit(n_landmarks)
     )
@@ -176,11 +193,12 @@ def assign(chunks: DataFrame, cells: Cells, key: str, vector: str) -> DataFrame:
 
 
 def pack(
-    rows: DataFrame, key: str, vector: str, choose, metric: str, block_rows: int = BLOCK_ROWS
+    rows: DataFrame, key: str, vector: str, choose, metric: str, dim: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """cell, ids, block: vectors of one cell side by side, at most `block_rows`
     of them, packed within a task. `choose` maps projected vectors to a boolean
-    row-by-cell table."""
+    row-by-cell table. Rows without a valid vector are left out, see `rejects`."""
+    rows = validate(rows, dim, vector)[0]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,9 +218,7 @@ def pack(
             yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
 
     key_type = rows.schema[key].dataType
-    arrow_key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[
-        key_type.simpleString()
-    ]
+    arrow_key = to_arrow_type(key_type)
     arrow_schema = pa.schema(
         [("cell", pa.int32()), ("ids", pa.list_(arrow_key)), ("block", pa.binary())]
     )
@@ -258,17 +274,20 @@ def compare_blocks(
 
     def keep_best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, Best] = {}
+        waiting = 0
         for part in parts:
             for ids, block, group, question_ids, question_block in part.itertuples(index=False):
                 held_rows = np.frombuffer(block).reshape(len(ids), -1)
                 asked_rows = np.frombuffer(question_block).reshape(len(question_ids), -1)
                 if group not in best:
                     best[group] = Best(np.asarray(question_ids), k)
+                    waiting += len(question_ids)
                 found = np.round(scores_between(asked_rows, held_rows, metric), SCORE_DIGITS)
                 best[group].add(np.asarray(ids), found)
-                if sum(len(b.questions) for b in best.values()) > QUESTIONS_HELD:
+                if waiting > QUESTIONS_HELD:
                     yield from (kept.rows(question, key) for kept in best.values())
                     best.clear()
+                    waiting = 0
         for kept in best.values():
             yield kept.rows(question, key)
 
@@ -345,9 +364,9 @@ def exact(
     if cells is None:
         cells = survey_cells(chunks, metric, key, vector, n_cells, n_landmarks)
     metric = cells.metric
-    held = pack(chunks, key, vector, one_cell(cells), metric)
-    asked = pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric)
     n_centers, dim = cells.centers.shape
+    held = pack(chunks, key, vector, one_cell(cells), metric, dim)
+    asked = pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric, dim)
     small = _small_enough(questions, n_centers, dim)
     found = compare_blocks(
         held, asked, k, metric, small, question, key, _salts(questions, n_centers)
@@ -367,6 +386,7 @@ def train_ivf(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    chunks = validate(chunks, common_dim(chunks, vector), vector)[0]
     value = vectors.as_doubles(F.col(vector))
     if metric == "cosine":
         length = vectors.norm(value)
@@ -387,14 +407,15 @@ def ivf(
     vector: str = "embedding",
 ) -> DataFrame:
     """k best chunks among the nprobe nearest cells of each question."""
-    held = pack(chunks, key, vector, one_cell(cells), cells.metric)
+    held = pack(chunks, key, vector, one_cell(cells), cells.metric, cells.centers.shape[1])
     return _probe(held, questions, cells, nprobe, k, key, question, vector)
 
 
 def _probe(
     held: DataFrame, questions: DataFrame, cells: Cells, nprobe: int, k: int, key: str, question: str, vector: str
 ) -> DataFrame:
-    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric)
+    dim = cells.centers.shape[1]
+    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric, dim)
     small = _small_enough(questions, nprobe, cells.centers.shape[1])
     salts = _salts(questions, len(cells.centers))
     found = compare_blocks(held, asked, k, cells.metric, small, question, key, salts)
@@ -408,7 +429,7 @@ def write_ivf(
 
     Blocks are packed before they move; rebalancing brings the blocks of a
     cell together and cuts a crowded cell into files of an even size."""
-    held = pack(chunks, key, vector, one_cell(cells), cells.metric)
+    held = pack(chunks, key, vector, one_cell(cells), cells.metric, cells.centers.shape[1])
     held.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/blocks")
     rows = [(cells.metric, i, [float(x) for x in c]) for i, c in enumerate(cells.centers)]
     spark = chunks.sparkSession
@@ -430,7 +451,8 @@ def search_ivf(
     are read; their list is no longer than the list of centers."""
     stored = spark.read.parquet(f"{path}/centers").orderBy("cell").toPandas()
     cells = Cells(stored["metric"].iloc[0], np.stack(stored["center"].to_list()))
-    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric)
+    dim = cells.centers.shape[1]
+    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric, dim)
     probed = [row.cell for row in asked.select("cell").distinct().collect()]
     held = spark.read.parquet(f"{path}/blocks").where(F.col("cell").isin(probed))
     return _probe(held, questions, cells, nprobe, k, key, question, vector)
@@ -470,9 +492,9 @@ def lsh(
     vector: str = "embedding",
 ) -> DataFrame:
     """k best chunks among those sharing a bucket with the question."""
-    held = pack(chunks, key, vector, projections.choose, metric)
-    asked = pack(questions, question, vector, projections.choose, metric)
     dim, tables = projections.directions.shape
+    held = pack(chunks, key, vector, projections.choose, metric, dim)
+    asked = pack(questions, question, vector, projections.choose, metric, dim)
     small = _small_enough(questions, tables, dim)
     salts = _salts(questions, projections.spread * tables)
     found = compare_blocks(held, asked, k, metric, small, question, key, salts)

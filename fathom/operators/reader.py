@@ -67,10 +67,18 @@ def read_answers(pairs: DataFrame, reader: Reader = lexical_reader) -> DataFrame
 
 
 def attach_pages(
-    answers: DataFrame, page_info: DataFrame, strict: bool = True, on: str = "id"
+    answers: DataFrame, page_info: DataFrame, strict: bool = False, on: str = "id"
 ) -> DataFrame:
-    """Title and link by page id; strict drops answers of unknown pages."""
-    return answers.join(page_info.select(on, "title", "href"), on, "inner" if strict else "left")
+    """Title and link by page id. An answer of an unknown page stays without them;
+    with `strict` it fails the job."""
+    info = page_info.select(on, "title", "href", F.lit(True).alias("_known"))
+    found = answers.join(info, on, "left")
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("unknown page: "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
+        # In the title, so that no optimiser drops the check.
+        title = F.when(F.col("_known"), F.col("title")).otherwise(missing.cast("string"))
+        found = found.withColumn("title", title)
+    return found.drop("_known")
 
 
 def assemble(answers: DataFrame) -> DataFrame:

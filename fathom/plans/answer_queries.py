@@ -122,7 +122,7 @@ PAGES = "pages_of AS (SELECT page_id AS id, regexp_extract(html, '<title>(.*?)</
 
 @query(
     "answer_pages",
-    search.BM25 + f", {PAGES} SELECT question_id, key AS id, rank, title, href FROM bm_hits JOIN pages_of ON id = key",
+    search.BM25 + f", {PAGES} SELECT question_id, key AS id, rank, title, href FROM bm_hits LEFT JOIN pages_of ON id = key",
 )
 def answer_pages(spark: SparkSession, sf: str) -> DataFrame:
     hits = search.bm25_topk(spark, sf).withColumn("id", F.col("key"))
@@ -203,7 +203,7 @@ def rounded(answers: DataFrame) -> DataFrame:
     search.BM25 + f""", {PAGES}, contexts AS (
       SELECT h.question_id, h.rank, h.key, h.score, h.score AS index_score, b.text AS question, d.text FROM bm_hits h
       JOIN benchmark b ON item_id = question_id JOIN embeddings ON vec_id = item_id JOIN documents d ON doc_id = key),"""
-    + read("contexts") + f"SELECT {ANSWER} FROM answered a JOIN pages_of p ON p.id = a.key",
+    + read("contexts") + f"SELECT {ANSWER} FROM answered a LEFT JOIN pages_of p ON p.id = a.key",
 )
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Full text only, index order, known pages only."""
@@ -416,6 +416,21 @@ def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return target.scan()
 
 
+@query(
+    "upsert_reopened",
+    """SELECT doc_id AS key, CASE WHEN lang = 'en' THEN 'new ' || text ELSE text END AS text, lang, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS seq
+       FROM documents UNION ALL SELECT -doc_id - 1, text, lang, 1 FROM documents WHERE lang = 'fr'""",
+)
+def upsert_reopened(spark: SparkSession, sf: str) -> DataFrame:
+    """Created with its own settings, opened again by its path only, and compacted."""
+    stored, later = versions(spark, sf)
+    path = fresh_path(spark, "collection")
+    collection.Collection(spark, path, buckets=8).create(stored)
+    collection.Collection(spark, path).upsert(later)
+    collection.Collection(spark, path).compact()
+    return collection.Collection(spark, path).scan()
+
+
 @query("insert_strict", "SELECT doc_id AS key, text FROM documents")
 def insert_strict(spark: SparkSession, sf: str) -> DataFrame:
     stored, _ = versions(spark, sf)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.functions import wikitext
 from fathom.operators import corpus
@@ -76,8 +76,8 @@ def titled(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def page_xml(rows: DataFrame) -> DataFrame:
-    """Page rows written out as XML."""
+def page_xml(rows: DataFrame, *more: str) -> DataFrame:
+    """Page rows written out as XML, beside some of their columns."""
 
     def escaped(c):
         for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -89,6 +89,7 @@ def page_xml(rows: DataFrame) -> DataFrame:
         F.concat(F.lit('<redirect title="'), F.col("redirect._title"), F.lit('" />')),
     ).otherwise("")
     return rows.select(
+        *more,
         F.concat(
             F.lit("  <page>\n    <title>"),
             escaped(F.col("title")),
@@ -118,6 +119,26 @@ def wiki_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "wiki_scan_rejects",
+    TITLED + "SELECT doc_id AS page_id, title, text, doc_id % 7 = 3 AS rejected FROM titled WHERE doc_id % 7 <> 3 "
+    "UNION ALL SELECT doc_id, NULL, NULL, true FROM titled WHERE doc_id % 7 = 3",
+)
+def wiki_scan_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh page loses the end of its title; it is reported, not lost."""
+    path = fresh_path(spark, "dump")
+    broken = F.when(F.col("id") % 7 == 3, F.replace(F.col("value"), F.lit("</title>"), F.lit(""))).otherwise(F.col("value"))
+    page_xml(titled(spark, sf), "id").select(broken.alias("value")).write.text(path)
+    good, bad = dump.read_pages_and_rejects(spark, path)
+    nothing = F.lit(None).cast("string")
+    number = F.regexp_extract("xml", "<id>(\\d+)</id>", 1).cast("bigint")
+    return good.select(
+        F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"), F.lit(False).alias("rejected")
+    ).unionByName(
+        bad.select(number.alias("page_id"), nothing.alias("title"), nothing.alias("text"), F.lit(True).alias("rejected"))
+    )
+
+
 @query("filter_redirects", TITLED + "SELECT doc_id AS id, title FROM titled WHERE redirect IS NULL")
 def filter_redirects(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.drop_redirects(titled(spark, sf)).select("id", "title")
@@ -180,6 +201,30 @@ def page_info(spark: SparkSession, sf: str) -> DataFrame:
     return pages.page_info(titles, hrefs, ["doc_id", "id"])
 
 
+@query(
+    "page_info_files",
+    """SELECT row_number() OVER (ORDER BY doc_id % 4, doc_id) - 1 AS id, source || ' ' || doc_id AS title,
+         'http://' || lang || '/' || doc_id AS href FROM documents""",
+)
+def page_info_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Title and link files of several parts, one line per document."""
+
+    def written(line: Column) -> str:
+        path = fresh_path(spark, "lines")
+        docs = table(spark, sf, "documents").withColumn("part", F.col("doc_id") % 4)
+        for part in range(4):
+            lines = docs.where(F.col("part") == part).orderBy("doc_id").select(line.alias("value"))
+            lines.coalesce(1).write.text(f"{path}/part={part}")
+        return path
+
+    number = F.col("doc_id").cast("string")
+    titles = written(F.concat("source", F.lit(" "), number))
+    hrefs = written(F.concat(F.lit("http://"), "lang", F.lit("/"), number))
+    return pages.page_info(
+        pages.read_positional(spark, titles, "title"), pages.read_positional(spark, hrefs, "href")
+    )
+
+
 # ---- records -------------------------------------------------------------
 
 

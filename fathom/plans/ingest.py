@@ -34,7 +34,8 @@ def load_dump(
     """Read a dump and upsert its embedded paragraphs.
 
     `seq` orders dumps: paragraphs of a newer dump replace those of an older
-    one with the same key. `embed` is an embedding hook."""
+    one with the same key, and in a collection that `replaces` "id" all older
+    paragraphs of the same article. `embed` is an embedding hook."""
     chunks = dump_to_paragraphs(spark, path, strict)
     collection.upsert(
         chunks.withColumn("embedding", embed(F.col("text"))).withColumn("seq", F.lit(seq).cast("bigint"))

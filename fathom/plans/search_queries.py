@@ -258,7 +258,14 @@ def quantize_f16(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT vec_id, label NOT IN (3, 5, 7) AS valid FROM embeddings",
 )
 def validate_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors of three labels are damaged first: too short, NaN, a null."""
+    good, bad = knn.validate(damaged_vectors(spark, sf), 64)
+    return good.select("vec_id", F.lit(True).alias("valid")).unionByName(
+        bad.select("vec_id", F.lit(False).alias("valid"))
+    )
+
+
+def damaged_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of three labels are damaged: too short, NaN, a null."""
     v, label = F.col("embedding"), F.col("label")
     tail = F.slice(v, 2, 63)
     nothing = F.lit(None).cast("float")
@@ -268,11 +275,31 @@ def validate_vectors(spark: SparkSession, sf: str) -> DataFrame:
         .when(label == 7, F.concat(F.array(nothing), tail))
         .otherwise(v)
     )
-    rows = table(spark, sf, "embeddings").select("vec_id", damaged.alias("embedding"))
-    good, bad = knn.validate(rows, 64)
-    return good.select("vec_id", F.lit(True).alias("valid")).unionByName(
-        bad.select("vec_id", F.lit(False).alias("valid"))
-    )
+    return table(spark, sf, "embeddings").select("vec_id", damaged.alias("embedding"))
+
+
+SOUND = "(SELECT * FROM embeddings WHERE label NOT IN (3, 5, 7))"
+
+
+def knn_dirty(spark: SparkSession, sf: str, metric: str) -> DataFrame:
+    """Exact search over damaged vectors: the sound rows find each other."""
+    rows = damaged_vectors(spark, sf).withColumnRenamed("vec_id", "key")
+    return knn.exact(rows, rows.withColumnRenamed("key", "question_id"), K, metric)
+
+
+@query("knn_batch_dirty", nearest(COSINE, SOUND, held=SOUND))
+def knn_batch_dirty(spark: SparkSession, sf: str) -> DataFrame:
+    return knn_dirty(spark, sf, "cosine")
+
+
+@query("knn_batch_dirty_dot", nearest(f"list_dot_product({A}, {B})", SOUND, held=SOUND))
+def knn_batch_dirty_dot(spark: SparkSession, sf: str) -> DataFrame:
+    return knn_dirty(spark, sf, "dot")
+
+
+@query("knn_batch_dirty_l2", nearest(f"-{SQUARED}", SOUND, held=SOUND))
+def knn_batch_dirty_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return knn_dirty(spark, sf, "l2")
 
 
 @query("embed_text")
@@ -298,7 +325,7 @@ def mixed_questions(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("item_id") % 4
     code = F.when(kind == 0, "VEC").when(kind == 1, "FT").when(kind == 2, "VEC_FT").otherwise("xyz")
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return table(spark, sf, "benchmark").join(vecs, "item_id").select(
+    return table(spark, sf, "benchmark").join(vecs, "item_id", "left").select(
         F.col("item_id").alias("question_id"),
         F.col("text").alias("question"),
         code.alias("search_type"),

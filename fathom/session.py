@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,17 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     return spark
 
 
+_LOCAL: list[str] = []
+
+
+def _local_dir() -> str:
+    """One folder for the life of this process, removed at its end."""
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="fathom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
     spark.checkpoint.dir. Only a local session without that setting gets a
@@ -34,12 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="fathom-")
+    return _local_dir()
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application's working tables, below the shared one."""
+    return f"{shared_dir(spark)}/fathom-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """New, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """New, unused path in the application's folder."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the application's working tables, once no plan reads them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:

@@ -1,21 +1,32 @@
-"""A named corpus stored as Parquet, written by key."""
+"""A named corpus stored as Parquet, written by key.
+
+A collection is a log of batches. Every write puts its rows into a new batch
+folder and then adds one entry to the log; only logged batches are read, so a
+write that fails in the middle leaves the collection as it was. Reading keeps the
+last write of every key. `compact` folds all batches into one base, partitioned
+by a hash bucket of the key."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathom.operators.joins import checked
+from fathom.session import settled
 
 BUCKETS = 64
+# Batches since the last base after which an upsert compacts.
+COMPACT_AFTER = 32
+LOG = "entry int, batch string, base boolean, key string, seq string, replaces string, buckets int"
 
 
 def latest_per_key(rows: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """The row with the highest seq of every key. Repeats of a key collapse
-    before the exchange."""
-    newest = F.max_by(F.struct(*rows.columns), seq).alias("row")
+    """The row with the highest seq of every key; of rows with one seq that with
+    the largest hash. Repeats of a key collapse before the exchange."""
+    newest = F.max_by(F.struct(*rows.columns), F.struct(seq, F.xxhash64(*rows.columns))).alias("row")
     return rows.groupBy(key).agg(newest).select("row.*")
 
 
@@ -38,59 +49,103 @@ def insert_strict(stored: DataFrame, incoming: DataFrame, key: str = "key") -> D
     return stored.unionByName(incoming)
 
 
-@dataclass(frozen=True)
+@dataclass
 class Collection:
-    """Rows partitioned by a hash bucket of their key, so an upsert rewrites
-    only the buckets it touches and a replayed one changes nothing."""
+    """Rows by key; the highest `seq` wins, so a replayed write changes nothing.
+
+    With `replaces`, a column such as a page id, a newer write of a page drops the
+    page's older rows even where their keys do not come again. How a collection
+    was created is kept in its log: opening it later needs the path only, and
+    other settings are refused."""
 
     spark: SparkSession
     path: str
-    key: str = "key"
-    seq: str = "seq"
-    buckets: int = BUCKETS
+    key: str | None = None
+    seq: str | None = None
+    buckets: int | None = None
     schema: T.StructType | None = None
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        """Rebalancing puts the rows of a bucket together, and cuts a large
-        bucket into files of an even size."""
-        (
-            rows.withColumn("bucket", self._bucket())
-            .hint("rebalance", "bucket")
-            .write.mode(mode)
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.path)
-        )
-
-    def _stored(self) -> DataFrame:
-        """Stored rows with their bucket. A collection opened with a schema
-        counts as empty until its first write."""
-        if self.schema is None:
-            return self.spark.read.parquet(self.path)
-        full = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+    replaces: str | None = None
+    compact_after: int = COMPACT_AFTER
+
+    def __post_init__(self) -> None:
+        entries = self._log()
+        first = entries[0] if entries else None
+        for name, usual in (("key", "key"), ("seq", "seq"), ("buckets", BUCKETS), ("replaces", None)):
+            asked, kept = getattr(self, name), first[name] if first else None
+            if first and asked is not None and asked != kept:
+                raise ValueError(f"{name} of this collection is {kept}, not {asked}")
+            setattr(self, name, kept if first else usual if asked is None else asked)
+
+    def _log(self) -> list:
+        """Entries in order; their number is bounded by compaction."""
         try:
-            return self.spark.read.schema(full).parquet(self.path)
+            rows = self.spark.read.schema(LOG).parquet(f"{self.path}/log/*").collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], full)
+            return []
+        return sorted(rows, key=lambda row: row["entry"])
 
-    def create(self, rows: DataFrame) -> None:
-        self._write(latest_per_key(rows, self.key, self.seq), "errorifexists")
+    def _batches(self) -> tuple[str | None, list[str], int]:
+        """Base, batches since, and the number of the next entry."""
+        base, since, entries = None, [], self._log()
+        for row in entries:
+            base, since = (row["batch"], []) if row["base"] else (base, [*since, row["batch"]])
+        return base, since, entries[-1]["entry"] + 1 if entries else 0
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, base: bool = False) -> None:
+        """Rows to a new batch folder, then the log. Rebalancing makes files of an
+        even size, in a base for each bucket."""
+        entry, batch = self._batches()[2], uuid.uuid4().hex
+        if base:
+            rows = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+            rows.write.partitionBy("bucket").parquet(f"{self.path}/batches/{batch}")
+        else:
+            rows.hint("rebalance").write.parquet(f"{self.path}/batches/{batch}")
+        line = [(entry, batch, base, self.key, self.seq, self.replaces, self.buckets)]
+        # Fails if another writer has taken this entry.
+        self.spark.createDataFrame(line, LOG).coalesce(1).write.parquet(f"{self.path}/log/{entry:012d}")
 
     def scan(self) -> DataFrame:
-        return self._stored().drop("bucket")
+        """The last write of every key. A collection opened with a schema counts
+        as empty until its first write."""
+        base, since, _ = self._batches()
+        parts = [self.spark.read.parquet(f"{self.path}/batches/{base}").drop("bucket")] if base else []
+        if since:
+            parts.append(self.spark.read.parquet(*(f"{self.path}/batches/{batch}" for batch in since)))
+        if not parts:
+            if self.schema is None:
+                raise ValueError(f"no collection at {self.path}")
+            return self.spark.createDataFrame([], self.schema)
+        if not since:
+            return parts[0]
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        latest = latest_per_key(rows, self.key, self.seq)
+        if self.replaces is None:
+            return latest
+        newest = latest.groupBy(self.replaces).agg(F.max(self.seq).alias("_newest"))
+        return latest.join(newest, self.replaces).where(F.col(self.seq) == F.col("_newest")).select(*latest.columns)
+
+    def create(self, rows: DataFrame) -> None:
+        if self._batches()[2]:
+            raise ValueError(f"there is a collection at {self.path}")
+        self._write(latest_per_key(rows, self.key, self.seq), base=True)
 
     def insert(self, rows: DataFrame) -> None:
         """Append rows with new keys; fails on a known or repeated key."""
+        rows = settled(rows, "insert")
         insert_strict(self.scan(), rows, self.key)
-        self._write(rows, "append")
+        self._write(rows)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Merge rows into the buckets they belong to."""
-        touched = rows.select(self._bucket().alias("bucket")).distinct()
-        stored = self._stored().join(F.broadcast(touched), "bucket", "left_semi")
-        self._write(merged(stored.drop("bucket"), rows, self.key, self.seq), "overwrite")
+        """Add rows as one batch; stored files stay as they are."""
+        self._write(latest_per_key(rows, self.key, self.seq))
+        if len(self._batches()[1]) >= self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """One base instead of all batches. Readers of the batches go on."""
+        self._write(self.scan(), base=True)

@@ -11,20 +11,37 @@ PAGE = (
 PAGE_END = "</page>"
 
 
-def parse_page(xml: Column) -> Column:
-    """One <page> element to a struct; text keeps its outer whitespace."""
-    return F.from_xml(xml, PAGE, {"rowTag": "page", "ignoreSurroundingSpaces": "false"})
+def parse_page(xml: Column, mode: str = "FAILFAST") -> Column:
+    """One <page> element to a struct; text keeps its outer whitespace. A page
+    that does not parse fails the job, or is `_broken` in permissive mode."""
+    options = {"rowTag": "page", "ignoreSurroundingSpaces": "false", "mode": mode}
+    if mode == "FAILFAST":
+        return F.from_xml(xml, PAGE, options)
+    return F.from_xml(xml, f"{PAGE}, _broken string", {**options, "columnNameOfCorruptRecord": "_broken"})
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """id, title, redirect, revision of every page of a dump.
+def page_elements(spark: SparkSession, path: str) -> DataFrame:
+    """The text of every page element.
 
     Lines end at </page>, so Spark splits files, bz2 streams included, and
     each split yields whole pages; a root element or none makes no difference."""
     pieces = spark.read.option("lineSep", PAGE_END).text(path)
     start = F.instr("value", "<page>")
     xml = F.concat(F.substring("value", start, F.length("value")), F.lit(PAGE_END))
-    return pieces.where(start > 0).select(parse_page(xml).alias("page")).select("page.*")
+    return pieces.where(start > 0).select(xml.alias("xml"))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, redirect, revision of every page of a dump; fails on a page that
+    does not parse."""
+    return page_elements(spark, path).select(parse_page(F.col("xml")).alias("page")).select("page.*")
+
+
+def read_pages_and_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The pages that parse, and the text of those that do not."""
+    parsed = page_elements(spark, path).select("xml", parse_page(F.col("xml"), "PERMISSIVE").alias("page"))
+    broken = F.col("page").isNull() | F.col("page._broken").isNotNull()
+    return parsed.where(~broken).select("page.*").drop("_broken"), parsed.where(broken).select("xml")
 
 
 def parse_index_line(line: Column) -> list[Column]:

@@ -44,14 +44,15 @@ def lines_by_position(text: Column) -> Column:
 
 
 def read_positional(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """id, `name` from a text file whose 0-based line number is the page id.
+    """id, `name` from text whose 0-based line number is the page id; several
+    files are read in the order of their names, as one text.
 
-    Splits are numbered by where they start in the file: a line's number is
-    the count of lines in earlier splits plus its place in its own, so a file
-    of any size is read in parallel. Ingest once and keep the table."""
+    Splits are numbered by their file and where they start in it: a line's
+    number is the count of lines in earlier splits plus its place in its own, so
+    files of any size are read in parallel. Ingest once and keep the table."""
     lines = spark.read.text(path).select(
         F.col("value").alias(name),
-        F.col("_metadata.file_block_start").alias("split"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("at"),
     )
     splits = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))

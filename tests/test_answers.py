@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import spans
-from fathom.operators import evaluate, reader
+from fathom.operators import corpus, evaluate, reader
 from fathom.plans import ingest
 from fathom.session import fresh_path
 from fathom.sources import dump, pages, records
@@ -65,8 +65,11 @@ def test_context_start(spark):
 def test_pages_strict_and_lenient(spark):
     answers = spark.createDataFrame([(1, 5), (2, 6)], "question_id bigint, id bigint")
     info = spark.createDataFrame([(5, "T", "/h")], "id bigint, title string, href string")
-    assert reader.attach_pages(answers, info).count() == 1
-    assert reader.attach_pages(answers, info, strict=False).count() == 2
+    assert sorted((r.id, r.title) for r in reader.attach_pages(answers, info).collect()) == [(5, "T"), (6, None)]
+    known = answers.where("id = 5")
+    assert [r.title for r in reader.attach_pages(known, info, strict=True).collect()] == ["T"]
+    with pytest.raises(Exception, match="unknown page: 6"):
+        reader.attach_pages(answers, info, strict=True).collect()
 
 
 # ---- evaluation ----------------------------------------------------------
@@ -148,6 +151,23 @@ def test_dump_to_collection(spark, folder):
     assert got == [("1-0", [8.0], 2), ("4-0", [5.0], 2), ("4-1", [4.0], 2)]
 
 
+def test_broken_pages_are_reported(spark, folder):
+    path = folder / "dump.xml"
+    texts = [page_text(p) for p in PAGES]
+    texts[1] = texts[1].replace("</title>", "")
+    path.write_text("".join(texts))
+    good, bad = dump.read_pages_and_rejects(spark, str(path))
+    assert sorted(r.id for r in good.collect()) == [p[0] for p in PAGES if p[0] != PAGES[1][0]]
+    assert [r.xml.count("<title>") for r in bad.collect()] == [1]
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        dump.read_pages(spark, str(path)).collect()
+
+
+def test_pages_without_title_stay(spark):
+    rows = spark.createDataFrame([(1, None), (2, "Help:x"), (3, "Star: x")], "id bigint, title string")
+    assert sorted(r.id for r in corpus.drop_internal(rows).collect()) == [1, 3]
+
+
 def test_dump_index(spark, folder):
     path = folder / "index.txt.bz2"
     path.write_bytes(bz2.compress("600:10:A: b\n600:11:C\n\n7:12:D\n".encode()))
@@ -197,6 +217,15 @@ def test_positions_across_splits(spark, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_positions_across_files(spark, folder):
+    (folder / "t").mkdir()
+    parts = {"b": ["2", "3"], "a": ["0", "1"], "c": ["4"]}
+    for name, lines in parts.items():
+        (folder / "t" / f"{name}.txt").write_text("\n".join(lines))
+    got = pages.read_positional(spark, str(folder / "t"), "title")
+    assert sorted((r.id, r.title) for r in got.collect()) == [(i, str(i)) for i in range(5)]
+
+
 def test_records(spark, folder):
     rows = [{"id": 7, "chunk": 2, "text": "t", "embedding": [0.5, 1], "extra": 3}, {"id": 8, "chunk": 0, "embedding": []}]
     (folder / "r.jsonl").write_text("\n".join(map(json.dumps, rows)))
@@ -228,13 +257,67 @@ def test_upsert_twice_is_once(spark):
     assert (3, "new", 2) in once and (4, "old", 1) in once and (99, "added", 1) in once and len(once) == 21
 
 
-def test_upsert_leaves_other_buckets_alone(spark):
+def files(target):
+    return {p: p.stat().st_mtime_ns for p in Path(target.path).glob("batches/**/*.parquet")}
+
+
+def test_small_upsert_writes_few_files(spark):
     target = Collection(spark, fresh_path(spark, "test-collection"), buckets=8)
-    target.create(rows_of(spark, [(i, "old", 1) for i in range(50)]))
-    before = {p: p.stat().st_mtime_ns for p in Path(target.path).glob("bucket=*/*.parquet")}
-    target.upsert(rows_of(spark, [(1, "new", 2)]))
-    after = set(Path(target.path).glob("bucket=*/*.parquet"))
-    assert len({p.parent for p in before} - {p.parent for p in before if p in after}) == 1
+    target.create(rows_of(spark, [(i, "old", 1) for i in range(500)]))
+    before = files(target)
+    target.upsert(rows_of(spark, [(i, "new", 2) for i in range(0, 500, 50)]))
+    after = files(target)
+    assert all(after.get(p) == t for p, t in before.items())
+    assert len(after) - len(before) <= 2
+
+
+def test_reopened_by_path(spark):
+    path = fresh_path(spark, "test-collection")
+    Collection(spark, path, buckets=8).create(rows_of(spark, [(i, "old", 1) for i in range(100)]))
+    again = Collection(spark, path)
+    assert again.buckets == 8
+    again.upsert(rows_of(spark, [(i, "new", 2) for i in range(100)]))
+    assert content(Collection(spark, path)) == [(i, "new", 2) for i in range(100)]
+    with pytest.raises(ValueError, match="buckets"):
+        Collection(spark, path, buckets=4)
+    with pytest.raises(ValueError, match="there is a collection"):
+        again.create(rows_of(spark, []))
+
+
+def test_failed_write_changes_nothing(spark):
+    target = Collection(spark, fresh_path(spark, "test-collection"))
+    target.create(rows_of(spark, [(1, "a", 1), (2, "b", 1)]))
+    before = content(target)
+    bad = rows_of(spark, [(1, "c", 2)]).withColumn("text", F.raise_error(F.lit("broken row")).cast("string"))
+    with pytest.raises(Exception, match="broken row"):
+        target.upsert(bad)
+    assert content(target) == before
+    # A batch that was written and not logged is not read either.
+    rows_of(spark, [(1, "d", 3)]).write.parquet(f"{target.path}/batches/left-behind")
+    assert content(target) == before
+
+
+def test_compaction_and_ties(spark):
+    target = Collection(spark, fresh_path(spark, "test-collection"), compact_after=2)
+    target.create(rows_of(spark, [(1, "a", 1)]))
+    for text in ("x", "y", "x", "y"):
+        target.upsert(rows_of(spark, [(1, text, 5), (2, text, 0)]))
+    first = content(target)
+    assert len(first) == 2
+    other = Collection(spark, fresh_path(spark, "test-collection"))
+    other.create(rows_of(spark, [(1, "y", 5), (1, "x", 5), (1, "a", 1), (2, "y", 0), (2, "x", 0)]))
+    assert content(other) == first
+
+
+def test_newer_dump_replaces_whole_articles(spark):
+    target = Collection(spark, fresh_path(spark, "test-collection"), replaces="page")
+    schema = "key string, page bigint, text string, seq bigint"
+    target.create(spark.createDataFrame([("1-0", 1, "a", 1), ("1-1", 1, "b", 1), ("2-0", 2, "c", 1)], schema))
+    target.upsert(spark.createDataFrame([("1-0", 1, "new", 2)], schema))
+    want = [("1-0", "new"), ("2-0", "c")]
+    assert sorted(map(tuple, target.scan().select("key", "text").collect())) == want
+    target.compact()
+    assert sorted(map(tuple, Collection(spark, target.path).scan().select("key", "text").collect())) == want
 
 
 def test_strict_insert(spark):

@@ -272,3 +272,23 @@ def test_reranking_one_source_keeps_its_set(spark):
         sets = [{(r.question_id, r.key) for r in rows} for rows in found]
         assert sets[0] == sets[1]
         assert {r.source for rows in found for r in rows} == {source}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_bad_vectors_lose_no_hits(spark, metric):
+    """NaN, infinite, null, short and missing vectors, among the landmarks too."""
+    rng = np.random.default_rng(3)
+    good = [(i, rng.standard_normal(8).tolist()) for i in range(600)]
+    bad = [[float("nan")] + [1.0] * 7, [float("inf")] * 8, None, [1.0] * 5, [1.0] * 9, [None] + [1.0] * 7, []]
+    rows = good + [(1000 + i, v) for i, v in enumerate(bad * 20)]
+    schema = "key bigint, embedding array<float>"
+    asked = spark.createDataFrame(good[:40] + [(5000, bad[0]), (5001, None)], "question_id bigint, embedding array<float>")
+    clean = knn.exact(spark.createDataFrame(good, schema), asked, 5, metric)
+    dirty_rows = spark.createDataFrame(rows, schema)
+    dirty = knn.exact(dirty_rows, asked, 5, metric)
+    assert sorted(map(tuple, dirty.collect())) == sorted(map(tuple, clean.collect()))
+    assert dirty.count() == 200
+    assert sorted(r.key for r in knn.rejects(dirty_rows).collect()) == [k for k, _ in rows[600:]]
+    cells = knn.train_ivf(dirty_rows, 4, metric)
+    found = knn.ivf(dirty_rows, asked, cells, 4, 5)
+    assert {r.key for r in found.collect()} <= set(range(600)) and found.count() == 200
