@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -37,19 +39,35 @@ def reader(make_read: Callable, batch_size: int = 64) -> Callable[[Column, Colum
     return predict_batch_udf(make_read, return_type=READ, batch_size=batch_size)
 
 
+def _buckets(text: Column, dim: int) -> Column:
+    """Bucket of every word: the first eight digits of its MD5, modulo dim."""
+    return F.transform(
+        standard(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    )
+
+
 def hashed_embedding(
     rows: DataFrame, text: str, dim: int = 256, vector: str = "embedding", fit_on: DataFrame | None = None
 ) -> DataFrame:
     """Embedding without a model: hashed term counts weighted by rarity, unit
-    length. Pass the corpus as `fit_on` when embedding questions."""
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    hashing = HashingTF(numFeatures=dim, inputCol="_tokens", outputCol="_tf")
-
-    def hashed(df: DataFrame) -> DataFrame:
-        return hashing.transform(df.withColumn("_tokens", standard(F.col(text))))
-
-    model = IDF(inputCol="_tf", outputCol="_idf").fit(hashed(rows if fit_on is None else fit_on))
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(model.transform(hashed(rows)))
-    return unit.withColumn(vector, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_idf", "_unit")
+    length. Pass the corpus as `fit_on` when embedding questions.
+
+    Counting needs one pass and sends `dim` numbers to the driver."""
+    corpus = (rows if fit_on is None else fit_on).select(_buckets(F.col(text), dim).alias("buckets"))
+    held = F.array_distinct(F.coalesce("buckets", F.array().cast("array<int>")))
+    per_bucket = corpus.select(F.explode(F.array_append(held, F.lit(-1))).alias("bucket")).groupBy("bucket").count()
+    found = {row["bucket"]: row["count"] for row in per_bucket.collect()}
+    # Every text counts once as bucket -1.
+    n = found.get(-1, 0)
+    rarity = np.array([np.log((n + 1) / (found.get(b, 0) + 1)) for b in range(dim)])
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def weighted(buckets: pd.Series) -> pd.Series:
+        def one(row) -> np.ndarray:
+            values = np.bincount(np.asarray([] if row is None else row, np.int64), minlength=dim) * rarity
+            length = np.sqrt((values**2).sum())
+            return (values / length if length else values).astype(np.float32)
+
+        return buckets.map(one)
+
+    return rows.withColumn(vector, weighted(_buckets(F.col(text), dim)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom import hooks
@@ -220,6 +221,32 @@ def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
     return knn.search_ivf(spark, path, asked_vectors(spark, sf), nprobe=16, k=K)
 
 
+GIVEN_CELLS, GIVEN_PROBES = 16, 4
+
+
+@query(
+    "knn_ivf_given",
+    f"""WITH c AS (SELECT vec_id AS cell, embedding FROM embeddings ORDER BY vec_id LIMIT {GIVEN_CELLS}),
+    near AS (
+      SELECT a.vec_id, b.cell, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, b.cell) AS n
+      FROM embeddings a, c b),
+    met AS (
+      SELECT q.vec_id AS question_id, h.vec_id AS key FROM near q JOIN near h USING (cell)
+      WHERE q.n <= {GIVEN_PROBES} AND h.n = 1)
+    SELECT question_id, key, score, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM (
+        SELECT question_id, key, round({COSINE}, 6) AS score
+        FROM met JOIN embeddings a ON a.vec_id = question_id JOIN embeddings b ON b.vec_id = key))
+    WHERE rank <= {K}""",
+)
+def knn_ivf_given(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells around given centers, the vectors with the smallest ids."""
+    chunks = chunks_of(spark, sf)
+    first = chunks.orderBy("key").limit(GIVEN_CELLS).toPandas()["embedding"]
+    cells = knn.Cells("cosine", knn.project(np.stack(first.to_list()), "cosine"))
+    return knn.ivf(chunks, asked_vectors(spark, sf), cells, GIVEN_PROBES, K)
+
+
 @query("knn_lsh")
 def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunks_of(spark, sf)
@@ -302,7 +329,17 @@ def knn_batch_dirty_l2(spark: SparkSession, sf: str) -> DataFrame:
     return knn_dirty(spark, sf, "l2")
 
 
-@query("embed_text")
+@query(
+    "embed_text",
+    POSTINGS + """,
+    cells AS (SELECT key, bucket, sum(tf) AS n FROM (
+      SELECT key, tf, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS bucket FROM post) GROUP BY key, bucket),
+    rare AS (SELECT bucket, ln(((SELECT n FROM stat) + 1) / (count(*) + 1)) AS idf FROM cells GROUP BY bucket),
+    held AS (SELECT key, sqrt(sum(pow(n * idf, 2))) AS size, max(n * idf) AS top FROM cells JOIN rare USING (bucket) GROUP BY key)
+    SELECT lens.key AS doc_id, CAST(256 AS INTEGER) AS dim, CAST(CASE WHEN size > 0 THEN 1 ELSE 0 END AS DOUBLE) AS length,
+      round(CAST(CAST(CASE WHEN size > 0 THEN top / size ELSE 0 END AS FLOAT) AS DOUBLE), 6) AS largest
+    FROM lens LEFT JOIN held USING (key)""",
+)
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     embedded = hooks.hashed_embedding(texts(spark, sf, "documents"), "text")
     return embedded.select(
