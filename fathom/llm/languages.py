@@ -160,7 +160,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
                     own.append(np.unique(np.concatenate([grams_of(codes, size)[1] for size in SIZES])))
                 grams, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)],
+                    [pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)],
                     ["lang", "gram", "n"],
                 )
 

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from fathom.llm import languages, toxicity
+from fathom.llm import languages, queries, toxicity  # noqa: F401
 from fathom.plans.catalog import QUERIES
 from helpers import by, clashing, docs
 
