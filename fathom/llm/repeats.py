@@ -7,21 +7,25 @@ same one. The first copy stays. Strings are judged on the input.
 Each window of WIDTH bytes names one of its GRAM-byte grams, the one with the
 least hash (the leftmost of equal ones), so equal windows name equal grams at
 equal places. Consecutive windows that name the same gram form a run; a run is
-known by its gram and by a digest of all its bytes. A corpus has about 2.9 runs
-for 100 bytes, and these rows, not bytes, are grouped:
-
-1. Runs with one gram and one digest are equal: all but the earliest are repeats.
-   Tasks settle that for the runs they hold before anything is exchanged.
-2. Where a gram has runs with several digests, as at the ends of a repeated
+known by its gram and by a digest of all its bytes. A corpus has about 2.6 runs
+for 100 bytes, and most have a gram of their own:
+
+1. Tasks pack the hashes of their grams, sorted, as differences; these few bytes
+   a run meet by range of the hash, and what is there twice sets a bit.
+2. Runs are read again, now only those whose gram has its bit. Runs with one gram
+   and one digest are equal: all but the earliest are repeats. Tasks settle that
+   for the runs they hold before anything is exchanged.
+3. Where a gram has runs with several digests, as at the ends of a repeated
    passage or around an edit, the earliest run of each is compared with the
    others, window by window: the runs of a gram meet in one task, their suffixes
    are sorted, and the longest-previous-factor array, from the previous and the
    next smaller position in suffix order, tells which windows occur earlier.
-3. Grams with more than HOT runs do not meet in one task: their windows are
+4. Grams with more than HOT runs do not meet in one task: their windows are
    grouped by 128-bit digests, again settled within tasks first.
 
-Filters on grams are bitmaps of fixed size; a chance hit only sends on a run that
-turns out not to be repeated.
+The bits are in bitmaps of fixed size; a chance hit only sends on a run that turns
+out not to be repeated. Texts are read several times, so that nothing but rows
+that may be repeats, and the texts themselves once, is exchanged or stored.
 
 Defined cases: a null or empty text has no bytes; a text shorter than WIDTH loses
 none; rows with one key count as one document, and what goes in one goes at the
@@ -31,10 +35,12 @@ rows; long texts are read in overlapping segments; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from fathom.llm.arrow import bytes_of, type_of, utf8
@@ -42,7 +48,7 @@ from fathom.llm.minhash import mixed
 from fathom.session import settled
 
 WIDTH = 100
-GRAM = 32
+GRAM = 24
 HOT = 2000
 BITMAP_BITS = 27
 # Bytes that a task works on at once; a text is cut into segments of that size.
@@ -164,66 +170,160 @@ def _later(groups: tuple[np.ndarray, ...], order: tuple[np.ndarray, np.ndarray])
     return later, first
 
 
-def _batch_runs(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+def _batch_runs(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """All runs of a batch of texts: row, start in the text, n, gram, digest."""
     data, at = bytes_of(batch.column(1))
+    got = []
     for part, bounds, rows, offsets in _segments(data, at):
         found = runs_of(part, bounds)
         segment = found["segment"]
-        yield found, part, rows[segment], found["start"] - bounds[segment] + offsets[segment]
+        start = found["start"] - bounds[segment] + offsets[segment]
+        got.append((rows[segment], start, found["n"], found["gram"], found["digest"]))
+    parts = zip(*got) if got else [[np.zeros(0, np.int64)]] * 5
+    return dict(zip(("row", "start", "n", "gram", "digest"), map(np.concatenate, parts)))
 
 
-def runs(texts: DataFrame) -> DataFrame:
-    """(gram, digest, key, start, n) of all runs of (key, body). Where the task has
-    seen an equal and earlier run, gram and digest are null: a repeat."""
+def _slots(gram: np.ndarray) -> np.ndarray:
+    return (gram.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(f["gram"], f["digest"], f["n"], rows, start) for f, _, rows, start in _batch_runs(batch)]
-            if not got:
-                continue
-            gram, digest, n, rows, start = (np.concatenate(x) for x in zip(*got))
-            later, first = _later((gram, digest), _order(batch.column(0), rows, start))
-            keep = np.flatnonzero(later | first)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(gram[keep], mask=later[keep]),
-                    pa.array(digest[keep], mask=later[keep]),
-                    batch.column(0).take(pa.array(rows[keep])),
-                    pa.array(start[keep]),
-                    pa.array(n[keep].astype(np.int32)),
-                ],
-                ["gram", "digest", "key", "start", "n"],
-            )
 
-    schema = f"gram long, digest long, key {type_of(texts, 'key')}, start long, n int"
-    return texts.mapInArrow(body, schema)
+def _in_bitmap(bitmap: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    slot = _slots(gram)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-_SLOT_BITS = 15  # bits of a piece of a bitmap, in which Spark builds it
+_PIECE_BITS = 15  # bits of a bitmap in one row
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """Bit per hash of the grams, in a bitmap of fixed size."""
-    slot = F.col("gram").bitwiseAND((1 << BITMAP_BITS) - 1)
-    pieces = grams.select(slot.alias("slot")).groupBy(F.shiftright("slot", _SLOT_BITS).alias("piece"))
-    bits = pieces.agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << _SLOT_BITS) - 1)).alias("bits"))
-    out = np.zeros((1 << (BITMAP_BITS - _SLOT_BITS), 1 << (_SLOT_BITS - 3)), np.uint8)
-    for row in bits.collect():
-        out[row["piece"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+def _pieces(slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The parts of a bitmap that hold the slots."""
+    piece = slots >> _PIECE_BITS
+    for number in np.unique(piece).tolist():
+        bits = np.zeros(1 << _PIECE_BITS, np.uint8)
+        bits[slots[piece == number] & ((1 << _PIECE_BITS) - 1)] = 1
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed], pa.binary())], ["piece", "bits"])
+
+
+def _collected(pieces: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size from its pieces."""
+    out = np.zeros((1 << (BITMAP_BITS - _PIECE_BITS), 1 << (_PIECE_BITS - 3)), np.uint8)
+    for row in pieces.collect():
+        out[row["piece"]] |= np.frombuffer(bytes(row["bits"]), np.uint8)
     return out.ravel()
 
 
-def _in_bitmap(bitmap: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    slot = gram & ((1 << BITMAP_BITS) - 1)
-    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+def _part_bits(spark) -> int:
+    """Ranges of hashes, a power of two: about one for each shuffle partition."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(wanted - 1, 1).bit_length(), BITMAP_BITS - _PIECE_BITS)
+
+
+# Bits of a gram's hash that are compared.
+_COMPARED = 48
+
+
+def repeated_grams(texts: DataFrame) -> np.ndarray:
+    """Bitmap of the grams with several runs."""
+    bits = _part_bits(texts.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.sort(_batch_runs(batch)["gram"].view(np.uint64))
+            # A gram is sent twice if the task has it more often.
+            few = np.ones(len(values), bool)
+            few[2:] = values[2:] != values[:-2]
+            values = values[few]
+            values >>= np.uint64(64 - _COMPARED)
+            part = (values >> np.uint64(_COMPARED - bits)).astype(np.int64)
+            numbers, first = np.unique(part, return_index=True)
+            blobs = []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(values)]):
+                steps = np.diff(values[lo:hi], prepend=np.uint64(0))
+                # The bytes of all differences by significance: the high ones are zero.
+                planes = steps.view(np.uint8).reshape(-1, 8).T.copy()
+                blobs.append(zlib.compress(planes.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blobs, pa.binary())], ["part", "grams"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part not in held:
+                    yield from settle(held)
+                    held = {part: []}
+                planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1)
+                held[part].append(np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64))
+        yield from settle(held)
+
+    def settle(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for parts in held.values():
+            values = np.sort(np.concatenate(parts))
+            twice = values[1:][values[1:] == values[:-1]]
+            yield from _pieces((twice >> np.uint64(_COMPARED - BITMAP_BITS)).astype(np.int64))
+
+    packed = texts.mapInArrow(pack, "part long, grams binary")
+    return _collected(packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "piece long, bits binary"))
+
+
+def _bitmap(grams: DataFrame) -> np.ndarray:
+    """Bitmap of the rows' grams."""
+    part = F.shiftrightunsigned("gram", 64 - _part_bits(grams.sparkSession))
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = [_slots(batch.column(0).to_numpy()) for batch in batches if batch.num_rows]
+        if slots:
+            yield from _pieces(np.unique(np.concatenate(slots)))
+
+    placed = grams.select("gram").repartition(part)
+    return _collected(placed.mapInArrow(body, "piece long, bits binary"))
+
 
+def _joined_runs(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows, in order of row and start, with those that follow each
+    other, or whose windows overlap, made one."""
+    if not len(row):
+        return row, start, n
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], (start + n)[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return row[first], start[first], np.maximum.reduceat(end, first) - start[first]
+
+
+def runs(texts: DataFrame, bitmap) -> DataFrame:
+    """(gram, digest, key, start, n) of the runs of (key, body) whose gram is in the
+    bitmap. Where the task has seen an equal and earlier run, gram and digest are
+    null: a repeat."""
 
-def _filtered(rows: DataFrame, bitmap) -> DataFrame:
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(bitmap.value, batch.column(0).to_numpy())))
+            found = _batch_runs(batch)
+            later, first = _later(
+                (found["gram"], found["digest"]), _order(batch.column(0), found["row"], found["start"])
+            )
+            row, start, n = _joined_runs(*(found[name][later] for name in ("row", "start", "n")))
+            open_ = first & _in_bitmap(bitmap.value, found["gram"])
+            nothing = np.zeros(len(row), np.int64)
+            shut = np.ones(len(row), bool)
+            for gram, digest, row, start, n, mask in (
+                (nothing, nothing, row, start, n, shut),
+                *([found[name][open_] for name in ("gram", "digest", "row", "start", "n")] + [None],),
+            ):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(gram, mask=mask),
+                        pa.array(digest, mask=mask),
+                        batch.column(0).take(pa.array(row)),
+                        pa.array(start),
+                        pa.array(n.astype(np.int32)),
+                    ],
+                    ["gram", "digest", "key", "start", "n"],
+                )
 
-    return rows.mapInArrow(body, rows.schema)
+    schema = f"gram long, digest long, key {type_of(texts, 'key')}, start long, n int"
+    return texts.mapInArrow(body, schema)
 
 
 def contested(texts: DataFrame, several, hot) -> DataFrame:
@@ -233,37 +333,41 @@ def contested(texts: DataFrame, several, hot) -> DataFrame:
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found, data, rows, start in _batch_runs(batch):
-                gram = found["gram"]
-                chosen = _in_bitmap(several.value, gram)
-                many = chosen & _in_bitmap(hot.value, gram)
-                few = np.flatnonzero(chosen & ~many)
-                order = _order(batch.column(0), rows, start)
-                few = few[_later((gram[few], found["digest"][few]), (order[0][few], order[1][few]))[1]]
-                lo, hi = found["start"][few], found["start"][few] + found["n"][few] + WIDTH - 1
-                yield _rows(
-                    batch, rows[few], start[few], gram=gram[few], n=found["n"][few],
-                    content=[data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist())],
-                )
-                many = np.flatnonzero(many)
-                if len(many):
-                    n = found["n"][many]
-                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat(found["start"][many], n) + step
-                    raw = found["rolling"].of(at, at + WIDTH)
-                    # A second digest from the halves' hashes.
-                    half = mixed(found["rolling"].of(at, at + WIDTH // 2)) ^ np.uint64(0xD6E8FEB86659FD93)
-                    a, b = mixed(raw).astype(np.int64), mixed(half + raw).astype(np.int64)
-                    row, start_ = np.repeat(rows[many], n), np.repeat(start[many], n) + step
-                    marks = _later((a, b), _order(batch.column(0), row, start_))
-                    later, first = (np.flatnonzero(m) for m in marks)
-                    yield _rows(batch, row[first], start_[first], a=a[first], b=b[first])
-                    yield _rows(batch, row[later], start_[later])
+            found = _batch_runs(batch)
+            chosen = np.flatnonzero(_in_bitmap(several.value, found["gram"]))
+            found = {name: values[chosen] for name, values in found.items()}
+            order = _order(batch.column(0), found["row"], found["start"])
+            first = _later((found["gram"], found["digest"]), order)[1]
+            data, at = bytes_of(batch.column(1))
+            many = _in_bitmap(hot.value, found["gram"])
+            few = np.flatnonzero(first & ~many)
+            row, start, n = (found[name][few] for name in ("row", "start", "n"))
+            lo = at[row] + start
+            content = [data[a:b].tobytes() for a, b in zip(lo.tolist(), (lo + n + WIDTH - 1).tolist())]
+            yield _rows(batch, row, start, gram=found["gram"][few], n=n, content=content)
+            many = np.flatnonzero(first & many)
+            for lo in range(0, len(many), 10_000):
+                yield from _windows(batch, data, at, {k: v[many[lo : lo + 10_000]] for k, v in found.items()})
 
     kind = type_of(texts, "key")
     return texts.mapInArrow(body, f"key {kind}, start long, gram long, n int, content binary, a long, b long")
 
 
+def _windows(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray, found: dict) -> Iterator[pa.RecordBatch]:
+    """Every window of some runs, by a 128-bit digest; those with an earlier one
+    among them without it: repeats."""
+    n = found["n"]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, start = np.repeat(found["row"], n), np.repeat(found["start"], n) + step
+    views = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
+    digests = b"".join(xxhash.xxh3_128_digest(views[p].tobytes()) for p in (at[row] + start).tolist())
+    pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    later, first = (np.flatnonzero(m) for m in _later((pair[:, 0], pair[:, 1]), _order(batch.column(0), row, start)))
+    yield _rows(batch, row[first], start[first], a=pair[first, 0], b=pair[first, 1])
+    row, start, n = _joined_runs(row[later], start[later], np.ones(len(later), np.int64))
+    yield _rows(batch, row, start, n=n)
+
+
 def _rows(batch, rows, start, gram=None, n=None, content=None, a=None, b=None) -> pa.RecordBatch:
     def long(values, kind=pa.int64()):
         return pa.nulls(len(rows), kind) if values is None else pa.array(values.astype(kind.to_pandas_dtype()))
@@ -286,26 +390,22 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, position: np.ndarray,
     """Longest previous factor, up to `width`, of the suffixes at `starts`: the
     longest prefix that a suffix with a smaller position has too. Each suffix has
     `width` bytes."""
-    ranks = [data.astype(np.int64) + 1]
-    while 2 << (len(ranks) - 1) <= width:
-        half = 1 << (len(ranks) - 1)
-        second = np.zeros(len(data), np.int64)
-        second[: len(data) - half] = ranks[-1][half:]
-        ranks.append(np.unique((ranks[-1] << 32) | second, return_inverse=True)[1] + 1)
-    top = 1 << (len(ranks) - 1)
-    order = np.lexsort((position, ranks[-1][starts + width - top], ranks[-1][starts]))
-    at, pos = starts[order], position[order]
-
-    # Common prefixes of neighbours, by the largest power of two that fits.
-    common = np.zeros(len(at), np.int64)
-    x, y = at[:-1].copy(), at[1:].copy()
-    for level in range(len(ranks) - 1, -1, -1):
-        size = 1 << level
-        same = common[1:] + size <= width
-        same[same] = ranks[level][x[same]] == ranks[level][y[same]]
-        common[1:] += size * same
-        x += size * same
-        y += size * same
+    offsets = [*range(0, width - 8, 8), width - 8]
+    octets = np.lib.stride_tricks.sliding_window_view(data, 8)
+    words = [octets[starts + o].view(">u8").ravel().astype(np.uint64) for o in offsets]
+    order = np.lexsort((position, *reversed(words)))
+    pos = position[order]
+
+    # Common prefixes of neighbours: whole words, then the bytes of the next one.
+    common = np.zeros(len(order), np.int64)
+    open_ = np.ones(max(len(order) - 1, 0), bool)
+    for o, word in zip(offsets, words):
+        differing = word[order][1:] ^ word[order][:-1]
+        same = differing == 0
+        # Leading zero bytes of the difference.
+        bytes_ = (differing[:, None] >> np.arange(56, -8, -8, dtype=np.uint64)) != 0
+        common[1:][open_] = o + np.where(same, 8, np.argmax(bytes_, axis=1))[open_]
+        open_ &= same
 
     def nearest(pos: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Common prefix with the nearest entry before that has a smaller position."""
@@ -338,9 +438,9 @@ def _compared(rows: DataFrame) -> DataFrame:
         by_key, by_start = _order(batch.column(0), row, start)
         position = np.unique(by_key * (int(by_start.max()) + 1) + by_start, return_inverse=True)[1]
         found = np.flatnonzero(previous_factors(data, at[:-1][row] + step, position) >= WIDTH)
+        row, start, n = _joined_runs(row[found], start[found], np.ones(len(found), np.int64))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(row[found])), pa.array(start[found]), pa.array(np.ones(len(found), np.int32))],
-            ["key", "start", "n"],
+            [batch.column(0).take(pa.array(row)), pa.array(start), pa.array(n.astype(np.int32))], ["key", "start", "n"]
         )
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,24 +476,22 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(key, start, n): the windows that occur earlier, as starts of n windows."""
     share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.col(key).alias("key"), utf8(text).alias("body"))
-    found = settled(runs(texts), "runs")
-    open_ = found.where(F.col("gram").isNotNull())
-    grams = open_.groupBy("gram").agg(
+    found = settled(runs(texts, share(repeated_grams(texts))), "runs")
+    again = found.where(F.col("gram").isNotNull())
+    grams = again.groupBy("gram").agg(
         F.count("*").alias("runs"), (F.min("digest") != F.max("digest")).alias("several")
     )
-    grams = settled(grams.where("runs > 1"), "grams")
-    again = settled(_filtered(open_, share(_bitmap(grams))), "again")
-    several = share(_bitmap(grams.where("several")))
-    hot = share(_bitmap(grams.where(F.col("several") & (F.col("runs") > HOT))))
+    grams = settled(grams.where("several").select("gram", "runs"), "grams")
+    several, hot = share(_bitmap(grams)), share(_bitmap(grams.where(F.col("runs") > HOT)))
     unclear = settled(contested(texts, several, hot), "contested")
     windows = unclear.where(F.col("a").isNotNull()).select("a", "b", "key", "start", F.lit(1).alias("n"))
-    together = unclear.where(F.col("gram").isNotNull()).repartition("gram").sortWithinPartitions("gram")
+    few = unclear.where(F.col("gram").isNotNull()).select("key", "start", "gram", "n", "content")
     parts = [
         found.where(F.col("gram").isNull()).select("key", "start", "n"),
         _not_first(again, "gram", "digest"),
-        _compared(together),
+        _compared(few.repartition("gram").sortWithinPartitions("gram")),
         _not_first(windows, "a", "b"),
-        unclear.where("gram is null and a is null").select("key", "start", F.lit(1).alias("n")),
+        unclear.where("gram is null and a is null").select("key", "start", "n"),
     ]
     out = parts[0]
     for part in parts[1:]:
