@@ -86,8 +86,12 @@ def write(
     )
     typed.select("digest", header("key", "url").alias("header")).write.parquet(f"{folder}/headers")
 
-    same = (rows["digest"] == holders["digest"]) & rows["key"].eqNullSafe(holders["holder"])
-    stored = rows.join(holders, same, "left_semi").select("digest", "key", "payload").dropDuplicates(["digest", "key"])
+    # Joined and made unique by the same two columns, so payloads move once.
+    name = lambda column: F.coalesce(F.col(column).cast("string"), F.lit("")).alias("name")
+    stored = rows.select("digest", name("key"), "payload").join(
+        holders.select("digest", name("holder")), ["digest", "name"], "left_semi"
+    )
+    stored = stored.dropDuplicates(["digest", "name"])
     # zstd keeps the one copy small.
     stored.select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
