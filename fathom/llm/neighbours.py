@@ -122,6 +122,19 @@ class Best:
         self.query, self.score, self.row = query[keep], score[keep], row[keep]
 
 
+def _rounds(upper: np.ndarray, least: np.ndarray, k: int) -> Iterator[np.ndarray | bool]:
+    """Which codes are looked at first: all, or if a query has no threshold yet, the
+    k with the largest bounds, which give it one."""
+    if np.isfinite(least).all():
+        yield True
+        return
+    top = min(k, upper.shape[1])
+    led = np.zeros(upper.shape, bool)
+    np.put_along_axis(led, np.argpartition(-upper, top - 1, axis=1)[:, :top], True, axis=1)
+    yield led
+    yield ~led
+
+
 def _searched(index: DataFrame, block: list, k: int, dims: int, deviations: float) -> DataFrame:
     """k best rows per query and task, of those that may be among the best."""
     keys = np.array([row["key"] for row in block])
@@ -144,17 +157,17 @@ def _searched(index: DataFrame, block: list, k: int, dims: int, deviations: floa
                 norm, align = (part.column(i).to_numpy() for i in (2, 3))
                 signs = np.unpackbits(_matrix(part.column(1), "u1"), axis=1, count=dims).astype(np.float32) * 2 - 1
                 estimate = (turned @ signs.T) / (np.sqrt(dims) * align).astype(np.float32)
-                slack = deviations * np.sqrt(np.maximum(1 - align**2, 0) / align**2 / max(dims - 1, 1)) + 1e-6
-                # Upper bounds of the inner products, query by code.
-                upper = (estimate + slack) * norm * length[:, None]
-                upper[keys[:, None] == own] = -np.inf
+                # A little more than the bound, for single precision.
+                slack = deviations * np.sqrt(np.maximum(1 - align**2, 0) / align**2 / max(dims - 1, 1)) + 1e-5
+                # Upper bounds of the inner products of the scaled query, query by code.
+                estimate += slack.astype(np.float32)
+                upper = estimate * norm
+                same = np.nonzero(np.isin(own, keys))[0]
+                for c in same.tolist():
+                    upper[keys == own[c], c] = -np.inf
                 base, ids = len(ids), np.concatenate([ids, own])
-                top = min(k, upper.shape[1])
-                lead = np.argpartition(-upper, top - 1, axis=1)[:, :top]
-                led = np.zeros(upper.shape, bool)
-                np.put_along_axis(led, lead, True, axis=1)
-                for chosen in (led, ~led):
-                    q, c = np.nonzero(chosen & (upper >= (best.least - 1e-9)[:, None]) & (upper > -np.inf))
+                for chosen in _rounds(upper, best.least, k):
+                    q, c = np.nonzero((upper >= ((best.least - 1e-9) / length)[:, None]) & chosen & (upper > -np.inf))
                     for at in range(0, len(q), PAIRS):
                         i, j = q[at : at + PAIRS], c[at : at + PAIRS]
                         score = inner(queries[i], vectors[j])
