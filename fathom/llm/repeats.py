@@ -7,7 +7,7 @@ same one. The first copy stays. Strings are judged on the input.
 Each window of WIDTH bytes names one of its GRAM-byte grams, the one with the
 least hash (the leftmost of equal ones), so equal windows name equal grams at
 equal places. Consecutive windows that name the same gram form a run; a run is
-known by its gram and by a digest of all its bytes. A corpus has about 2.6 runs
+known by its gram and by a digest of all its bytes. A corpus has about 3 runs
 for 100 bytes, and most have a gram of their own:
 
 1. Tasks pack the hashes of their grams, sorted, as differences; these few bytes
@@ -48,7 +48,7 @@ from fathom.llm.minhash import mixed
 from fathom.session import settled
 
 WIDTH = 100
-GRAM = 24
+GRAM = 32
 HOT = 2000
 BITMAP_BITS = 27
 # Bytes that a task works on at once; a text is cut into segments of that size.
@@ -183,8 +183,14 @@ def _batch_runs(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return dict(zip(("row", "start", "n", "gram", "digest"), map(np.concatenate, parts)))
 
 
+def _spread(gram: np.ndarray) -> np.ndarray:
+    """Another hash of a gram's hash: the least of many hashes are small numbers,
+    so they do not spread over ranges by themselves."""
+    return mixed(np.ascontiguousarray(gram).view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+
+
 def _slots(gram: np.ndarray) -> np.ndarray:
-    return (gram.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (_spread(gram) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
 def _in_bitmap(bitmap: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -229,7 +235,7 @@ def repeated_grams(texts: DataFrame) -> np.ndarray:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.sort(_batch_runs(batch)["gram"].view(np.uint64))
+            values = np.sort(_spread(_batch_runs(batch)["gram"]))
             # A gram is sent twice if the task has it more often.
             few = np.ones(len(values), bool)
             few[2:] = values[2:] != values[:-2]
@@ -268,14 +274,19 @@ def repeated_grams(texts: DataFrame) -> np.ndarray:
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
     """Bitmap of the rows' grams."""
-    part = F.shiftrightunsigned("gram", 64 - _part_bits(grams.sparkSession))
+    bits = _part_bits(grams.sparkSession)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> (BITMAP_BITS - bits)), pa.array(slot)], ["part", "slot"])
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = [_slots(batch.column(0).to_numpy()) for batch in batches if batch.num_rows]
+        slots = [batch.column(1).to_numpy() for batch in batches if batch.num_rows]
         if slots:
             yield from _pieces(np.unique(np.concatenate(slots)))
 
-    placed = grams.select("gram").repartition(part)
+    placed = grams.select("gram").mapInArrow(place, "part long, slot long").repartition("part")
     return _collected(placed.mapInArrow(body, "piece long, bits binary"))
 
 
