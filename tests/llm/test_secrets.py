@@ -95,3 +95,20 @@ def test_redacted(spark):
 def test_empty_table(spark):
     assert op.find(docs(spark, [])).count() == 0
     assert op.redacted(docs(spark, [])).count() == 0
+
+
+def test_windows_of_narrow_alphabets(spark):
+    rng = random.Random(7)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    upper, digits, b32 = "0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    dashed = lambda chars: "-".join(some(chars, n) for n in (8, 4, 4, 4, 12))
+    makers = [lambda: some(upper, 40), lambda: some(digits, 40), lambda: dashed(upper), lambda: dashed("0123456789abcdef"), lambda: some(b32, 40), lambda: some(b32.lower(), 40)]
+    secret = [make() for make in makers for _ in range(50)]
+    put = ["x {} y", "sig={} y", "/zz_{}/q", "example/{}", "{}=example"]
+    rows = [(i, put[i % len(put)].format(s)) for i, s in enumerate(secret)]
+    got = {r.doc_id: r.text for r in op.redacted(docs(spark, rows)).collect()}
+    found = [sum(op.REDACTED in got[i] for i in range(at, at + 50)) for at in range(0, len(rows), 50)]
+    assert min(found) >= 49
+    plain = ["2026-12-01-2026-12-02-2026-12-03", "internationalisation_of_donaudampfschifffahrt/a-b-c", "AAAA1111AAAA1111AAAA1111AAAA", "example" * 8]
+    kept = op.redacted(docs(spark, list(enumerate(plain))))
+    assert {r.doc_id: r.text for r in kept.collect()} == dict(enumerate(plain))
