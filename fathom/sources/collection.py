@@ -54,9 +54,9 @@ class Collection:
     """Rows by key; the highest `seq` wins, so a replayed write changes nothing.
 
     With `replaces`, a column such as a page id, a newer write of a page drops the
-    page's older rows even where their keys do not come again. How a collection
-    was created is kept in its log: opening it later needs the path only, and
-    other settings are refused."""
+    page's older rows even where their keys do not come again; rows whose page is
+    null go by their keys only. How a collection was created is kept in its log:
+    opening it later needs the path only, and other settings are refused."""
 
     spark: SparkSession
     path: str
@@ -126,8 +126,11 @@ class Collection:
         latest = latest_per_key(rows, self.key, self.seq)
         if self.replaces is None:
             return latest
-        newest = latest.groupBy(self.replaces).agg(F.max(self.seq).alias("_newest"))
-        return latest.join(newest, self.replaces).where(F.col(self.seq) == F.col("_newest")).select(*latest.columns)
+        # A row of no page is replaced by none.
+        paged = latest.where(F.col(self.replaces).isNotNull())
+        newest = paged.groupBy(self.replaces).agg(F.max(self.seq).alias("_newest"))
+        kept = paged.join(newest, self.replaces).where(F.col(self.seq).eqNullSafe(F.col("_newest")))
+        return kept.select(*latest.columns).unionByName(latest.where(F.col(self.replaces).isNull()))
 
     def create(self, rows: DataFrame) -> None:
         if self._batches()[2]:

@@ -320,6 +320,18 @@ def test_newer_dump_replaces_whole_articles(spark):
     assert sorted(map(tuple, Collection(spark, target.path).scan().select("key", "text").collect())) == want
 
 
+def test_rows_without_a_page_stay(spark):
+    target = Collection(spark, fresh_path(spark, "test-collection"), replaces="page", compact_after=3)
+    schema = "key string, page bigint, text string, seq bigint"
+    target.create(spark.createDataFrame([("x", None, "a", 1), ("y", None, "b", 1), ("1-0", 1, "c", 1), ("3-0", 3, "n", None)], schema))
+    seen = lambda: sorted(map(tuple, target.scan().select("key", "text").collect()))
+    target.upsert(spark.createDataFrame([("x", None, "new", 2), ("1-1", 1, "d", 2)], schema))
+    assert seen() == [("1-1", "d"), ("3-0", "n"), ("x", "new"), ("y", "b")]
+    target.upsert(spark.createDataFrame([("z", None, "e", 3)], schema))
+    target.compact()
+    assert seen() == [("1-1", "d"), ("3-0", "n"), ("x", "new"), ("y", "b"), ("z", "e")]
+
+
 def test_strict_insert(spark):
     target = Collection(spark, fresh_path(spark, "test-collection"), buckets=2)
     target.create(rows_of(spark, [(1, "a", 1)]))
