@@ -9,6 +9,13 @@ is a list of code point spans, one for each assistant text.
 Escaping: a backslash is put between "<" and "|", after those that are there, so
 no text holds "<|"; in roles, backslashes and line breaks are escaped as well.
 
+The paths and turns are read from Spark's parsed JSON where that has room for the
+record. It has none for a string of some 20 million characters or a record of
+128 MiB; then the paths come from the record with its strings emptied and equal
+neighbours in lists made one, and the turns from the text by the mapping's own
+schema. What is too large even so fails; no valid record becomes an unknown one.
+A conversation stays one value, which ends at Spark's 2 GB for a value.
+
 Column expressions only.
 
 Defined cases: a null text or role is empty; turns with one number are ordered by
@@ -20,6 +27,7 @@ conversation id is one conversation; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,6 +35,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 _TURNS = "array<struct<role:string,text:string>>"
 
+# A JSON string's inside; possessive, so no text is too long for the matcher.
+_INSIDE = r"""(?:[^"\\\x00-\x1F]++|\\["\\/bfnrt]|\\u[0-9A-Fa-f]{4})*+"""
+# Records up to this length that do not parse are no JSON.
+SURE = 1 << 24
+
+
+def _read(record: Column, schema: str) -> Column:
+    """A record's fields without a bound on the length of strings."""
+    return F.from_json(record, schema, {"mode": "FAILFAST", "maxStringLen": str((1 << 31) - 1)})
+
 
 @dataclass(frozen=True)
 class Fields:
@@ -41,6 +59,13 @@ class Fields:
 
     def read(self, record: Column) -> Column:
         value = lambda name: F.coalesce(F.variant_get(record, f"$.{name}", "string"), F.lit(""))
+        return self._turns(value)
+
+    def read_text(self, record: Column) -> Column:
+        fields = _read(record, ", ".join(f"`{f}` string" for _, f in self.turns))
+        return self._turns(lambda name: F.coalesce(fields[name], F.lit("")))
+
+    def _turns(self, value: Callable[[str], Column]) -> Column:
         return F.array(*(F.struct(F.lit(r).alias("role"), value(f).alias("text")) for r, f in self.turns))
 
 
@@ -58,9 +83,17 @@ class Messages:
         fields = ", ".join(f"{name}: value" for name in sorted([self.role, self.text]))
         return [f"OBJECT<{self.list_field}: ARRAY<{x}>>" for x in (f"OBJECT<{fields}>", "value")]
 
+    @property
+    def _kind(self) -> str:
+        return f"array<struct<`{self.role}`:string,`{self.text}`:string>>"
+
     def read(self, record: Column) -> Column:
-        kind = f"array<struct<{self.role}:string,{self.text}:string>>"
+        return self._turns(F.variant_get(record, f"$.{self.list_field}", self._kind))
+
+    def read_text(self, record: Column) -> Column:
+        return self._turns(_read(record, f"`{self.list_field}` {self._kind}")[self.list_field])
 
+    def _turns(self, messages: Column) -> Column:
         def turn(m: Column) -> Column:
             role = F.coalesce(m[self.role], F.lit(""))
             named = role
@@ -68,7 +101,7 @@ class Messages:
                 named = F.when(role == name, usual).otherwise(named)
             return F.struct(named.alias("role"), F.coalesce(m[self.text], F.lit("")).alias("text"))
 
-        return F.transform(F.variant_get(record, f"$.{self.list_field}", kind), turn)
+        return F.transform(messages, turn)
 
 
 # Layouts that are known. Add one here, or hand a longer list to `canonical`.
@@ -89,14 +122,28 @@ def fingerprint(record: Column) -> Column:
     return F.md5(shape(record).cast("binary"))
 
 
+def skeleton(record: Column) -> Column:
+    """The record with all strings but the names emptied, and of equal neighbours in
+    its innermost lists one."""
+    emptied = F.regexp_replace(record, rf'("{_INSIDE}"\s*+:)|("){_INSIDE}(")', "$1$2$3")
+    once = F.regexp_replace(emptied, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+    return F.regexp_replace(once, r'([\[,]\s*+"")(?:\s*+,\s*+""(?=\s*+[,\]]))++', "$1")
+
+
 def canonical(records: DataFrame, record: str = "record", layouts=LAYOUTS) -> DataFrame:
     """The rows with `fingerprint` and `turns`, an array of (role, text)."""
     rows = records.withColumn("_value", F.try_parse_json(record))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("_value")))
+    small = F.col("_value").isNotNull()
+    bare = skeleton(F.col(record))
+    large = F.try_parse_json(bare)
+    refused = F.raise_error(F.lit("a record is too large to tell its layout")).cast("string")
+    bare_print = F.when(large.isNull() & (F.length(bare) > SURE), refused).otherwise(fingerprint(large))
+    rows = rows.withColumn("fingerprint", F.when(small, fingerprint(F.col("_value"))).otherwise(bare_print))
     turns = F.lit(None).cast(_TURNS)
     for layout in layouts:
         prints = [hashlib.md5(s.encode()).hexdigest() for s in layout.shapes]
-        turns = F.when(F.col("fingerprint").isin(prints), layout.read(F.col("_value"))).otherwise(turns)
+        read = F.when(small, layout.read(F.col("_value"))).otherwise(layout.read_text(F.col(record)))
+        turns = F.when(F.col("fingerprint").isin(prints), read).otherwise(turns)
     return rows.withColumn("turns", turns.cast(_TURNS)).drop("_value")
 
 

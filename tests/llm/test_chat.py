@@ -53,3 +53,29 @@ def test_layouts_are_chosen_by_fingerprint(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert op.formatted(op.canonical(op.records_of(none))).count() == 0
+
+
+def test_texts_beyond_the_parser(spark):
+    n = 21_000_000
+    units = [
+        [("user", "q", 1), ("assistant", "x", n)],
+        [("user", '"\\\n{},[]é<|', 2_000_000), ("assistant", "a", 1)],
+        [("user", "q", 1), ("assistant", "a", 1), ("user", "y", n)],
+        [("system", "m", 1), ("user", "z", n), ("assistant", "", 1)],
+        [("other", "z", n)],
+    ]
+    rows = [(k, i, *turn) for k, turns in enumerate(units) for i, turn in enumerate(turns)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, unit string, n int")
+    table = table.selectExpr("conv_id", "turn", "role", "repeat(unit, n) text")
+    turns = op.turns_of(F.col("formatted"))
+    told = F.transform(turns, lambda t: F.struct(t["role"], F.md5(t["text"].cast("binary"))))
+    got = op.formatted(op.canonical(op.records_of(table))).select("conv_id", told.alias("told")).collect()
+    want = [[(r, hashlib.md5((u * k).encode()).hexdigest()) for r, u, k in turns] for turns in units]
+    assert {r.conv_id: [tuple(t) for t in r.told] for r in got} == dict(enumerate(want))
+
+
+def test_skeleton_has_the_same_layout(spark):
+    records = [{"a": ["x", "", "y"], 'k"\\é: ': {"b": "t\n\"", "c": [{"d": "1"}, {"d": "2"}, {"d": None}, {"e": [1, 2.5, True]}]}}, {"messages": [{"role": "a", "content": "b"}] * 5}, [], "s", {"": ""}]
+    rows = [(json.dumps(r, ensure_ascii=i % 2 == 0, indent=i % 3 or None),) for i, r in enumerate(records)] + [('{"a": "\\x"}',), ('{"a": "b"',), ("no json",), (None,)]
+    got = spark.createDataFrame(rows, "record string").select(*(op.shape(F.try_parse_json(c)).alias(n) for n, c in (("full", "record"), ("bare", op.skeleton(F.col("record")))))).collect()
+    assert [r.full for r in got] == [r.bare for r in got] and [r.full is None for r in got] == [False] * 5 + [True] * 4
