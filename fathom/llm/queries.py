@@ -13,6 +13,7 @@ from fathom.llm import (
     neighbours,
     repeats,
     secrets,
+    sketches,
     toxicity,
     warc,
 )
@@ -397,3 +398,82 @@ def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, in SQL."""
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {at}, 1)) - 1)"
+    number = f"{digit('2 * i + 1')} * 16 + {digit('2 * i + 2')}"
+    values = f"list_transform(generate_series(0, octet_length(encode({text})) - 1), lambda i: CAST({number} AS BIGINT))"
+    step = f"lambda a, x: xor(a >> 8, CAST({_crc_table()}[(xor(a, x) & 255) + 1] AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {values}), {step}), 4294967295)"
+
+
+def _sketches_sql() -> str:
+    n, weights = sketches.SHINGLE, sketches.WEIGHTS
+    hashed = lambda total: f"(({total}) >> {sketches.SHIFT}) & {(1 << sketches.BITS) - 1}"
+    full = hashed(" + ".join(f"h[i + {j}] * {w}" for j, w in enumerate(weights)))
+    short = hashed("len(h) + " + " + ".join(f"coalesce(h[{j + 1}], 0) * {w}" for j, w in enumerate(weights[:-1])))
+    size = sketches.SIZE
+    union = lambda a, b: f"list_sort(list_distinct({a} || {b}))[1:{size}]"
+    like = lambda a, b: f"""CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE CAST(len(list_filter(
+        {union(a, b)}, lambda x: list_contains({a}, x) AND list_contains({b}, x))) AS DOUBLE) / len({union(a, b)}) END"""
+    digits = lambda a: f"array_to_string(list_transform({a}, lambda x: lpad(lower(to_hex(x)), 8, '0')), '')"
+    return rf"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n FROM documents
+    ), e AS (
+        SELECT *, left(body, n - n // 2) || left(coalesce(lead(body) OVER (ORDER BY doc_id DESC),
+                first_value(body) OVER (ORDER BY doc_id DESC)), n // 2) AS edited,
+            coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id
+        FROM d
+    ), t AS (
+        SELECT doc_id, 0 AS part, body AS text FROM e UNION ALL SELECT doc_id, 1, edited FROM e
+    ), w AS (
+        SELECT doc_id, part, generate_subscripts(words, 1) AS i, unnest(words) AS word
+        FROM (SELECT doc_id, part, regexp_extract_all(text, '[^ 	-]+') AS words FROM t)
+    ), vocabulary AS (
+        SELECT word, {crc32_sql("word")} AS h FROM (SELECT DISTINCT word FROM w)
+    ), hashes AS (
+        SELECT doc_id, part, list(h ORDER BY i) AS h FROM w JOIN vocabulary USING (word) GROUP BY doc_id, part
+    ), s AS (
+        SELECT doc_id, part, list_sort(list_distinct(CASE WHEN len(h) >= {n}
+            THEN list_transform(generate_series(1, len(h) - {n - 1}), lambda i: {full}) ELSE [{short}] END))[1:{size}] AS s
+        FROM hashes
+    ), all_ AS (
+        SELECT e.doc_id, e.n, e.edited, coalesce(a.s, []) AS a, coalesce(b.s, []) AS b, coalesce(c.s, []) AS c
+        FROM e LEFT JOIN s a ON a.doc_id = e.doc_id AND a.part = 0
+            LEFT JOIN s b ON b.doc_id = e.doc_id AND b.part = 1
+            LEFT JOIN s c ON c.doc_id = e.next_id AND c.part = 0
+    )
+    SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {digits("a")} AS fingerprint,
+        {digits("b")} AS edited_fingerprint, {like("a", "b")} AS near_edited, {like("a", "c")} AS near_next,
+        CASE WHEN len(a) < {size} THEN CAST(len(a) AS DOUBLE)
+            ELSE {(size - 1) * float(1 << sketches.BITS)} / (a[{size}] + 1) END AS distinct_shingles
+    FROM all_
+    """
+
+
+@query("op11_fingerprints", _sketches_sql())
+def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketches.neighbours(table(spark, folder, "documents"))
+    own, edited = F.col("sketch"), F.col("edited_sketch")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.fingerprint(own).alias("fingerprint"),
+        sketches.fingerprint(edited).alias("edited_fingerprint"),
+        sketches.resemblance(own, edited).alias("near_edited"),
+        sketches.resemblance(own, F.col("next_sketch")).alias("near_next"),
+        sketches.distinct_shingles(own).alias("distinct_shingles"),
+    )
