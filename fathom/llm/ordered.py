@@ -57,7 +57,7 @@ def positions(rows: DataFrame, group: Sequence[str], order: Sequence[str], label
     inside = Window.partitionBy(*group, "part").orderBy(*(F.col(c).asc_nulls_first() for c in order))
     numbered = dealt.withColumn("idx", F.row_number().over(inside) - 1)
     return (
-        numbered.join(F.broadcast(counts), same)
+        numbered.join(counts, same)
         .withColumn("idx", (F.col("idx") + F.col("before")).cast("long"))
         .select(*rows.columns, "idx")
     )

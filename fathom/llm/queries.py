@@ -8,10 +8,12 @@ from fathom.llm import (
     chat,
     decontaminate,
     languages,
+    manifest,
     minhash,
     mixing,
     neighbours,
     repeats,
+    runs,
     secrets,
     sketches,
     toxicity,
@@ -440,7 +442,8 @@ def _sketches_sql() -> str:
         SELECT doc_id, 0 AS part, body AS text FROM e UNION ALL SELECT doc_id, 1, edited FROM e
     ), w AS (
         SELECT doc_id, part, generate_subscripts(words, 1) AS i, unnest(words) AS word
-        FROM (SELECT doc_id, part, regexp_extract_all(text, '[^ 	-]+') AS words FROM t)
+        FROM (SELECT doc_id, part, regexp_extract_all(text, '[^ 	-
+]+') AS words FROM t)
     ), vocabulary AS (
         SELECT word, {crc32_sql("word")} AS h FROM (SELECT DISTINCT word FROM w)
     ), hashes AS (
@@ -477,3 +480,75 @@ def op11_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         sketches.resemblance(own, F.col("next_sketch")).alias("near_next"),
         sketches.distinct_shingles(own).alias("distinct_shingles"),
     )
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    loops = F.when(h % 10 == 0, F.struct(g.alias("start"), (g % 8 + 3).alias("cycles")))
+    done = runs.found(docs, source=loops).withColumn("top", runs.longest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return done.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _manifest_sql() -> str:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    item = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(item(c) for c in columns[:-1])} || {item(text)})"
+    runs = lambda h: f"list_transform(generate_series(0, (len({h}) - 1) // 3), lambda i: sha256(array_to_string({h}[3 * i + 1:3 * i + 3], '')))"
+    before = "array_to_string(h[idx // 3 * 3 + 1:idx], '')"
+    after = "array_to_string(h[idx + 2:idx // 3 * 3 + 3], '')"
+    climb = lambda name, start, levels, joined: f"""
+    {name}(doc_id, tree, lvl, idx, folded, proof) AS (
+        SELECT {start}
+        UNION ALL
+        SELECT c.doc_id, c.tree, c.lvl + 1, idx // 3, sha256({before} || folded || {after}), proof || {before} || {after}
+        FROM {name} c JOIN {levels} u ON {joined} AND u.lvl = c.lvl WHERE len(h) > 1
+    )"""
+    return f"""
+    WITH RECURSIVE l AS (
+        SELECT doc_id, source, {leaf("text")} AS leaf, {leaf("CASE WHEN h % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS now,
+            row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx
+        FROM (SELECT *, {crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents)
+    ), up(tree, lvl, h) AS (
+        SELECT source, 0, list(leaf ORDER BY idx) FROM l GROUP BY source
+        UNION ALL SELECT tree, lvl + 1, {runs("h")} FROM up WHERE len(h) > 1
+    ), s AS (
+        SELECT tree, h[1] AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place FROM up WHERE len(h) = 1
+    ), top(lvl, h) AS (
+        SELECT 0, list(subroot ORDER BY place) FROM s
+        UNION ALL SELECT lvl + 1, {runs("h")} FROM top WHERE len(h) > 1
+    ), {climb("first", "doc_id, source, 0, idx, now, '' FROM l", "up", "u.tree IS NOT DISTINCT FROM c.tree")}
+    , over AS (
+        SELECT f.* FROM first f JOIN (SELECT tree, max(lvl) AS lvl FROM up GROUP BY tree) m
+            ON m.tree IS NOT DISTINCT FROM f.tree AND m.lvl = f.lvl
+    ), {climb("second", "doc_id, o.tree, 0, place, folded, proof FROM over o JOIN s ON s.tree IS NOT DISTINCT FROM o.tree", "top", "true")}
+    , ended AS (
+        SELECT * FROM second WHERE lvl = (SELECT max(lvl) FROM top)
+    )
+    SELECT l.doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+    FROM l JOIN s ON s.tree IS NOT DISTINCT FROM l.source JOIN ended e ON e.doc_id = l.doc_id,
+        (SELECT h[1] AS root FROM top WHERE len(h) = 1)
+    """
+
+
+@query("op12_manifest", _manifest_sql())
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Text without its line breaks where the CRC-32 of the id is even, against the
+    manifest of the documents as they are; rows without an id are left as they are."""
+    docs = table(spark, folder, "documents")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], tamper={"text": changed})
