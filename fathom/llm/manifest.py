@@ -32,6 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.llm.ordered import positions
+from fathom.operators.joins import checked
 from fathom.session import settled
 
 FANOUT = 3
@@ -40,6 +41,12 @@ COVER_LEVELS = 8
 COVER = FANOUT**COVER_LEVELS
 # The tree of the trees' roots.
 TOP = -1
+# Rows of a level in one file, about.
+LEVEL_ROWS = 1 << 17
+# Trees, and stored nodes (about 100 bytes each), that are sent to every executor at
+# most; more are exchanged.
+TREES = 100_000
+NODE_ROWS = 100_000
 
 
 def item(column: Column) -> Column:
@@ -57,29 +64,37 @@ def digest(children: Column) -> Column:
     return F.sha2(F.array_join(children, ""), 256)
 
 
-def _levels(nodes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Of nodes (tree, idx, hash), all of one level: runs (tree, level, idx, hash,
-    children) of all levels above, what is left of each tree (tree, hash, height),
-    and the number of levels."""
+def _levels(nodes: DataFrame, total: int, largest: int) -> tuple[DataFrame | None, DataFrame, int]:
+    """Of nodes (tree, idx, hash, n), `total` in trees of n, `largest` at most: runs
+    (tree, level, idx, hash, children) of all levels above, what is left of each tree
+    (tree, hash, height), and the number of levels. How many nodes a tree has on a
+    level follows from n, so a level takes one grouping."""
+    left = lambda rows, height: rows.where("n = 1").select("tree", "hash", F.lit(height).alias("height"))
     built: list[DataFrame] = []
-    left: list[DataFrame] = []
-    while True:
+    roots = [left(nodes, 0)]
+    while largest > 1:
         level = len(built)
-        lone = nodes.groupBy("tree").agg(F.count("*").alias("n")).where("n = 1").select("tree")
-        roots = nodes.join(lone, "tree", "left_semi").select("tree", "hash", F.lit(level).alias("height"))
-        left.append(settled(roots, "roots"))
         runs = (
-            nodes.join(lone, "tree", "left_anti")
+            nodes.where("n > 1")
             .groupBy("tree", F.floor(F.col("idx") / FANOUT).alias("idx"))
-            .agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("children"))
+            .agg(F.sort_array(F.collect_list(F.struct("idx", "hash"))).alias("children"), F.min("n").alias("n"))
             .withColumn("children", F.col("children.hash"))
-            .select("tree", F.lit(level).alias("level"), "idx", digest(F.col("children")).alias("hash"), "children")
+            .select(
+                "tree",
+                F.lit(level).alias("level"),
+                "idx",
+                digest(F.col("children")).alias("hash"),
+                "children",
+                F.ceil(F.col("n") / FANOUT).alias("n"),
+            )
         )
-        runs = settled(runs, "level")
-        built.append(runs)
-        if runs.isEmpty():
-            return reduce(DataFrame.unionByName, built), reduce(DataFrame.unionByName, left), level
-        nodes = runs.select("tree", "idx", "hash")
+        total, largest = -(-total // FANOUT), -(-largest // FANOUT)
+        # Levels shrink, and so does the number of their files.
+        built.append(settled(runs.coalesce(1 + total // LEVEL_ROWS), "level"))
+        nodes = built[-1].select("tree", "idx", "hash", "n")
+        roots.append(left(nodes, level + 1))
+    above = reduce(DataFrame.unionByName, built) if built else None
+    return above, reduce(DataFrame.unionByName, roots), len(built)
 
 
 def _named(tree: Column, level: Column, idx: Column) -> Column:
@@ -115,9 +130,9 @@ def _cover(tree: Column, number: Column) -> Column:
     return F.concat_ws(".", tree, number)
 
 
-def _covered(below: DataFrame, above: DataFrame, trees: DataFrame, levels: int) -> DataFrame:
-    """Nodes once for each cover of leaves below them: (cover, node, parent, before,
-    after). `trees` has (tree, covers, height); the top tree has `levels` levels."""
+def _covered(below: DataFrame, trees: DataFrame) -> DataFrame:
+    """Nodes of the trees once for each cover of leaves below them: (cover, node,
+    parent, before, after). `trees` has (tree, covers, height)."""
     span = _power(F.greatest(F.col("level") - COVER_LEVELS, F.lit(0))).cast("long")
     # First cover below a node, which stands over several or within one.
     within = F.floor(F.col("idx") / _power(F.lit(COVER_LEVELS) - F.col("level")))
@@ -127,11 +142,17 @@ def _covered(below: DataFrame, above: DataFrame, trees: DataFrame, levels: int)
     nodes = nodes.withColumn(
         "parent", F.when(F.col("level") + 1 == F.col("height"), _top(F.col("tree"))).otherwise(F.col("parent"))
     )
-    named = ["cover", _named(F.col("tree"), F.col("level"), F.col("idx")).alias("node"), "parent", "before", "after"]
-    nodes = nodes.withColumn("cover", _cover(F.col("tree"), F.col("number"))).select(*named)
-    if not levels:
-        return nodes
-    # The top tree's nodes stand over whole trees, by their numbers.
+    return nodes.withColumn("cover", _cover(F.col("tree"), F.col("number"))).select(*_node())
+
+
+def _node() -> list:
+    name = _named(F.col("tree"), F.col("level"), F.col("idx"))
+    return ["cover", name.alias("node"), "parent", "before", "after"]
+
+
+def _over_covers(above: DataFrame, trees: DataFrame, levels: int) -> DataFrame:
+    """Nodes of the top tree, which has `levels` levels, once for each cover below
+    them: they stand over whole trees, by their numbers."""
     over = trees.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("covers") - 1)))
     over = over.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     over = over.select(
@@ -139,24 +160,24 @@ def _covered(below: DataFrame, above: DataFrame, trees: DataFrame, levels: int)
         "level",
         F.floor(F.col("tree") / _power(F.col("level"))).cast("long").alias("idx"),
     )
-    return nodes.unionByName(above.join(over, ["level", "idx"]).select(*named))
+    return above.join(over, ["level", "idx"]).select(*_node())
 
 
 CLIMB = """
-WITH RECURSIVE climb(leaf, cover, step, node, before, after, folded) AS (
-    SELECT leaf, cover, 0, node, unhex(''), unhex(''), folded FROM {leaves}
+WITH RECURSIVE climb(leaf, cover, step, node, siblings, folded) AS (
+    SELECT leaf, cover, 0, node, unhex(''), folded FROM {leaves}
     UNION ALL
-    SELECT c.leaf, c.cover, c.step + 1, n.parent, n.before, n.after,
+    SELECT c.leaf, c.cover, c.step + 1, n.parent, concat(n.before, n.after),
         unhex(sha2(lower(concat(hex(n.before), hex(c.folded), hex(n.after))), 256))
     FROM climb c JOIN {nodes} n ON n.cover = c.cover AND n.node = c.node
 )
-SELECT leaf, step, before, after, CASE WHEN node = :root THEN folded END AS folded FROM climb
+SELECT leaf, step, siblings, CASE WHEN node = :root THEN folded END AS folded FROM climb
 """
 
 
 def _climbed(leaves: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
-    """(leaf, step, before, after, folded): a row for each leaf and step, the last
-    with what the climb ends in."""
+    """(leaf, step, siblings, folded): a row for each leaf and step, the last with what
+    the climb ends in."""
     spark = leaves.sparkSession
     # As many rows as there are leaves and levels, so the guard against endless
     # recursion by rows has to go; the one by levels stays.
@@ -164,6 +185,7 @@ def _climbed(leaves: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     before = spark.conf.get(name, None)
     spark.conf.set(name, "-1")
     try:
+        nodes = checked(nodes, NODE_ROWS).side
         return settled(spark.sql(CLIMB, args={"root": root}, leaves=leaves, nodes=nodes), "climb")
     finally:
         if before is None:
@@ -190,21 +212,28 @@ def manifest(
         leaf(now).alias("now"),
     )
     rows = settled(positions(rows, ["name"], ["key", "hash", "now"], "leaves"), "leaves")
-    trees = rows.groupBy("name").agg(F.ceil(F.count("*") / COVER).alias("covers")).withColumn("all", F.lit(0))
-    trees = settled(positions(trees, ["all"], ["name"], "trees").withColumnRenamed("idx", "tree"), "trees")
-    named = trees.select(F.col("name").alias("_name"), "tree")
-    rows = rows.join(named, F.col("name").eqNullSafe(F.col("_name"))).select("key", "hash", "now", "idx", "tree")
-
-    below, subroots, _ = _levels(rows.select("tree", "idx", "hash"))
-    subroots = settled(subroots, "subroots")
+    trees = rows.groupBy("name").agg(F.count("*").alias("n"), F.ceil(F.count("*") / COVER).alias("covers"))
+    trees = positions(trees.withColumn("all", F.lit(0)), ["all"], ["name"], "trees").drop("all")
+    trees = settled(trees.withColumnRenamed("idx", "tree"), "trees")
+    sizes = trees.agg(F.count("*").alias("trees"), F.sum("n").alias("n"), F.max("n").alias("largest")).first()
+    few = checked(trees, TREES)
+    named = few.hint(trees.select(F.col("name").alias("_name"), "tree", "n"))
+    rows = rows.join(named, F.col("name").eqNullSafe(F.col("_name"))).select("key", "hash", "now", "idx", "tree", "n")
+
+    below, subroots, _ = _levels(rows.select("tree", "idx", "hash", "n"), sizes["n"] or 0, sizes["largest"] or 0)
+    subroots = settled(subroots.coalesce(1 + sizes["trees"] // LEVEL_ROWS), "subroots")
     over = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "hash")
-    above, tops, levels = _levels(over)
+    over = over.withColumn("n", F.lit(sizes["trees"]))
+    above, tops, levels = _levels(over, sizes["trees"], sizes["trees"])
     top = tops.first()
     root = top["hash"] if top is not None else ""
-    trees = settled(trees.join(subroots.select("tree", "height"), "tree").select("tree", "covers", "height"), "trees")
-    nodes = settled(_covered(_nodes(below), _nodes(above), trees, levels), "nodes")
+    trees = settled(trees.join(few.hint(subroots.select("tree", "height")), "tree").select("tree", "covers", "height"), "trees")
+    parts = [] if below is None else [_covered(_nodes(below), few.hint(trees))]
+    parts += [] if above is None else [_over_covers(_nodes(above), trees, levels)]
+    empty = docs.sparkSession.createDataFrame([], "cover string, node string, parent string, before binary, after binary")
+    nodes = settled(reduce(DataFrame.unionByName, parts or [empty]), "nodes")
 
-    leaves = rows.join(subroots.withColumnRenamed("hash", "subroot"), "tree")
+    leaves = rows.join(few.hint(subroots.withColumnRenamed("hash", "subroot")), "tree")
     leaves = leaves.withColumn("leaf", F.monotonically_increasing_id())
     leaves = leaves.withColumn("cover", _cover(F.col("tree"), F.floor(F.col("idx") / COVER)))
     own = _named(F.col("tree"), F.lit(0), F.col("idx"))
@@ -212,9 +241,9 @@ def manifest(
     leaves = settled(leaves.select("leaf", "key", "hash", "subroot", "cover", "node", F.unhex("now").alias("folded")), "numbered")
     climbed = _climbed(leaves.select("leaf", "cover", "node", "folded"), nodes, f"{TOP}.{levels}.0")
 
-    steps = F.sort_array(F.collect_list(F.struct("step", "before", "after")))
+    steps = F.sort_array(F.collect_list(F.struct("step", "siblings")))
     proofs = climbed.groupBy("leaf").agg(steps.alias("steps"), F.max("folded").alias("folded"))
-    siblings = F.transform("steps", lambda s: F.lower(F.concat(F.hex(s["before"]), F.hex(s["after"]))))
+    siblings = F.transform("steps", lambda s: F.lower(F.hex(s["siblings"])))
     proofs = proofs.select(
         "leaf",
         F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
