@@ -5,7 +5,9 @@ as its signs, packed to bits, with two scalars: its length and the inner product
 of the code with the rotated vector (`align`). A query, rotated alike, has an
 inner product with the code that, divided by align, estimates the true one
 without bias; the error is normal with a deviation of
-sqrt((1 - align^2) / align^2 / (dimensions - 1)). Vectors whose estimate plus
+sqrt((1 - align^2) / align^2 / (bits - 1)). Short vectors are filled up with zeros
+before they are rotated, so that a code has LEAST_BITS bits or more: with fewer the
+bound is so wide that most rows would be reranked. Vectors whose estimate plus
 DEVIATIONS of these reaches the k-th best score known are reranked on the
 original vectors, in double precision, summed in order of the dimensions.
 
@@ -34,6 +36,7 @@ from fathom.llm.arrow import type_of
 from fathom.session import settled
 
 DEVIATIONS = 4.5
+LEAST_BITS = 512
 BLOCK = 4096
 SAMPLE = 4096
 SEED = 5
@@ -42,9 +45,14 @@ CODES = 1024
 PAIRS = 50_000
 
 
+def code_bits(dims: int) -> int:
+    return max(dims, LEAST_BITS)
+
+
 def rotation(dims: int, seed: int = SEED) -> np.ndarray:
-    """Random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, dims)))
+    """Random rotation of vectors, filled up with zeros to the length of a code: of
+    the orthogonal matrix only the columns that meet no zero."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((code_bits(dims), dims)))
     return q * np.sign(np.diag(r))
 
 
@@ -82,7 +90,7 @@ def encode(rows: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
                     batch.column(0),
                     _binary(np.packbits(turned > 0, axis=1)),
                     pa.array(length),
-                    pa.array(np.abs(turned).sum(axis=1) / np.sqrt(dims)),
+                    pa.array(np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])),
                     _binary(values),
                 ],
                 ["key", "code", "length", "align", "vector"],
@@ -147,6 +155,7 @@ def _searched(index: DataFrame, block: list, k: int, dims: int, deviations: floa
         keys, queries, least = shared.value
         length = np.sqrt((queries**2).sum(axis=1))
         turned = ((queries / length[:, None]) @ rotation(dims).T).astype(np.float32)
+        bits = turned.shape[1]
         best = Best(len(keys), k, least)
         ids = np.zeros(0, keys.dtype)
         for batch in batches:
@@ -155,10 +164,10 @@ def _searched(index: DataFrame, block: list, k: int, dims: int, deviations: floa
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 vectors = _matrix(part.column(4), "f8")
                 norm, align = (part.column(i).to_numpy() for i in (2, 3))
-                signs = np.unpackbits(_matrix(part.column(1), "u1"), axis=1, count=dims).astype(np.float32) * 2 - 1
-                estimate = (turned @ signs.T) / (np.sqrt(dims) * align).astype(np.float32)
+                signs = np.unpackbits(_matrix(part.column(1), "u1"), axis=1, count=bits).astype(np.float32) * 2 - 1
+                estimate = (turned @ signs.T) / (np.sqrt(bits) * align).astype(np.float32)
                 # A little more than the bound, for single precision.
-                slack = deviations * np.sqrt(np.maximum(1 - align**2, 0) / align**2 / max(dims - 1, 1)) + 1e-5
+                slack = deviations * np.sqrt(np.maximum(1 - align**2, 0) / align**2 / (bits - 1)) + 1e-5
                 # Upper bounds of the inner products of the scaled query, query by code.
                 estimate += slack.astype(np.float32)
                 upper = estimate * norm

@@ -53,10 +53,13 @@ def test_codes_prune_and_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
+    bits = op.code_bits(64)
     turned = x @ op.rotation(64).T
-    align = np.abs(turned).sum(axis=1) / 8
-    estimate = (np.where(turned > 0, 1, -1) @ turned[:50].T) / 8 / align[:, None]
-    slack = np.sqrt((1 - align**2) / align**2 / 63)
+    assert turned.shape[1] == bits == op.LEAST_BITS
+    assert np.allclose(turned @ turned[:5].T, x @ x[:5].T)
+    align = np.abs(turned).sum(axis=1) / np.sqrt(bits)
+    estimate = (np.where(turned > 0, 1, -1) @ turned[:50].T) / np.sqrt(bits) / align[:, None]
+    slack = np.sqrt((1 - align**2) / align**2 / (bits - 1))
     error = np.abs(estimate - x @ x[:50].T) / slack[:, None]
     assert 0.85 < np.sqrt((error**2).mean()) < 1.1
     assert (error < op.DEVIATIONS).mean() > 0.9999
