@@ -373,6 +373,12 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of some pairs, made distinct on either side before they meet."""
+    side = lambda name: pairs.select(F.col(name).alias("node")).distinct()
+    return side("a").unionByName(side("b"))
+
+
 def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
     """Components after some more links: a node hangs on its root by one edge."""
     known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -391,7 +397,7 @@ def _linked(pairs: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFram
     most is confirmed first; most others then lie inside one component, and only
     those that do not are confirmed as well."""
     near = settled(_near(pairs.distinct(), nodes, how["threshold"]), "near")
-    sets = _sets_of(near.select(F.explode(F.array("a", "b")).alias("node")), docs, how)
+    sets = _sets_of(_ends(near), docs, how)
     first = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("top")).select("top.a", "b")
     first = settled(first, "first")
     with small_batches(docs.sparkSession):
