@@ -1,8 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 The automaton holds every window of ten consecutive words of the benchmark's
-questions and answers, normalised. Each text is normalised to the same form and
-scanned once; matches are mapped back to words and to code points of the
+questions and answers, normalised (a benchmark of more than BLOCK_BYTES has several).
+Each text is normalised to the same form and scanned in its own row; matches are mapped back to words and to code points of the
 original text.
 
 Words are the runs of bytes that are digits, letters a to z after A to Z are
@@ -22,13 +22,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from fathom.llm.arrow import mapped, type_of, utf8
 
 WINDOW = 10
-# Bytes of benchmark text in one automaton. A larger benchmark is scanned for in
-# several passes, one automaton each, so no task holds more than this.
+# Bytes of benchmark text in one automaton. Of a larger benchmark there are several,
+# built one after the other; a task scans each text with all of them.
 BLOCK_BYTES = 2 << 20
 
 _WORD = [chr(b) for b in [*range(0x30, 0x3A), *range(0x61, 0x7B)]]
@@ -62,13 +62,14 @@ def automaton_of(items: list[tuple[str, bytes]], width: int = WINDOW) -> ahocora
     return automaton
 
 
-def scan(automaton: ahocorasick.Automaton, text: bytes) -> tuple[int, list[int], set[str]]:
+def scan(automata: list[ahocorasick.Automaton], text: bytes) -> tuple[int, list[int], set[str]]:
     """Number of words, hit words in order, and items found in one text."""
     words = words_of(text)
-    if not words or not len(automaton):
+    if not words or not automata:
         return len(words), [], set()
     normal = b" %b " % b" ".join(words)
-    matches = list(automaton.iter(normal.decode("latin-1")))
+    line = normal.decode("latin-1")
+    matches = [match for automaton in automata for match in automaton.iter(line)]
     if not matches:
         return len(words), [], set()
     spaces = np.flatnonzero(np.frombuffer(normal, np.uint8) == 0x20)
@@ -112,16 +113,31 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[s
         yield [(row["item"], bytes(row["body"])) for row in block.collect()]
 
 
-def _scanned(docs: DataFrame, automaton, key: str, text: str) -> DataFrame:
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(automaton)
+def _shared(docs: DataFrame, benchmark: DataFrame, item: str, text: str) -> list:
+    """The automata of all blocks, each sent to the executors by itself."""
+    built = (automaton_of(block) for block in _blocks(benchmark, item, text))
+    return [docs.sparkSession.sparkContext.broadcast(a) for a in built if len(a)]
+
+
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """One row per document: key, n_words, n_hit, items (sorted as strings) and
+    spans (code points of the original)."""
+    shared = _shared(docs, benchmark, item, item_text)
 
     def body(part: pa.RecordBatch) -> pa.RecordBatch:
+        automata = [s.value for s in shared]
         counts, hits, items, spans = [], [], [], []
         for value in part.column("body").to_pylist():
-            n, hit, found = scan(shared.value, value)
+            n, hit, found = scan(automata, value)
             counts.append(n)
-            hits.append(hit)
+            hits.append(len(hit))
             items.append(sorted(found))
             spans.append(spans_of(value, hit))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -129,58 +145,18 @@ def _scanned(docs: DataFrame, automaton, key: str, text: str) -> DataFrame:
             [
                 part.column(0),
                 pa.array(counts, pa.int64()),
-                pa.array(hits, pa.list_(pa.int64())),
+                pa.array(hits, pa.int64()),
                 pa.array(items, pa.list_(pa.string())),
                 pa.array(spans, span),
             ],
-            ["key", "n_words", "hits", "items", "spans"],
+            ["key", "n_words", "n_hit", "items", "spans"],
         )
 
     rows = docs.select(F.col(key).alias("key"), utf8(text).alias("body"))
-    return mapped(
-        rows,
-        "body",
-        body,
-        f"key {type_of(docs, key)}, n_words long, hits array<long>, items array<string>,"
-        " spans array<struct<start:long,end:long>>",
-    )
-
-
-def contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    item: str = "item_id",
-    item_text: str = "text",
-) -> DataFrame:
-    """One row per document: key, n_words, n_hit, items (sorted as strings) and
-    spans (code points of the original). With several automata, a span may be
-    reported in the parts that each of them found."""
-    found = [
-        _scanned(docs, automaton_of(block), key, text) for block in _blocks(benchmark, item, item_text)
-    ] or [_scanned(docs, automaton_of([]), key, text)]
-    if len(found) == 1:
-        rows = found[0]
-    else:
-        # Repeated document rows stay apart: copies of a row have equal results,
-        # so each pass lists them in the same order.
-        rows = None
-        for part in found:
-            rows = part if rows is None else rows.unionByName(part)
-        rows = (
-            rows.groupBy("key", "n_words")
-            .agg(
-                F.count("*").alias("copies"),
-                F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-            )
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(f"copies div {len(found)}"))))
-        )
-    return rows.select(
-        F.col("key").alias(key), "n_words", F.size("hits").cast("long").alias("n_hit"), "items", "spans"
-    )
+    span = "struct<start:long,end:long>"
+    schema = f"key {type_of(docs, key)}, n_words long, n_hit long, items array<string>, spans array<{span}>"
+    found = mapped(rows, "body", body, schema)
+    return found.select(F.col("key").alias(key), "n_words", "n_hit", "items", "spans")
 
 
 def clean(
@@ -191,13 +167,12 @@ def clean(
     item_text: str = "text",
 ) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns.
-    Rows stay where they are: each pass reads and hands on whole rows."""
-    for block in _blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton_of(block))
+    Rows stay where they are."""
+    shared = _shared(docs, benchmark, item, item_text)
 
-        def body(part: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            texts = part.column(text).cast(pa.binary()).to_pylist()
-            return part.filter(pa.array([not scan(shared.value, t or b"")[1] for t in texts], pa.bool_()))
+    def body(part: pa.RecordBatch) -> pa.RecordBatch:
+        automata = [s.value for s in shared]
+        texts = part.column(text).cast(pa.binary()).to_pylist()
+        return part.filter(pa.array([not scan(automata, t or b"")[1] for t in texts], pa.bool_()))
 
-        docs = mapped(docs, text, body, docs.schema)
-    return docs
+    return mapped(docs, text, body, docs.schema)

@@ -38,6 +38,8 @@ def tables(spark):
     items = [(1, line(30)), (2, line(10)), (10, "Short ITEM"), (None, line(12)), (5, None), (6, ""), (1, line(11)), (7, "...")]
     rows = [(i, f"{line(8)} {rng.choice(items)[1]}! {line(9)}") for i in range(40)]
     rows += [(100, None), (101, ""), (102, "short, item"), (102, "short, item"), (None, items[0][1]), (103, "shorts item")]
+    # One id, one number of words, with and without a window; ids that are null too.
+    rows += [(105, items[1][1]), (105, "no " * 10), (None, items[1][1]), (None, "no " * 10)]
     rows.append((104, (line(9) + " zz ") * 3000 + items[1][1].upper()))
     return rows, items
 
