@@ -138,6 +138,11 @@ class Filter:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> Filter:
     """A filter learned from the labelled rows given; keep held-out rows away from it."""
     known = docs.where(F.col(language).isNotNull()).select(F.col(key).alias("key"), F.col(language).alias("lang"))
+    # Twice as many as wanted pass by their hash, so that few meet for the ranks.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("held"))
+    share = 2.0 * SAMPLE / F.col("held")
+    low = F.lit(-(2.0**63)) + share * 2.0**64
+    known = known.join(F.broadcast(sizes), "lang").where((share >= 1) | (F.xxhash64("key") <= low)).drop("held")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).drop("rank")
     # At most SAMPLE keys of each language.
@@ -178,15 +183,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
 def predict(docs: DataFrame, model: Filter, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, lang_pred and score, the winner's share of the two
     largest corrected counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.slots))
     table: list[np.ndarray] = []
 
     def body(part: pa.RecordBatch) -> pa.RecordBatch:
         if not table:
             table.append(letters())
         names, scores = [], []
-        languages = shared.value.languages
-        total, counts = shared.value.counts(part.column(1).to_pylist(), table[0])
+        languages = shared.value[0]
+        total, counts = Filter(*shared.value).counts(part.column(1).to_pylist(), table[0])
         for n, row in zip(total.tolist(), np.maximum(counts, 0)):
             if not n or not languages:
                 names.append(UNKNOWN)

@@ -22,7 +22,7 @@ by `clean` and ignored by `scores`.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,6 +101,10 @@ class Model:
     weights: np.ndarray
     factors: np.ndarray
 
+    def parts(self) -> tuple[dict[int, int], float, np.ndarray, np.ndarray]:
+        """What is sent to executors, which need not have this class."""
+        return self.chosen, self.bias, self.weights, self.factors
+
     def score(self, features: set[int]) -> float:
         at = sorted(features)
         v = self.factors[at]
@@ -214,13 +218,26 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(chosen, bias, weights[: len(chosen)], factors[: len(chosen)])
 
 
+def _held(docs: DataFrame, model: Model) -> Callable[[], tuple[Model, WordTerms]]:
+    """Gives the model and a memory of words inside a task, made once a worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    made: list[tuple[Model, WordTerms]] = []
+
+    def get() -> tuple[Model, WordTerms]:
+        if not made:
+            made.append((Model(*shared.value), WordTerms(shared.value[0])))
+        return made[0]
+
+    return get
+
+
 def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    memory = WordTerms(model.chosen)
+    held = _held(docs, model)
 
     def body(part: pa.RecordBatch) -> pa.RecordBatch:
-        values = [shared.value.score(terms_of(t, memory)) for t in part.column(1).to_pylist()]
+        machine_, memory = held()
+        values = [machine_.score(terms_of(t, memory)) for t in part.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64())], ["key", "score"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("body"))
@@ -230,11 +247,11 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
 def clean(docs: DataFrame, model: Model, text: str = "text", limit: float = TOXIC) -> DataFrame:
     """The documents that score below the limit, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    memory = WordTerms(model.chosen)
+    held = _held(docs, model)
 
     def body(part: pa.RecordBatch) -> pa.RecordBatch:
+        machine_, memory = held()
         texts = part.column(text).to_pylist()
-        return part.filter(pa.array([shared.value.score(terms_of(t, memory)) < limit for t in texts], pa.bool_()))
+        return part.filter(pa.array([machine_.score(terms_of(t, memory)) < limit for t in texts], pa.bool_()))
 
     return mapped(docs, text, body, docs.schema)
