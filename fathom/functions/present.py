@@ -31,16 +31,24 @@ def context_after(text: Column, answer: Column) -> Column:
     )
 
 
-def snippet_before(text: Column, answer: Column, width: int = SNIPPET_CHARS) -> Column:
+def snippet_before(
+    text: Column, answer: Column, width: int = SNIPPET_CHARS, start: Column | None = None
+) -> Column:
+    """Text before the answer: before `start` where it is given and not null, else
+    before the answer's first occurrence."""
     at = answer_position(text, answer)
+    at = at if start is None else F.coalesce(start, at)
     lead = F.greatest(at - width, F.lit(0))
     return F.when(at == 0, F.lit("")).when(
         at > 0, F.concat(F.lit(GAP), F.substring(text, lead + 1, at - lead))
     )
 
 
-def snippet_after(text: Column, answer: Column, width: int = SNIPPET_CHARS) -> Column:
+def snippet_after(
+    text: Column, answer: Column, width: int = SNIPPET_CHARS, start: Column | None = None
+) -> Column:
     at = answer_position(text, answer)
+    at = at if start is None else F.coalesce(start, at)
     return F.when(
         at.isNotNull(),
         F.concat(F.substring(text, at + F.length(answer) + 1, F.lit(width)), F.lit(GAP)),

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
+from fathom.functions.columns import bind
+
 # Everything that is not a letter, mark or digit separates words.
 SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -28,6 +32,22 @@ def standard(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
 
+def word_ranges(text: Column) -> Column:
+    """Character range (start, end; end exclusive) of each word of `standard`, in
+    order: the text's own characters, before they are lower-cased."""
+
+    def of(chars: Column) -> Column:
+        last = F.size(chars) - 1
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        gap = lambda i: F.coalesce(F.get(chars, i), F.lit(" ")) == " "
+        starts = F.filter(places, lambda i: ~gap(i) & gap(i - 1))
+        ends = F.transform(F.filter(places, lambda i: ~gap(i) & gap(i + 1)), lambda i: i + 1)
+        return F.arrays_zip(starts.alias("start"), ends.alias("end"))
+
+    blank = F.regexp_replace(text, SEPARATOR.rstrip("+"), " ")
+    return bind(F.array_remove(F.split(blank, ""), ""), of)
+
+
 def english_unstemmed(text: Column) -> Column:
     """Standard words without possessive endings and stop words."""
     bare = F.regexp_replace(text, r"['’＇][sS](?![\p{L}\p{M}\p{N}])", "")
@@ -46,21 +66,32 @@ ANALYZERS: dict[str, Analyzer] = {
 }
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_all(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Porter stems of each row's words. A task stems a word it has met before
-    from memory; the memory has a fixed size."""
-    known: dict[str, str] = {}
+class Stems(dict):
+    """Word to stem, remembered for the words met last."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= STEMS_REMEMBERED:
+            self.clear()
+        stem = self[word] = porter_stem(word)
+        return stem
+
+
+def stemmed(words: pa.Array, known: Stems) -> pa.Array:
+    """Stems of an array of words; each distinct one is stemmed once."""
+    coded = words.dictionary_encode()
+    stems = pa.array([known[w] for w in coded.dictionary.to_pylist()], pa.string())
+    return stems.take(coded.indices)
 
-    def stem(word: str) -> str:
-        if word not in known:
-            if len(known) >= STEMS_REMEMBERED:
-                known.clear()
-            known[word] = porter_stem(word)
-        return known[word]
 
-    for tokens in batches:
-        yield tokens.map(lambda row: None if row is None else [stem(w) for w in row])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stem_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Porter stems of each row's words, by the distinct words of a batch."""
+    known = Stems()
+    for lists in batches:
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        missing = None if lists.null_count == 0 else pc.is_null(lists)
+        yield pa.ListArray.from_arrays(ends, stemmed(lists.flatten(), known), mask=missing)
 
 
 # Porter (1980), "An algorithm for suffix stripping". Each step lists

@@ -7,7 +7,8 @@ search goes through fathom.operators.knn, whose kernels work on blocks."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from fathom.functions.columns import total
@@ -63,12 +64,12 @@ def is_valid(v: Column, dim: int) -> Column:
     return F.coalesce((F.size(v) == dim) & finite, F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def to_half(v: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def to_half(v: pa.Array) -> pa.Array:
     """Values rounded to half precision; Spark has no 16-bit type, so they
-    stay in array<float>."""
-    return v.map(
-        lambda row: None
-        if row is None
-        else np.asarray(row, dtype=np.float32).astype(np.float16).astype(np.float32)
-    )
+    stay in array<float>. A null value becomes NaN."""
+    lengths = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    values = v.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    halves = pa.array(values.astype(np.float16).astype(np.float32))
+    return pa.ListArray.from_arrays(ends, halves, mask=pc.is_null(v) if v.null_count else None)

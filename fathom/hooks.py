@@ -3,12 +3,15 @@ Python worker and returns a function over a batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathom.functions.text import standard
 
@@ -39,35 +42,88 @@ def reader(make_read: Callable, batch_size: int = 64) -> Callable[[Column, Colum
     return predict_batch_udf(make_read, return_type=READ, batch_size=batch_size)
 
 
-def _buckets(text: Column, dim: int) -> Column:
-    """Bucket of every word: the first eight digits of its MD5, modulo dim."""
-    return F.transform(
-        standard(text), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    )
+@dataclass(frozen=True)
+class HashedEmbedding:
+    """Embedding without a model: hashed term counts weighted by rarity, unit length.
+
+    What is fitted are the rarities, `dim` numbers whatever the corpus. They are kept
+    beside an index, so that corpus and questions are embedded alike."""
+
+    rarity: tuple[float, ...]
+
+    @classmethod
+    def fit(cls, corpus: DataFrame, text: str, dim: int = 256) -> HashedEmbedding:
+        """One pass over the corpus, of which `dim` numbers reach the driver."""
+
+        def held(batch: pa.RecordBatch) -> np.ndarray:
+            return np.append((_counts(batch.column(0), dim) > 0).sum(axis=0), batch.num_rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(dim + 1, np.int64)
+            for part in _slices(batches):
+                total += held(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(total)], ["bucket", "n"])
+
+        found = np.zeros(dim + 1, np.int64)
+        counts = _tokens(corpus, text).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        for row in counts.collect():
+            found[row["bucket"]] = row["n"]
+        return cls(tuple(np.log((found[dim] + 1) / (found[:dim] + 1)).tolist()))
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        rows = spark.createDataFrame(list(enumerate(self.rarity)), "bucket int, rarity double")
+        rows.coalesce(1).write.parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> HashedEmbedding:
+        return cls(tuple(row["rarity"] for row in spark.read.parquet(path).orderBy("bucket").collect()))
+
+    def embed(self, rows: DataFrame, text: str, vector: str = "embedding") -> DataFrame:
+        """The rows with the vector of a text column; a text without words has zeros."""
+        rarity = np.array(self.rarity)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _slices(batches):
+                values = _counts(part.column(0), len(rarity)) * rarity
+                length = np.sqrt((values**2).sum(axis=1))
+                values = (values / np.where(length > 0, length, 1)[:, None]).astype(np.float32)
+                ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(rarity))
+                found = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*part.schema.names[1:], vector])
+
+        kept = [c for c in rows.columns if c != vector]
+        schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(vector, T.ArrayType(T.FloatType()))])
+        return _tokens(rows.select(*kept), text, "*").mapInArrow(run, schema)
+
+
+def _tokens(rows: DataFrame, text: str, *more: str) -> DataFrame:
+    words = F.coalesce(standard(F.col(text)), F.array().cast("array<string>"))
+    return rows.select(words.alias("_words"), *more)
+
+
+# Rows whose counts are held at once.
+ROWS = 4096
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
+def _counts(words: pa.Array, dim: int) -> np.ndarray:
+    """How many words of each text are in each bucket: a word's is the first eight
+    digits of its MD5, modulo dim. Each distinct word is hashed once a slice."""
+    lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    buckets = [int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in coded.dictionary.to_pylist()]
+    of_word = np.array(buckets, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+    cells = np.repeat(np.arange(len(lengths)), lengths) * dim + of_word
+    return np.bincount(cells, minlength=len(lengths) * dim).reshape(len(lengths), dim)
 
 
 def hashed_embedding(
     rows: DataFrame, text: str, dim: int = 256, vector: str = "embedding", fit_on: DataFrame | None = None
 ) -> DataFrame:
-    """Embedding without a model: hashed term counts weighted by rarity, unit
-    length. Pass the corpus as `fit_on` when embedding questions.
-
-    Counting needs one pass and sends `dim` numbers to the driver."""
-    corpus = (rows if fit_on is None else fit_on).select(_buckets(F.col(text), dim).alias("buckets"))
-    held = F.array_distinct(F.coalesce("buckets", F.array().cast("array<int>")))
-    per_bucket = corpus.select(F.explode(F.array_append(held, F.lit(-1))).alias("bucket")).groupBy("bucket").count()
-    found = {row["bucket"]: row["count"] for row in per_bucket.collect()}
-    # Every text counts once as bucket -1.
-    n = found.get(-1, 0)
-    rarity = np.array([np.log((n + 1) / (found.get(b, 0) + 1)) for b in range(dim)])
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def weighted(buckets: pd.Series) -> pd.Series:
-        def one(row) -> np.ndarray:
-            values = np.bincount(np.asarray([] if row is None else row, np.int64), minlength=dim) * rarity
-            length = np.sqrt((values**2).sum())
-            return (values / length if length else values).astype(np.float32)
-
-        return buckets.map(one)
-
-    return rows.withColumn(vector, weighted(_buckets(F.col(text), dim)))
+    """Rows embedded by what is fitted on them, or on the corpus `fit_on`."""
+    return HashedEmbedding.fit(rows if fit_on is None else fit_on, text, dim).embed(rows, text, vector)

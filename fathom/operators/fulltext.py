@@ -1,19 +1,34 @@
-"""Postings, term statistics, TF-IDF and BM25 for whole tables of questions."""
+"""Term counts, statistics, TF-IDF and BM25 for whole tables of questions.
+
+The index has one row per document, its distinct words with their counts. Scoring
+takes the questions to the documents: a task adds up the scores of its own
+documents and hands on k of them for each question, so nothing but those is
+exchanged. For few questions over a large corpus there are postings as well,
+stored by bucket of the term in blocks with the block's peak: only the buckets of
+the asked terms are read, and only blocks of documents that can still get in."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from fathom.functions.columns import bind
-from fathom.functions.text import ANALYZERS, Analyzer, standard
+from fathom.functions.text import ANALYZERS, Analyzer, Stems, english, english_unstemmed, standard, stemmed
 from fathom.operators.joins import checked
 from fathom.operators.ranking import SCORE_DIGITS, top_k
 from fathom.session import settled
 
 K1 = 1.2
 B = 0.75
+# Documents of one file that follow each other share a range of 2 ** RANGE_BITS;
+# a block holds a term's postings of one range.
+RANGE_BITS = 6
+TERM_BUCKETS = 64
 
 
 def analyzed(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
@@ -22,47 +37,55 @@ def analyzed(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard
 
 
 def count_words(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
-    """key, dl, term, tf, plus one row without a term for every document.
-
-    A row is a document, so its words are counted inside the row and nothing is
-    exchanged: the sorted words are cut where a word differs from the one before,
-    and the distance between cuts is a word's count. The row without a term keeps
-    the length of each document, so one pass over the texts gives everything."""
-    ordered = F.array_sort(F.coalesce(analyzer(F.col(text)), F.array().cast("array<string>")))
-    counted = bind(ordered, _runs)
-    return docs.select(F.col(key).alias("key"), F.explode(counted).alias("word")).select(
-        "key", F.col("word.dl").alias("dl"), F.col("word.term").alias("term"), F.col("word.tf").alias("tf")
+    """key, dl, terms, tfs: one row per document with its length and its distinct
+    words and their counts.
+
+    Words are numbered over a batch of documents and counted by sorting the numbers,
+    so a document's words are counted where it lies and nothing is exchanged. The
+    English analyzer stems the batch's distinct words, not every occurrence."""
+    stems = analyzer is english
+    words = F.coalesce((english_unstemmed if stems else analyzer)(F.col(text)), F.array().cast("array<string>"))
+    rows = docs.select(F.col(key).alias("key"), words.alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Stems() if stems else None
+        for batch in batches:
+            if batch.num_rows:
+                yield _counted(batch, known)
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, dl int, terms array<string>, tfs array<int>")
+
+
+def _counted(batch: pa.RecordBatch, known: Stems | None) -> pa.RecordBatch:
+    lists = batch.column(1)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = lists.flatten()
+    coded = (words if known is None else stemmed(words, known)).dictionary_encode()
+    n = max(len(coded.dictionary), 1)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    pairs, tf = np.unique(row * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    ends = np.searchsorted(pairs, np.arange(len(lengths) + 1) * n).astype(np.int32)
+    terms = coded.dictionary.take(pa.array(pairs % n))
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0),
+            pa.array(lengths.astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(ends), terms),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.int32))),
+        ],
+        ["key", "dl", "terms", "tfs"],
     )
 
 
-def _runs(words: Column) -> Column:
-    """(dl, term, tf) of sorted words, and a last one without a term."""
-    n = F.size(words)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    first = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
-
-    def counted(starts: Column) -> Column:
-        return F.transform(
-            starts,
-            lambda at, k: F.struct(
-                n.alias("dl"),
-                F.get(words, at).alias("term"),
-                (F.coalesce(F.get(starts, k + 1), n) - at).alias("tf"),
-            ),
-        )
-
-    nothing = F.lit(None).cast("string").alias("term"), F.lit(1).alias("tf")
-    return F.concat(bind(first, counted), F.array(F.struct(n.alias("dl"), *nothing)))
-
-
-def split_counts(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """documents(key, dl) and postings(key, dl, term, tf)."""
-    documents = counted.where(F.col("term").isNull()).select("key", "dl")
-    return documents, counted.where(F.col("term").isNotNull())
+def exploded(words: DataFrame) -> DataFrame:
+    """key, dl, term, tf: a row for each word of each document."""
+    rows = words.select("key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("word"))
+    return rows.select("key", "dl", F.col("word.terms").alias("term"), F.col("word.tfs").alias("tf"))
 
 
 def postings(docs: DataFrame, key: str, text: str, analyzer: Analyzer = standard) -> DataFrame:
-    return split_counts(count_words(docs, key, text, analyzer))[1]
+    return exploded(count_words(docs, key, text, analyzer))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -74,25 +97,40 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 class TextIndex:
     """Term statistics of a corpus.
 
-    documents(key, dl)      one row per document
-    postings(key, dl, term, tf)
-    terms(term, df, peak)   peak: largest tf part any document reaches
+    words(key, dl, terms, tfs)   one row per document
+    terms(term, df, peak)        peak: largest tf part any document reaches
+    blocks(bucket, term, range, peak, keys, dls, tfs)   postings, where stored
     """
 
-    documents: DataFrame
-    postings: DataFrame
+    words: DataFrame
     terms: DataFrame
     analyzer: str = "standard"
     k1: float = K1
     b: float = B
+    blocks: DataFrame | None = None
+
+    @property
+    def documents(self) -> DataFrame:
+        """key, dl of every document."""
+        return self.words.select("key", "dl")
+
+    @property
+    def postings(self) -> DataFrame:
+        return exploded(self.words)
+
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Number of documents and their mean length."""
+        row = self.words.agg(F.count("*").alias("n"), F.avg("dl").alias("dl")).first()
+        return row["n"], row["dl"] or 0.0
 
     @property
     def n_docs(self) -> Column:
-        return self.documents.agg(F.count(F.lit(1))).scalar()
+        return F.lit(self.size[0])
 
     @property
     def avg_dl(self) -> Column:
-        return self.documents.agg(F.avg("dl")).scalar()
+        return F.lit(self.size[1])
 
     def saturation(self) -> Column:
         return _saturation(self.avg_dl, self.k1, self.b)
@@ -112,14 +150,40 @@ def build_index(
     b: float = B,
 ) -> TextIndex:
     """Index as a lazy plan over the documents."""
-    counted = count_words(docs, key, text, ANALYZERS[analyzer])
-    documents, posts = split_counts(counted)
-    return TextIndex(documents, posts, _term_table(documents, posts, k1, b), analyzer, k1, b)
+    words = count_words(docs, key, text, ANALYZERS[analyzer])
+    return TextIndex(words, _term_table(words, k1, b), analyzer, k1, b)
+
+
+def _term_table(words: DataFrame, k1: float, b: float) -> DataFrame:
+    peak = F.max(_saturation(words.agg(F.avg("dl")).scalar(), k1, b))
+    return exploded(words).groupBy("term").agg(F.count(F.lit(1)).alias("df"), peak.alias("peak"))
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _block_table(index: TextIndex) -> DataFrame:
+    """Postings in blocks: those of one term in one range of documents. What a
+    block can add to a score is known from its peak, without its postings."""
+    rows = index.words.select("range", *(c for c in index.words.columns if c != "range"))
+    rows = rows.select("range", "key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("word"))
+    rows = rows.select("range", "key", "dl", F.col("word.terms").alias("term"), F.col("word.tfs").alias("tf"))
+    held = F.sort_array(F.collect_list(F.struct("key", "dl", "tf"))).alias("held")
+    blocks = rows.groupBy("term", "range").agg(F.max(index.saturation()).alias("peak"), held)
+    return blocks.select(
+        term_bucket(F.col("term")).alias("bucket"),
+        "term",
+        "range",
+        "peak",
+        F.col("held.key").alias("keys"),
+        F.col("held.dl").alias("dls"),
+        F.col("held.tf").alias("tfs"),
+    )
 
 
-def _term_table(documents: DataFrame, posts: DataFrame, k1: float, b: float) -> DataFrame:
-    peak = F.max(_saturation(documents.agg(F.avg("dl")).scalar(), k1, b))
-    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), peak.alias("peak"))
+def _ranged(words: DataFrame) -> DataFrame:
+    return words.withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
 
 
 def write_index(
@@ -130,26 +194,32 @@ def write_index(
     analyzer: str = "standard",
     k1: float = K1,
     b: float = B,
+    blocks: bool = False,
 ) -> TextIndex:
-    """Analyze the corpus once and store the index below `path`.
-
-    Each file holds the counts of its own documents sorted by term: a common
-    term spreads over all files, and page statistics let a scan for few terms,
-    or for the document lengths, skip most of each file."""
-    counted = count_words(docs, key, text, ANALYZERS[analyzer])
-    counted.sortWithinPartitions("term", "key").write.parquet(f"{path}/counts")
+    """Analyze the corpus once and store the index below `path`, with `blocks` also
+    the postings by bucket of their term, for questions that are to read little."""
     spark = docs.sparkSession
-    stored = split_counts(spark.read.parquet(f"{path}/counts"))
-    _term_table(*stored, k1, b).write.parquet(f"{path}/terms")
-    return read_index(spark, path, analyzer, k1, b)
+    _ranged(count_words(docs, key, text, ANALYZERS[analyzer])).write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    _term_table(words, k1, b).write.parquet(f"{path}/terms")
+    if blocks:
+        index = read_index(spark, path, analyzer, k1, b, blocks=False)
+        table = _block_table(index).repartitionByRange("bucket", "term", "range")
+        table.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    return read_index(spark, path, analyzer, k1, b, blocks)
 
 
 def read_index(
-    spark: SparkSession, path: str, analyzer: str = "standard", k1: float = K1, b: float = B
+    spark: SparkSession,
+    path: str,
+    analyzer: str = "standard",
+    k1: float = K1,
+    b: float = B,
+    blocks: bool = False,
 ) -> TextIndex:
     """Open an index stored by `write_index` with the same settings."""
-    documents, posts = split_counts(spark.read.parquet(f"{path}/counts"))
-    return TextIndex(documents, posts, spark.read.parquet(f"{path}/terms"), analyzer, k1, b)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return TextIndex(read("words"), read("terms"), analyzer, k1, b, read("blocks") if blocks else None)
 
 
 def question_terms(
@@ -176,15 +246,17 @@ def inverse_frequency(index: TextIndex) -> DataFrame:
     return index.terms.select("term", "df", F.log(index.n_docs / F.col("df")).alias("idf"))
 
 
-def tfidf_scores(index: TextIndex, qterms: DataFrame) -> DataFrame:
-    """question_id, key, score: sum of qtf * tf * idf over shared terms."""
-    asked = checked(qterms)
-    weighted = inverse_frequency(index).join(asked.side, "term")
-    return (
-        index.postings.join(asked.hint(weighted), "term")
-        .groupBy("question_id", "key")
-        .agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"))
-    )
+def tfidf_weights(index: TextIndex, qterms: DataFrame) -> DataFrame:
+    """question_id, term, weight: qtf * idf."""
+    weight = (F.col("qtf") * F.col("idf")).alias("weight")
+    return inverse_frequency(index).join(qterms, "term").select("question_id", "term", weight)
+
+
+def tfidf_top_k(index: TextIndex, questions: DataFrame, k: int = 5, stem: bool = False) -> DataFrame:
+    """question_id, key, score, rank of the k documents with the largest sum of qtf *
+    tf * idf over the terms they share with a question."""
+    weighted = settled(tfidf_weights(index, question_terms(questions, index.analyzer, stem)), "question-terms")
+    return top_k(_local_best(index, weighted, k, saturate=False), k)
 
 
 def weighted_terms(index: TextIndex, qterms: DataFrame) -> DataFrame:
@@ -199,26 +271,135 @@ def weighted_terms(index: TextIndex, qterms: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(index: TextIndex, weighted: DataFrame) -> DataFrame:
-    """question_id, key, score for every document that shares a given term."""
-    part = F.col("weight") * index.saturation()
-    return (
-        index.postings.join(weighted.select("question_id", "term", "weight"), "term")
-        .groupBy("question_id", "key")
-        .agg(F.sum(part).alias("score"))
+# Rows (question, term) and questions that are taken to the documents at once; more
+# are taken in several passes.
+TERM_ROWS = 1_000_000
+QUESTIONS = 4096
+# Scores of a slice of documents held at once, and products before they are added up.
+CELLS = 1 << 20
+PRODUCTS = 1 << 22
+
+
+def _local_best(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -> DataFrame:
+    """question_id, key, score of k documents for each question and task, which hold
+    the best k of all, for stored weights. A document's words are in one row, so its scores are added
+    up where it lies and only the best leave the task."""
+    weighted = weighted.select("question_id", "term", "weight")
+    sizes = weighted.agg(F.count("*").alias("n"), F.approx_count_distinct("question_id").alias("q")).first()
+    passes = max(1, -(-sizes["n"] // TERM_ROWS), -(-sizes["q"] * 5 // (4 * QUESTIONS)))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(passes))
+    return reduce(
+        DataFrame.unionByName,
+        [_best_of_pass(index, weighted.where(part == n) if passes > 1 else weighted, k, saturate) for n in range(passes)],
     )
 
 
+def _best_of_pass(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -> DataFrame:
+    asked = weighted.toArrow().combine_chunks()
+    questions, terms = pc.unique(asked["question_id"]), pc.unique(asked["term"])
+    term = pc.index_in(asked["term"], terms).to_numpy().astype(np.int64)
+    order = np.argsort(term, kind="stable")
+    starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    question = pc.index_in(asked["question_id"], questions).to_numpy().astype(np.int64)[order]
+    weight = asked["weight"].to_numpy()[order]
+    scale = (index.k1, index.b, index.size[1]) if saturate else None
+    shared = index.words.sparkSession.sparkContext.broadcast(
+        (questions, terms, starts, question, weight)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, *held = shared.value
+        if not len(questions):
+            return
+        best = Best(len(questions), k)
+        rows = max(1, CELLS // len(questions))
+        for batch in batches:
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                best.add(_scores(part, *held, len(questions), scale), part.column(0).to_numpy(zero_copy_only=False))
+        if len(best.question):
+            key = pa.array(best.key, batch.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays(
+                [questions.take(pa.array(best.question)), key, pa.array(best.score)], ["question_id", "key", "score"]
+            )
+
+    kinds = [(df.schema[c].dataType.simpleString()) for df, c in ((weighted, "question_id"), (index.words, "key"))]
+    chosen = index.words.select("key", "dl", "terms", "tfs")
+    return chosen.mapInArrow(run, f"question_id {kinds[0]}, key {kinds[1]}, score double")
+
+
+def _scores(
+    part: pa.RecordBatch,
+    terms: pa.Array,
+    starts: np.ndarray,
+    question: np.ndarray,
+    weight: np.ndarray,
+    n_questions: int,
+    scale: tuple[float, float, float] | None,
+) -> np.ndarray:
+    """Scores of each question (row) and document (column); -inf where they share no
+    term."""
+    n = part.num_rows
+    lists = part.column(2)
+    row = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    number = pc.fill_null(pc.index_in(lists.flatten(), terms), -1).to_numpy(zero_copy_only=False)
+    known = number >= 0
+    row, number = row[known], number[known]
+    value = part.column(3).flatten().to_numpy(zero_copy_only=False)[known].astype(np.float64)
+    if scale is not None:
+        k1, b, mean = scale
+        dl = part.column(1).to_numpy(zero_copy_only=False)
+        value = value / (value + k1 * (1 - b + b * dl[row] / mean))
+    total = np.zeros(n_questions * n)
+    met = np.zeros(n_questions * n, bool)
+    many = starts[number + 1] - starts[number]
+    done = np.cumsum(many)
+    at = 0
+    while at < len(number):
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PRODUCTS, "right")))
+        times = many[at:end]
+        place = np.repeat(starts[number[at:end]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        cell = question[place] * n + np.repeat(row[at:end], times)
+        total += np.bincount(cell, weight[place] * np.repeat(value[at:end], times), len(total))
+        met[cell] = True
+        at = end
+    return np.where(met, total, -np.inf).reshape(n_questions, n)
+
+
+class Best:
+    """The k best documents of each question so far, by rounded score, then key."""
+
+    def __init__(self, questions: int, k: int):
+        self.k = k
+        self.least = np.full(questions, -np.inf)
+        self.question, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        if scores.shape[1] > self.k:
+            cut = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            # Scores are compared after rounding, so a little less may still count.
+            self.least = np.maximum(self.least, cut - TOLERANCE)
+        question, column = np.nonzero((scores >= self.least[:, None]) & (scores > -np.inf))
+        scale = 10.0**SCORE_DIGITS
+        score = np.concatenate([self.score, np.floor(scores[question, column] * scale + 0.5) / scale])
+        key = keys[column] if self.key is None else np.concatenate([self.key, keys[column]])
+        question = np.concatenate([self.question, question])
+        place = np.unique(key, return_inverse=True)[1]
+        order = np.lexsort((place, -score, question))
+        question, score, key = question[order], score[order], key[order]
+        rank = np.arange(len(question)) - np.searchsorted(question, np.arange(len(self.least)))[question]
+        last = rank == self.k - 1
+        self.least[question[last]] = np.maximum(self.least[question[last]], score[last] - TOLERANCE)
+        keep = rank < self.k
+        self.question, self.score, self.key = question[keep], score[keep], key[keep]
+
+
 # Matching rows (one per question term and document holding it) up to which
 # every matching document is scored.
 FULL_SCORING_ROWS = 2_000_000_000
-# Documents per question, as a multiple of k, scored first to learn what a good
-# score is.
-SEEDS = 4
-RARE_DOCUMENTS = 1000
-# Part of the floor that optional terms may make up. Less makes more terms
-# required, and leaves fewer documents that could still get in.
-OPTIONAL_SHARE = 0.5
+# Ranges of each question, those with the largest bounds, that are scored first to
+# learn what a good score is.
+FIRST_RANGES = 4
 # Scores are compared after rounding, so bounds give way by more than that.
 TOLERANCE = 10.0 ** (1 - SCORE_DIGITS)
 
@@ -232,82 +413,55 @@ def bm25_top_k(
 ) -> DataFrame:
     """question_id, key, score, rank of the k best documents per question.
 
-    Where the questions match more than `full_scoring_rows` rows, documents
-    that cannot be among the k best are left out early; the result is the
-    same."""
-    weighted = weighted_terms(index, question_terms(questions, index.analyzer, stem))
-    weighted = settled(weighted, "question-terms")
-    matches = weighted.agg(F.sum("df")).first()[0] or 0
-    if matches <= full_scoring_rows:
-        return top_k(bm25_scores(index, weighted), k)
-    return top_k(_contender_scores(index, weighted, k), k)
+    Where the questions match more than `full_scoring_rows` rows and the index has
+    blocks, documents that cannot be among the k best are not read; the result is
+    the same."""
+    weighted = settled(weighted_terms(index, question_terms(questions, index.analyzer, stem)), "question-terms")
+    if index.blocks is not None and (weighted.agg(F.sum("df")).first()[0] or 0) > full_scoring_rows:
+        return pruned_top_k(index, weighted, k)
+    return top_k(_local_best(index, weighted, k, saturate=True), k)
 
 
-def _parts_of(index: TextIndex, pairs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """question_id, key, score of each given term in the given documents only.
-
-    The wanted (term, document) pairs are settled first, so that the planner
-    knows their size and the postings stay where they are when it is small."""
-    wanted = pairs.select("question_id", "key").join(
-        weighted.select("question_id", "term", "weight"), "question_id"
-    )
-    part = F.col("weight") * index.saturation()
-    return index.postings.join(settled(wanted, "look-ups"), ["term", "key"]).select(
-        "question_id", "key", part.alias("score")
-    )
-
-
-def _summed(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("question_id", "key").agg(F.sum("score").alias("score"))
+def bounds(index: TextIndex, weighted: DataFrame) -> DataFrame:
+    """question_id, range, bound: the most that a document of a range can score, from
+    the peaks of the blocks alone."""
+    asked = checked(weighted.select("question_id", "term", "weight"))
+    directory = _asked_blocks(index, weighted).select("term", "range", "peak")
+    met = directory.join(asked.side, "term")
+    return met.groupBy("question_id", "range").agg(F.sum(F.col("weight") * F.col("peak")).alias("bound"))
 
 
-def _floors(index: TextIndex, weighted: DataFrame, k: int) -> DataFrame:
-    """question_id, floor: a score that k documents are known to reach. A few
-    documents that do well on the question's rarest terms are scored in full."""
-    rare_first = Window.partitionBy("question_id").orderBy("df", "term")
-    before = F.sum("df").over(rare_first.rowsBetween(Window.unboundedPreceding, -1))
-    rare = weighted.withColumn("before", F.coalesce(before, F.lit(0))).where(
-        F.col("before") < RARE_DOCUMENTS
-    )
-    seeds = settled(top_k(bm25_scores(index, rare), SEEDS * k), "seeds")
-    best = top_k(_summed(_parts_of(index, seeds, weighted)), k)
-    return (
-        best.groupBy("question_id")
-        .agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == k)
-        .select("question_id", "floor")
-    )
+def _asked_blocks(index: TextIndex, weighted: DataFrame) -> DataFrame:
+    """Blocks in the buckets of the asked terms, a filter on the folders that are read."""
+    buckets = [row[0] for row in weighted.select(term_bucket(F.col("term"))).distinct().collect()]
+    return index.blocks.where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
 
 
-def _contender_scores(index: TextIndex, weighted: DataFrame, k: int) -> DataFrame:
-    """question_id, key, score for a set of documents that holds the k best.
-
-    Terms of a question whose bounds together stay below the floor are
-    optional: a document with nothing else cannot get in. Documents with a
-    required term are scored on those first; what they could still gain from
-    optional terms decides whether these are looked up at all. So a word found
-    in most documents costs one look-up per contender instead of one row per
-    question and document."""
-    floors = _floors(index, weighted, k)
-    low_first = Window.partitionBy("question_id").orderBy("bound", "term")
-    so_far = F.sum("bound").over(low_first.rowsBetween(Window.unboundedPreceding, 0))
-    floor = F.coalesce("floor", F.lit(0.0)) - TOLERANCE
-    terms = weighted.join(floors, "question_id", "left").select(
-        "question_id", "term", "weight", "bound", floor.alias("floor"), (so_far < floor * OPTIONAL_SHARE).alias("optional")
-    )
-    gain = F.sum(F.when(F.col("optional"), F.col("bound")).otherwise(0.0)).over(
-        Window.partitionBy("question_id")
+def _range_scores(index: TextIndex, weighted: DataFrame, ranges: DataFrame) -> DataFrame:
+    """question_id, key, score of the documents of some ranges of each question."""
+    wanted = checked(
+        settled(ranges.select("question_id", "range").join(weighted.select("question_id", "term", "weight"), "question_id"), "look-ups")
     )
-    terms = settled(terms.withColumn("needed", F.col("floor") - gain), "term-roles")
-    required = terms.where(~F.col("optional")).select("question_id", "term", "weight", "needed")
-
-    part = F.col("weight") * index.saturation()
-    contenders = (
-        index.postings.join(required, "term")
-        .groupBy("question_id", "key")
-        .agg(F.sum(part).alias("score"), F.max("needed").alias("needed"))
-        .where(F.col("score") >= F.col("needed"))
-        .select("question_id", "key", "score")
+    met = _asked_blocks(index, weighted).select("term", "range", "keys", "dls", "tfs").join(wanted.side, ["term", "range"])
+    rows = met.select("question_id", "weight", F.explode(F.arrays_zip("keys", "dls", "tfs")).alias("post"))
+    rows = rows.select(
+        "question_id", "weight", F.col("post.keys").alias("key"), F.col("post.dls").alias("dl"), F.col("post.tfs").alias("tf")
     )
-    contenders = settled(contenders, "contenders")
-    return _summed(contenders.unionByName(_parts_of(index, contenders, terms.where("optional"))))
+    return rows.groupBy("question_id", "key").agg(F.sum(F.col("weight") * index.saturation()).alias("score"))
+
+
+def pruned_top_k(index: TextIndex, weighted: DataFrame, k: int) -> DataFrame:
+    """The k best documents per question from blocks. The ranges with the largest
+    bounds are scored first; their k-th score is a floor, and of the other ranges
+    only those are read whose bound reaches it."""
+    bounded = settled(bounds(index, weighted), "bounds")
+    order = Window.partitionBy("question_id").orderBy(F.desc("bound"), "range")
+    first = settled(bounded.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIRST_RANGES), "first")
+    seeds = settled(top_k(_range_scores(index, weighted, first), k), "seeds")
+    floors = seeds.groupBy("question_id").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
+    floors = floors.where(F.col("n") == k).select("question_id", "floor")
+    rest = bounded.join(first.select("question_id", "range"), ["question_id", "range"], "left_anti")
+    rest = rest.join(floors, "question_id", "left")
+    rest = rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - TOLERANCE))
+    found = top_k(_range_scores(index, weighted, rest), k)
+    return top_k(seeds.drop("rank").unionByName(found.drop("rank")), k)

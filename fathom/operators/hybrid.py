@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.functions.columns import round_nearest
 from fathom.functions.text import standard
+from fathom.hooks import HashedEmbedding
 from fathom.operators import fulltext, knn
 from fathom.operators.joins import BROADCAST_ROWS, checked
 from fathom.operators.ranking import ranked
@@ -115,25 +116,53 @@ def search_branches(
     k: int = 5,
     metric: str = "cosine",
     cells: knn.Cells | None = None,
+    embedding: HashedEmbedding | None = None,
 ) -> DataFrame:
-    """Union of the hits of both branches, each for the questions routed to it."""
+    """Union of the hits of both branches, each for the questions routed to it. With
+    `embedding`, questions that go by vector are embedded here."""
     asked = valid_questions(questions)
-    vector_hits = knn.exact(chunks, route(asked, VECTOR), k, metric, cells=cells)
+    by_vector = route(asked, VECTOR)
+    if embedding is not None:
+        by_vector = embedding.embed(by_vector, "question")
+    vector_hits = knn.exact(chunks, by_vector, k, metric, cells=cells)
     text_hits = fulltext.bm25_top_k(index, route(asked, FULLTEXT), k)
     return union_hits(vector_hits, text_hits)
 
 
-def with_texts(hits: DataFrame, questions: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+# A table of chunk texts, or what gives one for some hits.
+Texts = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def with_texts(hits: DataFrame, questions: DataFrame, texts: Texts, k: int = 5) -> DataFrame:
     """Hits with their question and chunk text.
 
     There are at most 2k hits per question, so a number of questions that is
     checked for that many rows bounds them; then the hits, without the question
     texts, are broadcast and the chunk texts stay put."""
     asked = checked(questions.select("question_id", "question"), max(1, BROADCAST_ROWS // (2 * k)))
-    found = texts.select("key", "text").join(asked.hint(hits), "key")
+    held = texts if isinstance(texts, DataFrame) else texts(hits)
+    found = held.select("key", "text").join(asked.hint(hits), "key")
     return found.join(asked.side, "question_id")
 
 
+def contexts(
+    hits: DataFrame,
+    questions: DataFrame,
+    texts: Texts,
+    k: int = 5,
+    reranking: bool = True,
+    scorer: PairScore = overlap_logit,
+    dedupe: bool = False,
+) -> DataFrame:
+    """question_id, question, key, text, score, index_score, source, rank of the k
+    best of the hits of both branches."""
+    candidates = with_texts(drop_repeats(hits) if dedupe else hits, questions, texts, k)
+    ordered = rerank(candidates, scorer) if reranking else keep_order(candidates)
+    return ordered.where(F.col("rank") <= k).select(
+        "question_id", "question", "key", "text", "score", "index_score", "source", "rank"
+    )
+
+
 def search(
     chunks: DataFrame,
     index: fulltext.TextIndex,
@@ -145,18 +174,13 @@ def search(
     scorer: PairScore = overlap_logit,
     dedupe: bool = False,
     cells: knn.Cells | None = None,
+    embedding: HashedEmbedding | None = None,
 ) -> DataFrame:
     """question_id, question, key, text, score, index_score, source, rank of
     the k best chunks per question. The pair scorer sees at most 2k chunks per
     question. `texts` holds key and text where `chunks` holds vectors only."""
-    hits = search_branches(chunks, index, questions, k, metric, cells)
-    if dedupe:
-        hits = drop_repeats(hits)
-    candidates = with_texts(hits, questions, chunks if texts is None else texts, k)
-    ordered = rerank(candidates, scorer) if reranking else keep_order(candidates)
-    return ordered.where(F.col("rank") <= k).select(
-        "question_id", "question", "key", "text", "score", "index_score", "source", "rank"
-    )
+    hits = search_branches(chunks, index, questions, k, metric, cells, embedding)
+    return contexts(hits, questions, chunks if texts is None else texts, k, reranking, scorer, dedupe)
 
 
 def return_fields(hits: DataFrame, fields: list[str]) -> DataFrame:

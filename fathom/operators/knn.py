@@ -22,12 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fathom.functions import vectors
 from fathom.operators.joins import checked
 from fathom.operators.ranking import SCORE_DIGITS, top_k
+from fathom.session import settled
 
 # Rows of the corpus read to place centers and to bound the k-th best score.
 # Fixed sizes, whatever the corpus.
@@ -458,6 +459,147 @@ def search_ivf(
     return _probe(held, questions, cells, nprobe, k, key, question, vector)
 
 
+# Folders that stored vectors are dealt to by their key.
+KEY_BUCKETS = 64
+
+
+def key_bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def write_half(
+    chunks: DataFrame,
+    path: str,
+    metric: str = "cosine",
+    key: str = "key",
+    vector: str = "embedding",
+    n_cells: int = CELLS,
+) -> None:
+    """Store the chunks for `search_half`: in packed blocks of two bytes a component,
+    a folder for each cell, which a search reads; and as they are, in folders by
+    bucket of the key, of which it reads the few it reranks.
+
+    A block is scaled by its largest component, so that no value overflows, and
+    keeps the largest distance between a vector and its rounded form."""
+    spark, dim = chunks.sparkSession, common_dim(chunks, vector)
+    cells = survey_cells(chunks, metric, key, vector, n_cells, dim=dim)
+    packed = pack(chunks, key, vector, one_cell(cells), metric, dim)
+
+    def round_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves, scales, gaps = [], [], []
+            for block in batch.column("block").to_pylist():
+                rows = np.frombuffer(block).reshape(-1, dim)
+                scale = float(np.abs(rows).max(initial=0.0)) or 1.0
+                half = (rows / scale).astype(np.float16)
+                halves.append(half.tobytes())
+                scales.append(scale)
+                gaps.append(float(np.linalg.norm(rows - half.astype(np.float64) * scale, axis=1).max(initial=0.0)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cell"), batch.column("ids"), pa.array(halves, pa.binary()), pa.array(scales), pa.array(gaps)],
+                ["cell", "ids", "half", "scale", "gap"],
+            )
+
+    kind = packed.schema["ids"].dataType.simpleString()
+    halved = packed.mapInArrow(round_, f"cell int, ids {kind}, half binary, scale double, gap double")
+    halved.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/half")
+    valid = validate(chunks.select(key, vector), dim, vector)[0].withColumn("bucket", key_bucket(key))
+    valid.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/vectors")
+    rows = [(metric, i, c.tolist(), float(r)) for i, (c, r) in enumerate(zip(cells.centers, cells.radii))]
+    marks = [(metric, -1, m.tolist(), 0.0) for m in cells.landmarks]
+    kept = spark.createDataFrame(rows + marks, "metric string, cell int, center array<double>, radius double")
+    kept.coalesce(1).write.parquet(f"{path}/cells")
+
+
+def _stored_cells(spark: SparkSession, path: str) -> Cells:
+    """A fixed number of centers and landmarks."""
+    rows = spark.read.parquet(f"{path}/cells").toPandas()
+    centers = rows[rows["cell"] >= 0].sort_values("cell")
+    marks = np.stack(rows[rows["cell"] < 0]["center"].to_list())
+    return Cells(rows["metric"].iloc[0], np.stack(centers["center"].to_list()), centers["radius"].to_numpy(), marks)
+
+
+def search_half(
+    spark: SparkSession,
+    path: str,
+    questions: DataFrame,
+    k: int = 5,
+    key: str = "key",
+    question: str = "question_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """question, key, score, rank: the true k nearest of what `write_half` stored.
+
+    Scores on the rounded vectors lie within a known distance of the true ones, so a
+    chunk whose highest possible score is below the k-th best sure one is out. The
+    others, k and a few more for each question, are scored on their own vectors, read
+    from the folders of their buckets."""
+    cells = _stored_cells(spark, path)
+    metric, dim = cells.metric, cells.centers.shape[1]
+    asked = settled(pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric, dim), "asked")
+    probed = [row[0] for row in asked.select("cell").distinct().collect()]
+    held = spark.read.parquet(f"{path}/half").where(F.col("cell").isin(probed) if probed else F.lit(False))
+    bounded = settled(_bounds(held, asked, k, metric, _small_enough(questions, 1, dim), question, key), "bounds")
+    sure = top_k(bounded.select(question, key, F.col("low").alias("score")), k, question, key)
+    floors = sure.groupBy(question).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k)
+    near = bounded.join(floors.select(question, "floor"), question, "left")
+    near = near.where(F.col("floor").isNull() | (F.col("high") >= F.col("floor") - SLACK)).select(question, key)
+    near = checked(settled(near, "near"))
+    buckets = [row[0] for row in near.df.select(key_bucket(key)).distinct().collect()]
+    stored = spark.read.parquet(f"{path}/vectors").where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
+    stored = stored.select(key, F.col(vector).alias("_held"))
+    met = stored.join(near.side, key).join(questions.select(question, F.col(vector).alias("_asked")), question)
+    score = vectors.similarity(metric, F.col("_asked"), F.col("_held"))
+    return top_k(met.select(question, key, score.alias("score")), k, question, key)
+
+
+def _bounds(
+    held: DataFrame, asked: DataFrame, k: int, metric: str, small: bool, question: str, key: str
+) -> DataFrame:
+    """question, key, low, high: of each task the chunks that may be among the k best
+    of a question, with the least and the largest score they can have."""
+    asked = asked.select("cell", F.col("ids").alias("question_ids"), F.col("block").alias("question_block"))
+    met = held.select("cell", "ids", "half", "scale", "gap").join(F.broadcast(asked) if small else asked, "cell")
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}
+        floors: dict = {}
+        for part in parts:
+            for _, ids, half, scale, gap, question_ids, block in part.itertuples(index=False):
+                rows = np.frombuffer(half, np.float16).astype(np.float64).reshape(len(ids), -1) * scale
+                want = np.frombuffer(block).reshape(len(question_ids), -1)
+                score = scores_between(want, rows, metric)
+                if metric == "l2":
+                    slack = (2 * np.sqrt(np.maximum(-score, 0)) + gap) * gap
+                else:
+                    slack = np.linalg.norm(want, axis=1, keepdims=True) * gap + np.zeros_like(score)
+                slack = slack + SLACK * (1 + np.abs(score))
+                for q, name in enumerate(question_ids):
+                    low, high = score[q] - slack[q], score[q] + slack[q]
+                    lows = np.concatenate([floors.get(name, np.empty(0)), low])
+                    floors[name] = np.partition(lows, -k)[-k:] if len(lows) > k else lows
+                    if len(floors[name]) == k:
+                        at = np.flatnonzero(high >= floors[name].min())
+                    else:
+                        at = np.arange(len(ids))
+                    if len(at):
+                        found.setdefault(name, []).append((np.asarray(ids)[at], low[at], high[at]))
+        for name, blocks in found.items():
+            ids, low, high = (np.concatenate(x) for x in zip(*blocks))
+            stay = high >= floors[name].min() if len(floors[name]) == k else np.ones(len(ids), bool)
+            yield pd.DataFrame({question: [name] * int(stay.sum()), key: ids[stay], "low": low[stay], "high": high[stay]})
+
+    schema = T.StructType(
+        [
+            T.StructField(question, asked.schema["question_ids"].dataType.elementType),
+            T.StructField(key, held.schema["ids"].dataType.elementType),
+            T.StructField("low", T.DoubleType()),
+            T.StructField("high", T.DoubleType()),
+        ]
+    )
+    return met.mapInPandas(keep, schema)
+
+
 @dataclass(frozen=True)
 class Projections:
     """Random projections cut into buckets of equal width, `tables` times."""

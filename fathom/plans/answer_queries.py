@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fathom import hooks
 from fathom.functions import metrics, present, spans
 from fathom.functions.text import standard
-from fathom.operators import evaluate, hybrid, reader
-from fathom.operators.knn import survey_cells
-from fathom.plans import search_queries as search
+from fathom.operators import evaluate, fulltext, hybrid, knn, reader
+from fathom.plans import methods, search_queries as search
 from fathom.plans.ask import ask as ask_plan, presented
 from fathom.plans.catalog import query, table, texts
-from fathom.session import fresh_path
+from fathom.plans.store import Store
+from fathom.session import fresh_path, settled
 from fathom.sources import collection
 from fathom.streaming.questions import answer_stream
 from fathom.streaming.upserts import upsert_stream
@@ -161,10 +162,17 @@ def read(contexts: str) -> str:
       FROM ends n JOIN run r ON r.question_id = n.question_id AND r.rank = n.rank AND r.pos = n.span_end
       JOIN run v ON v.question_id = n.question_id AND v.rank = n.rank AND v.pos <= n.span_end AND v.s = r.top
       GROUP BY n.question_id, n.rank),
+    places AS (
+      SELECT question_id, rank, s, e, CAST(length(array_to_string(piece[:spots[span_start + 1] - 1], ' '))
+               + CASE WHEN spots[span_start + 1] > 1 THEN 1 ELSE 0 END AS INTEGER) AS ans_start,
+             CAST(length(array_to_string(piece[:spots[span_end + 1]], ' ')) AS INTEGER) AS ans_end
+      FROM (SELECT *, list_filter(range(1, len(piece) + 1), lambda i: piece[i] <> '') AS spots FROM (
+        SELECT t.*, string_split(regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}]', ' ', 'g'), ' ') AS piece
+        FROM starts t JOIN {contexts} USING (question_id, rank)))),
     answered AS (
       SELECT c.*, round(exp(s) / ms * exp(e) / me, 6) AS "QA_score",
-             array_to_string(list_slice({search.words('text')}, span_start + 1, span_end + 1), ' ') AS ans
-      FROM {contexts} c LEFT JOIN starts USING (question_id, rank) LEFT JOIN best USING (question_id, rank))
+             ans_start, ans_end, substring(text, ans_start + 1, ans_end - ans_start) AS ans
+      FROM {contexts} c LEFT JOIN places USING (question_id, rank) LEFT JOIN best USING (question_id, rank))
     """
 
 
@@ -190,8 +198,32 @@ def reader_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def longest_word():
+    """A small reading model: a word's length is its score as start and as end."""
+
+    def read(questions, contexts):
+        words = [str(c).split(" ") for c in contexts]
+        sizes = [[float(len(w)) for w in found] for found in words]
+        return [{"tokens": w, "start": s, "end": s} for w, s in zip(words, sizes)]
+
+    return read
+
+
+@query(
+    "read_hook",
+    search.BM25 + """SELECT question_id, key, rank, list_filter(w, lambda x: length(x) = list_max(list_transform(w, lambda y: length(y))))[1] AS ans
+      FROM (SELECT question_id, key, rank, string_split(text, ' ') AS w FROM bm_hits JOIN documents ON doc_id = key)""",
+)
+def read_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A model's function reads the pairs; its best span is decoded."""
+    pairs = hybrid.with_texts(
+        search.bm25_topk(spark, sf), search.questions_of(spark, sf), search.texts_of(spark, sf)
+    )
+    return reader.read_answers(pairs, hooks.reader(longest_word)).select("question_id", "key", "rank", "ans")
+
+
 ANSWER = """question_id, rank, CAST(score AS DOUBLE) AS score, ans, CAST(score AS DOUBLE) AS "HNSW_score", "QA_score",
-  href, a.key AS id, title, text, index_score"""
+  href, a.key AS id, title, text, index_score, ans_start, ans_end"""
 
 
 def rounded(answers: DataFrame) -> DataFrame:
@@ -202,16 +234,17 @@ def rounded(answers: DataFrame) -> DataFrame:
     "answers",
     search.BM25 + f""", {PAGES}, contexts AS (
       SELECT h.question_id, h.rank, h.key, h.score, h.score AS index_score, b.text AS question, d.text FROM bm_hits h
-      JOIN benchmark b ON item_id = question_id JOIN embeddings ON vec_id = item_id JOIN documents d ON doc_id = key),"""
+      JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = key),"""
     + read("contexts") + f"SELECT {ANSWER} FROM answered a LEFT JOIN pages_of p ON p.id = a.key",
 )
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """Full text only, index order, known pages only."""
     asked = search.mixed_questions(spark, sf).withColumn("search_type", F.lit("FT"))
+    chunks, embedding = search.embedded(spark, sf)
     return rounded(
         ask_plan(
-            asked, search.entries_of(spark, sf), search.stored_index(spark, sf), pages_of(spark, sf),
-            search.texts_of(spark, sf), K, reranking=False,
+            asked, chunks, search.stored_index(spark, sf), pages_of(spark, sf),
+            search.texts_of(spark, sf), K, reranking=False, embedding=embedding,
         )
     )
 
@@ -220,10 +253,11 @@ ASK = search.RERANKED + f", {PAGES}, contexts AS (SELECT * FROM reranked WHERE r
 
 
 def ask_all(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    chunks, embedding = search.embedded(spark, sf)
     return rounded(
         ask_plan(
-            asked, search.entries_of(spark, sf), search.stored_index(spark, sf), pages_of(spark, sf),
-            search.texts_of(spark, sf), K, strict=False,
+            asked, chunks, search.stored_index(spark, sf), pages_of(spark, sf),
+            search.texts_of(spark, sf), K, strict=False, embedding=embedding,
         )
     )
 
@@ -237,7 +271,7 @@ SHOWN = """
 @query(
     "ask",
     ASK + f""", final AS (SELECT {ANSWER} FROM answered a LEFT JOIN pages_of p ON p.id = a.key)
-    SELECT * EXCLUDE (spot), {SHOWN} FROM (SELECT *, instr(text, ans) AS spot FROM final)""",
+    SELECT * EXCLUDE (spot), {SHOWN} FROM (SELECT *, ans_start + 1 AS spot FROM final)""",
 )
 def ask(spark: SparkSession, sf: str) -> DataFrame:
     return presented(ask_all(spark, sf, search.mixed_questions(spark, sf)))
@@ -390,6 +424,72 @@ def eval_report(spark: SparkSession, sf: str) -> DataFrame:
     return result.select("method", *[F.round(c, 6).alias(c) for c in ("em", "f1", "em_at_k", "f1_at_k")])
 
 
+# Answers of each question and document that some method comes upon, and the ranks
+# that the methods give them.
+METHODS = search.VECTORS + f""",
+pairs AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY key) AS INTEGER) AS rank FROM (
+  SELECT question_id, key FROM all_vec_hits UNION SELECT question_id, key FROM bm_hits)),
+contexts AS (
+  SELECT p.*, b.text AS question, d.text FROM pairs p JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = key),
+logits AS (SELECT question_id, key, round_even(coalesce({search.OVERLAP}, 0), 4) AS pair FROM contexts),
+""" + read("contexts") + """,
+hits AS (
+  SELECT question_id, key, rank, 0 AS source_order FROM all_vec_hits UNION ALL SELECT question_id, key, rank, 1 FROM bm_hits),
+named(method, vec, txt, reranked) AS (VALUES ('bm25', false, true, false), ('vector', true, false, false),
+  ('bm25_rerank', false, true, true), ('vector_rerank', true, false, true), ('hybrid_rerank', true, true, true)),
+placed AS (
+  SELECT method, question_id, key, CAST(row_number() OVER (PARTITION BY method, question_id
+      ORDER BY CASE WHEN reranked THEN pair END DESC, source_order, h.rank) AS INTEGER) AS rank
+  FROM hits h JOIN logits USING (question_id, key), named WHERE source_order = 0 AND vec OR source_order = 1 AND txt),
+found AS (
+  SELECT method, question_id, p.rank, p.key, ans FROM placed p JOIN answered a USING (question_id, key) WHERE p.rank <= 5)
+"""
+
+
+def methods_of(spark: SparkSession, sf: str) -> DataFrame:
+    docs, (chunks, embedding) = search.texts_of(spark, sf), search.embedded(spark, sf)
+    asked = search.questions_of(spark, sf)
+    by_vector = knn.exact(chunks, embedding.embed(asked, "question"), K)
+    by_text = fulltext.bm25_top_k(search.stored_index(spark, sf), asked, K)
+    return methods.method_answers(by_vector, by_text, asked, docs, K)
+
+
+@query("method_answers", METHODS + "SELECT method, question_id, rank, key, ans FROM found")
+def method_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Five retrieval methods from one retrieval."""
+    return methods_of(spark, sf)
+
+
+@query(
+    "method_report",
+    METHODS + f""", gold AS (
+      SELECT question_id, ans AS g FROM found WHERE rank = 1
+        AND method = CASE question_id % 3 WHEN 0 THEN 'hybrid_rerank' WHEN 1 THEN 'bm25' ELSE 'vector' END),
+    guess AS (SELECT method, question_id, rank, {answer_words("coalesce(ans, '')")} AS p FROM found),
+    known AS (SELECT question_id, {answer_words("g")} AS g FROM gold),
+    score AS (
+      SELECT method, question_id, rank, CAST(p = g AS INTEGER) AS em, CASE WHEN len(p) + len(g) = 0 THEN 1.0
+          ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda t:
+            least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) / (len(p) + len(g)) END AS f1
+      FROM guess JOIN known USING (question_id)),
+    best AS (
+      SELECT method, question_id, coalesce(max(em) FILTER (rank = 1), 0) AS em, coalesce(max(f1) FILTER (rank = 1), 0) AS f1,
+             max(em) AS emk, max(f1) AS f1k FROM score GROUP BY method, question_id)
+    SELECT method, round(100 * avg(em), 6) AS em, round(100 * avg(f1), 6) AS f1, round(100 * avg(emk), 6) AS em_at_k,
+           round(100 * avg(f1k), 6) AS f1_at_k FROM best GROUP BY method""",
+)
+def method_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Against the first answer of one method or another, as the tables hold no gold
+    answers."""
+    found = settled(methods_of(spark, sf), "methods")
+    kind = F.col("question_id") % 3
+    by = F.when(kind == 0, "hybrid_rerank").when(kind == 1, "bm25").otherwise("vector")
+    truth = found.where((F.col("rank") == 1) & (F.col("method") == by) & F.col("ans").isNotNull())
+    truth = truth.select(F.col("question_id").alias("qid"), F.array("ans").alias("answers"))
+    result = methods.method_report(found, truth, K)
+    return result.select("method", *[F.round(c, 6).alias(c) for c in ("em", "f1", "em_at_k", "f1_at_k")])
+
+
 # ---- collections and streams ---------------------------------------------
 
 
@@ -431,6 +531,25 @@ def upsert_reopened(spark: SparkSession, sf: str) -> DataFrame:
     return collection.Collection(spark, path).scan()
 
 
+@query(
+    "upsert_small",
+    """SELECT doc_id AS key, CASE WHEN doc_id % 100 = 7 THEN 'new ' || text ELSE text END AS text, lang,
+         CASE WHEN doc_id % 100 = 7 THEN 2 ELSE 1 END AS seq FROM documents
+       UNION ALL SELECT -doc_id - 1, text, lang, 1 FROM documents WHERE doc_id % 100 = 9""",
+)
+def upsert_small(spark: SparkSession, sf: str) -> DataFrame:
+    """A few changes and additions to a large collection, one of the two batches
+    folded in: buckets that they don't touch are read as they lie."""
+    stored, _ = versions(spark, sf)
+    target = collection.Collection(spark, fresh_path(spark, "collection"))
+    target.create(stored)
+    few = stored.where(F.col("key") % 100 == 7)
+    target.upsert(few.withColumn("text", F.concat(F.lit("new "), "text")).withColumn("seq", F.lit(2)))
+    target.compact()
+    target.upsert(stored.where(F.col("key") % 100 == 9).withColumn("key", -F.col("key") - 1))
+    return target.scan()
+
+
 @query("insert_strict", "SELECT doc_id AS key, text FROM documents")
 def insert_strict(spark: SparkSession, sf: str) -> DataFrame:
     stored, _ = versions(spark, sf)
@@ -458,24 +577,15 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     ASK + f"SELECT {ANSWER} FROM answered a LEFT JOIN pages_of p ON p.id = a.key",
 )
 def stream_ask(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions arrive as a stream; tables and index stay as they are."""
+    """Questions arrive as a stream and meet a corpus that was prepared once."""
     kind = F.col("item_id") % 4
     code = F.when(kind == 0, "VEC").when(kind == 1, "FT").when(kind == 2, "VEC_FT").otherwise("xyz")
     asked = stream_of(spark, sf, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("question"), code.alias("search_type")
     )
-    chunks, index = search.entries_of(spark, sf), search.stored_index(spark, sf)
-    vectors, cells = search.asked_vectors(spark, sf), survey_cells(chunks)
-
-    def answer(batch: DataFrame) -> DataFrame:
-        return rounded(
-            ask_plan(
-                batch.join(vectors, "question_id"), chunks, index, pages_of(spark, sf),
-                search.texts_of(spark, sf), K, strict=False, cells=cells,
-            )
-        )
-
+    store = Store.write(table(spark, sf, "documents"), fresh_path(spark, "store"), "doc_id")
     path = fresh_path(spark, "stream-answers")
+    answer = lambda batch: rounded(store.ask(batch, pages_of(spark, sf)))
     answer_stream(asked, answer, path, fresh_path(spark, "stream-state")).awaitTermination()
     return spark.read.parquet(path).drop("batch")
 

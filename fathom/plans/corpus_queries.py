@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fathom import hooks
 from fathom.functions import wikitext
 from fathom.operators import corpus
+from fathom.plans import ingest
 from fathom.plans.catalog import query, table, texts
-from fathom.session import fresh_path
+from fathom.session import fresh_path, settled
 from fathom.sources import dump, pages, records
+from fathom.sources.collection import Collection
 
 
 # ---- links ---------------------------------------------------------------
@@ -139,6 +143,27 @@ def wiki_scan_rejects(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "wiki_scan_streams",
+    TITLED + "SELECT doc_id AS page_id, title, text FROM titled WHERE doc_id // 100 % 2 = 0",
+)
+def wiki_scan_streams(spark: SparkSession, sf: str) -> DataFrame:
+    """A dump of streams of a hundred pages each, of which every second one is read
+    from its offset."""
+    pages_ = page_xml(titled(spark, sf), "id").withColumn("stream", F.floor(F.col("id") / 100))
+    parts = F.array_sort(F.collect_list(F.struct("id", "value")))
+    streams = pages_.groupBy("stream").agg(F.array_join(parts["value"], "\n").alias("xml"))
+    index = settled(dump.write_streams(streams, fresh_path(spark, "streams")), "stream-index")
+    found = dump.read_streams(index.where(F.col("stream") % 2 == 0))
+    return found.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"))
+
+
+@query("clean_hook", TITLED + "SELECT doc_id AS page_id, title, upper(left(text, 100)) AS text FROM titled")
+def clean_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """Any function of a column cleans the articles."""
+    return corpus.project_articles(titled(spark, sf), clean=lambda text: F.upper(F.substring(text, 1, 100)))
+
+
 @query("filter_redirects", TITLED + "SELECT doc_id AS id, title FROM titled WHERE redirect IS NULL")
 def filter_redirects(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.drop_redirects(titled(spark, sf)).select("id", "title")
@@ -213,8 +238,9 @@ def page_info_files(spark: SparkSession, sf: str) -> DataFrame:
         path = fresh_path(spark, "lines")
         docs = table(spark, sf, "documents").withColumn("part", F.col("doc_id") % 4)
         for part in range(4):
+            # Files in order, as many as the rows need.
             lines = docs.where(F.col("part") == part).orderBy("doc_id").select(line.alias("value"))
-            lines.coalesce(1).write.text(f"{path}/part={part}")
+            lines.write.text(f"{path}/part={part}")
         return path
 
     number = F.col("doc_id").cast("string")
@@ -446,3 +472,39 @@ def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_keys(spark: SparkSession, sf: str) -> DataFrame:
     split = paragraphs(spark, sf)
     return split.select(corpus.chunk_key(F.col("id"), F.col("chunk")).alias("key"), "id", "chunk")
+
+
+# ---- a dump to a searchable collection ------------------------------------
+
+
+def text_sizes():
+    """A small embedding: characters, spaces and e's of a text."""
+
+    def encode(texts):
+        return np.array([[len(t), t.count(" "), t.count("e")] for t in texts], np.float32)
+
+    return encode
+
+
+@query(
+    "ingest_dump",
+    TITLED + """, kept AS (
+      SELECT doc_id, """ + finalized(REBUILT) + """ AS body FROM titled WHERE redirect IS NULL AND lang NOT IN ('fr', 'es')),
+    parts AS (
+      SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '\\n\\s*\\n'),
+        lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM kept)
+    SELECT doc_id || '-' || (i - 1) AS "key", doc_id AS id, CAST(i - 1 AS INTEGER) AS chunk, '' AS tags, p[i] AS text,
+      CAST(7 AS BIGINT) AS seq, CAST(length(p[i]) AS DOUBLE) AS size, CAST(length(p[i]) - length(replace(p[i], ' ', '')) AS DOUBLE) AS spaces,
+      CAST(length(p[i]) - length(replace(p[i], 'e', '')) AS DOUBLE) AS es
+    FROM parts, unnest(range(1, len(p) + 1)) AS t(i)""",
+)
+def ingest_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """From a compressed dump to a collection of embedded paragraphs."""
+    path = fresh_path(spark, "dump")
+    page_xml(titled(spark, sf)).write.option("compression", "bzip2").text(path)
+    target = Collection(spark, fresh_path(spark, "collection"), replaces="id")
+    ingest.load_dump(spark, path, target, 7, hooks.embedder(text_sizes))
+    value = lambda i: F.col("embedding")[i].cast("double")
+    return target.scan().select(
+        "key", "id", "chunk", "tags", "text", "seq", value(0).alias("size"), value(1).alias("spaces"), value(2).alias("es")
+    )

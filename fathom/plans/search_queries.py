@@ -9,7 +9,7 @@ from fathom import hooks
 from fathom.functions import text as analysis, vectors
 from fathom.operators import fulltext, hybrid, knn
 from fathom.plans.catalog import query, table, texts
-from fathom.session import fresh_path
+from fathom.session import fresh_path, settled
 
 K = 5
 
@@ -85,7 +85,67 @@ def analyze_english_unstemmed(spark: SparkSession, sf: str) -> DataFrame:
     return analyzed(spark, sf, "english_unstemmed")
 
 
-@query("analyze_english")
+def _stem_sql() -> str:
+    """CTEs that stem the distinct words of `vocabulary`(word), one for each step."""
+    shape = lambda s: f"""list_reduce(list_prepend('', string_split({s}, '')), lambda a, x: a || CASE
+        WHEN x = '' THEN '' WHEN x IN ('a', 'e', 'i', 'o', 'u') OR x = 'y' AND a LIKE '%c' THEN 'v' ELSE 'c' END)"""
+    measure = lambda s: f"len(regexp_extract_all({shape(s)}, 'vc'))"
+    cut = lambda n: f"left(w, length(w) - {n})"
+    doubled = lambda s: f"(length({s}) > 1 AND right({s}, 1) = left(right({s}, 2), 1) AND {shape(s)} LIKE '%c')"
+    short = lambda s: f"({shape(s)} LIKE '%cvc' AND right({s}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def longest(name: str, source: str, rules, condition: str) -> str:
+        """The longest suffix of a list that a word ends with, swapped if what is left allows it."""
+        pairs = ", ".join(f"('{s}', '{r}')" for s, r in rules)
+        return f"""
+    {name} AS (
+      SELECT word, long_enough, CASE WHEN suffix IS NOT NULL AND ({condition}) THEN stem || new ELSE w END AS w
+      FROM (SELECT s.*, b.suffix, b.new, left(w, length(w) - length(b.suffix)) AS stem FROM {source} s LEFT JOIN (
+        SELECT word, arg_max(suffix, length(suffix)) AS suffix, arg_max(new, length(suffix)) AS new
+        FROM {source} JOIN (VALUES {pairs}) r(suffix, new) ON ends_with(w, suffix) GROUP BY word) b USING (word)))"""
+
+    steps = [f"""
+    plural AS (
+      SELECT word, length(word) > 2 AS long_enough, CASE WHEN word LIKE '%sses' OR word LIKE '%ies' THEN left(word, length(word) - 2)
+        WHEN word LIKE '%s' AND word NOT LIKE '%ss' THEN left(word, length(word) - 1) ELSE word END AS w FROM vocabulary),
+    past AS (
+      SELECT word, long_enough, w AS whole, CASE WHEN w LIKE '%eed' THEN CASE WHEN {measure(cut(3))} > 0 THEN {cut(1)} ELSE w END
+        WHEN w LIKE '%ed' AND {shape(cut(2))} LIKE '%v%' THEN {cut(2)}
+        WHEN w LIKE '%ing' AND {shape(cut(3))} LIKE '%v%' THEN {cut(3)} ELSE w END AS w FROM plural),
+    mended AS (
+      SELECT word, long_enough, CASE WHEN w = whole OR whole LIKE '%eed' THEN w WHEN w LIKE '%at' OR w LIKE '%bl' OR w LIKE '%iz' THEN w || 'e'
+        WHEN {doubled("w")} AND right(w, 1) NOT IN ('l', 's', 'z') THEN {cut(1)}
+        WHEN {doubled("w")} THEN CASE WHEN {measure("w")} = 1 AND {short("w")} THEN w || 'e' ELSE w END
+        WHEN {measure("w")} = 1 AND {short("w")} THEN w || 'e' ELSE w END AS w FROM past),
+    vowelled AS (
+      SELECT word, long_enough, CASE WHEN w LIKE '%y' AND {shape(cut(1))} LIKE '%v%' THEN {cut(1)} || 'i' ELSE w END AS w FROM mended)"""]
+    steps.append(longest("second", "vowelled", analysis.STEP_2, f"{measure('stem')} > 0"))
+    steps.append(longest("third", "second", analysis.STEP_3, f"{measure('stem')} > 0"))
+    gone = f"{measure('stem')} > 1 AND (suffix <> 'ion' OR stem LIKE '%s' OR stem LIKE '%t')"
+    steps.append(longest("fourth", "third", [(s, "") for s in analysis.STEP_4], gone))
+    steps.append(f"""
+    fifth AS (
+      SELECT word, long_enough, CASE WHEN w LIKE '%e' AND ({measure(cut(1))} > 1 OR {measure(cut(1))} = 1 AND NOT {short(cut(1))})
+        THEN {cut(1)} ELSE w END AS w FROM fourth),
+    stems AS (
+      SELECT word, CASE WHEN NOT long_enough THEN word WHEN w LIKE '%l' AND {doubled("w")} AND {measure("w")} > 1 THEN {cut(1)}
+        ELSE w END AS stem FROM fifth)""")
+    return ",".join(steps)
+
+
+BARE = r"""regexp_replace(text, '[''’＇][sS]([^\p{L}\p{M}\p{N}]|$)', '\1', 'g')"""
+ENGLISH = f"""
+WITH kept AS (SELECT doc_id AS key, list_filter({words(BARE)}, lambda x: x NOT IN ({STOPS})) AS w FROM documents),
+vocabulary AS (SELECT DISTINCT unnest(w) AS word FROM kept),""" + _stem_sql() + """,
+placed AS (SELECT key, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM kept)
+"""
+
+
+@query(
+    "analyze_english",
+    ENGLISH + """SELECT kept.key AS doc_id, CAST(len(w) AS INTEGER) AS n, coalesce(words, '') AS words FROM kept LEFT JOIN (
+      SELECT key, string_agg(stem, ' ' ORDER BY i) AS words FROM placed JOIN stems USING (word) GROUP BY key) USING (key)""",
+)
 def analyze_english(spark: SparkSession, sf: str) -> DataFrame:
     return analyzed(spark, sf, "english")
 
@@ -121,8 +181,7 @@ def match_any(spark: SparkSession, sf: str) -> DataFrame:
     WHERE rank <= 5""",
 )
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    terms = fulltext.question_terms(questions_of(spark, sf))
-    return fulltext.top_k(fulltext.tfidf_scores(stored_index(spark, sf), terms), K)
+    return fulltext.tfidf_top_k(stored_index(spark, sf), questions_of(spark, sf), K)
 
 
 @query("bm25_topk", BM25 + "SELECT question_id, key, score, rank FROM bm_hits")
@@ -130,6 +189,38 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.bm25_top_k(stored_index(spark, sf), questions_of(spark, sf), K)
 
 
+@query("bm25_topk_pruned", BM25 + "SELECT question_id, key, score, rank FROM bm_hits")
+def bm25_topk_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """From stored blocks of postings: those in the buckets of the asked terms, and of
+    these only ranges of documents that can still get in."""
+    docs, path = table(spark, sf, "documents"), fresh_path(spark, "text-index")
+    index = fulltext.write_index(docs, path, "doc_id", blocks=True)
+    return fulltext.bm25_top_k(index, questions_of(spark, sf), K, full_scoring_rows=0)
+
+
+@query(
+    "bm25_english",
+    ENGLISH + f""",
+    post AS (SELECT key, stem AS term, CAST(count(*) AS INTEGER) AS tf FROM placed JOIN stems USING (word) GROUP BY key, stem),
+    lens AS (SELECT key, len(w) AS dl FROM kept), stat AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
+    freq AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+    qt AS (SELECT question_id, term, count(*) AS qtf FROM (
+      SELECT item_id AS question_id, unnest(list_filter({words(BARE)}, lambda x: x NOT IN ({STOPS}))) AS term FROM benchmark)
+      GROUP BY question_id, term),
+    bm AS (SELECT question_id, key,
+        round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+      FROM qt JOIN post USING (term) JOIN freq USING (term) JOIN lens USING (key), stat GROUP BY question_id, key)
+    SELECT question_id, key, score, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM bm)
+    WHERE rank <= 5""",
+)
+def bm25_english(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents are stemmed, questions are not."""
+    docs = table(spark, sf, "documents")
+    index = fulltext.write_index(docs, fresh_path(spark, "text-index"), "doc_id", analyzer="english")
+    return fulltext.bm25_top_k(index, questions_of(spark, sf), K)
+
+
 # ---- vectors -------------------------------------------------------------
 
 NEXT = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
@@ -247,6 +338,21 @@ def knn_ivf_given(spark: SparkSession, sf: str) -> DataFrame:
     return knn.ivf(chunks, asked_vectors(spark, sf), cells, GIVEN_PROBES, K)
 
 
+@query("knn_half", nearest(COSINE))
+def knn_half(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored in half precision; few rows are scored on their own vectors."""
+    path = fresh_path(spark, "half")
+    knn.write_half(chunks_of(spark, sf), path)
+    return knn.search_half(spark, path, asked_vectors(spark, sf), K)
+
+
+@query("knn_half_l2", nearest(f"-{SQUARED}"))
+def knn_half_l2(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "half")
+    knn.write_half(chunks_of(spark, sf), path, "l2")
+    return knn.search_half(spark, path, asked_vectors(spark, sf), K)
+
+
 @query("knn_lsh")
 def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunks_of(spark, sf)
@@ -350,6 +456,28 @@ def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def letters():
+    """A small embedding: characters, spaces and e's of a text."""
+
+    def encode(texts):
+        return np.array([[len(t), t.count(" "), t.count("e")] for t in texts], np.float32)
+
+    return encode
+
+
+@query(
+    "embed_hook",
+    """SELECT doc_id, CAST(length(text) + 3 AS DOUBLE) AS size,
+      CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS spaces,
+      CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es FROM documents""",
+)
+def embed_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A model's function embeds the texts, with its prompt before them."""
+    embed = hooks.embedder(letters, prompt="q: ")
+    rows = texts(spark, sf, "documents").select("doc_id", embed(F.col("text")).alias("v"))
+    return rows.select("doc_id", *(F.col("v")[i].cast("double").alias(n) for i, n in enumerate(("size", "spaces", "es"))))
+
+
 # ---- hybrid --------------------------------------------------------------
 
 CODE = "CASE item_id % 4 WHEN 0 THEN 'VEC' WHEN 1 THEN 'FT' WHEN 2 THEN 'VEC_FT' ELSE 'xyz' END"
@@ -357,22 +485,19 @@ TYPE = f"CASE {CODE} WHEN 'VEC' THEN 'vector' WHEN 'FT' THEN 'fulltext' ELSE 'hy
 
 
 def mixed_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark texts as questions of all search types, with the vector of
-    the same id."""
+    """Benchmark texts as questions of all search types."""
     kind = F.col("item_id") % 4
     code = F.when(kind == 0, "VEC").when(kind == 1, "FT").when(kind == 2, "VEC_FT").otherwise("xyz")
-    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return table(spark, sf, "benchmark").join(vecs, "item_id", "left").select(
-        F.col("item_id").alias("question_id"),
-        F.col("text").alias("question"),
-        code.alias("search_type"),
-        "embedding",
+    return table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.col("text").alias("question"), code.alias("search_type")
     )
 
 
-def entries_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored entries have a vector and a text."""
-    return chunks_of(spark, sf).join(texts_of(spark, sf).select("key"), "key", "left_semi")
+def embedded(spark: SparkSession, sf: str) -> tuple[DataFrame, hooks.HashedEmbedding]:
+    """Every document with its vector, and what questions are embedded by."""
+    docs = texts_of(spark, sf)
+    embedding = hooks.HashedEmbedding.fit(docs, "text")
+    return settled(embedding.embed(docs, "text").select("key", "embedding"), "vectors"), embedding
 
 
 def texts_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -417,11 +542,30 @@ def route_questions(spark: SparkSession, sf: str) -> DataFrame:
     return branch(hybrid.VECTOR).unionByName(branch(hybrid.FULLTEXT))
 
 
-UNION = BM25 + f""",
-q AS (SELECT item_id AS question_id, text AS question, {TYPE} AS kind, embedding
-      FROM benchmark JOIN embeddings ON vec_id = item_id),
-entries AS (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
-vec_hits AS ({nearest(COSINE, 'q', 'a.question_id', 'entries')}),
+# Vectors of documents and questions, one row for each component that is not zero.
+VECTORS = BM25 + """,
+bucketed AS (SELECT DISTINCT term, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS bucket
+             FROM (SELECT term FROM post UNION ALL SELECT term FROM qt)),
+doc_cells AS (SELECT key, bucket, sum(tf) AS c FROM post JOIN bucketed USING (term) GROUP BY key, bucket),
+asked_cells AS (SELECT question_id, bucket, sum(qtf) AS c FROM qt JOIN bucketed USING (term) GROUP BY question_id, bucket),
+held_in AS (SELECT bucket, count(*) AS held FROM doc_cells GROUP BY bucket),
+rare AS (SELECT bucket, ln((n + 1) / (coalesce(held, 0) + 1)) AS idf
+         FROM (SELECT DISTINCT bucket FROM bucketed) LEFT JOIN held_in USING (bucket), stat),
+doc_vec AS (SELECT key, bucket, CAST(CAST(c * idf / sqrt(sum(pow(c * idf, 2)) OVER (PARTITION BY key)) AS FLOAT) AS DOUBLE) AS v
+            FROM doc_cells JOIN rare USING (bucket) WHERE idf > 0),
+asked_vec AS (SELECT question_id, bucket, CAST(CAST(c * idf / sqrt(sum(pow(c * idf, 2)) OVER (PARTITION BY question_id)) AS FLOAT) AS DOUBLE) AS v
+              FROM asked_cells JOIN rare USING (bucket) WHERE idf > 0),
+doc_size AS (SELECT key, sqrt(sum(v * v)) AS size FROM doc_vec GROUP BY key),
+asked_size AS (SELECT question_id, sqrt(sum(v * v)) AS size FROM asked_vec GROUP BY question_id),
+alike AS (SELECT question_id, key, sum(a.v * d.v) AS dot FROM asked_vec a JOIN doc_vec d USING (bucket) GROUP BY question_id, key),
+near AS (SELECT question_id, toks.key, round(coalesce(dot / a.size / d.size, 0), 6) AS score
+         FROM asked_size a CROSS JOIN toks LEFT JOIN doc_size d USING (key) LEFT JOIN alike USING (question_id, key)),
+all_vec_hits AS (SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM near) WHERE rank <= 5)
+"""
+UNION = VECTORS + f""",
+q AS (SELECT item_id AS question_id, text AS question, {TYPE} AS kind FROM benchmark),
+vec_hits AS (SELECT * FROM all_vec_hits),
 hits AS (
   SELECT h.*, 'vector' AS source, 0 AS source_order FROM vec_hits h JOIN q USING (question_id) WHERE kind <> 'fulltext'
   UNION ALL
@@ -442,8 +586,8 @@ reranked AS (
 
 @query("hybrid_union", UNION + "SELECT question_id, key, score, rank, source, source_order FROM hits")
 def hybrid_union(spark: SparkSession, sf: str) -> DataFrame:
-    asked = mixed_questions(spark, sf)
-    return hybrid.search_branches(entries_of(spark, sf), stored_index(spark, sf), asked, K)
+    asked, (chunks, embedding) = mixed_questions(spark, sf), embedded(spark, sf)
+    return hybrid.search_branches(chunks, stored_index(spark, sf), asked, K, embedding=embedding)
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -493,17 +637,15 @@ def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
       WHERE rank <= 5""",
 )
 def hybrid_norerank(spark: SparkSession, sf: str) -> DataFrame:
-    found = hybrid.search(
-        entries_of(spark, sf), stored_index(spark, sf), mixed_questions(spark, sf),
-        texts_of(spark, sf), K, reranking=False,
-    )
-    return found.select("question_id", "key", "source", "score", "rank")
+    return hybrid_contexts(spark, sf, reranking=False).select("question_id", "key", "source", "score", "rank")
 
 
-def hybrid_contexts(spark: SparkSession, sf: str) -> DataFrame:
+def hybrid_contexts(spark: SparkSession, sf: str, reranking: bool = True) -> DataFrame:
+    chunks, embedding = embedded(spark, sf)
     return hybrid.search(
-        entries_of(spark, sf), stored_index(spark, sf), mixed_questions(spark, sf), texts_of(spark, sf), K
-    )
+        chunks, stored_index(spark, sf), mixed_questions(spark, sf), texts_of(spark, sf), K,
+        reranking=reranking, embedding=embedding,
+    )
 
 
 @query(
@@ -514,6 +656,37 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_contexts(spark, sf)
 
 
+@query("vector_search", VECTORS + "SELECT question_id, key, score, rank FROM all_vec_hits")
+def vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions against every document by vectors of their texts."""
+    chunks, embedding = embedded(spark, sf)
+    return knn.exact(chunks, embedding.embed(mixed_questions(spark, sf), "question"), K)
+
+
+def shared_words():
+    """A small reranker: distinct words that both texts hold, ten at most."""
+
+    def score(questions, contexts):
+        return np.array([min(len(set(q.split(" ")) & set(c.split(" "))), 10) for q, c in zip(questions, contexts)], np.float64)
+
+    return score
+
+
+@query(
+    "rerank_hook",
+    BM25 + """SELECT question_id, key, CAST(round_even((shared + 10) / 20, 4) AS DOUBLE) AS score, rank FROM (
+      SELECT question_id, key, shared, CAST(row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, rank) AS INTEGER) AS rank
+      FROM (SELECT question_id, key, h.rank, least(10, len(list_intersect(list_distinct(string_split(b.text, ' ')),
+              list_distinct(string_split(d.text, ' '))))) AS shared
+            FROM bm_hits h JOIN benchmark b ON item_id = question_id JOIN documents d ON doc_id = key))""",
+)
+def rerank_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A model's function scores the pairs."""
+    hits = bm25_topk(spark, sf).withColumn("source_order", F.lit(0))
+    pairs = hybrid.with_texts(hits, questions_of(spark, sf), texts_of(spark, sf))
+    return hybrid.rerank(pairs, hooks.scorer(shared_words)).select("question_id", "key", "score", "rank")
+
+
 @query("return_fields", BM25 + "SELECT key, lang, source, score FROM bm_hits JOIN documents ON doc_id = key")
 def return_fields(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumnRenamed("doc_id", "key")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PAGE = (
@@ -76,3 +82,61 @@ def read_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_count(offsets: DataFrame) -> DataFrame:
     return offsets.agg(F.count(F.lit(1)).alias("streams"))
+
+
+# Bytes read at once from a stream.
+READ_BYTES = 1 << 18
+
+
+def write_streams(streams: DataFrame, path: str) -> DataFrame:
+    """Write (stream, xml) rows as multistream files below `path`, one for each task,
+    and give (stream, file, offset) of each stream: its pages are compressed by
+    themselves, so they can be read from its offset on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A name of its own, so that a task that runs again leaves no mixed file.
+        store, folder = fs.FileSystem.from_uri(path)
+        name = f"{uuid.uuid4().hex}.xml.bz2"
+        store.create_dir(folder)
+        with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
+            for batch in batches:
+                offsets = []
+                for xml in batch.column(1).to_pylist():
+                    offsets.append(out.tell())
+                    out.write(bz2.compress(xml.encode()))
+                files = pa.array([f"{path}/{name}"] * len(offsets), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), files, pa.array(offsets, pa.int64())], ["stream", "file", "offset"]
+                )
+
+    return streams.select("stream", "xml").mapInArrow(run, "stream long, file string, offset long")
+
+
+def read_streams(streams: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Pages of chosen streams, given as (file, offset): each is read from its offset
+    to its own end, and nothing else of the file. Streams are dealt to tasks."""
+    n = tasks or streams.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([_stream(file, offset)], pa.string())], ["text"])
+
+    texts = streams.select("file", "offset").repartition(n).mapInArrow(run, "text string")
+    pieces = texts.select(F.explode(F.split("text", PAGE_END)).alias("value"))
+    start = F.instr("value", "<page>")
+    xml = F.concat(F.substring("value", start, F.length("value")), F.lit(PAGE_END))
+    return pieces.where(start > 0).select(parse_page(xml).alias("page")).select("page.*")
+
+
+def _stream(file: str, offset: int) -> str:
+    store, name = fs.FileSystem.from_uri(file)
+    unpack, parts = bz2.BZ2Decompressor(), []
+    with store.open_input_file(name) as source:
+        source.seek(offset)
+        while not unpack.eof:
+            data = source.read(READ_BYTES)
+            if not data:
+                raise ValueError(f"the stream at {offset} of {file} has no end")
+            parts.append(unpack.decompress(data))
+    return b"".join(parts).decode()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from fathom.sources.collection import Collection, latest_per_key
+from fathom.sources.collection import Collection
 
 
 def upsert_stream(
@@ -15,7 +15,7 @@ def upsert_stream(
     leaves the collection as it is."""
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        collection.upsert(latest_per_key(batch, collection.key, collection.seq))
+        collection.upsert(batch)
 
     writer = documents.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

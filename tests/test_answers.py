@@ -3,6 +3,7 @@
 import bz2
 import json
 import math
+import re
 import tempfile
 from pathlib import Path
 
@@ -11,8 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.functions import spans
-from fathom.operators import corpus, evaluate, reader
-from fathom.plans import ingest
+from fathom.operators import corpus, evaluate, knn, reader
+from fathom.plans import ingest, methods
+from fathom.plans.ask import presented
+from fathom.plans.store import Store
 from fathom.session import fresh_path
 from fathom.sources import dump, pages, records
 from fathom.sources.collection import Collection, DuplicateKey, latest_per_key
@@ -332,6 +335,85 @@ def test_rows_without_a_page_stay(spark):
     assert seen() == [("1-1", "d"), ("3-0", "n"), ("x", "new"), ("y", "b"), ("z", "e")]
 
 
+def test_small_upsert_leaves_other_buckets_alone(spark):
+    target = Collection(spark, fresh_path(spark, "test-collection"), buckets=16)
+    target.create(rows_of(spark, [(i, "old", 1) for i in range(800)]))
+    target.upsert(rows_of(spark, [(3, "new", 2), (900, "added", 1), (4, "stale", 0)]))
+    touched = target.state().touched
+    assert 1 <= len(touched) <= 3
+    quiet, changed = target.parts()
+    # Untouched buckets are read as they lie; of touched ones the rows that no
+    # pending key meets pass without an exchange.
+    for part in (quiet, changed[0]):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    number = lambda df: {int(re.search(r"_bucket=(\d+)", f)[1]) for f in df.inputFiles() if "_bucket=" in f}
+    assert number(quiet).isdisjoint(touched) and number(quiet)
+    want = sorted([(i, "old", 1) for i in range(800) if i != 3] + [(3, "new", 2), (900, "added", 1)])
+    assert content(target) == want
+    before = files(target)
+    target.compact()
+    after = files(target)
+    # Only touched buckets are written again.
+    written = {int(re.search(r"_bucket=(\d+)", str(p))[1]) for p in set(after) - set(before)}
+    assert written == touched and content(target) == want
+    assert content(Collection(spark, target.path)) == want
+
+
+def test_old_batches_are_removed(spark):
+    target = Collection(spark, fresh_path(spark, "test-collection"), buckets=4)
+    target.create(rows_of(spark, [(i, "old", 1) for i in range(40)]))
+    reader = None
+    for n in range(4):
+        target.upsert(rows_of(spark, [(i, f"new{n}", 2 + n) for i in range(40)]))
+        held = target.scan()
+        target.compact()
+        # What was opened before the compaction can still be read.
+        assert held.count() == 40
+        reader = held
+    assert reader.count() == 40
+    folders = {p.name for p in Path(target.path).glob("batches/*")}
+    log = target._log()
+    assert len(folders) == len(log) == 3
+    assert content(Collection(spark, target.path)) == [(i, "new3", 5) for i in range(40)]
+
+
+@pytest.mark.parametrize("pending", [10**6, 0])
+def test_collection_is_brute_force(spark, pending):
+    """Random writes, pages and compactions, with pending keys sent or exchanged."""
+    rng = np.random.default_rng(4)
+    schema = "key bigint, page bigint, text string, seq bigint"
+    for replaces in (None, "page"):
+        path = fresh_path(spark, "test-collection")
+        target = Collection(spark, path, buckets=5, replaces=replaces, pending_rows=pending)
+        latest: dict = {}
+        for seq in range(1, 6):
+            keys = rng.choice(60, rng.integers(1, 25), replace=False).tolist()
+            rows = [(k, None if k % 11 == 0 else k // 6, f"{k} {seq}", seq - (k % 13 == 0)) for k in keys]
+            frame = spark.createDataFrame(rows, schema)
+            target.create(frame) if seq == 1 else target.upsert(frame)
+            for k, page, text, s in rows:
+                if k not in latest or latest[k][2] < s:
+                    latest[k] = (page, text, s)
+            if replaces:
+                newest: dict = {}
+                for page, _, s in latest.values():
+                    newest[page] = max(newest.get(page, s), s)
+                shown = {k: v for k, v in latest.items() if v[0] is None or v[2] == newest[v[0]]}
+            else:
+                shown = latest
+            if seq in (2, 4):
+                target.compact()
+                latest = dict(shown)
+            got = {r.key: (r.page, r.text, r.seq) for r in target.scan().collect()}
+            assert got == shown
+    empty = Collection(spark, fresh_path(spark, "test-collection"), buckets=2)
+    empty.create(spark.createDataFrame([], schema))
+    assert empty.scan().count() == 0
+    empty.upsert(spark.createDataFrame([(1, 1, "a", 1)], schema))
+    assert empty.scan().count() == 1
+
+
 def test_strict_insert(spark):
     target = Collection(spark, fresh_path(spark, "test-collection"), buckets=2)
     target.create(rows_of(spark, [(1, "a", 1)]))
@@ -363,6 +445,79 @@ def test_upsert_stream_restarts_without_repeats(spark, folder):
     assert content(target) == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
 
 
+def prepared(spark, n=400):
+    docs = [(i, f"Topic{i % 9}, the (word{i}) stands\nhere {i % 5}.") for i in range(n)] + [(n, None), (n + 1, "")]
+    return Store.write(spark.createDataFrame(docs, "doc_id bigint, text string"), fresh_path(spark, "store"), "doc_id", dim=64)
+
+
+def test_store_reads_what_a_batch_needs(spark):
+    store = prepared(spark)
+    asked = spark.createDataFrame(
+        [(1, "word17 topic8", "VEC"), (2, "word33", "FT"), (3, "word5 here", "x")],
+        "question_id bigint, question string, search_type string",
+    )
+    hits = store.hits(asked, 2)
+    best = {(r.question_id, r.source): r.key for r in hits.collect() if r["rank"] == 1}
+    assert best == {(1, "vector"): 17, (2, "fulltext"): 33, (3, "vector"): 5, (3, "fulltext"): 5}
+    # Texts come from the folders of the hits' buckets only.
+    number = lambda files: {int(re.search(r"bucket=(\d+)", f)[1]) for f in files}
+    wanted = {r[0] for r in hits.select(knn.key_bucket("key")).distinct().collect()}
+    plan = store.texts(hits)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(", "")
+    assert number(store.texts(hits).inputFiles()) == wanted and len(wanted) <= 7
+    pages_ = spark.createDataFrame([(i, f"t{i}", f"/{i}") for i in range(400)], "id bigint, title string, href string")
+    answers = presented(store.ask(asked, pages_, 2)).collect()
+    assert {r.question_id for r in answers} == {1, 2, 3}
+    for r in answers:
+        # An answer is a piece of its text, and stands where its snippet says.
+        assert r.ans and r.text[r.ans_start : r.ans_end] == r.ans
+        assert r.snippet_after == r.text[r.ans_end : r.ans_end + 50] + "..."
+    again = Store.read(spark, store.path)
+    assert again.embedding == store.embedding and again.index.size == (402, again.index.size[1])
+    none = asked.limit(0)
+    assert store.ask(none, pages_).count() == 0
+
+
+def test_methods_share_one_retrieval(spark):
+    """Reranking one source changes the order of its answers, not which they are; a hit
+    counts within five where it counts first; an exact match has all of F1."""
+    store = prepared(spark, 120)
+    asked = spark.createDataFrame([(q, f"word{q} topic{q % 4} here") for q in range(30)], "question_id bigint, question string")
+    found = methods.method_answers(store.vector_hits(asked), store.text_hits(asked), asked, store.texts)
+    rows = found.collect()
+    sets = {}
+    for r in rows:
+        sets.setdefault((r.method, r.question_id), set()).add(r.key)
+    for q in range(30):
+        assert sets["bm25", q] == sets["bm25_rerank", q] and sets["vector", q] == sets["vector_rerank", q]
+    truth = found.where("method = 'bm25' and rank = 2").select(F.col("question_id").alias("qid"), F.array("ans").alias("answers"))
+    report = {r.method: r for r in methods.method_report(found, truth).collect()}
+    assert set(report) == set(methods.METHODS)
+    for r in report.values():
+        assert r.em <= r.f1 + 1e-9 and r.em_at_k <= r.f1_at_k + 1e-9 and r.em <= r.em_at_k and r.f1 <= r.f1_at_k
+    for name in ("bm25", "vector"):
+        assert report[name].em_at_k == report[f"{name}_rerank"].em_at_k
+        assert abs(report[name].f1_at_k - report[f"{name}_rerank"].f1_at_k) < 1e-9
+    assert report["bm25"].em_at_k == 100
+
+
+def test_streams_are_read_from_their_offsets(spark, folder):
+    xml = "<page><title>t{0}</title><id>{0}</id><revision><text>{1}</text></revision></page>"
+    rows = [(s, "".join(xml.format(s * 10 + i, f"é{s} &amp; " + "x" * 3000) for i in range(5))) for s in range(20)]
+    streams = spark.createDataFrame(rows, "stream long, xml string").repartition(2)
+    index = dump.write_streams(streams, str(folder / "dump")).collect()
+    assert sorted(r.stream for r in index) == list(range(20))
+    index = spark.createDataFrame(index)
+    for chosen in ([3, 17], range(20)):
+        found = dump.read_streams(index.where(F.col("stream").isin(list(chosen))), 3)
+        got = sorted((r.id, r.title, r.revision.text._VALUE[:5]) for r in found.collect())
+        assert got == sorted((s * 10 + i, f"t{s * 10 + i}", f"é{s} & "[:5]) for s in chosen for i in range(5))
+    # A page's worth of bytes is read, not the file.
+    broken = index.where("stream = 3").withColumn("offset", F.col("offset") + 1)
+    with pytest.raises(Exception):
+        dump.read_streams(broken, 1).count()
+
+
 def test_answer_stream_restarts_without_repeats(spark, folder):
     source, state, out = folder / "in", str(folder / "state"), str(folder / "out")
 

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -65,15 +66,84 @@ def frames(spark, corpus):
 @pytest.mark.parametrize("k", [1, 5, 150])
 def test_bm25_is_brute_force_with_and_without_early_exits(spark, corpus, rows, k):
     docs, asked = frames(spark, corpus)
-    index = fulltext.write_index(docs, fresh_path(spark, "test-index"))
+    index = fulltext.write_index(docs, fresh_path(spark, "test-index"), blocks=True)
     found = fulltext.bm25_top_k(index, asked, k, full_scoring_rows=rows)
     assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == brute_bm25(*corpus, k)
 
 
+def test_scores_in_several_passes_and_slices(spark, corpus, monkeypatch):
+    """Few questions a pass, few scores and products held at once."""
+    monkeypatch.setattr(fulltext, "QUESTIONS", 4)
+    monkeypatch.setattr(fulltext, "CELLS", 60)
+    monkeypatch.setattr(fulltext, "PRODUCTS", 7)
+    docs, asked = frames(spark, corpus)
+    found = fulltext.bm25_top_k(fulltext.build_index(docs), asked, 5)
+    assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == brute_bm25(*corpus, 5)
+
+
+def test_tasks_hand_on_k_documents_for_each_question(spark, corpus):
+    docs, asked = frames(spark, corpus)
+    index = fulltext.write_index(docs, fresh_path(spark, "test-index"))
+    weighted = fulltext.weighted_terms(index, fulltext.question_terms(asked))
+    local = fulltext._local_best(index, weighted, 3, saturate=True)
+    per = local.groupBy(F.spark_partition_id().alias("task"), "question_id").count().collect()
+    assert max(r["count"] for r in per) == 3
+    # Nothing but these is exchanged: the scores' own plan has no exchange.
+    assert "Exchange" not in local._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_tfidf_is_brute_force(spark, corpus):
+    docs, asked = frames(spark, corpus)
+    bags = {i: Counter(t.replace(".", "").split()) for i, t in corpus[0]}
+    df = Counter(w for b in bags.values() for w in b)
+    want = set()
+    for q, t in corpus[1]:
+        scores = {}
+        for w, qtf in Counter(t.split()).items():
+            for i, b in bags.items():
+                if w in b:
+                    scores[i] = scores.get(i, 0) + qtf * b[w] * math.log(len(bags) / df[w])
+        best = sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0]))[:4]
+        want |= {(q, i, rank) for rank, (i, _) in enumerate(best, 1)}
+    found = fulltext.tfidf_top_k(fulltext.build_index(docs), asked, 4)
+    assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == want
+
+
+def test_blocks_are_read_by_bucket_and_bound(spark):
+    """Only folders of the asked terms' buckets are read, and of a common term only
+    the ranges that can still get in."""
+    docs = [(i, f"common filler{i % 7} own{i}" + (" rare" if i in (5, 700) else "")) for i in range(1000)]
+    frame = spark.createDataFrame(docs, "key bigint, text string").coalesce(1)
+    index = fulltext.write_index(frame, fresh_path(spark, "test-index"), blocks=True)
+    asked = spark.createDataFrame([(1, "rare common")], "question_id bigint, question string")
+    weighted = fulltext.weighted_terms(index, fulltext.question_terms(asked))
+    plan = fulltext._asked_blocks(index, weighted)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(", "")
+    found = fulltext.bm25_top_k(index, asked, 2, full_scoring_rows=0).collect()
+    assert [(r.key, r["rank"]) for r in found] == [(5, 1), (700, 2)]
+    bounded = fulltext.bounds(index, weighted).collect()
+    floor = min(r.score for r in found)
+    # 16 ranges hold the common term; two can still reach the second best score.
+    assert len(bounded) == 16 and sum(r.bound >= floor - fulltext.TOLERANCE for r in bounded) == 2
+
+
+def test_keys_of_text_and_empty_tables(spark):
+    docs = spark.createDataFrame([("b-1", "x y"), ("a-1", "x y"), ("c", None)], "key string, text string")
+    asked = spark.createDataFrame([("q", "x")], "question_id string, question string")
+    index = fulltext.write_index(docs, fresh_path(spark, "test-index"), blocks=True)
+    for rows in (0, 10**9):
+        found = fulltext.bm25_top_k(index, asked, 5, full_scoring_rows=rows).collect()
+        assert [(r.question_id, r.key, r["rank"]) for r in found] == [("q", "a-1", 1), ("q", "b-1", 2)]
+        assert fulltext.bm25_top_k(index, asked.limit(0), 5, full_scoring_rows=rows).count() == 0
+    none = fulltext.build_index(docs.limit(0))
+    assert fulltext.bm25_top_k(none, asked).count() == 0 and none.documents.count() == 0
+
+
 def test_lazy_index_equals_stored_index(spark, corpus):
     docs, asked = frames(spark, corpus)
     lazy = fulltext.build_index(docs)
     stored = fulltext.write_index(docs, fresh_path(spark, "test-index"))
+    assert stored.size == lazy.size
     for name in ("documents", "postings", "terms"):
         a, b = getattr(lazy, name), getattr(stored, name)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
@@ -247,6 +317,25 @@ def test_model_hooks(spark):
     assert [r.ans for r in answers] == ["two three", "y z"]
 
 
+def test_fitted_embedding_is_kept_and_embeds_inside_the_search(spark):
+    texts = [(i, f"topic{i % 5} word{i} the") for i in range(60)] + [(60, None), (61, "")]
+    corpus = spark.createDataFrame(texts, "key bigint, text string").repartition(3)
+    fitted = hooks.HashedEmbedding.fit(corpus, "text", 64)
+    path = fresh_path(spark, "embedding")
+    fitted.write(spark, path)
+    assert hooks.HashedEmbedding.read(spark, path) == fitted
+    chunks = fitted.embed(corpus, "text")
+    assert all(abs(sum(x * x for x in r.embedding) - (r.key < 60)) < 1e-5 for r in chunks.collect())
+    asked = spark.createDataFrame(
+        [(1, "word7 topic2", "VEC"), (2, "word7", "FT"), (3, "word31 the", "x")],
+        "question_id bigint, question string, search_type string",
+    )
+    index = fulltext.build_index(corpus)
+    found = hybrid.search_branches(chunks, index, asked, 2, embedding=fitted).collect()
+    best = {(r.question_id, r.source): r.key for r in found if r["rank"] == 1}
+    assert best == {(1, "vector"): 7, (2, "fulltext"): 7, (3, "vector"): 31, (3, "fulltext"): 31}
+
+
 def test_hashed_embedding_finds_the_same_text(spark):
     rows = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma") for i in range(20)], "key bigint, text string")
     embedded = hooks.hashed_embedding(rows, "text", dim=512)
@@ -263,10 +352,11 @@ def test_reranking_one_source_keeps_its_set(spark):
 
     folder = "/root/testdata/sf0.001"
     index, texts = sq.stored_index(spark, folder), sq.texts_of(spark, folder)
+    chunks, embedding = sq.embedded(spark, folder)
     for code, source in (("FT", "fulltext"), ("VEC", "vector")):
         asked = sq.mixed_questions(spark, folder).withColumn("search_type", F.lit(code))
         found = [
-            hybrid.search(sq.entries_of(spark, folder), index, asked, texts, 5, reranking=r).collect()
+            hybrid.search(chunks, index, asked, texts, 5, reranking=r, embedding=embedding).collect()
             for r in (True, False)
         ]
         sets = [{(r.question_id, r.key) for r in rows} for rows in found]
@@ -292,3 +382,26 @@ def test_bad_vectors_lose_no_hits(spark, metric):
     cells = knn.train_ivf(dirty_rows, 4, metric)
     found = knn.ivf(dirty_rows, asked, cells, 4, 5)
     assert {r.key for r in found.collect()} <= set(range(600)) and found.count() == 200
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_half_precision_search_is_brute_force(spark, metric):
+    held, asked = sample(1, 300), sample(2, 30)
+    path = fresh_path(spark, "half")
+    knn.write_half(vector_frame(spark, held * 1000, "key"), path, metric, n_cells=5)
+    found = knn.search_half(spark, path, vector_frame(spark, asked, "question_id"), 7)
+    got = {(r.question_id, r.key, r["rank"]) for r in found.collect()}
+    assert got == brute_nearest(asked.astype(np.float32), (held * 1000).astype(np.float32), metric, 7)
+    none = vector_frame(spark, asked, "question_id").limit(0)
+    assert knn.search_half(spark, path, none, 7).count() == 0
+
+
+def test_half_blocks_take_half_the_bytes(spark):
+    rows = np.random.default_rng(5).standard_normal((3000, 64)).astype(np.float32)
+    path = fresh_path(spark, "half")
+    knn.write_half(vector_frame(spark, rows, "key"), path, n_cells=2)
+    size = lambda name: sum(f.stat().st_size for f in Path(path, name).rglob("*.parquet"))
+    assert size("half") < 0.62 * size("vectors")
+    # Of the vectors themselves a search reads the rows it may return.
+    stored = spark.read.parquet(f"{path}/half").count()
+    assert stored < 100

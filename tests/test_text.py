@@ -218,3 +218,19 @@ def test_answer_normalising(spark):
     assert value(spark, metrics.exact_match(long, golds)) == 0
     assert value(spark, metrics.exact_match(short, golds)) == 1
     assert value(spark, metrics.token_f1(long, golds)) == 0.5
+
+
+def test_word_ranges(spark):
+    samples = ["", "a", " a  bc\n", "Dr. İz-mir's 3½ été", "x" * 70_000 + " y", "\U0001d400b c", "..."]
+    rows = spark.createDataFrame([(s,) for s in [*samples, None]], "t string")
+    found = rows.select("t", text.word_ranges(F.col("t")).alias("r"), text.standard(F.col("t")).alias("w")).collect()
+    for row in found[:-1]:
+        cut = [row.t[r.start : r.end].lower() for r in row.r]
+        assert cut == row.w
+    assert found[-1].r is None
+
+
+def test_stems_of_arrays(spark):
+    rows = spark.createDataFrame([(["cats", "running", "cats"],), ([],), (None,)], "w array<string>")
+    got = [r.s for r in rows.select(text.stem_all(F.col("w")).alias("s")).collect()]
+    assert got == [["cat", "run", "cat"], [], None]
