@@ -52,7 +52,7 @@ COORDINATES = 128
 MARGIN = 5.2
 SKETCH_BITS = 20
 # Distinct words whose hashes a task remembers.
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 18
 # A list with at most so many nodes outside its largest component is finished by
 # comparing those with the whole list; the nodes of others meet over full sets,
 # where lists with more than SEVERAL such nodes are compared block by block.

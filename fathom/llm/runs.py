@@ -47,7 +47,7 @@ TIMES = 4
 # Consecutive words that are looked up together where periods are longer.
 GRAM = 4
 # Distinct words whose hashes a task remembers.
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 18
 RUN = "struct<start:long,length:long,period:long>"
 
 

@@ -47,7 +47,7 @@ SEED = 7
 TOXIC = 0.7
 # Lengths of the beginnings that are terms. A longer word is a term as a whole too.
 BEGINNINGS = (4, 5, 6, 7)
-VOCABULARY = 1 << 19
+VOCABULARY = 1 << 17
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
