@@ -98,7 +98,9 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), width=3, similarity=85)
 
 
-def _spans_sql(pattern: str, kind: str, rank: int, group: int = 0, least: int = 1) -> str:
+def _spans_sql(
+    pattern: str, kind: str, rank: int, group: int = 0, least: int = 1, text: str = "coalesce(text, '')"
+) -> str:
     """Match positions from the lengths of the pieces between matches."""
     pattern = pattern.replace("'", "''")
     return f"""
@@ -106,9 +108,9 @@ def _spans_sql(pattern: str, kind: str, rank: int, group: int = 0, least: int =
         FROM (SELECT *, CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) AS BIGINT)
                   + CAST(coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
               FROM (SELECT *, unnest(generate_series(1, len(found))) AS i
-                    FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{pattern}') AS pieces,
-                              regexp_extract_all(coalesce(text, ''), '{pattern}') AS found,
-                              regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) AS part
+                    FROM (SELECT doc_id, regexp_split_to_array({text}, '{pattern}') AS pieces,
+                              regexp_extract_all({text}, '{pattern}') AS found,
+                              regexp_extract_all({text}, '{pattern}', {group}) AS part
                           FROM documents)))
         WHERE length(part[i]) >= {least}
     """
@@ -119,6 +121,27 @@ def _limit_sql() -> str:
     return f"CASE {' '.join(cases)} ELSE {secrets.most_sum(secrets.CLASSES[-1][2])} END"
 
 
+def _hidden_sql() -> str:
+    text = "coalesce(text, '')"
+    for word in secrets.ALLOW:
+        text = f"regexp_replace({text}, '(?i){word}', '{' ' * len(word)}', 'g')"
+    return text
+
+
+def _narrow_sql() -> str:
+    """Windows of runs of narrow alphabets, with the sum each may have."""
+    parts = []
+    for pattern, holds, least in secrets.NARROW:
+        spans = _spans_sql(pattern, "run", 0, text="hidden").replace("FROM documents", "FROM hidden_texts")
+        kept = f"WHERE regexp_matches(value, '{holds}')" if holds else ""
+        parts.append(f"""
+        SELECT doc_id, pos + i - 1 AS s, {secrets.most_sum(least)} AS most, substr(value, i, {secrets.WINDOW}) AS w
+        FROM (SELECT *, unnest(generate_series(1, length(value) - {secrets.WINDOW - 1})) AS i FROM (
+            SELECT c.doc_id, c."start" AS pos, substr(h.hidden, c."start" + 1, c."end" - c."start") AS value
+            FROM ({spans}) c JOIN hidden_texts h USING (doc_id)) {kept})""")
+    return " UNION ALL ".join(parts)
+
+
 @query(
     "op9_secrets",
     f"""
@@ -131,20 +154,23 @@ def _limit_sql() -> str:
             SELECT c.doc_id, c."start" AS pos, substr(d.text, c."start" + 1, c."end" - c."start") AS value
             FROM ({_spans_sql(secrets.CANDIDATE, "candidate", 0)}) c JOIN documents d USING (doc_id))
         WHERE NOT regexp_matches(lower(value), '{"|".join(secrets.ALLOW)}')
+    ), hidden_texts AS (
+        SELECT doc_id, {_hidden_sql()} AS hidden FROM documents
     ), windows AS (
-        SELECT doc_id, pos, pos + i - 1 AS s, {_limit_sql()} AS most, substr(value, i, {secrets.WINDOW}) AS w
+        SELECT doc_id, pos + i - 1 AS s, {_limit_sql()} AS most, substr(value, i, {secrets.WINDOW}) AS w
         FROM (SELECT *, unnest(generate_series(1, length(value) - {secrets.WINDOW - 1})) AS i FROM candidates)
+        UNION ALL {_narrow_sql()}
     ), hot AS (
-        SELECT doc_id, pos, s FROM windows
+        SELECT DISTINCT doc_id, s FROM windows
         WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda c:
             {secrets.TERMS}[CAST(1 + length(w) - length(replace(w, c, '')) AS BIGINT)])) <= most
     ), runs AS (
-        SELECT doc_id, pos, s, sum(new) OVER (PARTITION BY doc_id, pos ORDER BY s) AS run
-        FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id, pos ORDER BY s) <= {secrets.WINDOW}
+        SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run
+        FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {secrets.WINDOW}
                   THEN 0 ELSE 1 END AS new FROM hot)
     ), added AS (
         SELECT doc_id, 3 AS rank, 'entropy' AS kind, min(s) AS "start", max(s) + {secrets.WINDOW} AS "end"
-        FROM runs GROUP BY doc_id, pos, run
+        FROM runs GROUP BY doc_id, run
     ), spans AS (
         SELECT * FROM base
         UNION ALL

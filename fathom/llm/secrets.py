@@ -9,12 +9,11 @@ reaches the threshold of the candidate's character class is a span, unless the
 candidate holds a word of the allow list or the span lies in a known form.
 Entropy sums are whole millionths, so results do not depend on summation order.
 
-A class is that of the whole candidate, as in the SQL of `op9_secrets`. Windows
-of few symbols cannot reach the threshold of a wider class, so runs of a narrow
-alphabet inside candidates (hex in any case, hex with dashes, base32 in one
-case) are judged on their own, by thresholds that random strings reach;
-there a word of the allow list hides only the windows that overlap it. These
-spans are listed apart, and `redacted` takes them out as well.
+A class is that of the whole candidate. Windows of few symbols cannot reach the
+threshold of a wider class, so runs of a narrow alphabet inside candidates (hex in
+any case, hex with dashes, base32 in one case) are judged on their own as well, by
+thresholds that random strings reach; there a word of the allow list hides only the
+windows that overlap it. Spans of both kinds that overlap or touch are one.
 
 Column expressions only. Spans are code points, end exclusive.
 
@@ -57,7 +56,7 @@ WINDOW = 24
 CLASSES = (
     ("hex", "^[0-9A-Fa-f]+$", 3000),
     ("letters", "^[A-Za-z]+$", 4150),
-    ("word", "^[0-9A-Za-z]+$", 4000),
+    ("word", "^[0-9A-Za-z]+$", 3900),
     ("symbols", "", 4050),
 )
 # Candidates with one of these, in either case, are no secrets. Fixed values.
@@ -248,8 +247,7 @@ def _labelled(spans: Column, kind: str) -> Column:
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with arrays `base` (known forms) and `added` (high entropy) of
-    (start, rank, end, kind), by start, then kind, and `narrow` (high entropy in
-    runs of a narrow alphabet) of (start, end)."""
+    (start, rank, end, kind), by start, then kind."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.array_sort(
         F.concat(
@@ -259,8 +257,9 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         )
     )
     inside = lambda e: F.exists("base", lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"]))
-    return docs.withColumns({"base": base, "narrow": narrow(body)}).withColumn(
-        "added", F.filter(_labelled(high_entropy(body), "entropy"), lambda e: ~inside(e))
+    hot = merged(F.array_sort(F.concat(high_entropy(body), narrow(body))))
+    return docs.withColumn("base", base).withColumn(
+        "added", F.filter(_labelled(hot, "entropy"), lambda e: ~inside(e))
     )
 
 
@@ -274,7 +273,7 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find(docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns))), f"_{docs.columns.index(text)}")
     body = F.col(f"_{docs.columns.index(text)}")
     plain = lambda spans: F.transform(spans, lambda s: _span(s["start"], s["end"]))
-    spans = merged(F.array_sort(F.concat(plain("base"), plain("added"), "narrow")))
+    spans = merged(F.array_sort(F.concat(plain("base"), plain("added"))))
 
     def step(acc: Column, s: Column) -> Column:
         before = F.substring(body, acc["at"] + 1, s["start"] - acc["at"])
@@ -282,5 +281,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body)))
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    value = F.when(F.size("base") + F.size("added") + F.size("narrow") > 0, done).otherwise(body)
+    value = F.when(F.size("base") + F.size("added") > 0, done).otherwise(body)
     return found.select(*((value if c == text else F.col(f"_{i}")).alias(c) for i, c in enumerate(docs.columns)))

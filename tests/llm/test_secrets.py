@@ -18,29 +18,36 @@ def base(text):
     return sorted(found)
 
 
+def hot_places(value, start, least, hot):
+    for i in range(len(value) - op.WINDOW + 1):
+        counts = Counter(value[i : i + op.WINDOW]).values()
+        if sum(op.TERMS[c] for c in counts) <= op.most_sum(least):
+            entropy = -sum(c / op.WINDOW * math.log2(c / op.WINDOW) for c in counts)
+            assert entropy >= least / 1000 - 1e-4
+            hot.add(start + i)
+
+
 def added(text):
-    found = []
+    """Windows of candidates by their class, and of runs of narrow alphabets."""
+    hot = set()
     for m in re.finditer("[A-Za-z0-9+/_=-]{24,}", text):
-        value = m[0]
-        if re.search("|".join(op.ALLOW), value.lower()):
-            continue
-        least = next(e for _, p, e in op.CLASSES if re.search(p, value))
-        hot = set()
-        for i in range(len(value) - op.WINDOW + 1):
-            counts = Counter(value[i : i + op.WINDOW]).values()
-            if sum(op.TERMS[c] for c in counts) <= op.most_sum(least):
-                entropy = -sum(c / op.WINDOW * math.log2(c / op.WINDOW) for c in counts)
-                assert entropy >= least / 1000 - 1e-4
-                hot.update(range(m.start() + i, m.start() + i + op.WINDOW))
-        points = sorted(hot)
-        for a in points:
-            if a - 1 not in hot:
-                b = a
-                while b in hot:
-                    b += 1
-                found.append((a, 3, b))
+        if not re.search("|".join(op.ALLOW), m[0].lower()):
+            hot_places(m[0], m.start(), next(e for _, p, e in op.CLASSES if re.search(p, m[0])), hot)
+    hidden = text
+    for word in op.ALLOW:
+        hidden = re.sub(f"(?i){word}", " " * len(word), hidden)
+    for pattern, holds, least in op.NARROW:
+        for m in re.finditer(pattern, hidden):
+            if re.search(holds, m[0]):
+                hot_places(m[0], m.start(), least, hot)
+    found = []
+    for s in sorted(hot):
+        if found and s <= found[-1][2]:
+            found[-1][2] = s + op.WINDOW
+        else:
+            found.append([s, 3, s + op.WINDOW])
     inside = base(text)
-    return [f for f in found if not any(s <= f[0] and e >= f[2] for s, _, e in inside)]
+    return [tuple(f) for f in found if not any(s <= f[0] and e >= f[2] for s, _, e in inside)]
 
 
 def samples():
@@ -92,6 +99,23 @@ def test_redacted(spark):
             assert got[key] == want
 
 
+def test_random_strings_are_listed(spark):
+    """Random strings of several alphabets, alone and behind a name or a path."""
+    rng = random.Random(11)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    dashed = lambda chars: "-".join(some(chars, n) for n in (8, 4, 4, 4, 12))
+    makers = [lambda: some("0123456789ABCDEF", 40), lambda: some("0123456789abcdefABCDEF", 40), lambda: dashed("0123456789ABCDEF"),
+              lambda: dashed("0123456789abcdef"), lambda: some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), lambda: some(alnum, 24)]
+    rows = [(100 * m + n, ("sig={}" if n % 2 and m < 5 else "x {} y").format(make())) for m, make in enumerate(makers) for n in range(100)]
+    found = {r.doc_id: r.n for r in op.find(docs(spark, rows)).selectExpr("doc_id", "size(base) + size(added) n").collect()}
+    for m in range(len(makers)):
+        assert sum(found[100 * m + n] > 0 for n in range(100)) >= 95
+    plain = ["2026-12-01-2026-12-02-2026-12-03", "internationalisation_of_donaudampfschifffahrt/a-b-c", "AAAA1111AAAA1111AAAA1111AAAA", "example" * 8]
+    kept = op.find(docs(spark, list(enumerate(plain)))).selectExpr("size(added) n").collect()
+    assert [r.n for r in kept] == [0] * 4
+
+
 def test_empty_table(spark):
     assert op.find(docs(spark, [])).count() == 0
     assert op.redacted(docs(spark, [])).count() == 0
