@@ -45,7 +45,7 @@ def word_ranges(text: Column) -> Column:
         return F.arrays_zip(starts.alias("start"), ends.alias("end"))
 
     blank = F.regexp_replace(text, SEPARATOR.rstrip("+"), " ")
-    return bind(F.array_remove(F.split(blank, ""), ""), of)
+    return F.when(text.isNotNull(), bind(F.array_remove(F.split(blank, ""), ""), of))
 
 
 def english_unstemmed(text: Column) -> Column:

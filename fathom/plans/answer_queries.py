@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fathom import hooks
@@ -202,8 +203,8 @@ def longest_word():
     """A small reading model: a word's length is its score as start and as end."""
 
     def read(questions, contexts):
-        words = [str(c).split(" ") for c in contexts]
-        sizes = [[float(len(w)) for w in found] for found in words]
+        words = [np.array(str(c).split(" "), object) for c in contexts]
+        sizes = [np.array([len(w) for w in found], np.float64) for found in words]
         return [{"tokens": w, "start": s, "end": s} for w, s in zip(words, sizes)]
 
     return read
@@ -472,11 +473,11 @@ def method_answers(spark: SparkSession, sf: str) -> DataFrame:
           ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(list_intersect(p, g)), lambda t:
             least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) / (len(p) + len(g)) END AS f1
       FROM guess JOIN known USING (question_id)),
-    best AS (
+    tops AS (
       SELECT method, question_id, coalesce(max(em) FILTER (rank = 1), 0) AS em, coalesce(max(f1) FILTER (rank = 1), 0) AS f1,
              max(em) AS emk, max(f1) AS f1k FROM score GROUP BY method, question_id)
     SELECT method, round(100 * avg(em), 6) AS em, round(100 * avg(f1), 6) AS f1, round(100 * avg(emk), 6) AS em_at_k,
-           round(100 * avg(f1k), 6) AS f1_at_k FROM best GROUP BY method""",
+           round(100 * avg(f1k), 6) AS f1_at_k FROM tops GROUP BY method""",
 )
 def method_report(spark: SparkSession, sf: str) -> DataFrame:
     """Against the first answer of one method or another, as the tables hold no gold

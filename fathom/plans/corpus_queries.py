@@ -158,10 +158,10 @@ def wiki_scan_streams(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"))
 
 
-@query("clean_hook", TITLED + "SELECT doc_id AS page_id, title, upper(left(text, 100)) AS text FROM titled")
+@query("clean_hook", TITLED + "SELECT doc_id AS page_id, title, lower(left(text, 100)) AS text FROM titled")
 def clean_hook(spark: SparkSession, sf: str) -> DataFrame:
     """Any function of a column cleans the articles."""
-    return corpus.project_articles(titled(spark, sf), clean=lambda text: F.upper(F.substring(text, 1, 100)))
+    return corpus.project_articles(titled(spark, sf), clean=lambda text: F.lower(F.substring(text, 1, 100)))
 
 
 @query("filter_redirects", TITLED + "SELECT doc_id AS id, title FROM titled WHERE redirect IS NULL")

@@ -188,7 +188,7 @@ class Collection:
         # A page's older rows may lie in any bucket.
         touched = layout if self.replaces else state.touched & layout
         quiet, base = self._folders(state, layout - touched), self._folders(state, touched)
-        keys = checked(pending.select(self.key).distinct(), self.pending_rows)
+        keys = checked(pending.select(self.key), self.pending_rows)
         if base is None:
             changed = [latest_per_key(pending, self.key, self.seq)]
         elif keys.small:

@@ -447,7 +447,7 @@ def test_upsert_stream_restarts_without_repeats(spark, folder):
 
 def prepared(spark, n=400):
     docs = [(i, f"Topic{i % 9}, the (word{i}) stands\nhere {i % 5}.") for i in range(n)] + [(n, None), (n + 1, "")]
-    return Store.write(spark.createDataFrame(docs, "doc_id bigint, text string"), fresh_path(spark, "store"), "doc_id", dim=64)
+    return Store.write(spark.createDataFrame(docs, "doc_id bigint, text string"), fresh_path(spark, "store"), "doc_id", dim=1024)
 
 
 def test_store_reads_what_a_batch_needs(spark):
