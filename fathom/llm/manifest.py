@@ -43,10 +43,9 @@ COVER = FANOUT**COVER_LEVELS
 TOP = -1
 # Rows of a level in one file, about.
 LEVEL_ROWS = 1 << 17
-# Trees, and stored nodes (about 100 bytes each), that are sent to every executor at
-# most; more are exchanged.
+# Trees (about 50 bytes each) that are sent to every executor at most; the rows of
+# more are exchanged.
 TREES = 100_000
-NODE_ROWS = 100_000
 
 
 def item(column: Column) -> Column:
@@ -175,7 +174,7 @@ SELECT leaf, step, siblings, CASE WHEN node = :root THEN folded END AS folded FR
 """
 
 
-def _climbed(leaves: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
+def _climbed(leaves: DataFrame, nodes: DataFrame, root: str, files: int) -> DataFrame:
     """(leaf, step, siblings, folded): a row for each leaf and step, the last with what
     the climb ends in."""
     spark = leaves.sparkSession
@@ -185,8 +184,8 @@ def _climbed(leaves: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
     before = spark.conf.get(name, None)
     spark.conf.set(name, "-1")
     try:
-        nodes = checked(nodes, NODE_ROWS).side
-        return settled(spark.sql(CLIMB, args={"root": root}, leaves=leaves, nodes=nodes), "climb")
+        climbed = spark.sql(CLIMB, args={"root": root}, leaves=leaves, nodes=nodes)
+        return settled(climbed.coalesce(files), "climb")
     finally:
         if before is None:
             spark.conf.unset(name)
@@ -220,7 +219,7 @@ def manifest(
     named = few.hint(trees.select(F.col("name").alias("_name"), "tree", "n"))
     rows = rows.join(named, F.col("name").eqNullSafe(F.col("_name"))).select("key", "hash", "now", "idx", "tree", "n")
 
-    below, subroots, _ = _levels(rows.select("tree", "idx", "hash", "n"), sizes["n"] or 0, sizes["largest"] or 0)
+    below, subroots, height = _levels(rows.select("tree", "idx", "hash", "n"), sizes["n"] or 0, sizes["largest"] or 0)
     subroots = settled(subroots.coalesce(1 + sizes["trees"] // LEVEL_ROWS), "subroots")
     over = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), "hash")
     over = over.withColumn("n", F.lit(sizes["trees"]))
@@ -231,7 +230,9 @@ def manifest(
     parts = [] if below is None else [_covered(_nodes(below), few.hint(trees))]
     parts += [] if above is None else [_over_covers(_nodes(above), trees, levels)]
     empty = docs.sparkSession.createDataFrame([], "cover string, node string, parent string, before binary, after binary")
-    nodes = settled(reduce(DataFrame.unionByName, parts or [empty]), "nodes")
+    # A tree has half as many nodes above its leaves as it has leaves.
+    files = 1 + 3 * (sizes["n"] or 0) // (2 * LEVEL_ROWS)
+    nodes = settled(reduce(DataFrame.unionByName, parts or [empty]).coalesce(files), "nodes")
 
     leaves = rows.join(few.hint(subroots.withColumnRenamed("hash", "subroot")), "tree")
     leaves = leaves.withColumn("leaf", F.monotonically_increasing_id())
@@ -239,7 +240,9 @@ def manifest(
     own = _named(F.col("tree"), F.lit(0), F.col("idx"))
     leaves = leaves.withColumn("node", F.when(F.col("height") == 0, _top(F.col("tree"))).otherwise(own))
     leaves = settled(leaves.select("leaf", "key", "hash", "subroot", "cover", "node", F.unhex("now").alias("folded")), "numbered")
-    climbed = _climbed(leaves.select("leaf", "cover", "node", "folded"), nodes, f"{TOP}.{levels}.0")
+    steps = height + levels + 1
+    files = 1 + steps * (sizes["n"] or 0) // LEVEL_ROWS
+    climbed = _climbed(leaves.select("leaf", "cover", "node", "folded"), nodes, f"{TOP}.{levels}.0", files)
 
     steps = F.sort_array(F.collect_list(F.struct("step", "siblings")))
     proofs = climbed.groupBy("leaf").agg(steps.alias("steps"), F.max("folded").alias("folded"))
