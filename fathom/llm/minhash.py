@@ -548,5 +548,5 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     kept. Of rows with one key one stays; rows without a key all stay."""
     kept = near_duplicates(docs, key, text, **how).where(F.col("kept") & F.col(key).isNotNull())
     kept = kept.select(F.col(key).alias("_key")).distinct()
-    chosen = docs.join(kept, docs[key] == F.col("_key"), "left_semi").dropDuplicates([key])
+    chosen = docs.join(kept, docs[key] == kept["_key"], "left_semi").dropDuplicates([key])
     return chosen.unionByName(docs.where(F.col(key).isNull()))

@@ -125,10 +125,14 @@ def mix(
 
 
 def taken(docs: DataFrame, levels: Mapping[str, Column], weights: Weights, key: str = "doc_id", **how) -> DataFrame:
-    """The documents of the mix, all columns kept, with how many copies of each."""
+    """The documents of the mix, all columns kept, with how many copies of each; a
+    column `copies` of the documents is replaced."""
     chosen = mix(docs, levels, weights, key, **how).where("copies > 0")
     chosen = chosen.select(F.col(key).alias("_key"), *(F.col(n).alias(f"_{n}") for n in levels), "copies")
-    same = docs[key].eqNullSafe(F.col("_key"))
-    for name, column in levels.items():
-        same = same & (F.coalesce(column.cast("string"), F.lit("")) == F.col(f"_{name}"))
-    return docs.join(chosen, same).select(*(docs[c] for c in docs.columns), "copies")
+    # Levels are worked out before the join, under names that the table does not have.
+    own = {f"{n}_{'_'.join(docs.columns)}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()}
+    named = docs.withColumns(own)
+    same = named[key].eqNullSafe(chosen["_key"])
+    for name, level in zip(own, levels):
+        same = same & (named[name] == chosen[f"_{level}"])
+    return named.join(chosen, same).select(*(named[c] for c in docs.columns if c != "copies"), chosen["copies"])

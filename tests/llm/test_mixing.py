@@ -84,6 +84,16 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {"s": 10, "t": 187, "u": 197}
 
 
+def test_names_of_its_own_columns(spark):
+    """Columns named like those of the result, or of the join, in the table."""
+    rows = [(k, "x " * 5, "en", "s") for k in range(20)]
+    table = docs(spark, rows)
+    for name in ("copies", "_key", "_lang", "tokens", "target", "range"):
+        table = table.withColumn(name, F.lit("mine"))
+    got = op.taken(table, {"lang": F.col("lang")}, {}, budget=50, epochs=1).collect()
+    assert len(got) == 10 and all(r["_key"] == r["_lang"] == r["range"] == "mine" and r["copies"] == 1 for r in got)
+
+
 def test_empty_table(spark):
     levels = {"lang": F.col("lang")}
     assert op.mix(docs(spark, []), levels, {}).count() == 0
