@@ -2,9 +2,11 @@
 
 Vectors fall into cells around fixed centers. Chunks are packed, where they
 lie, into small blocks of one cell; questions are packed into blocks for the
-cells they have to look at; the two meet in an equi-join on the cell and are
-compared block by block with one matrix product. A task keeps only the k best
-rows per question, so pairs are never written out.
+cells they have to look at. Few questions meet the chunks in an equi-join on the
+cell; many are dealt, like the chunks of their cell, to groups of a bounded size,
+and every group of questions meets every group of chunks of the cell once. They
+are compared with matrix products. A task keeps only the k best rows per question,
+so pairs are never written out.
 
 Which cells a question looks at is the only difference between the searches:
 
@@ -22,8 +24,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from fathom.functions import vectors
 from fathom.operators.joins import checked
@@ -35,8 +38,8 @@ from fathom.session import settled
 LANDMARKS = 512
 CELLS = 32
 BLOCK_ROWS = 1024
-# Question vectors sent to every executor at most, in bytes.
-BROADCAST_BYTES = 128 << 20
+# Question vectors sent to every executor at most, in bytes, with a copy for each cell.
+BROADCAST_BYTES = 32 << 20
 # Questions a task keeps running results for before it hands them on.
 QUESTIONS_HELD = 1_000_000
 # Scores are compared after rounding, so bounds give way by more than that.
@@ -243,6 +246,13 @@ def one_cell(cells: Cells):
     return choose
 
 
+# Bytes of vectors of either side that meet in one group.
+GROUP_BYTES = 32 << 20
+# Questions and chunks of one matrix product, and neighbouring chunks of which the
+# best is looked at first.
+ASKED_ROWS, HELD_ROWS, STRATUM = 1024, 4096, 32
+
+
 def compare_blocks(
     chunk_blocks: DataFrame,
     question_blocks: DataFrame,
@@ -251,25 +261,31 @@ def compare_blocks(
     small: bool,
     question: str,
     key: str,
-    salts: int = 1,
+    dim: int,
+    distinct: bool = False,
 ) -> DataFrame:
-    """question, key, score of the k best chunks per question and task."""
+    """question, key, score of the k best chunks per question and task, or group of
+    a cell; with `distinct` of the k best keys."""
+    question_type = question_blocks.schema["ids"].dataType.elementType
+    key_type = chunk_blocks.schema["ids"].dataType.elementType
+    schema = T.StructType(
+        [
+            T.StructField(question, question_type),
+            T.StructField(key, key_type),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    if not small:
+        return meet_in_groups(
+            chunk_blocks, question_blocks, dim, schema, lambda asked, held, _: _best_of_group(asked, held, k, metric, distinct)
+        )
     asked = question_blocks.select(
         "cell",
         F.col("ids").alias("question_ids"),
         F.col("block").alias("question_block"),
         F.xxhash64("ids").alias("question_group"),
     )
-    held = chunk_blocks
-    on = ["cell"]
-    if small:
-        asked = F.broadcast(asked)
-    elif salts > 1:
-        # Few cells and many executors: spread each cell over `salts` tasks.
-        held = held.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append("salt")
-    meetings = held.join(asked, on).select(
+    meetings = chunk_blocks.join(F.broadcast(asked), "cell").select(
         "ids", "block", "question_group", "question_ids", "question_block"
     )
 
@@ -292,18 +308,196 @@ def compare_blocks(
         for kept in best.values():
             yield kept.rows(question, key)
 
-    question_type = question_blocks.schema["ids"].dataType.elementType
-    key_type = chunk_blocks.schema["ids"].dataType.elementType
-    schema = T.StructType(
-        [
-            T.StructField(question, question_type),
-            T.StructField(key, key_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
     return meetings.mapInPandas(keep_best, schema)
 
 
+def meet_in_groups(
+    chunk_blocks: DataFrame, question_blocks: DataFrame, dim: int, schema: T.StructType, body
+) -> DataFrame:
+    """The rows `body` gives for the questions (ids, vectors) and chunks of one cell.
+
+    A cell's blocks on either side are dealt to as many groups as their counted rows
+    need at GROUP_BYTES each; every group of questions meets every group of chunks of
+    its cell, once, in a task that holds these two and nothing else."""
+    rows = max(1, GROUP_BYTES // (8 * dim))
+
+    def parts(blocks: DataFrame) -> Column:
+        sizes = blocks.groupBy("cell").agg(F.sum(F.size("ids")).alias("n")).collect()
+        pairs = [F.lit(x) for cell, n in sizes for x in (cell, max(1, -(-n // rows)))]
+        return F.create_map(*pairs)[F.col("cell")] if pairs else F.lit(1)
+
+    def dealt(blocks: DataFrame, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
+        part = F.pmod(F.xxhash64("ids"), n_own).cast("int").alias(own)
+        everywhere = F.explode(F.sequence(F.lit(0), n_other - 1)).alias(other)
+        return blocks.select("*", part, everywhere).groupBy("cell", "chunks", "questions")
+
+    n_chunks, n_questions = parts(chunk_blocks), parts(question_blocks)
+    held = dealt(chunk_blocks, "chunks", n_chunks, "questions", n_questions)
+    asked = dealt(question_blocks, "questions", n_questions, "chunks", n_chunks)
+    arrow_schema = to_arrow_schema(schema)
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        if not held.num_rows or not asked.num_rows:
+            return arrow_schema.empty_table()
+        columns = body(_vectors_of(asked), _vectors_of(held), held)
+        return pa.Table.from_arrays(columns, schema=arrow_schema)
+
+    return held.cogroup(asked).applyInArrow(run, schema)
+
+
+def _vectors_of(blocks: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of some blocks, where these hold doubles."""
+    ids = pa.concat_arrays([part.flatten() for part in blocks["ids"].chunks])
+    if "block" not in blocks.column_names:
+        return ids, np.zeros((0, 0))
+    return ids, np.frombuffer(b"".join(blocks["block"].to_pylist())).reshape(len(ids), -1)
+
+
+def _best_of_group(
+    asked: tuple[pa.Array, np.ndarray], held: tuple[pa.Array, np.ndarray], k: int, metric: str, distinct: bool
+) -> list[pa.Array]:
+    (question_ids, asked_rows), (ids, held_rows) = asked, held
+    # In key order, so that a place tells which of two equal scores comes first.
+    order = pc.sort_indices(ids, sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()
+    ids, held_rows = ids.take(pa.array(order)), held_rows[order]
+    if distinct:
+        k *= int(pc.max(pc.value_counts(ids).field("counts")).as_py())
+    found = []
+    for first in range(0, len(asked_rows), ASKED_ROWS):
+        near = Nearest(asked_rows[first : first + ASKED_ROWS], k, metric)
+        near.add(held_rows)
+        rows = near.best_rows()
+        q, at, score, _ = near.candidates()
+        found.append((q[rows] + first, at[rows], np.round(score[rows], SCORE_DIGITS)))
+    q, at, score = (np.concatenate(x) for x in zip(*found))
+    return [question_ids.take(pa.array(q)), ids.take(pa.array(at)), pa.array(score)]
+
+
+class Nearest:
+    """The chunks that can be among the k best of some questions.
+
+    Scores are screened in single precision, a product of two tiles at a time: of every
+    stratum of neighbouring chunks the best, whose k-th largest is a floor; only strata
+    that reach it are looked into, with room for rounding and for the chunks' own error
+    `gaps`. What passes is scored in double precision."""
+
+    def __init__(self, asked: np.ndarray, k: int, metric: str):
+        self.asked, self.k, self.metric = asked, k, metric
+        self.length = np.linalg.norm(asked, axis=1)
+        # What the k-th best scores at least.
+        self.floor = np.full(len(asked), -np.inf)
+        self.found: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, held: np.ndarray, gaps: np.ndarray | None = None, base: int = 0) -> None:
+        """More chunks, whose places are counted from `base`."""
+        for first in range(0, len(held), HELD_ROWS):
+            part = held[first : first + HELD_ROWS]
+            gap = np.zeros(len(part)) if gaps is None else gaps[first : first + HELD_ROWS]
+            q, at = self._screened(part, float(gap.max()))
+            score = np.empty(len(q))
+            for start in range(0, len(q), 1 << 16):
+                cut = slice(start, start + (1 << 16))
+                x, y = self.asked[q[cut]], part[at[cut]]
+                score[cut] = -((x - y) ** 2).sum(1) if self.metric == "l2" else np.einsum("ij,ij->i", x, y)
+            self.found.append((q, at + first + base, score, gap[at]))
+            self.waiting += len(q)
+            if self.waiting > 16 * self.k * len(self.asked):
+                self.found = [self._kept(self.best_rows() if gaps is None else self.possible_rows())]
+                self.waiting = len(self.found[0][0])
+
+    def candidates(self) -> tuple[np.ndarray, ...]:
+        """Places of questions and chunks, scores and gaps."""
+        return tuple(np.concatenate(x) for x in zip(*self.found))
+
+    def _kept(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple(x[rows] for x in self.candidates())
+
+    def _ranks(self, q: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers by question and order, and the rank of each in its question."""
+        rows = np.lexsort((*reversed(order), q))
+        return rows, np.arange(len(q)) - np.searchsorted(q[rows], np.arange(len(self.asked)))[q[rows]]
+
+    def best_rows(self) -> np.ndarray:
+        """Of the candidates the k best of each question, by rounded score, then place."""
+        q, at, score, _ = self.candidates()
+        score = np.round(score, SCORE_DIGITS)
+        rows, rank = self._ranks(q, -score, at)
+        last = rows[rank == self.k - 1]
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], score[last] - SLACK)
+        return rows[rank < self.k]
+
+    def possible_rows(self) -> np.ndarray:
+        """Of the candidates all that can be among the k best for their gaps."""
+        q = self.candidates()[0]
+        low, high = self.ranges()
+        rows, rank = self._ranks(q, -low)
+        last = rows[rank == self.k - 1]
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], low[last])
+        return np.flatnonzero(high >= self.floor[q])
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest score that each candidate can have."""
+        q, _, score, gap = self.candidates()
+        if self.metric == "l2":
+            slack = (2 * np.sqrt(np.maximum(-score, 0.0)) + gap) * gap
+        else:
+            slack = self.length[q] * gap
+        slack = slack + SLACK * (1 + np.abs(score))
+        return score - slack, score + slack
+
+    def _screened(self, held: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of questions and chunks that may score what their floor asks."""
+        asked, n = self.asked, len(held)
+        if self.metric == "l2":
+            middle = held.mean(0)
+            asked, held = asked - middle, held - middle
+        v = float(np.abs(held).max(initial=0.0)) or 1.0
+        u = np.abs(asked).max(1, initial=0.0)
+        u = np.maximum(u, v) if self.metric == "l2" else np.where(u > 0, u, 1.0)
+        x, y, unit = asked / u[:, None], held / v, u * v
+        if self.metric == "l2":
+            x = np.hstack([2 * x, -(v / u)[:, None]])
+            y = np.hstack([y, (y * y).sum(1, keepdims=True)])
+            base = -(asked * asked).sum(1)
+        else:
+            base = np.zeros(len(asked))
+        # Rounding of the product, at most, in its own unit; and beside the gaps.
+        off = (x.shape[1] + 4) * 6e-8 * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
+        off = off + 1e-15 * np.abs(base) / unit
+        y32 = np.zeros((-(-n // STRATUM) * STRATUM, y.shape[1]), np.float32)
+        y32[:n] = y
+        scores = x.astype(np.float32) @ y32.T
+        scores[:, n:] = -np.inf
+        strata = scores.reshape(len(x), -1, STRATUM)
+        tops = strata.max(2)
+        known = tops if tops.shape[1] >= self.k else scores
+        if n >= self.k:
+            least = base + (np.partition(known, -self.k, axis=1)[:, -self.k].astype(np.float64) - off) * unit
+            self.floor = np.maximum(self.floor, self._worst(least, gap))
+        limit = ((self._least(gap) - base) / unit - off).astype(np.float32)
+        limit = np.nextafter(limit, np.float32(-np.inf))
+        q, stratum = np.nonzero(tops >= limit[:, None])
+        inside, place = np.nonzero(strata[q, stratum] >= limit[q, None])
+        q, at = q[inside], stratum[inside] * STRATUM + place
+        real = at < n
+        return q[real], at[real]
+
+    def _worst(self, score: np.ndarray, gap: float) -> np.ndarray:
+        """The least that chunks of such a score really have, before rounding."""
+        if self.metric == "l2":
+            return -((np.sqrt(np.maximum(-score, 0.0)) + gap) ** 2) - SLACK * (1 + np.abs(score))
+        return score - self.length * gap - SLACK * (1 + np.abs(score))
+
+    def _least(self, gap: float) -> np.ndarray:
+        """The score from which a chunk may really reach the floor."""
+        with np.errstate(invalid="ignore"):
+            floor = self.floor - np.where(np.isfinite(self.floor), SLACK * (1 + np.abs(self.floor)), 0.0)
+        if self.metric == "l2":
+            return -((np.sqrt(np.maximum(-floor, 0.0)) + gap) ** 2)
+        return floor - self.length * gap
+
+
 class Best:
     """Running k best (score, then key) of a block of questions in one task."""
 
@@ -341,11 +535,6 @@ def _small_enough(questions: DataFrame, copies: int, dim: int) -> bool:
     return checked(questions, max(1, BROADCAST_BYTES // (8 * dim * max(1, copies)))).small
 
 
-def _salts(questions: DataFrame, n_cells: int) -> int:
-    wanted = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, wanted // max(1, n_cells))
-
-
 def exact(
     chunks: DataFrame,
     questions: DataFrame,
@@ -369,9 +558,7 @@ def exact(
     held = pack(chunks, key, vector, one_cell(cells), metric, dim)
     asked = pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric, dim)
     small = _small_enough(questions, n_centers, dim)
-    found = compare_blocks(
-        held, asked, k, metric, small, question, key, _salts(questions, n_centers)
-    )
+    found = compare_blocks(held, asked, k, metric, small, question, key, dim)
     return top_k(found, k, question, key)
 
 
@@ -417,9 +604,8 @@ def _probe(
 ) -> DataFrame:
     dim = cells.centers.shape[1]
     asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric, dim)
-    small = _small_enough(questions, nprobe, cells.centers.shape[1])
-    salts = _salts(questions, len(cells.centers))
-    found = compare_blocks(held, asked, k, cells.metric, small, question, key, salts)
+    small = _small_enough(questions, nprobe, dim)
+    found = compare_blocks(held, asked, k, cells.metric, small, question, key, dim)
     return top_k(found, k, question, key)
 
 
@@ -539,7 +725,8 @@ def search_half(
     asked = settled(pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric, dim), "asked")
     probed = [row[0] for row in asked.select("cell").distinct().collect()]
     held = spark.read.parquet(f"{path}/half").where(F.col("cell").isin(probed) if probed else F.lit(False))
-    bounded = settled(_bounds(held, asked, k, metric, _small_enough(questions, 1, dim), question, key), "bounds")
+    small = _small_enough(questions, len(cells.centers), dim)
+    bounded = settled(_bounds(held, asked, k, metric, dim, small, question, key), "bounds")
     sure = top_k(bounded.select(question, key, F.col("low").alias("score")), k, question, key)
     floors = sure.groupBy(question).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k)
     near = bounded.join(floors.select(question, "floor"), question, "left")
@@ -553,51 +740,74 @@ def search_half(
     return top_k(met.select(question, key, score.alias("score")), k, question, key)
 
 
-def _bounds(
-    held: DataFrame, asked: DataFrame, k: int, metric: str, small: bool, question: str, key: str
-) -> DataFrame:
-    """question, key, low, high: of each task the chunks that may be among the k best
-    of a question, with the least and the largest score they can have."""
-    asked = asked.select("cell", F.col("ids").alias("question_ids"), F.col("block").alias("question_block"))
-    met = held.select("cell", "ids", "half", "scale", "gap").join(F.broadcast(asked) if small else asked, "cell")
+def _halves(blocks: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of blocks of half precision, and the largest rounding distance of each."""
+    parts = [np.frombuffer(half, np.float16).reshape(-1, dim) for half in blocks["half"].to_pylist()]
+    sizes = [len(part) for part in parts]
+    scales, gaps = (np.repeat(blocks[c].to_numpy(), sizes) for c in ("scale", "gap"))
+    return np.concatenate(parts).astype(np.float64) * scales[:, None], gaps
 
-    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict = {}
-        floors: dict = {}
-        for part in parts:
-            for _, ids, half, scale, gap, question_ids, block in part.itertuples(index=False):
-                rows = np.frombuffer(half, np.float16).astype(np.float64).reshape(len(ids), -1) * scale
-                want = np.frombuffer(block).reshape(len(question_ids), -1)
-                score = scores_between(want, rows, metric)
-                if metric == "l2":
-                    slack = (2 * np.sqrt(np.maximum(-score, 0)) + gap) * gap
-                else:
-                    slack = np.linalg.norm(want, axis=1, keepdims=True) * gap + np.zeros_like(score)
-                slack = slack + SLACK * (1 + np.abs(score))
-                for q, name in enumerate(question_ids):
-                    low, high = score[q] - slack[q], score[q] + slack[q]
-                    lows = np.concatenate([floors.get(name, np.empty(0)), low])
-                    floors[name] = np.partition(lows, -k)[-k:] if len(lows) > k else lows
-                    if len(floors[name]) == k:
-                        at = np.flatnonzero(high >= floors[name].min())
-                    else:
-                        at = np.arange(len(ids))
-                    if len(at):
-                        found.setdefault(name, []).append((np.asarray(ids)[at], low[at], high[at]))
-        for name, blocks in found.items():
-            ids, low, high = (np.concatenate(x) for x in zip(*blocks))
-            stay = high >= floors[name].min() if len(floors[name]) == k else np.ones(len(ids), bool)
-            yield pd.DataFrame({question: [name] * int(stay.sum()), key: ids[stay], "low": low[stay], "high": high[stay]})
 
+def _possible(near: Nearest) -> tuple[np.ndarray, ...]:
+    rows = near.possible_rows()
+    q, at, *_ = near.candidates()
+    low, high = near.ranges()
+    return q[rows], at[rows], low[rows], high[rows]
+
+
+def _bounds(
+    held: DataFrame, asked: DataFrame, k: int, metric: str, dim: int, small: bool, question: str, key: str
+) -> DataFrame:
+    """question, key, low, high: of each task, or group of a cell, the chunks that may be
+    among the k best of a question, with the least and the largest score they can have."""
+    held = held.select("cell", "ids", "half", "scale", "gap")
     schema = T.StructType(
         [
-            T.StructField(question, asked.schema["question_ids"].dataType.elementType),
+            T.StructField(question, asked.schema["ids"].dataType.elementType),
             T.StructField(key, held.schema["ids"].dataType.elementType),
             T.StructField("low", T.DoubleType()),
             T.StructField("high", T.DoubleType()),
         ]
     )
-    return met.mapInPandas(keep, schema)
+    arrow_schema = to_arrow_schema(schema)
+
+    def of_group(asked: tuple[pa.Array, np.ndarray], held: tuple[pa.Array, np.ndarray], blocks: pa.Table) -> list[pa.Array]:
+        (question_ids, asked_rows), ids = asked, held[0]
+        vectors, gaps = _halves(blocks, dim)
+        found = []
+        for first in range(0, len(asked_rows), ASKED_ROWS):
+            near = Nearest(asked_rows[first : first + ASKED_ROWS], k, metric)
+            near.add(vectors, gaps)
+            q, *rest = _possible(near)
+            found.append((q + first, *rest))
+        q, at, low, high = (np.concatenate(x) for x in zip(*found))
+        return [question_ids.take(pa.array(q)), ids.take(pa.array(at)), pa.array(low), pa.array(high)]
+
+    if not small:
+        return meet_in_groups(held, asked, dim, schema, of_group)
+    asked = asked.select("cell", F.col("ids").alias("question_ids"), F.col("block").alias("question_block"))
+    asked = asked.withColumn("question_group", F.xxhash64("question_ids", "cell"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # For each block of questions what was found, and the ids that its places mean.
+        best: dict[int, tuple[pa.Array, Nearest, list[pa.Array]]] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                meeting = pa.Table.from_batches([batch.slice(row, 1)])
+                group = meeting["question_group"][0].as_py()
+                if group not in best:
+                    asked_rows = np.frombuffer(meeting["question_block"][0].as_py()).reshape(-1, dim)
+                    best[group] = meeting["question_ids"].chunk(0).flatten(), Nearest(asked_rows, k, metric), []
+                _, near, ids = best[group]
+                base = sum(map(len, ids))
+                ids.append(meeting["ids"].chunk(0).flatten())
+                near.add(*_halves(meeting, dim), base)
+        for question_ids, near, ids in best.values():
+            q, at, low, high = _possible(near)
+            columns = [question_ids.take(pa.array(q)), pa.concat_arrays(ids).take(pa.array(at)), pa.array(low), pa.array(high)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
+
+    return held.join(F.broadcast(asked), "cell").mapInArrow(keep, schema)
 
 
 @dataclass(frozen=True)
@@ -638,8 +848,7 @@ def lsh(
     held = pack(chunks, key, vector, projections.choose, metric, dim)
     asked = pack(questions, question, vector, projections.choose, metric, dim)
     small = _small_enough(questions, tables, dim)
-    salts = _salts(questions, projections.spread * tables)
-    found = compare_blocks(held, asked, k, metric, small, question, key, salts)
+    found = compare_blocks(held, asked, k, metric, small, question, key, dim, distinct=True)
     once = found.groupBy(question, key).agg(F.max("score").alias("score"))
     return top_k(once, k, question, key)
 

@@ -200,6 +200,50 @@ def test_exact_search_is_brute_force(spark, monkeypatch, metric, broadcast):
     assert got == brute_nearest(asked, held, metric, 7)
 
 
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_many_questions_meet_in_groups(spark, monkeypatch, metric):
+    """Room for one copy of the questions, but not for one in each cell: they are
+    exchanged in groups of bounded size, by exact and by half-precision search."""
+    held, asked = sample(1, 300), sample(2, 40)
+    dim = held.shape[1]
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 8 * dim * 40)
+    monkeypatch.setattr(knn, "GROUP_BYTES", 8 * dim * 16)
+    meet, sides = knn.meet_in_groups, []
+    monkeypatch.setattr(knn, "meet_in_groups", lambda *x: sides.append(x) or meet(*x))
+    chunks, questions = vector_frame(spark, held, "key"), vector_frame(spark, asked, "question_id")
+    path = fresh_path(spark, "test-half")
+    knn.write_half(chunks, path, metric, n_cells=3)
+    want = brute_nearest(asked, held, metric, 7)
+    for found in (knn.exact(chunks, questions, 7, metric, n_cells=3), knn.search_half(spark, path, questions, 7)):
+        assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == want
+    assert len(sides) == 2
+
+
+@pytest.mark.parametrize("metric", ["dot", "l2"])
+@pytest.mark.parametrize("shape", ["plain", "equal", "far", "sizes"])
+def test_screening_loses_no_neighbour(metric, shape):
+    """Equal vectors, vectors far from the origin and of very different lengths."""
+    draw = np.random.default_rng(3)
+    held, asked = draw.normal(size=(5000, 8)), draw.normal(size=(50, 8))
+    if shape == "equal":
+        held = held[draw.integers(0, 20, 5000)]
+        asked = held[:50]
+    if shape == "far":
+        held, asked = held / 100 + 1000, asked / 100 + 1000
+    if shape == "sizes":
+        held = held * 10.0 ** draw.integers(-6, 6, (5000, 1))
+    near = knn.Nearest(asked, 5, metric)
+    near.add(held)
+    rows = near.best_rows()
+    q, at, score, _ = near.candidates()
+    true = -((asked[:, None] - held[None]) ** 2).sum(-1) if metric == "l2" else asked @ held.T
+    for i, row in enumerate(np.round(true, 6)):
+        own = rows[q[rows] == i]
+        np.testing.assert_allclose(np.round(score[own], 6), np.sort(row)[::-1][:5], rtol=1e-9, atol=2e-6)
+        if shape in ("plain", "equal"):
+            assert at[own].tolist() == np.lexsort((np.arange(len(row)), -row))[:5].tolist()
+
+
 def test_exact_search_prunes_cells_of_clustered_data(spark):
     centers = np.eye(8)[:4] * 50
     held = np.concatenate([c + np.random.default_rng(i).normal(size=(100, 8)) for i, c in enumerate(centers)])
