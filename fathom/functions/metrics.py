@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
-from fathom.functions.columns import words_by_space
+from fathom.functions.columns import bind, words_by_space
 
 # ASCII punctuation and English articles. Fixed values.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -26,30 +28,54 @@ def exact_match(tokens: Column, golds: Column) -> Column:
     return F.array_contains(golds, tokens).cast("int")
 
 
-def shared_tokens(x: Column, y: Column) -> Column:
-    """Size of the bag overlap of two token arrays.
+def numbered(tokens: Column) -> Column:
+    """The tokens with their second and later occurrences numbered, so that no two are
+    equal: bags as sets. Numbers follow a space, which no token holds. Null as empty."""
+    return F.when(_distinct(tokens), tokens).otherwise(bind(F.sort_array(tokens), _numbered))
 
-    Both sides are sorted together and walked once, inside the row."""
-    def tagged(tokens: Column, x: int, y: int) -> Column:
-        return F.transform(
-            tokens, lambda t: F.struct(t.alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-        )
 
-    start = F.struct(
-        F.lit("").alias("t"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("same")
-    )
-
-    def step(acc: Column, w: Column) -> Column:
-        again = acc["t"] == w["t"]
-        return F.struct(
-            w["t"].alias("t"),
-            F.when(again, acc["x"] + w["x"]).otherwise(w["x"]).alias("x"),
-            F.when(again, acc["y"] + w["y"]).otherwise(w["y"]).alias("y"),
-            F.when(again, acc["same"]).otherwise(acc["same"] + F.least(acc["x"], acc["y"])).alias("same"),
+def _numbered(tokens: Column) -> Column:
+    """The same of sorted tokens that are not all different: runs, then their members."""
+    places = F.sequence(F.lit(0), F.size(tokens) - 1)
+    first = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1))
+
+    def member(token: Column, n: Column) -> Column:
+        return F.when(n == 1, token).otherwise(F.concat(token, F.lit(" "), n.cast("string")))
+
+    def runs(starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(tokens)))
+        return F.flatten(
+            F.zip_with(
+                starts, ends, lambda b, e: F.transform(F.sequence(F.lit(1), e - b), lambda n: member(F.get(tokens, b), n))
+            )
         )
 
-    both = F.sort_array(F.concat(tagged(x, 1, 0), tagged(y, 0, 1)))
-    return F.aggregate(both, start, step, lambda acc: acc["same"] + F.least(acc["x"], acc["y"]))
+    return bind(F.filter(places, first), runs)
+
+
+def _distinct(tokens: Column) -> Column:
+    return F.size(F.array_distinct(tokens)) == F.size(tokens)
+
+
+def _again(tokens: Column) -> Column:
+    """Second and later occurrences, sorted."""
+    return bind(F.sort_array(tokens), lambda s: F.filter(s, lambda t, i: (i > 0) & (t == F.get(s, i - 1))))
+
+
+def shared_tokens(x: Column, y: Column) -> Column:
+    """Size of the bag overlap of two token arrays: what they share as sets, and of what
+    both hold again. Only that is numbered, if it is no set on either side."""
+
+    def shared(x: Column, y: Column, beyond: Callable[[Column], Column]) -> Column:
+        sets = F.size(F.array_intersect(x, y))
+        return F.when(x == y, F.size(x)).when(_distinct(y) | _distinct(x), sets).otherwise(beyond(sets))
+
+    def again(p: Column) -> Column:
+        bags = F.size(F.array_intersect(numbered(p["x"]), numbered(p["y"])))
+        return shared(p["x"], p["y"], lambda _: bags)
+
+    both = F.struct(_again(x).alias("x"), _again(y).alias("y"))
+    return shared(x, y, lambda sets: sets + bind(both, again))
 
 
 def token_f1(tokens: Column, golds: Column) -> Column:
