@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from fathom.functions.columns import bind
+from fathom.session import bound_batches
 
 # Everything that is not a letter, mark or digit separates words.
 SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
@@ -56,6 +57,7 @@ def english_unstemmed(text: Column) -> Column:
 
 def english(text: Column) -> Column:
     """Stop words removed and words reduced to their stems."""
+    bound_batches()
     return stem_all(english_unstemmed(text))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from fathom.functions.columns import WHITESPACE, bind, strip, words_by_space
+from fathom.session import bound_batches
 
 # Patterns and markers that decide what is removed. Fixed values.
 TAIL_SECTIONS = ("See also", "Notes", "References", "Further reading", "External links")
@@ -166,6 +167,7 @@ def drop_blocks(text: Column) -> Column:
     words, a space before the newline of a non-empty line.
 
     Only texts that hold a bracket visit Python."""
+    bound_batches()
     bracketed = text.rlike(r"\{\{|\[\[|<!")
     outside = F.when(bracketed, _outside_blocks(F.when(bracketed, text))).otherwise(text)
     squeezed = F.regexp_replace(outside, f"[{WHITESPACE}&&[^\n]]+", " ")

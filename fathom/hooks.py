@@ -14,6 +14,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fathom.functions.text import standard
+from fathom.session import bound_batches
 
 READ = T.StructType(
     [
@@ -97,6 +98,7 @@ class HashedEmbedding:
 
 
 def _tokens(rows: DataFrame, text: str, *more: str) -> DataFrame:
+    bound_batches(rows.sparkSession)
     words = F.coalesce(standard(F.col(text)), F.array().cast("array<string>"))
     return rows.select(words.alias("_words"), *more)
 

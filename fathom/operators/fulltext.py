@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from fathom.functions.text import ANALYZERS, Analyzer, Stems, english, english_unstemmed, standard, stemmed
 from fathom.operators.joins import checked
 from fathom.operators.ranking import SCORE_DIGITS, top_k
-from fathom.session import settled
+from fathom.session import bound_batches, settled
 
 K1 = 1.2
 B = 0.75
@@ -43,6 +43,7 @@ def count_words(docs: DataFrame, key: str, text: str, analyzer: Analyzer = stand
     Words are numbered over a batch of documents and counted by sorting the numbers,
     so a document's words are counted where it lies and nothing is exchanged. The
     English analyzer stems the batch's distinct words, not every occurrence."""
+    bound_batches(docs.sparkSession)
     stems = analyzer is english
     words = F.coalesce((english_unstemmed if stems else analyzer)(F.col(text)), F.array().cast("array<string>"))
     rows = docs.select(F.col(key).alias("key"), words.alias("words"))
@@ -295,6 +296,7 @@ def _local_best(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -
 
 
 def _best_of_pass(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -> DataFrame:
+    bound_batches(weighted.sparkSession)
     asked = weighted.toArrow().combine_chunks()
     questions, terms = pc.unique(asked["question_id"]), pc.unique(asked["term"])
     term = pc.index_in(asked["term"], terms).to_numpy().astype(np.int64)

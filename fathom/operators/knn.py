@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from fathom.functions import vectors
 from fathom.operators.joins import checked
 from fathom.operators.ranking import SCORE_DIGITS, top_k
-from fathom.session import settled
+from fathom.session import bound_batches, settled
 
 # Rows of the corpus read to place centers and to bound the k-th best score.
 # Fixed sizes, whatever the corpus.
@@ -202,6 +202,7 @@ def pack(
     """cell, ids, block: vectors of one cell side by side, at most `block_rows`
     of them, packed within a task. `choose` maps projected vectors to a boolean
     row-by-cell table. Rows without a valid vector are left out, see `rejects`."""
+    bound_batches(rows.sparkSession)
     rows = validate(rows, dim, vector)[0]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:

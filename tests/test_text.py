@@ -1,12 +1,16 @@
 """Cleaner, analyzers, presentation and metrics against worked examples."""
 
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from fathom import hooks, session
 from fathom.functions import metrics, present, text, wikitext
 from fathom.functions.columns import round_nearest
-from fathom.operators import corpus, hybrid
+from fathom.operators import corpus, fulltext, hybrid
 
 
 def value(spark, column):
@@ -220,6 +224,41 @@ def test_answer_normalising(spark):
     assert value(spark, metrics.token_f1(long, golds)) == 0.5
 
 
+def test_functions_get_batches_of_a_bounded_size(spark):
+    """By bytes, whatever the partition holds; a session that asks for less keeps that."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        docs = spark.range(6000).selectExpr("id AS key", "repeat('word ', 400) AS text").coalesce(1)
+        fulltext.count_words(docs, "key", "text")
+        sizes = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long")
+        assert max(r.n for r in sizes.collect()) < 2 * session.BATCH_BYTES
+        for ask in (lambda: wikitext.drop_blocks(F.col("t")), lambda: hooks.hashed_embedding(docs, "text")):
+            spark.conf.set(name, "64m")
+            ask()
+            assert spark.conf.get(name) == str(session.BATCH_BYTES)
+        spark.conf.set(name, "1m")
+        fulltext.count_words(docs, "key", "text")
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_bag_overlap(spark):
+    """Against counters, over every pair of some token lists; no fold over the tokens."""
+    lists = [[], ["a"], ["a", "a"], ["a", "b", "a"], ["b", "a"], ["a", "a", "a", "c"], ["é", "b", "é", "b", "c"]]
+    pairs = [(x, y, sum((Counter(x) & Counter(y)).values())) for x in lists for y in lists]
+    rows = spark.createDataFrame(pairs, "x array<string>, y array<string>, n int")
+    shared = metrics.shared_tokens(F.col("x"), F.col("y"))
+    assert rows.where(shared != F.col("n")).count() == 0
+    assert rows.where(shared.isNull()).count() == 0
+    assert "aggregate" not in str(shared).lower()
+    f1 = metrics.token_f1(F.col("x"), F.array("y"))
+    want = F.when(F.size("x") + F.size("y") == 0, 1.0).otherwise(2.0 * F.col("n") / (F.size("x") + F.size("y")))
+    assert rows.where(f1 != want).count() == 0
+
+
 def test_word_ranges(spark):
     samples = ["", "a", " a  bc\n", "Dr. İz-mir's 3½ été", "x" * 70_000 + " y", "\U0001d400b c", "..."]
     rows = spark.createDataFrame([(s,) for s in [*samples, None]], "t string")
