@@ -166,20 +166,60 @@ def term_bucket(term: Column) -> Column:
 
 def _block_table(index: TextIndex) -> DataFrame:
     """Postings in blocks: those of one term in one range of documents. What a
-    block can add to a score is known from its peak, without its postings."""
-    rows = index.words.select("range", *(c for c in index.words.columns if c != "range"))
-    rows = rows.select("range", "key", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("word"))
-    rows = rows.select("range", "key", "dl", F.col("word.terms").alias("term"), F.col("word.tfs").alias("tf"))
-    held = F.sort_array(F.collect_list(F.struct("key", "dl", "tf"))).alias("held")
-    blocks = rows.groupBy("term", "range").agg(F.max(index.saturation()).alias("peak"), held)
-    return blocks.select(
-        term_bucket(F.col("term")).alias("bucket"),
-        "term",
-        "range",
-        "peak",
-        F.col("held.key").alias("keys"),
-        F.col("held.dl").alias("dls"),
-        F.col("held.tf").alias("tfs"),
+    block can add to a score is known from its peak, without its postings.
+
+    Documents of a range lie side by side, so blocks are built where they lie. A range
+    that lies in two tasks has two blocks of a term; bounds add up both peaks."""
+    rows = index.words.select("range", "key", "dl", "terms", "tfs")
+    bound_batches(rows.sparkSession)
+    scale = (index.k1, index.b, index.size[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
+            # The last range may go on in the next batch.
+            ranges = held.column(0).to_numpy(zero_copy_only=False)
+            done = int(np.flatnonzero(ranges != ranges[-1]).max(initial=-1)) + 1
+            if done:
+                yield _blocks(held.slice(0, done), *scale)
+            waiting = [held.slice(done)]
+        for held in waiting:
+            yield _blocks(held, *scale)
+
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"term string, range bigint, peak double, keys array<{kind}>, dls array<int>, tfs array<int>"
+    return rows.mapInArrow(run, schema).select(term_bucket(F.col("term")).alias("bucket"), "*")
+
+
+def _blocks(held: pa.RecordBatch, k1: float, b: float, mean: float) -> pa.RecordBatch:
+    """Blocks of some documents, by range and term, postings in key order."""
+    held = held.take(pc.sort_indices(held.column(1)))
+    lists = held.column(3)
+    row = np.repeat(np.arange(held.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    coded = lists.flatten().dictionary_encode()
+    ranges, own = np.unique(held.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+    n = max(len(coded.dictionary), 1)
+    block = own[row] * n + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(block, kind="stable")
+    block, row = block[order], row[order]
+    tf, dl = held.column(4).flatten().take(pa.array(order)), held.column(2).take(pa.array(row))
+    counts = tf.to_numpy(zero_copy_only=False).astype(np.float64)
+    part = counts / (counts + k1 * (1 - b + b * dl.to_numpy(zero_copy_only=False) / mean)) if len(row) else counts
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    ends = pa.array(np.append(starts, len(block)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            coded.dictionary.take(pa.array(block[starts] % n)),
+            pa.array(ranges[block[starts] // n]),
+            pa.array(np.maximum.reduceat(part, starts) if len(starts) else part),
+            pa.ListArray.from_arrays(ends, held.column(1).take(pa.array(row))),
+            pa.ListArray.from_arrays(ends, dl),
+            pa.ListArray.from_arrays(ends, tf),
+        ],
+        ["term", "range", "peak", "keys", "dls", "tfs"],
     )
 
 
@@ -205,8 +245,9 @@ def write_index(
     _term_table(words, k1, b).write.parquet(f"{path}/terms")
     if blocks:
         index = read_index(spark, path, analyzer, k1, b, blocks=False)
-        table = _block_table(index).repartitionByRange("bucket", "term", "range")
-        table.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+        # Not exchanged: a task that reads 128 MB of words writes a file for each bucket.
+        table = _block_table(index).sortWithinPartitions("bucket", "term", "range")
+        table.write.partitionBy("bucket").parquet(f"{path}/blocks")
     return read_index(spark, path, analyzer, k1, b, blocks)
 
 

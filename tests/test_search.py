@@ -127,6 +127,22 @@ def test_blocks_are_read_by_bucket_and_bound(spark):
     assert len(bounded) == 16 and sum(r.bound >= floor - fulltext.TOLERANCE for r in bounded) == 2
 
 
+def test_blocks_are_built_where_documents_lie(spark):
+    """No posting is exchanged, and the blocks hold every posting once, with its peak."""
+    docs = [(i, f"common w{i % 5} w{i % 5} own{i}") for i in range(400)] + [(400, None), (401, "")]
+    frame = spark.createDataFrame(docs, "key bigint, text string").repartition(3)
+    index = fulltext.write_index(frame, fresh_path(spark, "test-index"), blocks=True)
+    assert "Exchange" not in fulltext._block_table(index)._jdf.queryExecution().executedPlan().toString()
+    rows = index.blocks.collect()
+    held = [(k, d, r.term, t) for r in rows for k, d, t in zip(r["keys"], r.dls, r.tfs)]
+    assert sorted(held) == sorted(tuple(r) for r in index.postings.select("key", "dl", "term", "tf").collect())
+    mean = index.size[1]
+    for r in rows:
+        assert r["keys"] == sorted(r["keys"])
+        peak = max(t / (t + 1.2 * (1 - 0.75 + 0.75 * d / mean)) for d, t in zip(r.dls, r.tfs))
+        assert abs(r.peak - peak) < 1e-12
+
+
 def test_keys_of_text_and_empty_tables(spark):
     docs = spark.createDataFrame([("b-1", "x y"), ("a-1", "x y"), ("c", None)], "key string, text string")
     asked = spark.createDataFrame([("q", "x")], "question_id string, question string")
