@@ -3,9 +3,9 @@
 Vectors fall into cells around fixed centers. Chunks are packed, where they
 lie, into small blocks of one cell; questions are packed into blocks for the
 cells they have to look at. Few questions meet the chunks in an equi-join on the
-cell; many are dealt, like the chunks of their cell, to groups of a bounded size,
-and every group of questions meets every group of chunks of the cell once. They
-are compared with matrix products. A task keeps only the k best rows per question,
+cell; many are dealt, like the chunks of one or several cells, to groups of a bounded
+size, and a group of questions meets a group of chunks once, with all questions
+that look at one of its cells. They are compared with matrix products. A task keeps only the k best rows per question,
 so pairs are never written out.
 
 Which cells a question looks at is the only difference between the searches:
@@ -18,7 +18,7 @@ Which cells a question looks at is the only difference between the searches:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -249,44 +249,80 @@ def one_cell(cells: Cells):
 
 # Bytes of vectors of either side that meet in one group.
 GROUP_BYTES = 32 << 20
+# Smaller groups are made until so many meet for each core.
+MEETINGS_PER_CORE = 4
 # Questions and chunks of one matrix product, and neighbouring chunks of which the
 # best is looked at first.
 ASKED_ROWS, HELD_ROWS, STRATUM = 1024, 4096, 32
+# Vectors in a block of questions that is dealt to a group.
+DEALT_ROWS = 256
+# Bytes of blocks that are read from a stored file at once, about.
+STORED_BYTES = 16 << 20
+
+
+@dataclass(frozen=True)
+class Asked:
+    """Questions, and which cells they look at: `choose` maps projected vectors to a
+    boolean row-by-cell table, with `copies` cells a question at most."""
+
+    rows: DataFrame
+    key: str
+    vector: str
+    metric: str
+    dim: int
+    choose: Callable[[np.ndarray], np.ndarray]
+    copies: int
+
+    def small(self) -> bool:
+        return _small_enough(self.rows, self.copies, self.dim)
+
+    def blocks(self) -> DataFrame:
+        return pack(self.rows, self.key, self.vector, self.choose, self.metric, self.dim)
+
+    def by_cell(self) -> dict[int, int]:
+        """How many questions look at each cell that any looks at."""
+        bound_batches(self.rows.sparkSession)
+        choose, vector, metric = self.choose, self.vector, self.metric
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    n = choose(project(matrix_of(batch, vector), metric)).sum(0)
+                    cell = np.flatnonzero(n)
+                    columns = [pa.array(cell, pa.int32()), pa.array(n[cell], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["cell", "n"])
+
+        good = validate(self.rows, self.dim, vector)[0].select(vector)
+        found = good.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        return {row["cell"]: row["n"] for row in found.collect()}
 
 
 def compare_blocks(
-    chunk_blocks: DataFrame,
-    question_blocks: DataFrame,
-    k: int,
-    metric: str,
-    small: bool,
-    question: str,
-    key: str,
-    dim: int,
-    distinct: bool = False,
+    chunk_blocks: DataFrame, asked: Asked, k: int, key: str, distinct: bool = False
 ) -> DataFrame:
     """question, key, score of the k best chunks per question and task, or group of
-    a cell; with `distinct` of the k best keys."""
-    question_type = question_blocks.schema["ids"].dataType.elementType
-    key_type = chunk_blocks.schema["ids"].dataType.elementType
+    chunks; with `distinct` of the k best keys."""
+    question, metric = asked.key, asked.metric
     schema = T.StructType(
         [
-            T.StructField(question, question_type),
-            T.StructField(key, key_type),
+            T.StructField(question, asked.rows.schema[question].dataType),
+            T.StructField(key, chunk_blocks.schema["ids"].dataType.elementType),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    if not small:
+    if not asked.small():
+        choose = asked.choose
         return meet_in_groups(
-            chunk_blocks, question_blocks, dim, schema, lambda asked, held, _: _best_of_group(asked, held, k, metric, distinct)
+            chunk_blocks, asked, schema, lambda met, blocks: _best_of_group(met, blocks, k, metric, choose, distinct)
         )
-    asked = question_blocks.select(
+    question_blocks = asked.blocks()
+    sent = question_blocks.select(
         "cell",
         F.col("ids").alias("question_ids"),
         F.col("block").alias("question_block"),
         F.xxhash64("ids").alias("question_group"),
     )
-    meetings = chunk_blocks.join(F.broadcast(asked), "cell").select(
+    meetings = chunk_blocks.join(F.broadcast(sent), "cell").select(
         "ids", "block", "question_group", "question_ids", "question_block"
     )
 
@@ -312,61 +348,115 @@ def compare_blocks(
     return meetings.mapInPandas(keep_best, schema)
 
 
-def meet_in_groups(
-    chunk_blocks: DataFrame, question_blocks: DataFrame, dim: int, schema: T.StructType, body
-) -> DataFrame:
-    """The rows `body` gives for the questions (ids, vectors) and chunks of one cell.
-
-    A cell's blocks on either side are dealt to as many groups as their counted rows
-    need at GROUP_BYTES each; every group of questions meets every group of chunks of
-    its cell, once, in a task that holds these two and nothing else."""
-    rows = max(1, GROUP_BYTES // (8 * dim))
-
-    def parts(blocks: DataFrame) -> Column:
-        sizes = blocks.groupBy("cell").agg(F.sum(F.size("ids")).alias("n")).collect()
-        pairs = [F.lit(x) for cell, n in sizes for x in (cell, max(1, -(-n // rows)))]
-        return F.create_map(*pairs)[F.col("cell")] if pairs else F.lit(1)
-
-    def dealt(blocks: DataFrame, own: str, n_own: Column, other: str, n_other: Column) -> DataFrame:
-        part = F.pmod(F.xxhash64("ids"), n_own).cast("int").alias(own)
-        everywhere = F.explode(F.sequence(F.lit(0), n_other - 1)).alias(other)
-        return blocks.select("*", part, everywhere).groupBy("cell", "chunks", "questions")
-
-    n_chunks, n_questions = parts(chunk_blocks), parts(question_blocks)
-    held = dealt(chunk_blocks, "chunks", n_chunks, "questions", n_questions)
-    asked = dealt(question_blocks, "questions", n_questions, "chunks", n_chunks)
+def meet_in_groups(chunk_blocks: DataFrame, asked: Asked, schema: T.StructType, body) -> DataFrame:
+    """The rows `body` gives for the questions (ids, vectors) and blocks of chunks of
+    one or several cells, of which every question looks at one at least.
+
+    Cells are put together to groups, and a larger cell is dealt to several, by their
+    counted chunks; so are the questions of each group. A group has GROUP_BYTES at most,
+    about, and every group of questions meets its group of chunks once, in a task that
+    holds these two and nothing else."""
+    most = max(1, GROUP_BYTES // (8 * asked.dim))
+    cores = chunk_blocks.sparkSession.sparkContext.defaultParallelism
+    side = max(1, round((MEETINGS_PER_CORE * cores) ** 0.5))
+    looked = asked.by_cell()
+    held_by = chunk_blocks.groupBy("cell").agg(F.sum(F.size("ids"))).collect()
+    held_by = {cell: n for cell, n in held_by if cell in looked}
+    rows = min(most, max(HELD_ROWS, -(-sum(held_by.values()) // side)))
+    # Units of cells that go together, with their first group and number of groups.
+    units: list[list[int]] = []
+    rooms, counts = [], []
+    for cell, n in sorted(held_by.items(), key=lambda x: (-x[1], x[0])):
+        unit = next((u for u, room in enumerate(rooms) if room >= n), len(units))
+        if unit == len(units):
+            units.append([])
+            counts.append(max(1, -(-n // rows)))
+            rooms.append(rows if counts[-1] == 1 else n)
+        units[unit].append(cell)
+        rooms[unit] -= n
+    starts = [sum(counts[:u]) for u in range(len(units))]
+    reach = [sum(looked[cell] for cell in unit) for unit in units]
+    rows = min(most, max(ASKED_ROWS, -(-max(reach, default=0) // side), DEALT_ROWS))
+    parts = [-(-n // rows) for n in reach]
+
+    def of(values: dict[int, int]) -> Column:
+        pairs = [F.lit(x) for item in values.items() for x in item]
+        return F.create_map(*pairs)[F.col("cell")] if pairs else F.lit(None).cast("int")
+
+    by_cell = {cell: u for u, unit in enumerate(units) for cell in unit}
+    own = lambda n: F.pmod(F.xxhash64("ids"), n).cast("int")
+    held = chunk_blocks.where(F.col("cell").isin(list(by_cell)) if by_cell else F.lit(False))
+    held = held.withColumn("group", of({c: starts[u] for c, u in by_cell.items()}) + own(of({c: counts[u] for c, u in by_cell.items()})))
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), of({c: parts[u] for c, u in by_cell.items()}) - 1)))
+
+    choose = asked.choose
+
+    def units_of(vectors: np.ndarray) -> np.ndarray:
+        chosen = choose(vectors)
+        wanted = [chosen[:, unit].any(1) for unit in units]
+        return np.stack(wanted, axis=1) if wanted else np.zeros((len(vectors), 0), dtype=bool)
+
+    met = pack(asked.rows, asked.key, asked.vector, units_of, asked.metric, asked.dim, DEALT_ROWS)
+    met = met.withColumn("part", own(of(dict(enumerate(parts)))))
+    first = of(dict(enumerate(starts)))
+    met = met.withColumn("group", F.explode(F.sequence(first, first + of(dict(enumerate(counts))) - 1)))
+    # With room, so that few meetings share a task; a given number is not coalesced.
+    meetings = sum(n * m for n, m in zip(counts, parts))
+    tasks = max(1, meetings, min(4 * meetings, 2000))
+    held, met = (side.repartition(tasks, "group", "part").groupBy("group", "part") for side in (held, met))
     arrow_schema = to_arrow_schema(schema)
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         if not held.num_rows or not asked.num_rows:
             return arrow_schema.empty_table()
-        columns = body(_vectors_of(asked), _vectors_of(held), held)
-        return pa.Table.from_arrays(columns, schema=arrow_schema)
+        return pa.Table.from_arrays(body(_vectors_of(asked), held), schema=arrow_schema)
+
+    return held.cogroup(met).applyInArrow(run, schema)
+
+
+def _ids_of(blocks: pa.Table) -> pa.Array:
+    return pa.concat_arrays([part.flatten() for part in blocks["ids"].chunks])
+
 
-    return held.cogroup(asked).applyInArrow(run, schema)
+def _cells_of(blocks: pa.Table) -> np.ndarray:
+    """The cell of every vector."""
+    return np.repeat(blocks["cell"].to_numpy(), pc.list_value_length(blocks["ids"]).to_numpy())
 
 
 def _vectors_of(blocks: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    """Ids and vectors of some blocks, where these hold doubles."""
-    ids = pa.concat_arrays([part.flatten() for part in blocks["ids"].chunks])
-    if "block" not in blocks.column_names:
-        return ids, np.zeros((0, 0))
+    """Ids and vectors of some blocks, which hold doubles."""
+    ids = _ids_of(blocks)
     return ids, np.frombuffer(b"".join(blocks["block"].to_pylist())).reshape(len(ids), -1)
 
 
+def _met_by_tile(
+    asked_rows: np.ndarray, held_rows: np.ndarray, cell: np.ndarray, k: int, metric: str, choose, gaps: np.ndarray | None = None
+) -> Iterator[tuple[int, Nearest]]:
+    """For some questions after others the place of their first, and the nearest among
+    the vectors of the cells that each looks at."""
+    places = {c: np.flatnonzero(cell == c) for c in np.unique(cell)}
+    for first in range(0, len(asked_rows), ASKED_ROWS):
+        near = Nearest(asked_rows[first : first + ASKED_ROWS], k, metric)
+        chosen = choose(near.asked)
+        for c, at in places.items():
+            looking = np.flatnonzero(chosen[:, c])
+            if len(looking):
+                near.add(held_rows[at], None if gaps is None else gaps[at], looking=looking, places=at)
+        if near.found:
+            yield first, near
+
+
 def _best_of_group(
-    asked: tuple[pa.Array, np.ndarray], held: tuple[pa.Array, np.ndarray], k: int, metric: str, distinct: bool
+    asked: tuple[pa.Array, np.ndarray], blocks: pa.Table, k: int, metric: str, choose, distinct: bool
 ) -> list[pa.Array]:
-    (question_ids, asked_rows), (ids, held_rows) = asked, held
+    (question_ids, asked_rows), (ids, held_rows), cell = asked, _vectors_of(blocks), _cells_of(blocks)
     # In key order, so that a place tells which of two equal scores comes first.
     order = pc.sort_indices(ids, sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()
-    ids, held_rows = ids.take(pa.array(order)), held_rows[order]
+    ids, held_rows, cell = ids.take(pa.array(order)), held_rows[order], cell[order]
     if distinct:
         k *= int(pc.max(pc.value_counts(ids).field("counts")).as_py())
-    found = []
-    for first in range(0, len(asked_rows), ASKED_ROWS):
-        near = Nearest(asked_rows[first : first + ASKED_ROWS], k, metric)
-        near.add(held_rows)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for first, near in _met_by_tile(asked_rows, held_rows, cell, k, metric, choose):
         rows = near.best_rows()
         q, at, score, _ = near.candidates()
         found.append((q[rows] + first, at[rows], np.round(score[rows], SCORE_DIGITS)))
@@ -389,19 +479,30 @@ class Nearest:
         self.floor = np.full(len(asked), -np.inf)
         self.found: list[tuple[np.ndarray, ...]] = []
         self.waiting = 0
-
-    def add(self, held: np.ndarray, gaps: np.ndarray | None = None, base: int = 0) -> None:
-        """More chunks, whose places are counted from `base`."""
+        self.memory = np.empty(0, np.float32)
+
+    def add(
+        self,
+        held: np.ndarray,
+        gaps: np.ndarray | None = None,
+        base: int = 0,
+        looking: np.ndarray | None = None,
+        places: np.ndarray | None = None,
+    ) -> None:
+        """More chunks, whose places are given or counted from `base`, for all questions
+        or those `looking`."""
+        rows = np.arange(len(self.asked)) if looking is None else looking
+        places = np.arange(base, base + len(held)) if places is None else places
         for first in range(0, len(held), HELD_ROWS):
             part = held[first : first + HELD_ROWS]
             gap = np.zeros(len(part)) if gaps is None else gaps[first : first + HELD_ROWS]
-            q, at = self._screened(part, float(gap.max()))
+            q, at = self._screened(part, float(gap.max()), rows)
             score = np.empty(len(q))
             for start in range(0, len(q), 1 << 16):
                 cut = slice(start, start + (1 << 16))
                 x, y = self.asked[q[cut]], part[at[cut]]
                 score[cut] = -((x - y) ** 2).sum(1) if self.metric == "l2" else np.einsum("ij,ij->i", x, y)
-            self.found.append((q, at + first + base, score, gap[at]))
+            self.found.append((q, places[at + first], score, gap[at]))
             self.waiting += len(q)
             if self.waiting > 16 * self.k * len(self.asked):
                 self.found = [self._kept(self.best_rows() if gaps is None else self.possible_rows())]
@@ -447,9 +548,9 @@ class Nearest:
         slack = slack + SLACK * (1 + np.abs(score))
         return score - slack, score + slack
 
-    def _screened(self, held: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places of questions and chunks that may score what their floor asks."""
-        asked, n = self.asked, len(held)
+    def _screened(self, held: np.ndarray, gap: float, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of questions, of these rows, and chunks that may score what their floor asks."""
+        asked, n = self.asked[rows], len(held)
         if self.metric == "l2":
             middle = held.mean(0)
             asked, held = asked - middle, held - middle
@@ -468,35 +569,45 @@ class Nearest:
         off = off + 1e-15 * np.abs(base) / unit
         y32 = np.zeros((-(-n // STRATUM) * STRATUM, y.shape[1]), np.float32)
         y32[:n] = y
-        scores = x.astype(np.float32) @ y32.T
-        scores[:, n:] = -np.inf
-        strata = scores.reshape(len(x), -1, STRATUM)
-        tops = strata.max(2)
-        known = tops if tops.shape[1] >= self.k else scores
+        # A row for each chunk, so that the best of a stratum is taken along whole rows.
+        scores = self._product(y32, x.astype(np.float32).T)
+        scores[n:] = -np.inf
+        strata = scores.reshape(-1, STRATUM, len(x))
+        tops = strata.max(1)
+        known = tops if len(tops) >= self.k else scores
         if n >= self.k:
-            least = base + (np.partition(known, -self.k, axis=1)[:, -self.k].astype(np.float64) - off) * unit
-            self.floor = np.maximum(self.floor, self._worst(least, gap))
-        limit = ((self._least(gap) - base) / unit - off).astype(np.float32)
+            best = np.partition(known.T.copy(), -self.k, axis=1)[:, -self.k]
+            least = base + (best.astype(np.float64) - off) * unit
+            self.floor[rows] = np.maximum(self.floor[rows], self._worst(least, gap, rows))
+        limit = ((self._least(gap, rows) - base) / unit - off).astype(np.float32)
         limit = np.nextafter(limit, np.float32(-np.inf))
-        q, stratum = np.nonzero(tops >= limit[:, None])
-        inside, place = np.nonzero(strata[q, stratum] >= limit[q, None])
+        stratum, q = np.nonzero(tops >= limit)
+        inside, place = np.nonzero(strata[stratum, :, q] >= limit[q, None])
         q, at = q[inside], stratum[inside] * STRATUM + place
         real = at < n
-        return q[real], at[real]
+        return rows[q[real]], at[real]
 
-    def _worst(self, score: np.ndarray, gap: float) -> np.ndarray:
+    def _product(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The product of two matrices in memory that is used again."""
+        size = x.shape[0] * y.shape[1]
+        if len(self.memory) < size:
+            self.memory = np.empty(size, np.float32)
+        return np.matmul(x, y, out=self.memory[:size].reshape(x.shape[0], y.shape[1]))
+
+    def _worst(self, score: np.ndarray, gap: float, rows: np.ndarray) -> np.ndarray:
         """The least that chunks of such a score really have, before rounding."""
         if self.metric == "l2":
             return -((np.sqrt(np.maximum(-score, 0.0)) + gap) ** 2) - SLACK * (1 + np.abs(score))
-        return score - self.length * gap - SLACK * (1 + np.abs(score))
+        return score - self.length[rows] * gap - SLACK * (1 + np.abs(score))
 
-    def _least(self, gap: float) -> np.ndarray:
+    def _least(self, gap: float, rows: np.ndarray) -> np.ndarray:
         """The score from which a chunk may really reach the floor."""
+        floor = self.floor[rows]
         with np.errstate(invalid="ignore"):
-            floor = self.floor - np.where(np.isfinite(self.floor), SLACK * (1 + np.abs(self.floor)), 0.0)
+            floor = floor - np.where(np.isfinite(floor), SLACK * (1 + np.abs(floor)), 0.0)
         if self.metric == "l2":
             return -((np.sqrt(np.maximum(-floor, 0.0)) + gap) ** 2)
-        return floor - self.length * gap
+        return floor - self.length[rows] * gap
 
 
 class Best:
@@ -557,9 +668,8 @@ def exact(
     metric = cells.metric
     n_centers, dim = cells.centers.shape
     held = pack(chunks, key, vector, one_cell(cells), metric, dim)
-    asked = pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric, dim)
-    small = _small_enough(questions, n_centers, dim)
-    found = compare_blocks(held, asked, k, metric, small, question, key, dim)
+    asked = Asked(questions, question, vector, metric, dim, lambda v: cells.within_reach(v, k), n_centers)
+    found = compare_blocks(held, asked, k, key)
     return top_k(found, k, question, key)
 
 
@@ -600,13 +710,16 @@ def ivf(
     return _probe(held, questions, cells, nprobe, k, key, question, vector)
 
 
+def _probing(questions: DataFrame, cells: Cells, nprobe: int, question: str, vector: str) -> Asked:
+    dim = cells.centers.shape[1]
+    return Asked(questions, question, vector, cells.metric, dim, lambda v: cells.closest(v, nprobe), nprobe)
+
+
 def _probe(
     held: DataFrame, questions: DataFrame, cells: Cells, nprobe: int, k: int, key: str, question: str, vector: str
 ) -> DataFrame:
-    dim = cells.centers.shape[1]
-    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric, dim)
-    small = _small_enough(questions, nprobe, dim)
-    found = compare_blocks(held, asked, k, cells.metric, small, question, key, dim)
+    asked = _probing(questions, cells, nprobe, question, vector)
+    found = compare_blocks(held, asked, k, key)
     return top_k(found, k, question, key)
 
 
@@ -618,7 +731,8 @@ def write_ivf(
     Blocks are packed before they move; rebalancing brings the blocks of a
     cell together and cuts a crowded cell into files of an even size."""
     held = pack(chunks, key, vector, one_cell(cells), cells.metric, cells.centers.shape[1])
-    held.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/blocks")
+    held = held.hint("rebalance", "cell").write.partitionBy("cell")
+    held.option("parquet.block.size", STORED_BYTES).parquet(f"{path}/blocks")
     rows = [(cells.metric, i, [float(x) for x in c]) for i, c in enumerate(cells.centers)]
     spark = chunks.sparkSession
     centers = spark.createDataFrame(rows, "metric string, cell int, center array<double>")
@@ -639,15 +753,15 @@ def search_ivf(
     are read; their list is no longer than the list of centers."""
     stored = spark.read.parquet(f"{path}/centers").orderBy("cell").toPandas()
     cells = Cells(stored["metric"].iloc[0], np.stack(stored["center"].to_list()))
-    dim = cells.centers.shape[1]
-    asked = pack(questions, question, vector, lambda v: cells.closest(v, nprobe), cells.metric, dim)
-    probed = [row.cell for row in asked.select("cell").distinct().collect()]
+    probed = list(_probing(questions, cells, nprobe, question, vector).by_cell())
     held = spark.read.parquet(f"{path}/blocks").where(F.col("cell").isin(probed))
     return _probe(held, questions, cells, nprobe, k, key, question, vector)
 
 
 # Folders that stored vectors are dealt to by their key.
 KEY_BUCKETS = 64
+# Pairs of question and chunk that are sent to every executor at most.
+NEAR_ROWS = 100_000
 
 
 def key_bucket(key: str) -> Column:
@@ -689,7 +803,8 @@ def write_half(
 
     kind = packed.schema["ids"].dataType.simpleString()
     halved = packed.mapInArrow(round_, f"cell int, ids {kind}, half binary, scale double, gap double")
-    halved.hint("rebalance", "cell").write.partitionBy("cell").parquet(f"{path}/half")
+    halved = halved.hint("rebalance", "cell").write.partitionBy("cell")
+    halved.option("parquet.block.size", STORED_BYTES).parquet(f"{path}/half")
     valid = validate(chunks.select(key, vector), dim, vector)[0].withColumn("bucket", key_bucket(key))
     valid.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/vectors")
     rows = [(metric, i, c.tolist(), float(r)) for i, (c, r) in enumerate(zip(cells.centers, cells.radii))]
@@ -723,16 +838,15 @@ def search_half(
     from the folders of their buckets."""
     cells = _stored_cells(spark, path)
     metric, dim = cells.metric, cells.centers.shape[1]
-    asked = settled(pack(questions, question, vector, lambda v: cells.within_reach(v, k), metric, dim), "asked")
-    probed = [row[0] for row in asked.select("cell").distinct().collect()]
+    asked = Asked(questions, question, vector, metric, dim, lambda v: cells.within_reach(v, k), len(cells.centers))
+    probed = list(asked.by_cell())
     held = spark.read.parquet(f"{path}/half").where(F.col("cell").isin(probed) if probed else F.lit(False))
-    small = _small_enough(questions, len(cells.centers), dim)
-    bounded = settled(_bounds(held, asked, k, metric, dim, small, question, key), "bounds")
+    bounded = settled(_bounds(held, asked, k, key), "bounds")
     sure = top_k(bounded.select(question, key, F.col("low").alias("score")), k, question, key)
     floors = sure.groupBy(question).agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == k)
     near = bounded.join(floors.select(question, "floor"), question, "left")
     near = near.where(F.col("floor").isNull() | (F.col("high") >= F.col("floor") - SLACK)).select(question, key)
-    near = checked(settled(near, "near"))
+    near = checked(settled(near, "near"), NEAR_ROWS)
     buckets = [row[0] for row in near.df.select(key_bucket(key)).distinct().collect()]
     stored = spark.read.parquet(f"{path}/vectors").where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
     stored = stored.select(key, F.col(vector).alias("_held"))
@@ -756,15 +870,14 @@ def _possible(near: Nearest) -> tuple[np.ndarray, ...]:
     return q[rows], at[rows], low[rows], high[rows]
 
 
-def _bounds(
-    held: DataFrame, asked: DataFrame, k: int, metric: str, dim: int, small: bool, question: str, key: str
-) -> DataFrame:
-    """question, key, low, high: of each task, or group of a cell, the chunks that may be
+def _bounds(held: DataFrame, asked: Asked, k: int, key: str) -> DataFrame:
+    """question, key, low, high: of each task, or group of chunks, those that may be
     among the k best of a question, with the least and the largest score they can have."""
+    metric, dim, choose = asked.metric, asked.dim, asked.choose
     held = held.select("cell", "ids", "half", "scale", "gap")
     schema = T.StructType(
         [
-            T.StructField(question, asked.schema["ids"].dataType.elementType),
+            T.StructField(asked.key, asked.rows.schema[asked.key].dataType),
             T.StructField(key, held.schema["ids"].dataType.elementType),
             T.StructField("low", T.DoubleType()),
             T.StructField("high", T.DoubleType()),
@@ -772,22 +885,20 @@ def _bounds(
     )
     arrow_schema = to_arrow_schema(schema)
 
-    def of_group(asked: tuple[pa.Array, np.ndarray], held: tuple[pa.Array, np.ndarray], blocks: pa.Table) -> list[pa.Array]:
-        (question_ids, asked_rows), ids = asked, held[0]
+    def of_group(met: tuple[pa.Array, np.ndarray], blocks: pa.Table) -> list[pa.Array]:
+        (question_ids, asked_rows), ids, cell = met, _ids_of(blocks), _cells_of(blocks)
         vectors, gaps = _halves(blocks, dim)
-        found = []
-        for first in range(0, len(asked_rows), ASKED_ROWS):
-            near = Nearest(asked_rows[first : first + ASKED_ROWS], k, metric)
-            near.add(vectors, gaps)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        for first, near in _met_by_tile(asked_rows, vectors, cell, k, metric, choose, gaps):
             q, *rest = _possible(near)
             found.append((q + first, *rest))
         q, at, low, high = (np.concatenate(x) for x in zip(*found))
         return [question_ids.take(pa.array(q)), ids.take(pa.array(at)), pa.array(low), pa.array(high)]
 
-    if not small:
-        return meet_in_groups(held, asked, dim, schema, of_group)
-    asked = asked.select("cell", F.col("ids").alias("question_ids"), F.col("block").alias("question_block"))
-    asked = asked.withColumn("question_group", F.xxhash64("question_ids", "cell"))
+    if not asked.small():
+        return meet_in_groups(held, asked, schema, of_group)
+    sent = asked.blocks().select("cell", F.col("ids").alias("question_ids"), F.col("block").alias("question_block"))
+    sent = sent.withColumn("question_group", F.xxhash64("question_ids", "cell"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # For each block of questions what was found, and the ids that its places mean.
@@ -808,7 +919,7 @@ def _bounds(
             columns = [question_ids.take(pa.array(q)), pa.concat_arrays(ids).take(pa.array(at)), pa.array(low), pa.array(high)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema)
 
-    return held.join(F.broadcast(asked), "cell").mapInArrow(keep, schema)
+    return held.join(F.broadcast(sent), "cell").mapInArrow(keep, schema)
 
 
 @dataclass(frozen=True)
@@ -847,9 +958,8 @@ def lsh(
     """k best chunks among those sharing a bucket with the question."""
     dim, tables = projections.directions.shape
     held = pack(chunks, key, vector, projections.choose, metric, dim)
-    asked = pack(questions, question, vector, projections.choose, metric, dim)
-    small = _small_enough(questions, tables, dim)
-    found = compare_blocks(held, asked, k, metric, small, question, key, dim, distinct=True)
+    asked = Asked(questions, question, vector, metric, dim, projections.choose, tables)
+    found = compare_blocks(held, asked, k, key, distinct=True)
     once = found.groupBy(question, key).agg(F.max("score").alias("score"))
     return top_k(once, k, question, key)
 

@@ -235,6 +235,18 @@ def test_many_questions_meet_in_groups(spark, monkeypatch, metric):
     assert len(sides) == 2
 
 
+def test_questions_meet_the_cells_of_a_group_once(spark, monkeypatch):
+    """Chunks of all cells that fit one group give k rows for a question, not k for each cell."""
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 0)
+    held, asked = sample(1, 300), sample(2, 40)
+    seen, top = [], knn.top_k
+    monkeypatch.setattr(knn, "top_k", lambda rows, *x: seen.append(rows.count()) or top(rows, *x))
+    chunks, questions = vector_frame(spark, held, "key"), vector_frame(spark, asked, "question_id")
+    found = knn.exact(chunks, questions, 5, "l2", n_cells=16)
+    assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == brute_nearest(asked, held, "l2", 5)
+    assert seen == [40 * 5]
+
+
 @pytest.mark.parametrize("metric", ["dot", "l2"])
 @pytest.mark.parametrize("shape", ["plain", "equal", "far", "sizes"])
 def test_screening_loses_no_neighbour(metric, shape):
