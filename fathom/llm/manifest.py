@@ -164,7 +164,7 @@ def _over_covers(above: DataFrame, trees: DataFrame, levels: int) -> DataFrame:
 
 CLIMB = """
 WITH RECURSIVE climb(leaf, cover, step, node, siblings, folded) AS (
-    SELECT leaf, cover, 0, node, unhex(''), folded FROM {leaves}
+    SELECT leaf, cover, step, node, siblings, folded FROM {leaves}
     UNION ALL
     SELECT c.leaf, c.cover, c.step + 1, n.parent, concat(n.before, n.after),
         unhex(sha2(lower(concat(hex(n.before), hex(c.folded), hex(n.after))), 256))
@@ -176,7 +176,7 @@ SELECT leaf, step, siblings, CASE WHEN node = :root THEN folded END AS folded FR
 
 def _climbed(leaves: DataFrame, nodes: DataFrame, root: str, files: int) -> DataFrame:
     """(leaf, step, siblings, folded): a row for each leaf and step, the last with what
-    the climb ends in."""
+    the climb ends in. `leaves` has the steps that were made already."""
     spark = leaves.sparkSession
     # As many rows as there are leaves and levels, so the guard against endless
     # recursion by rows has to go; the one by levels stays.
@@ -227,7 +227,9 @@ def manifest(
     top = tops.first()
     root = top["hash"] if top is not None else ""
     trees = settled(trees.join(few.hint(subroots.select("tree", "height")), "tree").select("tree", "covers", "height"), "trees")
-    parts = [] if below is None else [_covered(_nodes(below), few.hint(trees))]
+    # Two thirds of the nodes are leaves, met in the first step only: the others are what
+    # every further step of the climb exchanges.
+    parts = [] if below is None else [_covered(_nodes(below.where("level > 0")), few.hint(trees))]
     parts += [] if above is None else [_over_covers(_nodes(above), trees, levels)]
     empty = docs.sparkSession.createDataFrame([], "cover string, node string, parent string, before binary, after binary")
     # A tree has half as many nodes above its leaves as it has leaves.
@@ -242,7 +244,16 @@ def manifest(
     leaves = settled(leaves.select("leaf", "key", "hash", "subroot", "cover", "node", F.unhex("now").alias("folded")), "numbered")
     steps = height + levels + 1
     files = 1 + steps * (sizes["n"] or 0) // LEVEL_ROWS
-    climbed = _climbed(leaves.select("leaf", "cover", "node", "folded"), nodes, f"{TOP}.{levels}.0", files)
+    nothing = F.unhex(F.lit(""))
+    begun = leaves.select("leaf", "cover", F.lit(0).alias("step"), "node", nothing.alias("siblings"), "folded")
+    if below is not None:
+        met = leaves.join(_covered(_nodes(below.where("level = 0")), few.hint(trees)), ["cover", "node"])
+        text = F.concat(F.hex("before"), F.hex("folded"), F.hex("after"))
+        folded = F.unhex(F.sha2(F.lower(text), 256))
+        siblings = F.concat("before", "after")
+        met = met.select("leaf", "cover", F.lit(1).alias("step"), F.col("parent").alias("node"), siblings.alias("siblings"), folded.alias("folded"))
+        begun = begun.unionByName(settled(met.coalesce(1 + (sizes["n"] or 0) // LEVEL_ROWS), "met"))
+    climbed = _climbed(begun, nodes, f"{TOP}.{levels}.0", files)
 
     steps = F.sort_array(F.collect_list(F.struct("step", "siblings")))
     proofs = climbed.groupBy("leaf").agg(steps.alias("steps"), F.max("folded").alias("folded"))

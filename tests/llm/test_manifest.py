@@ -96,3 +96,19 @@ def test_tampering_is_found(spark):
     empty = F.when(F.col("doc_id") == 3, F.lit("")).otherwise(F.col("lang"))
     bad = op.manifest(table, COLUMNS, tamper={"lang": empty}).where("not verified").collect()
     assert [r.doc_id for r in bad] == [3]
+
+
+def test_climb_exchanges_no_nodes_of_leaves(spark, monkeypatch):
+    """Two thirds of the nodes, which the first step meets only, are not met by the others."""
+    seen, climbed = [], op._climbed
+
+    def watched(leaves, nodes, *rest):
+        seen.extend(row.node for row in nodes.collect())
+        return climbed(leaves, nodes, *rest)
+
+    monkeypatch.setattr(op, "_climbed", watched)
+    data = [(i, "a" if i % 3 else "b", f"text {i}") for i in range(60)] + [(99, "c", "alone")]
+    table = spark.createDataFrame(data, "doc_id long, source string, text string")
+    rows = op.manifest(table, ["doc_id", "source", "text"]).collect()
+    assert len(rows) == 61 and all(r.verified for r in rows)
+    assert seen and not [n for n in seen if not n.startswith("-1.") and n.split(".")[1] == "0"]
