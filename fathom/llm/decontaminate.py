@@ -62,8 +62,13 @@ def automaton_of(items: list[tuple[str, bytes]], width: int = WINDOW) -> ahocora
     return automaton
 
 
-def scan(automata: list[ahocorasick.Automaton], text: bytes) -> tuple[int, list[int], set[str]]:
-    """Number of words, hit words in order, and items found in one text."""
+def scan(
+    automata: ahocorasick.Automaton | list[ahocorasick.Automaton], text: bytes
+) -> tuple[int, list[int], set[str]]:
+    """Number of words, hit words in order, and items found in one text, by one automaton
+    or several."""
+    if isinstance(automata, ahocorasick.Automaton):
+        automata = [automata] if len(automata) else []
     words = words_of(text)
     if not words or not automata:
         return len(words), [], set()

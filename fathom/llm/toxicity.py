@@ -30,7 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathom.llm.arrow import mapped, type_of
+from fathom.llm.arrow import mapped, slices, type_of
+from fathom.session import bound_batches
 
 SAMPLE = 6000
 BUCKETS = 1 << 20
@@ -48,6 +49,8 @@ TOXIC = 0.7
 # Lengths of the beginnings that are terms. A longer word is a term as a whole too.
 BEGINNINGS = (4, 5, 6, 7)
 VOCABULARY = 1 << 17
+# While buckets are counted each word has all of its own, several times the memory.
+COUNTED = 1 << 14
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -60,12 +63,12 @@ class WordTerms(dict):
     """Word to (buckets if seen once, buckets if seen again), remembered for the
     words seen last; `chosen` restricts the buckets."""
 
-    def __init__(self, chosen: dict[int, int] | None = None):
+    def __init__(self, chosen: dict[int, int] | None = None, most: int = VOCABULARY):
         super().__init__()
-        self.chosen = chosen
+        self.chosen, self.most = chosen, most
 
     def __missing__(self, word: str) -> tuple[tuple[int, ...], tuple[tuple[str, int], ...]]:
-        if len(self) >= VOCABULARY:
+        if len(self) >= self.most:
             self.clear()
         starts = [word[:n] for n in BEGINNINGS if len(word) >= n]
         once = [_bucket("w " + word), *(_bucket("b " + s) for s in starts)]
@@ -159,9 +162,9 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
 
 def _bucket_counts(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, counts = WordTerms(), np.zeros((2, BUCKETS), np.int32)
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        memory, counts = WordTerms(most=COUNTED), np.zeros((2, BUCKETS), np.int32)
+        for part in (part for batch in batches for part in slices(batch, "body")):
+            for text, y in zip(part.column("body").to_pylist(), part.column("y").to_pylist()):
                 counts[y][list(terms_of(text, memory))] += 1
         used = np.flatnonzero(counts.sum(axis=0))
         for first in range(0, len(used), 100_000):
@@ -177,6 +180,7 @@ def _bucket_counts(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model of the labelled rows given; keep held-out labels away from it."""
+    bound_batches(docs.sparkSession)
     sample, totals = _sample(docs, labels, key, text, label)
     sizes = {row["y"]: row["n"] for row in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     base = totals.get(1, 0) / max(sum(totals.values()), 1)
@@ -200,10 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordTerms(chosen)
-        for batch in batches:
-            found = [sorted(terms_of(t, memory)) for t in batch.column(0).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, "body")):
+            found = [sorted(terms_of(t, memory)) for t in part.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["at", "y"]
+                [pa.array(found, pa.list_(pa.int32())), part.column("y")], ["at", "y"]
             )
 
     rows = sample.mapInArrow(features, "at array<int>, y int").groupBy("at", "y").agg(F.count("*").alias("n"))

@@ -1,5 +1,8 @@
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import corpus_pipeline as op
-from fathom.llm import decontaminate, mixing, secrets
+from fathom.llm import arrow, decontaminate, mixing, secrets
 from fathom.plans.catalog import table
 from test_minhash import brute as classes
 from test_secrets import added, base
@@ -30,3 +33,20 @@ def test_stages_against_brute_force(spark):
         assert row.n_chars == len(row.text) and (secrets.REDACTED in row.text) == (row.text != text)
     assert ids["mixing"] <= clean and all(r.copies in range(1, mixing.EPOCHS + 1) for r in seen["mixing"].collect())
     assert {r.doc_id: r.copies for r in op.run(spark, FOLDER).collect()} == {r.doc_id: r.copies for r in seen["mixing"].collect()}
+
+
+def test_functions_of_a_stage_get_bounded_batches(spark):
+    """A function that is handed slices holds the batch they lie in, which is bounded too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64m")
+    try:
+        rows = spark.range(24).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("body"))
+
+        def size(part):
+            return pa.RecordBatch.from_arrays([pa.array([part.column(0).buffers()[2].size])], ["size"])
+
+        sizes = [row["size"] for row in arrow.mapped(rows, "body", size, "size long").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sizes and max(sizes) <= 8 << 20
