@@ -279,22 +279,26 @@ class Asked:
     def blocks(self) -> DataFrame:
         return pack(self.rows, self.key, self.vector, self.choose, self.metric, self.dim)
 
-    def by_cell(self) -> dict[int, int]:
-        """How many questions look at each cell that any looks at."""
+    def by_cell(self) -> tuple[dict[int, int], int]:
+        """How many questions look at each cell that any looks at, and how many look at
+        any cell."""
         bound_batches(self.rows.sparkSession)
         choose, vector, metric = self.choose, self.vector, self.metric
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    n = choose(project(matrix_of(batch, vector), metric)).sum(0)
-                    cell = np.flatnonzero(n)
-                    columns = [pa.array(cell, pa.int32()), pa.array(n[cell], pa.int64())]
+                    chosen = choose(project(matrix_of(batch, vector), metric))
+                    # After the cells, the questions themselves.
+                    n = np.append(chosen.sum(0), chosen.any(1).sum())
+                    cell = np.append(np.arange(chosen.shape[1]), -1)[n > 0]
+                    columns = [pa.array(cell, pa.int32()), pa.array(n[n > 0], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, ["cell", "n"])
 
         good = validate(self.rows, self.dim, vector)[0].select(vector)
         found = good.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-        return {row["cell"]: row["n"] for row in found.collect()}
+        looked = {row["cell"]: row["n"] for row in found.collect()}
+        return looked, looked.pop(-1, 0)
 
 
 def compare_blocks(
@@ -359,7 +363,7 @@ def meet_in_groups(chunk_blocks: DataFrame, asked: Asked, schema: T.StructType,
     most = max(1, GROUP_BYTES // (8 * asked.dim))
     cores = chunk_blocks.sparkSession.sparkContext.defaultParallelism
     side = max(1, round((MEETINGS_PER_CORE * cores) ** 0.5))
-    looked = asked.by_cell()
+    looked, n_asked = asked.by_cell()
     held_by = chunk_blocks.groupBy("cell").agg(F.sum(F.size("ids"))).collect()
     held_by = {cell: n for cell, n in held_by if cell in looked}
     rows = min(most, max(HELD_ROWS, -(-sum(held_by.values()) // side)))
@@ -375,7 +379,8 @@ def meet_in_groups(chunk_blocks: DataFrame, asked: Asked, schema: T.StructType,
         units[unit].append(cell)
         rooms[unit] -= n
     starts = [sum(counts[:u]) for u in range(len(units))]
-    reach = [sum(looked[cell] for cell in unit) for unit in units]
+    # A question that looks at several cells of a unit is one of its questions, not several.
+    reach = [min(n_asked, sum(looked[cell] for cell in unit)) for unit in units]
     rows = min(most, max(ASKED_ROWS, -(-max(reach, default=0) // side), DEALT_ROWS))
     parts = [-(-n // rows) for n in reach]
 
@@ -434,14 +439,14 @@ def _met_by_tile(
 ) -> Iterator[tuple[int, Nearest]]:
     """For some questions after others the place of their first, and the nearest among
     the vectors of the cells that each looks at."""
-    places = {c: np.flatnonzero(cell == c) for c in np.unique(cell)}
+    parts = {c: parts_of(held_rows, metric, gaps, np.flatnonzero(cell == c)) for c in np.unique(cell)}
     for first in range(0, len(asked_rows), ASKED_ROWS):
         near = Nearest(asked_rows[first : first + ASKED_ROWS], k, metric)
         chosen = choose(near.asked)
-        for c, at in places.items():
+        for c, held in parts.items():
             looking = np.flatnonzero(chosen[:, c])
             if len(looking):
-                near.add(held_rows[at], None if gaps is None else gaps[at], looking=looking, places=at)
+                near.meet(held, looking=looking)
         if near.found:
             yield first, near
 
@@ -464,6 +469,47 @@ def _best_of_group(
     return [question_ids.take(pa.array(q)), ids.take(pa.array(at)), pa.array(score)]
 
 
+@dataclass(frozen=True)
+class Part:
+    """Chunks of one product, at these places of `held`, as `Nearest` screens them: moved
+    by `middle` and divided by `unit`, in single precision, filled up to whole strata.
+    Worked out once, whatever number of questions meets them."""
+
+    held: np.ndarray
+    at: np.ndarray
+    gaps: np.ndarray | None
+    middle: np.ndarray | float
+    unit: float
+    single: np.ndarray
+    length: float
+
+    @property
+    def gap(self) -> float:
+        return 0.0 if self.gaps is None else float(self.gaps.max())
+
+
+def parts_of(
+    held: np.ndarray, metric: str, gaps: np.ndarray | None = None, places: np.ndarray | None = None
+) -> list[Part]:
+    """Chunks, or those at some places, with their own errors `gaps`, cut for products."""
+    places, parts = np.arange(len(held)) if places is None else places, []
+    for first in range(0, len(places), HELD_ROWS):
+        at = places[first : first + HELD_ROWS]
+        y, middle = held[at], 0.0
+        if metric == "l2":
+            middle = y.mean(0)
+            y = y - middle
+        unit = float(np.abs(y).max(initial=0.0)) or 1.0
+        y = y / unit
+        if metric == "l2":
+            y = np.hstack([y, (y * y).sum(1, keepdims=True)])
+        single = np.zeros((-(-len(at) // STRATUM) * STRATUM, y.shape[1]), np.float32)
+        single[: len(at)] = y
+        length = float(np.linalg.norm(y, axis=1).max())
+        parts.append(Part(held, at, None if gaps is None else gaps[at], middle, unit, single, length))
+    return parts
+
+
 class Nearest:
     """The chunks that can be among the k best of some questions.
 
@@ -481,31 +527,25 @@ class Nearest:
         self.waiting = 0
         self.memory = np.empty(0, np.float32)
 
-    def add(
-        self,
-        held: np.ndarray,
-        gaps: np.ndarray | None = None,
-        base: int = 0,
-        looking: np.ndarray | None = None,
-        places: np.ndarray | None = None,
-    ) -> None:
-        """More chunks, whose places are given or counted from `base`, for all questions
-        or those `looking`."""
+    def add(self, held: np.ndarray, gaps: np.ndarray | None = None, base: int = 0) -> None:
+        """More chunks, whose places are counted from `base`."""
+        self.meet(parts_of(held, self.metric, gaps), base)
+
+    def meet(self, parts: list[Part], base: int = 0, looking: np.ndarray | None = None) -> None:
+        """More chunks, cut for products, for all questions or those `looking`."""
         rows = np.arange(len(self.asked)) if looking is None else looking
-        places = np.arange(base, base + len(held)) if places is None else places
-        for first in range(0, len(held), HELD_ROWS):
-            part = held[first : first + HELD_ROWS]
-            gap = np.zeros(len(part)) if gaps is None else gaps[first : first + HELD_ROWS]
-            q, at = self._screened(part, float(gap.max()), rows)
+        for part in parts:
+            q, at = self._screened(part, rows)
             score = np.empty(len(q))
             for start in range(0, len(q), 1 << 16):
                 cut = slice(start, start + (1 << 16))
-                x, y = self.asked[q[cut]], part[at[cut]]
+                x, y = self.asked[q[cut]], part.held[part.at[at[cut]]]
                 score[cut] = -((x - y) ** 2).sum(1) if self.metric == "l2" else np.einsum("ij,ij->i", x, y)
-            self.found.append((q, places[at + first], score, gap[at]))
+            gap = np.zeros(len(at)) if part.gaps is None else part.gaps[at]
+            self.found.append((q, base + part.at[at], score, gap))
             self.waiting += len(q)
             if self.waiting > 16 * self.k * len(self.asked):
-                self.found = [self._kept(self.best_rows() if gaps is None else self.possible_rows())]
+                self.found = [self._kept(self.best_rows() if part.gaps is None else self.possible_rows())]
                 self.waiting = len(self.found[0][0])
 
     def candidates(self) -> tuple[np.ndarray, ...]:
@@ -548,29 +588,23 @@ class Nearest:
         slack = slack + SLACK * (1 + np.abs(score))
         return score - slack, score + slack
 
-    def _screened(self, held: np.ndarray, gap: float, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of questions, of these rows, and chunks that may score what their floor asks."""
-        asked, n = self.asked[rows], len(held)
-        if self.metric == "l2":
-            middle = held.mean(0)
-            asked, held = asked - middle, held - middle
-        v = float(np.abs(held).max(initial=0.0)) or 1.0
+    def _screened(self, part: Part, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of questions, of these rows, and in the part of chunks that may score
+        what their floor asks."""
+        asked, n, v, gap = self.asked[rows] - part.middle, len(part.at), part.unit, part.gap
         u = np.abs(asked).max(1, initial=0.0)
         u = np.maximum(u, v) if self.metric == "l2" else np.where(u > 0, u, 1.0)
-        x, y, unit = asked / u[:, None], held / v, u * v
+        x, unit = asked / u[:, None], u * v
         if self.metric == "l2":
             x = np.hstack([2 * x, -(v / u)[:, None]])
-            y = np.hstack([y, (y * y).sum(1, keepdims=True)])
             base = -(asked * asked).sum(1)
         else:
             base = np.zeros(len(asked))
         # Rounding of the product, at most, in its own unit; and beside the gaps.
-        off = (x.shape[1] + 4) * 6e-8 * np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1).max()
+        off = (x.shape[1] + 4) * 6e-8 * np.linalg.norm(x, axis=1) * part.length
         off = off + 1e-15 * np.abs(base) / unit
-        y32 = np.zeros((-(-n // STRATUM) * STRATUM, y.shape[1]), np.float32)
-        y32[:n] = y
         # A row for each chunk, so that the best of a stratum is taken along whole rows.
-        scores = self._product(y32, x.astype(np.float32).T)
+        scores = self._product(part.single, x.astype(np.float32).T)
         scores[n:] = -np.inf
         strata = scores.reshape(-1, STRATUM, len(x))
         tops = strata.max(1)
@@ -753,7 +787,7 @@ def search_ivf(
     are read; their list is no longer than the list of centers."""
     stored = spark.read.parquet(f"{path}/centers").orderBy("cell").toPandas()
     cells = Cells(stored["metric"].iloc[0], np.stack(stored["center"].to_list()))
-    probed = list(_probing(questions, cells, nprobe, question, vector).by_cell())
+    probed = list(_probing(questions, cells, nprobe, question, vector).by_cell()[0])
     held = spark.read.parquet(f"{path}/blocks").where(F.col("cell").isin(probed))
     return _probe(held, questions, cells, nprobe, k, key, question, vector)
 
@@ -839,7 +873,7 @@ def search_half(
     cells = _stored_cells(spark, path)
     metric, dim = cells.metric, cells.centers.shape[1]
     asked = Asked(questions, question, vector, metric, dim, lambda v: cells.within_reach(v, k), len(cells.centers))
-    probed = list(asked.by_cell())
+    probed = list(asked.by_cell()[0])
     held = spark.read.parquet(f"{path}/half").where(F.col("cell").isin(probed) if probed else F.lit(False))
     bounded = settled(_bounds(held, asked, k, key), "bounds")
     sure = top_k(bounded.select(question, key, F.col("low").alias("score")), k, question, key)

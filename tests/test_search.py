@@ -5,8 +5,10 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from fathom import hooks
 from fathom.functions import vectors
@@ -247,6 +249,24 @@ def test_questions_meet_the_cells_of_a_group_once(spark, monkeypatch):
     assert seen == [40 * 5]
 
 
+def test_groups_of_questions_are_filled(spark, monkeypatch):
+    """A question that looks at all cells of a group is counted once, so questions that
+    fit one group are not dealt to one for each cell."""
+    dim, metric = 8, "dot"
+    monkeypatch.setattr(knn, "GROUP_BYTES", 8 * dim * 320)
+    monkeypatch.setattr(knn, "ASKED_ROWS", 8)
+    monkeypatch.setattr(knn, "DEALT_ROWS", 8)
+    monkeypatch.setattr(knn, "MEETINGS_PER_CORE", 0)
+    held, asked = vector_frame(spark, sample(1, 300, dim), "key"), vector_frame(spark, sample(2, 320, dim), "q")
+    cells = knn.survey_cells(held, metric, n_cells=16)
+    everywhere = lambda v: np.ones((len(v), len(cells.centers)), dtype=bool)
+    blocks = knn.pack(held, "key", "embedding", knn.one_cell(cells), metric, dim)
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("asked", "held")])
+    sizes = lambda met, rows: [pa.array([len(met[0])]), pa.array([pc.sum(pc.list_value_length(rows["ids"])).as_py()])]
+    found = knn.meet_in_groups(blocks, knn.Asked(asked, "q", "embedding", metric, dim, everywhere, 16), schema, sizes)
+    assert [tuple(r) for r in found.collect()] == [(320, 300)]
+
+
 @pytest.mark.parametrize("metric", ["dot", "l2"])
 @pytest.mark.parametrize("shape", ["plain", "equal", "far", "sizes"])
 def test_screening_loses_no_neighbour(metric, shape):
