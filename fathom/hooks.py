@@ -54,7 +54,8 @@ class HashedEmbedding:
 
     @classmethod
     def fit(cls, corpus: DataFrame, text: str, dim: int = 256) -> HashedEmbedding:
-        """One pass over the corpus, of which `dim` numbers reach the driver."""
+        """One pass over the corpus, of which `dim` numbers reach the driver. The column
+        holds texts or their words."""
 
         def held(batch: pa.RecordBatch) -> np.ndarray:
             return np.append((_counts(batch.column(0), dim) > 0).sum(axis=0), batch.num_rows)
@@ -79,27 +80,33 @@ class HashedEmbedding:
     def read(cls, spark: SparkSession, path: str) -> HashedEmbedding:
         return cls(tuple(row["rarity"] for row in spark.read.parquet(path).orderBy("bucket").collect()))
 
-    def embed(self, rows: DataFrame, text: str, vector: str = "embedding") -> DataFrame:
-        """The rows with the vector of a text column; a text without words has zeros."""
+    def embed(self, rows: DataFrame, text: str, vector: str = "embedding", counts: str | None = None) -> DataFrame:
+        """The rows with the vector of a text column; a text without words has zeros.
+
+        With `counts` the column holds a text's distinct words, as an index stores them,
+        and `counts` how often each occurs; these two columns are left out."""
         rarity = np.array(self.rarity)
+        times = [] if counts is None else [F.coalesce(F.col(counts), F.array().cast("array<int>")).alias("_counts")]
+        first = 1 + len(times)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _slices(batches):
-                values = _counts(part.column(0), len(rarity)) * rarity
+                values = _counts(part.column(0), len(rarity), *part.columns[1:first]) * rarity
                 length = np.sqrt((values**2).sum(axis=1))
                 values = (values / np.where(length > 0, length, 1)[:, None]).astype(np.float32)
                 ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(rarity))
                 found = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], found], [*part.schema.names[1:], vector])
+                yield pa.RecordBatch.from_arrays([*part.columns[first:], found], [*part.schema.names[first:], vector])
 
-        kept = [c for c in rows.columns if c != vector]
+        kept = [c for c in rows.columns if c not in (vector, *([text, counts] if times else []))]
         schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField(vector, T.ArrayType(T.FloatType()))])
-        return _tokens(rows.select(*kept), text, "*").mapInArrow(run, schema)
+        return _tokens(rows, text, *times, *kept).mapInArrow(run, schema)
 
 
-def _tokens(rows: DataFrame, text: str, *more: str) -> DataFrame:
+def _tokens(rows: DataFrame, text: str, *more: Column | str) -> DataFrame:
     bound_batches(rows.sparkSession)
-    words = F.coalesce(standard(F.col(text)), F.array().cast("array<string>"))
+    split = isinstance(rows.schema[text].dataType, T.ArrayType)
+    words = F.coalesce(F.col(text) if split else standard(F.col(text)), F.array().cast("array<string>"))
     return rows.select(words.alias("_words"), *more)
 
 
@@ -113,15 +120,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(first, ROWS)
 
 
-def _counts(words: pa.Array, dim: int) -> np.ndarray:
-    """How many words of each text are in each bucket: a word's is the first eight
-    digits of its MD5, modulo dim. Each distinct word is hashed once a slice."""
+def _counts(words: pa.Array, dim: int, times: pa.Array | None = None) -> np.ndarray:
+    """How many words of each text, or of how many `times` each, are in each bucket: a
+    word's is the first eight digits of its MD5, modulo dim. Each distinct word is
+    hashed once a slice."""
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
     buckets = [int(md5(w.encode()).hexdigest()[:8], 16) % dim for w in coded.dictionary.to_pylist()]
     of_word = np.array(buckets, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
     cells = np.repeat(np.arange(len(lengths)), lengths) * dim + of_word
-    return np.bincount(cells, minlength=len(lengths) * dim).reshape(len(lengths), dim)
+    weights = None if times is None else times.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(cells, weights, minlength=len(lengths) * dim).reshape(len(lengths), dim)
 
 
 def hashed_embedding(

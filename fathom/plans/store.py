@@ -31,10 +31,14 @@ class Store:
         """Prepare the texts of a corpus. A text without words has no vector and is
         found by neither branch."""
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        fulltext.write_index(rows, f"{path}/index", blocks=True)
-        embedding = HashedEmbedding.fit(rows, "text", dim)
+        index = fulltext.write_index(rows, f"{path}/index", blocks=True)
+        # The words as the index has them, so that no text is split again.
+        words = index.words.select("key", "terms", "tfs")
+        embedding = HashedEmbedding.fit(words, "terms", dim)
         embedding.write(docs.sparkSession, f"{path}/embedding")
-        knn.write_half(embedding.embed(rows, "text").select("key", "embedding"), f"{path}/vectors")
+        # Written first, as cells are surveyed and vectors stored in several passes.
+        vectors = settled(embedding.embed(words, "terms", counts="tfs"), "embedded")
+        knn.write_half(vectors, f"{path}/vectors")
         texts = rows.withColumn("bucket", knn.key_bucket("key")).hint("rebalance", "bucket")
         texts.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/texts")
         return cls.read(docs.sparkSession, path)
