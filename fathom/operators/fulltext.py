@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions.text import ANALYZERS, Analyzer, Stems, english, english_unstemmed, standard, stemmed
-from fathom.operators.joins import checked
+from fathom.operators.joins import BROADCAST_ROWS, Side, checked
 from fathom.operators.ranking import SCORE_DIGITS, top_k
 from fathom.session import bound_batches, settled
 
@@ -175,18 +175,7 @@ def _block_table(index: TextIndex) -> DataFrame:
     scale = (index.k1, index.b, index.size[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
-            # The last range may go on in the next batch.
-            ranges = held.column(0).to_numpy(zero_copy_only=False)
-            done = int(np.flatnonzero(ranges != ranges[-1]).max(initial=-1)) + 1
-            if done:
-                yield _blocks(held.slice(0, done), *scale)
-            waiting = [held.slice(done)]
-        for held in waiting:
+        for held in _whole_ranges(batches):
             yield _blocks(held, *scale)
 
     kind = rows.schema["key"].dataType.simpleString()
@@ -194,6 +183,22 @@ def _block_table(index: TextIndex) -> DataFrame:
     return rows.mapInArrow(run, schema).select(term_bucket(F.col("term")).alias("bucket"), "*")
 
 
+def _whole_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose ranges, in the first column, lie side by side, none cut in two."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
+        # The last range may go on in the next batch.
+        ranges = held.column(0).to_numpy(zero_copy_only=False)
+        done = int(np.flatnonzero(ranges != ranges[-1]).max(initial=-1)) + 1
+        if done:
+            yield held.slice(0, done)
+        waiting = [held.slice(done)]
+    yield from waiting
+
+
 def _blocks(held: pa.RecordBatch, k1: float, b: float, mean: float) -> pa.RecordBatch:
     """Blocks of some documents, by range and term, postings in key order."""
     held = held.take(pc.sort_indices(held.column(1)))
@@ -326,29 +331,37 @@ def _local_best(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -
     """question_id, key, score of k documents for each question and task, which hold
     the best k of all, for stored weights. A document's words are in one row, so its scores are added
     up where it lies and only the best leave the task."""
-    weighted = weighted.select("question_id", "term", "weight")
+    parts = _passes(weighted.select("question_id", "term", "weight"))
+    return reduce(
+        DataFrame.unionByName, [_best_of_pass(index, weighted.where(part), k, saturate) for weighted, part in parts]
+    )
+
+
+def _passes(weighted: DataFrame) -> list[tuple[DataFrame, Column]]:
+    """The weighted terms as often as there are passes over the documents, each with
+    the filter of the questions of its pass."""
     sizes = weighted.agg(F.count("*").alias("n"), F.approx_count_distinct("question_id").alias("q")).first()
     passes = max(1, -(-sizes["n"] // TERM_ROWS), -(-sizes["q"] * 5 // (4 * QUESTIONS)))
     part = F.pmod(F.xxhash64("question_id"), F.lit(passes))
-    return reduce(
-        DataFrame.unionByName,
-        [_best_of_pass(index, weighted.where(part == n) if passes > 1 else weighted, k, saturate) for n in range(passes)],
-    )
+    return [(weighted, part == n if passes > 1 else F.lit(True)) for n in range(passes)]
 
 
-def _best_of_pass(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -> DataFrame:
-    bound_batches(weighted.sparkSession)
+def _asked(weighted: DataFrame) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Questions, terms, and for each term, from its start on, the numbers of the
+    questions that ask it and what it is worth there."""
     asked = weighted.toArrow().combine_chunks()
     questions, terms = pc.unique(asked["question_id"]), pc.unique(asked["term"])
     term = pc.index_in(asked["term"], terms).to_numpy().astype(np.int64)
     order = np.argsort(term, kind="stable")
     starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
     question = pc.index_in(asked["question_id"], questions).to_numpy().astype(np.int64)[order]
-    weight = asked["weight"].to_numpy()[order]
+    return questions, terms, starts, question, asked["weight"].to_numpy()[order]
+
+
+def _best_of_pass(index: TextIndex, weighted: DataFrame, k: int, saturate: bool) -> DataFrame:
+    bound_batches(weighted.sparkSession)
     scale = (index.k1, index.b, index.size[1]) if saturate else None
-    shared = index.words.sparkSession.sparkContext.broadcast(
-        (questions, terms, starts, question, weight)
-    )
+    shared = index.words.sparkSession.sparkContext.broadcast(_asked(weighted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions, *held = shared.value
@@ -361,10 +374,7 @@ def _best_of_pass(index: TextIndex, weighted: DataFrame, k: int, saturate: bool)
                 part = batch.slice(first, rows)
                 best.add(_scores(part, *held, len(questions), scale), part.column(0).to_numpy(zero_copy_only=False))
         if len(best.question):
-            key = pa.array(best.key, batch.schema.field(0).type)
-            yield pa.RecordBatch.from_arrays(
-                [questions.take(pa.array(best.question)), key, pa.array(best.score)], ["question_id", "key", "score"]
-            )
+            yield best.rows(questions, batch.schema.field(0).type)
 
     kinds = [(df.schema[c].dataType.simpleString()) for df, c in ((weighted, "question_id"), (index.words, "key"))]
     chosen = index.words.select("key", "dl", "terms", "tfs")
@@ -393,6 +403,21 @@ def _scores(
         k1, b, mean = scale
         dl = part.column(1).to_numpy(zero_copy_only=False)
         value = value / (value + k1 * (1 - b + b * dl[row] / mean))
+    return _added(row, number, value, starts, question, weight, n_questions, n)
+
+
+def _added(
+    row: np.ndarray,
+    number: np.ndarray,
+    value: np.ndarray,
+    starts: np.ndarray,
+    question: np.ndarray,
+    weight: np.ndarray,
+    n_questions: int,
+    n: int,
+) -> np.ndarray:
+    """Scores from postings: the place of a document, the number of a term, and the
+    term's part there."""
     total = np.zeros(n_questions * n)
     met = np.zeros(n_questions * n, bool)
     many = starts[number + 1] - starts[number]
@@ -436,6 +461,10 @@ class Best:
         keep = rank < self.k
         self.question, self.score, self.key = question[keep], score[keep], key[keep]
 
+    def rows(self, questions: pa.Array, kind: pa.DataType) -> pa.RecordBatch:
+        found = [questions.take(pa.array(self.question)), pa.array(self.key, kind), pa.array(self.score)]
+        return pa.RecordBatch.from_arrays(found, ["question_id", "key", "score"])
+
 
 # Matching rows (one per question term and document holding it) up to which
 # every matching document is scored.
@@ -480,11 +509,113 @@ def _asked_blocks(index: TextIndex, weighted: DataFrame) -> DataFrame:
     return index.blocks.where(F.col("bucket").isin(buckets) if buckets else F.lit(False))
 
 
-def _range_scores(index: TextIndex, weighted: DataFrame, ranges: DataFrame) -> DataFrame:
-    """question_id, key, score of the documents of some ranges of each question."""
-    wanted = checked(
-        settled(ranges.select("question_id", "range").join(weighted.select("question_id", "term", "weight"), "question_id"), "look-ups")
-    )
+def _range_best(index: TextIndex, weighted: DataFrame, ranges: DataFrame, k: int, shared: Side | None) -> DataFrame:
+    """question_id, key, score of documents of some ranges of each question, which hold
+    the best k of all."""
+    weighted, ranges = weighted.select("question_id", "term", "weight"), ranges.select("question_id", "range")
+    whole = ranges if shared is None else ranges.join(shared.side, "range", "left_anti")
+    found = [_best_of_ranges(index, asked.where(part), whole.where(part), k) for asked, part in _passes(weighted)]
+    if shared is not None:
+        found.append(_summed_scores(index, weighted, ranges.join(shared.side, "range", "left_semi")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _best_of_ranges(index: TextIndex, weighted: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
+    """question_id, key, score of k documents for each question and task, from ranges
+    whose documents have keys of their own.
+
+    Blocks of a range meet in one task, once for all questions, so a document's scores
+    are added up there and only the best leave the task."""
+    spark, ranges = weighted.sparkSession, settled(ranges, "ranges")
+    bound_batches(spark)
+    questions, terms, *_ = asked = _asked(weighted)
+    numbers = spark.createDataFrame(pa.table({"term": terms, "number": np.arange(len(terms), dtype=np.int32)}))
+    wanted = settled(ranges.groupBy("range").agg(F.collect_list("question_id").alias("questions")), "wanted")
+    blocks = _asked_blocks(index, weighted)
+    per = lambda rows, n: rows.groupBy("question_id").agg(F.count("*").alias(n))
+    pairs = per(ranges, "n").join(per(weighted, "m"), "question_id").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    if (pairs or 0) <= BROADCAST_ROWS:
+        met = ranges.join(weighted, "question_id").select("term", "range").distinct()
+        blocks = blocks.join(F.broadcast(met), ["term", "range"], "left_semi")
+    else:
+        blocks = blocks.join(checked(wanted.select("range")).side, "range", "left_semi")
+    columns = ["range", "number", "keys", "dls", "tfs", "questions"]
+    blocks = blocks.join(F.broadcast(numbers), "term").withColumn("questions", F.lit(None).cast(wanted.schema["questions"].dataType))
+    # A range's questions go before its blocks.
+    heads = wanted.select("range", F.lit(-1).alias("number"), *(F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in columns[2:5]), "questions")
+    rows = blocks.select(columns).unionByName(heads).repartition("range").sortWithinPartitions("range", "number")
+    scale = (index.k1, index.b, index.size[1])
+    shared = spark.sparkContext.broadcast((questions, *asked[2:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        questions, *held = shared.value
+        best = Best(len(questions), k)
+        for rows in _whole_ranges(batches):
+            for part in _few_ranges(rows, max(1, CELLS // (max(1, len(questions)) << RANGE_BITS))):
+                scores, keys = _scores_of_blocks(part, questions, *held, scale)
+                if len(keys):
+                    best.add(scores, keys.to_numpy(zero_copy_only=False))
+        if len(best.question):
+            yield best.rows(questions, keys.type)
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((weighted, "question_id"), (index.words, "key"))]
+    return rows.mapInArrow(run, f"question_id {kinds[0]}, key {kinds[1]}, score double")
+
+
+def _few_ranges(rows: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    starts = np.flatnonzero(np.diff(rows.column(0).to_numpy(zero_copy_only=False), prepend=-1))[::most].tolist()
+    for first, end in zip(starts, [*starts[1:], rows.num_rows]):
+        yield rows.slice(first, end - first)
+
+
+def _scores_of_blocks(
+    part: pa.RecordBatch,
+    questions: pa.Array,
+    starts: np.ndarray,
+    question: np.ndarray,
+    weight: np.ndarray,
+    scale: tuple[float, float, float],
+) -> tuple[np.ndarray, pa.Array]:
+    """Scores of each question (row) and document (column) of some ranges, -inf where
+    they share no term or the question does not look at the range; the documents."""
+    number = part.column(1).to_numpy(zero_copy_only=False)
+    ranges, own = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+
+    def lists(column: int, rows: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """For each value of these rows' lists the range, and the values."""
+        chosen = part.column(column).filter(pa.array(rows))
+        sizes = pc.list_value_length(chosen).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat(np.flatnonzero(rows), sizes), chosen.flatten()
+
+    row, asking = lists(5, number < 0)
+    wants = np.zeros((len(questions), len(ranges)), bool)
+    wants[pc.index_in(asking, questions).to_numpy(zero_copy_only=False), own[row]] = True
+    row, keys = lists(2, number >= 0)
+    coded = keys.dictionary_encode()
+    place, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    dl, tf = (lists(c, number >= 0)[1].to_numpy(zero_copy_only=False).astype(np.float64) for c in (3, 4))
+    k1, b, mean = scale
+    scores = _added(place, number[row], tf / (tf + k1 * (1 - b + b * dl / mean)), starts, question, weight, len(questions), n)
+    range_of = np.zeros(n, np.int64)
+    range_of[place] = own[row]
+    scores[~wants[:, range_of]] = -np.inf
+    return scores, coded.dictionary
+
+
+def _shared_ranges(index: TextIndex) -> Side | None:
+    """Ranges, if any, with a document that has no key or one that others have too: its
+    score is the sum over all of them, wherever they lie."""
+    keys = settled(index.words.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    repeated = index.words.join(checked(keys).side, "key", "left_semi").select("range")
+    ranges = repeated.unionByName(index.words.where(F.col("key").isNull()).select("range")).distinct()
+    ranges = settled(ranges, "shared")
+    return None if ranges.isEmpty() else checked(ranges)
+
+
+def _summed_scores(index: TextIndex, weighted: DataFrame, ranges: DataFrame) -> DataFrame:
+    """question_id, key, score of the documents of some ranges of each question, those
+    of one key added up."""
+    wanted = checked(settled(ranges.join(weighted, "question_id"), "look-ups"))
     met = _asked_blocks(index, weighted).select("term", "range", "keys", "dls", "tfs").join(wanted.side, ["term", "range"])
     rows = met.select("question_id", "weight", F.explode(F.arrays_zip("keys", "dls", "tfs")).alias("post"))
     rows = rows.select(
@@ -497,14 +628,15 @@ def pruned_top_k(index: TextIndex, weighted: DataFrame, k: int) -> DataFrame:
     """The k best documents per question from blocks. The ranges with the largest
     bounds are scored first; their k-th score is a floor, and of the other ranges
     only those are read whose bound reaches it."""
+    shared = _shared_ranges(index)
     bounded = settled(bounds(index, weighted), "bounds")
     order = Window.partitionBy("question_id").orderBy(F.desc("bound"), "range")
     first = settled(bounded.withColumn("n", F.row_number().over(order)).where(F.col("n") <= FIRST_RANGES), "first")
-    seeds = settled(top_k(_range_scores(index, weighted, first), k), "seeds")
+    seeds = settled(top_k(_range_best(index, weighted, first, k, shared), k), "seeds")
     floors = seeds.groupBy("question_id").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
     floors = floors.where(F.col("n") == k).select("question_id", "floor")
     rest = bounded.join(first.select("question_id", "range"), ["question_id", "range"], "left_anti")
     rest = rest.join(floors, "question_id", "left")
     rest = rest.where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - TOLERANCE))
-    found = top_k(_range_scores(index, weighted, rest), k)
+    found = top_k(_range_best(index, weighted, rest, k, shared), k)
     return top_k(seeds.drop("rank").unionByName(found.drop("rank")), k)
