@@ -129,6 +129,48 @@ def test_blocks_are_read_by_bucket_and_bound(spark):
     assert len(bounded) == 16 and sum(r.bound >= floor - fulltext.TOLERANCE for r in bounded) == 2
 
 
+def test_scores_of_ranges_stay_where_their_blocks_meet(spark, corpus):
+    """Postings are not exploded into a row for each question, and a task hands on k
+    documents for each question."""
+    docs, asked = frames(spark, corpus)
+    index = fulltext.write_index(docs, fresh_path(spark, "test-index"), blocks=True)
+    found = fulltext.bm25_top_k(index, asked, 3, full_scoring_rows=0)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    weighted = fulltext.weighted_terms(index, fulltext.question_terms(asked))
+    ranges = fulltext.bounds(index, weighted)
+    best = fulltext._range_best(index, weighted, ranges, 3, None)
+    per = best.groupBy(F.spark_partition_id().alias("task"), "question_id").count().collect()
+    assert max(r["count"] for r in per) == 3
+
+
+@pytest.mark.parametrize("pairs", [0, 10**6])
+def test_ranges_in_slices_and_passes(spark, corpus, monkeypatch, pairs):
+    monkeypatch.setattr(fulltext, "QUESTIONS", 4)
+    monkeypatch.setattr(fulltext, "CELLS", 60)
+    monkeypatch.setattr(fulltext, "BROADCAST_ROWS", pairs)
+    docs, asked = frames(spark, corpus)
+    index = fulltext.write_index(docs, fresh_path(spark, "test-index"), blocks=True)
+    found = fulltext.bm25_top_k(index, asked, 5, full_scoring_rows=0)
+    assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == brute_bm25(*corpus, 5)
+
+
+def test_rows_of_one_key_add_up_in_their_ranges(spark):
+    """Keys that several documents have, in one range and in several, and no key."""
+    docs = [(i if i % 90 else None if i % 180 else 5, f"common w{i % 4} own{i}") for i in range(300)]
+    frame = spark.createDataFrame(docs, "key bigint, text string").coalesce(1)
+    index = fulltext.write_index(frame, fresh_path(spark, "test-index"), blocks=True)
+    asked = spark.createDataFrame([(1, "common own90 w3"), (2, "w1 own7")], "question_id bigint, question string")
+    weighted = fulltext.weighted_terms(index, fulltext.question_terms(asked))
+    rows = fulltext.exploded(index.words).join(weighted, "term")
+    summed = rows.groupBy("question_id", "key").agg(F.sum(F.col("weight") * index.saturation()).alias("score"))
+    want = {(r.question_id, r.key, r["rank"]) for r in fulltext.top_k(summed, 4).collect()}
+    shared = fulltext._shared_ranges(index)
+    assert sorted(r["range"] for r in shared.df.collect()) == [0, 1, 2, 4]
+    found = fulltext.top_k(fulltext._range_best(index, weighted, fulltext.bounds(index, weighted), 4, shared), 4)
+    assert {(r.question_id, r.key, r["rank"]) for r in found.collect()} == want
+    assert (1, None, 1) in want or (1, 5, 1) in want
+
+
 def test_blocks_are_built_where_documents_lie(spark):
     """No posting is exchanged, and the blocks hold every posting once, with its peak."""
     docs = [(i, f"common w{i % 5} w{i % 5} own{i}") for i in range(400)] + [(400, None), (401, "")]
