@@ -19,6 +19,12 @@ from fathom.session import settled
 DIM = 256
 
 
+def texts_by_bucket(rows: DataFrame) -> DataFrame:
+    """Texts in the order of their folders. They are not exchanged: a task writes a file
+    for each bucket, as of the blocks of postings."""
+    return rows.withColumn("bucket", knn.key_bucket("key")).sortWithinPartitions("bucket", "key")
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -39,8 +45,7 @@ class Store:
         # Written first, as cells are surveyed and vectors stored in several passes.
         vectors = settled(embedding.embed(words, "terms", counts="tfs"), "embedded")
         knn.write_half(vectors, f"{path}/vectors")
-        texts = rows.withColumn("bucket", knn.key_bucket("key")).hint("rebalance", "bucket")
-        texts.sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/texts")
+        texts_by_bucket(rows).write.partitionBy("bucket").parquet(f"{path}/texts")
         return cls.read(docs.sparkSession, path)
 
     @classmethod

@@ -16,7 +16,7 @@ from fathom.hooks import HashedEmbedding
 from fathom.operators import corpus, evaluate, knn, reader
 from fathom.plans import ingest, methods
 from fathom.plans.ask import presented
-from fathom.plans.store import Store
+from fathom.plans.store import Store, texts_by_bucket
 from fathom.session import fresh_path
 from fathom.sources import dump, pages, records
 from fathom.sources.collection import Collection, DuplicateKey, latest_per_key
@@ -451,6 +451,15 @@ def prepared(spark, n=400):
     return Store.write(spark.createDataFrame(docs, "doc_id bigint, text string"), fresh_path(spark, "store"), "doc_id", dim=1024)
 
 
+def test_texts_of_a_store_are_not_exchanged(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "key bigint, text string").repartition(3).localCheckpoint()
+    found = texts_by_bucket(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    path = fresh_path(spark, "texts")
+    found.write.partitionBy("bucket").parquet(path)
+    assert sorted(map(tuple, spark.read.parquet(path).select("key", "text").collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_store_reads_what_a_batch_needs(spark):
     store = prepared(spark)
     asked = spark.createDataFrame(
